@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat import digests, format_windows
 from quarry.llm.decontaminate import decontaminate
+from quarry.llm.jaccard import near_duplicates
 from quarry.llm.mix import mix
 from quarry.llm.rules import quality_rules
 from quarry.llm.shard import shard_rows
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -48,7 +53,7 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op6_mix, op7_quality_rules, op8_shard, op9_chat, op10_remove_repeats)}
+    return {f.__name__: f for f in (op3_jaccard_join, op4_decontaminate, op6_mix, op7_quality_rules, op8_shard, op9_chat, op10_remove_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import _words as W
+from quarry.shipping import ship
 
 _OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans")
 
@@ -167,6 +168,7 @@ def decontaminate(
     count once, repeated documents get a row each. Other columns are ignored.
     """
     session = docs.sparkSession
+    ship(session)
     key = T.StructField(id_col, docs.schema[id_col].dataType)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = dict(zip(_OUT, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.StringType()), span), strict=True))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from quarry.llm import _words as W
 from quarry.llm._store import written
 from quarry.llm.components import components
+from quarry.shipping import ship
 
 _LEAF = 32
 _FAN = 4
@@ -373,6 +374,7 @@ def near_duplicates(
     have a row each; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     table = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])

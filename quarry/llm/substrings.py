@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quarry.llm import _words as W
 from quarry.llm._store import written
+from quarry.shipping import ship
 
 _DEPTH = 2
 _SLICES = 64
@@ -310,6 +311,7 @@ def remove_repeats(
     as files do; if it does not, the job fails rather than return a wrong result.
     """
     spark = docs.sparkSession
+    ship(spark)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     bits = min(max_cell_bits, max(16, int(total * 0.05).bit_length()))

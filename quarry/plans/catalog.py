@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text
+from quarry.operators import access, answers, chunking, gold, metrics, redteam, rules, search, store, sweep, theft
+from quarry.sources import cve, pages
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
+RED = access.Principal("red", clearance="red")
+AMBER = access.Principal("amber", clearance="amber")
+GREEN = access.Principal("green", clearance="green", allowed_source_types=("attack_cti", "vendor_report"))
 
 
 def query(sql: str | None = None):
@@ -28,3 +36,592 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---- the tables as a classified corpus, vectors and questions, the same in both languages
+
+CORPUS = """corpus AS (SELECT d.doc_id, 'doc:' || d.doc_id AS id, 'D' || d.doc_id AS source_ref, 'D' || d.doc_id || ' ' || d.source || ' (' || d.lang || ')' AS title,
+ CASE d.lang WHEN 'en' THEN 'attack_cti' WHEN 'de' THEN 'nvd_cve' WHEN 'fr' THEN 'vendor_report' ELSE 'internal_note' END AS source_type, (d.doc_id % 4)::INT AS tlp_rank,
+ (CASE WHEN l.toxic = 1 THEN 3 WHEN d.lang IN ('en', 'de') THEN 0 WHEN d.lang = 'fr' THEN 1 ELSE 2 END)::INT AS trust_tier, d.text FROM documents d LEFT JOIN labels l USING (doc_id))"""
+VEC = "vec AS (SELECT vec_id AS chunk_id, vec_id // 4 AS doc_id, (vec_id % 4)::INT AS tlp_rank, label, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def _hits_sql(k: int, where: str = "true") -> str:
+    return f"""{VEC}, s AS (SELECT q.chunk_id AS query_id, v.chunk_id, v.doc_id, v.tlp_rank, q.label AS want, v.label, list_dot_product(q.e, v.e) AS score
+ FROM vec q JOIN vec v ON v.chunk_id <> q.chunk_id WHERE q.chunk_id % 25 = 0 AND {where}),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= {k})"""
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents").join(_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    lang = F.col("lang")
+    kind = F.when(lang == "en", "attack_cti").when(lang == "de", "nvd_cve").when(lang == "fr", "vendor_report").otherwise("internal_note")
+    tier = F.when(F.col("toxic") == 1, 3).when(lang.isin("en", "de"), 0).when(lang == "fr", 1).otherwise(2)
+    ref = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    return d.select(
+        "doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), ref.alias("source_ref"), F.concat(ref, F.lit(" "), "source", F.lit(" ("), "lang", F.lit(")")).alias("title"),
+        kind.alias("source_type"), (F.col("doc_id") % 4).cast("int").alias("tlp_rank"), tier.cast("int").alias("trust_tier"), "text",
+    )
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 4").alias("doc_id"), (F.col("vec_id") % 4).cast("int").alias("tlp_rank"), "label", "embedding")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", F.col("label").alias("want"))
+
+
+def _dense(spark: SparkSession, sf: str, k: int, principal=None) -> DataFrame:
+    return search.dense_topk(_asked(spark, sf), vectors(spark, sf), k, principal=principal, exclude_self=True)
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def _passages(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
+    """Dense hits with the passage of the document that each vector belongs to."""
+    hits = _dense(spark, sf, k).join(vectors(spark, sf).select("chunk_id", "doc_id"), "chunk_id")
+    rows = hits.join(corpus(spark, sf), "doc_id")
+    return rows.withColumn("citation", answers.citation(F.col("source_ref"), F.col("title")))
+
+
+PASSAGES = f"""{_hits_sql(5)}, {CORPUS}, passages AS (SELECT h.query_id, h.rank, h.chunk_id, c.*, c.source_ref || ' — ' || c.title AS citation FROM hits h JOIN corpus c USING (doc_id))"""
+
+# ---- access
+
+
+@query(f"WITH {CORPUS} SELECT r.rank::INT AS clearance_rank, count(*) AS visible FROM corpus, (SELECT unnest(range(4)) AS rank) r WHERE tlp_rank <= r.rank GROUP BY r.rank")
+def acl_visible_counts(spark, sf):
+    rows = corpus(spark, sf)
+    parts = [access.visible(rows, access.Principal(t, clearance=t)).agg(F.lit(i).alias("clearance_rank"), F.count(F.lit(1)).alias("visible")) for i, t in enumerate(access.TLP)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"WITH {CORPUS} SELECT source_type, count(*) AS n FROM corpus WHERE tlp_rank <= 1 AND source_type IN ('attack_cti', 'vendor_report') GROUP BY source_type")
+def acl_source_allowlist(spark, sf):
+    return access.visible(corpus(spark, sf), GREEN).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- dense, lexical and hybrid search
+
+
+@query(f"WITH {_hits_sql(5)} SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM hits")
+def dense_topk(spark, sf):
+    return _dense(spark, sf, 5).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {_hits_sql(5, 'v.tlp_rank <= 2')} SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM hits")
+def dense_topk_acl(spark, sf):
+    return _dense(spark, sf, 5, AMBER).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {_hits_sql(10)} SELECT query_id, rank, chunk_id, doc_id FROM hits WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5")
+def dense_threshold(spark, sf):
+    chunks = vectors(spark, sf).select("chunk_id", "doc_id", "tlp_rank")
+    return search.retrieve(lambda depth: _dense(spark, sf, depth), chunks, k=5, overfetch=2, score_threshold=0.25).select("query_id", "rank", "chunk_id", "doc_id")
+
+
+@query(f"WITH {_hits_sql(5)} SELECT query_id, rank, chunk_id FROM hits")
+def segregated_topk(spark, sf):
+    # a query's own vector is its best hit in whichever table holds it: one more, then without it
+    hits = search.segregated_topk(_asked(spark, sf), vectors(spark, sf), 6, 1, RED)
+    return search.ranked(hits.where("query_id <> chunk_id").drop("rank"), 5).select("query_id", "rank", "chunk_id")
+
+
+STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+TOKENS = f"tok AS (SELECT doc_id AS chunk_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ({STOP})) AS t FROM documents)"
+POSTINGS = f"{TOKENS}, post AS (SELECT chunk_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY chunk_id, term), avg_len AS (SELECT avg(len(t)) AS a FROM tok), weighed AS (SELECT chunk_id, term, tf, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) AS weight FROM post, avg_len)"
+LEXICAL = f"""{POSTINGS}, asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ({STOP}))) AS term FROM benchmark),
+df AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term),
+lex AS (SELECT query_id, chunk_id, round(sum(idf * weight), 9) AS score FROM asked JOIN weighed USING (term) JOIN df USING (term) GROUP BY query_id, chunk_id)"""
+
+
+def _chunks(spark, sf):
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+@query(f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY term")
+def bm25_terms(spark, sf):
+    return search.postings(_chunks(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {POSTINGS} SELECT chunk_id, count(*) AS terms, round(sum(weight), 6) AS weight FROM weighed GROUP BY chunk_id")
+def bm25_weights(spark, sf):
+    return search.postings(_chunks(spark, sf)).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query(f"WITH {LEXICAL} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 5")
+def bm25_topk(spark, sf):
+    chunks = _chunks(spark, sf)
+    return search.lexical_topk(_questions(spark, sf), search.postings(chunks), chunks.count(), 5).select("query_id", "chunk_id", "rank")
+
+
+@query(f"""WITH {LEXICAL}, {VEC}, l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex WHERE chunk_id % 4 <= 2 QUALIFY rank <= 50),
+d AS (SELECT b.item_id AS query_id, v.chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY list_dot_product(q.e, v.e) DESC, v.chunk_id) AS rank FROM benchmark b JOIN vec q ON q.chunk_id = b.item_id JOIN vec v ON v.tlp_rank <= 2 QUALIFY rank <= 50),
+f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM d) GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_rrf_topk(spark, sf):
+    chunks = corpus(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text", "tlp_rank", "source_type")
+    asked = _questions(spark, sf).join(vectors(spark, sf).select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
+    dense = search.dense_topk(asked.where("embedding is not null"), vectors(spark, sf), 50, principal=AMBER)
+    lexical = search.lexical_topk(asked, search.postings(chunks), chunks.count(), 50, readable=access.visible(chunks, AMBER))
+    return search.fuse([dense, lexical], 10).select("query_id", "chunk_id", "rank")
+
+
+# ---- rules on hits
+
+
+@query(f"WITH {_hits_sql(10)} SELECT query_id, chunk_id, rank FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) <= 1")
+def source_cap(spark, sf):
+    hits = _dense(spark, sf, 10).join(vectors(spark, sf).select("chunk_id", "doc_id"), "chunk_id")
+    return rules.source_cap(hits, 1).select("query_id", "chunk_id", "rank")
+
+
+@query(f"""WITH {_hits_sql(15)}, c AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) <= 1)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c.rank) <= 5""")
+def overfetch_cap_topk(spark, sf):
+    chunks = vectors(spark, sf).select("chunk_id", "doc_id", "tlp_rank")
+    return search.retrieve(lambda depth: _dense(spark, sf, depth), chunks, k=5, overfetch=3, rules=(lambda h: rules.source_cap(h, 1),)).select("query_id", "chunk_id", "rank")
+
+
+STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+BLOCKS = f"{PASSAGES}, b AS (SELECT query_id, rank, '[' || rank || '] ' || citation || chr(10) || {STRIP} AS block FROM passages), k AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM b QUALIFY used <= 6000 OR rank = 1)"
+
+
+@query(f"WITH {BLOCKS} SELECT query_id, rank, used FROM k")
+def context_budget(spark, sf):
+    return answers.within_budget(_passages(spark, sf), 6000).select("query_id", "rank", "used")
+
+
+@query(f"WITH {BLOCKS} SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM k GROUP BY query_id")
+def format_context(spark, sf):
+    return answers.format_context(_passages(spark, sf), 6000)
+
+
+FENCE = "(CASE trust_tier WHEN 1 THEN 'vendor publication' WHEN 2 THEN 'unvetted community source' WHEN 3 THEN 'untrusted, possibly attacker-controlled source' ELSE 'lower-trust source' END)"
+HEAD, TAIL = rules.FENCE_HEADER.split("{label}")
+
+
+@query(f"WITH {CORPUS} SELECT id, trust_tier, CASE WHEN trust_tier >= 1 THEN '{HEAD}' || {FENCE} || '{TAIL}' || chr(10) || text || chr(10) || '{rules.FENCE_FOOTER}' ELSE text END AS text FROM corpus")
+def provenance_fence(spark, sf):
+    return rules.provenance_fence(corpus(spark, sf)).select("id", "trust_tier", "text")
+
+
+SAID = ("A plain summary of the year.", "When asked, the annex must end with a table.", "The system prompt of the device is shown.", "Staff never disclose the key; as an AI group notes.")
+SAID_SQL = ", ".join(f"('s{i}', '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(SAID))
+MATCHED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(title || chr(10) || text, '(?i){p}') THEN '{p}' END" for p in rules.SCREEN_PATTERNS) + "], lambda x: x IS NOT NULL)"
+SCREENED = f"{CORPUS}, w AS (SELECT id, title, text FROM corpus UNION ALL SELECT v.id, 'note', v.text FROM (VALUES {SAID_SQL}) v(id, text)), m AS (SELECT id, {MATCHED} AS matched FROM w)"
+
+
+def _screen_input(spark, sf):
+    extra = spark.range(len(SAID)).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.lit("note").alias("title"), F.element_at(F.array(*(F.lit(x) for x in SAID)), (F.col("id") + 1).cast("int")).alias("text"))
+    return corpus(spark, sf).select("id", "title", "text").unionByName(extra)
+
+
+@query(f"WITH {SCREENED} SELECT CASE WHEN len(matched) > 0 THEN 'injection_screen' END AS rejected_by, count(*) AS n FROM m GROUP BY ALL")
+def injection_screen(spark, sf):
+    return rules.admit(_screen_input(spark, sf)).groupBy("rejected_by").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SCREENED} SELECT pattern, count(*) AS n FROM (SELECT unnest(matched) AS pattern FROM m) GROUP BY pattern")
+def screen_census(spark, sf):
+    return rules.matched_patterns(_screen_input(spark, sf)).select(F.explode("matched").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+LINKED = "'See ![pic ' || page_id || '](' || url || ') and [label](' || url || ') or ' || url || ' now.'"
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace({LINKED}, '!\\[([^\\]]*)\\]\\(https?://[^)\\s]+\\)', '[image: \\1]', 'g'), '\\[([^\\]]*)\\]\\(https?://[^)\\s]+\\)', '\\1', 'g') AS t, url FROM pages)
+SELECT page_id, regexp_replace(t, 'https?://[^\\s<>)\\]]+', '[link removed]', 'g') AS text, array_to_string([url, url, url], ' ') AS stripped FROM a""")
+def egress_filter(spark, sf):
+    url, page = F.col("url"), F.col("page_id").cast("string")
+    said = F.concat(F.lit("See ![pic "), page, F.lit("]("), url, F.lit(") and [label]("), url, F.lit(") or "), url, F.lit(" now."))
+    rows = _table(spark, sf, "pages").select("page_id", said.alias("text"), F.array().cast("array<string>").alias("stripped_urls"))
+    return rules.egress_filter(rows).select("page_id", "text", F.array_join("stripped_urls", " ").alias("stripped"))
+
+
+# ---- answers
+
+REPLY = "'Claim [1] and T1055.001, then [' || (query_id % 9) || '], [12] and [2]; T1071 too.'"
+
+
+def _answers(spark, sf):
+    hits = _passages(spark, sf)
+    asked = _asked(spark, sf).select("query_id", F.lit("q").alias("question"))
+    reply = lambda q, c: F.concat(F.lit("Claim [1] and T1055.001, then ["), (F.col("query_id") % 9).cast("string"), F.lit("], [12] and [2]; T1071 too."))
+    return answers.answer(asked, hits, generate=reply)
+
+
+ANSWERS = f"""{PASSAGES}, a AS (SELECT query_id, {REPLY} AS text, list(citation ORDER BY rank) AS got FROM passages GROUP BY query_id),
+m AS (SELECT query_id, text, got, unnest(m) AS mark, generate_subscripts(m, 1) AS nth FROM (SELECT *, regexp_extract_all(text, '\\[(\\d{{1,2}})\\]', 1) AS m FROM a)),
+c AS (SELECT query_id, mark, nth, CASE WHEN mark::INT BETWEEN 1 AND len(got) THEN got[mark::INT] END AS cited FROM m),
+cited AS (SELECT query_id, string_agg(cited, ' | ' ORDER BY nth) AS citations FROM (SELECT query_id, cited, min(nth) AS nth FROM c WHERE cited IS NOT NULL GROUP BY query_id, cited) GROUP BY query_id),
+loose AS (SELECT query_id, string_agg(mark, ' ' ORDER BY nth) AS unsupported FROM (SELECT query_id, '[' || mark || ']' AS mark, min(nth) AS nth FROM c WHERE cited IS NULL GROUP BY query_id, mark) GROUP BY query_id)"""
+
+
+@query(f"WITH {ANSWERS} SELECT query_id, citations, unsupported FROM a JOIN cited USING (query_id) JOIN loose USING (query_id)")
+def citations(spark, sf):
+    return _answers(spark, sf).select("query_id", F.array_join("citations", " | ").alias("citations"), F.array_join("unsupported", " ").alias("unsupported"))
+
+
+@query(f"""WITH {ANSWERS}, p AS (SELECT passages.*, EXISTS (SELECT 1 FROM c WHERE c.query_id = passages.query_id AND c.cited = passages.citation) AS is_cited FROM passages),
+x AS (SELECT t.query_id, t.source_ref, l.citation AS low, t.citation AS top FROM p t JOIN p l ON t.query_id = l.query_id AND NOT t.is_cited AND l.is_cited AND t.trust_tier = 0
+ AND (t.source_ref = l.source_ref OR contains(l.text, t.source_ref)) QUALIFY row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank, l.rank) = 1),
+j AS (SELECT query_id, bool_and(trust_tier >= 2) AS only_low FROM p WHERE is_cited GROUP BY query_id)
+SELECT a.query_id, coalesce(j.only_low AND x.query_id IS NOT NULL, false) AS blocked, CASE WHEN j.only_low AND x.query_id IS NOT NULL THEN 'uncorroborated low-trust claim about ' || x.source_ref END AS block_reason
+FROM a LEFT JOIN j USING (query_id) LEFT JOIN x USING (query_id)""")
+def corroboration(spark, sf):
+    return rules.corroboration(_answers(spark, sf)).select("query_id", "blocked", "block_reason")
+
+
+@query(f"""WITH {ANSWERS}, g AS (SELECT query_id, list('D' || doc_id ORDER BY rank) AS refs FROM passages GROUP BY query_id)
+SELECT count(*) AS n, avg(CASE WHEN query_id % 50 = 0 THEN 1.0 ELSE 0.0 END) AS on_target, 0.0::DOUBLE AS refusal_rate, avg(CASE WHEN query_id % 50 = 0 THEN 0.5 ELSE 0.0 END) AS answer_recall,
+ avg(CASE WHEN query_id % 75 = 0 THEN 0.5 ELSE 1.0 END) AS ungrounded_rate, 1.0::DOUBLE AS unsupported_rate FROM a""")
+def answer_scores(spark, sf):
+    # of two relevant ids every second question's answer names one; the evidence of every third grounds the parent id T1071
+    rows = _answers(spark, sf).withColumns({
+        "refused": F.lit(False), "relevant": F.when(F.col("query_id") % 50 == 0, F.array(F.lit("T1071"), F.lit("T9999"))).otherwise(F.array(F.lit("T9998"))),
+        "evidence": F.when(F.col("query_id") % 75 == 0, F.array(F.lit("T1071.001"))).otherwise(F.array().cast("array<string>")),
+    })
+    return metrics.answer_scores(rows)
+
+
+# ---- retrieval quality
+
+
+def _per_query(spark, sf, k=5):
+    hits = _dense(spark, sf, 2 * k).join(vectors(spark, sf).select("chunk_id", "doc_id"), "chunk_id").select("query_id", "rank", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("ref"))
+    v, q = vectors(spark, sf), _asked(spark, sf).drop("embedding")
+    want = q.join(v.select(F.col("label").alias("want"), "chunk_id", "doc_id"), "want").where("chunk_id <> query_id").select("query_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("ref")).distinct()
+    return metrics.ir_metrics(metrics.first_of_each_ref(hits), want, k)
+
+
+IR = f"""{_hits_sql(10)}, f AS (SELECT query_id, 'D' || doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), 'D' || doc_id) AS rank FROM hits GROUP BY query_id, doc_id),
+want AS (SELECT DISTINCT q.chunk_id AS query_id, 'D' || v.doc_id AS ref FROM vec q JOIN vec v ON v.label = q.label AND v.chunk_id <> q.chunk_id WHERE q.chunk_id % 25 = 0),
+g AS (SELECT query_id, count(*) AS n FROM want GROUP BY query_id),
+x AS (SELECT f.query_id, f.rank, w.ref IS NOT NULL AS hit FROM f LEFT JOIN want w USING (query_id, ref) WHERE f.rank <= 5),
+per AS (SELECT query_id, sum(hit::INT) / any_value(n) AS recall, sum(hit::INT) / count(*) AS precision, coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0) AS rr,
+ coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 1.0::DOUBLE) END), 0) / any_value(list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE)))) AS ndcg FROM x JOIN g USING (query_id) GROUP BY query_id)"""
+
+
+@query(f"WITH {IR} SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM per")
+def ir_metrics_per_query(spark, sf):
+    return _per_query(spark, sf).select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "rr", "ndcg")))
+
+
+@query(f"WITH {IR} SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, round(avg((rr > 0)::INT), 6) AS hit_rate FROM per")
+def ir_metrics_macro(spark, sf):
+    return metrics.macro(_per_query(spark, sf)).select("n", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "rr", "ndcg", "hit_rate")))
+
+
+# ---- gold sets, probes and samples over the order tables
+
+
+def _edges(spark, sf):
+    o, li, p = _table(spark, sf, "orders"), _table(spark, sf, "lineitem"), _table(spark, sf, "part")
+    used = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_custkey", "l_partkey").distinct()
+    rows = used.join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
+    return rows.select(F.concat(F.lit("G"), F.col("o_custkey").cast("string")).alias("group_id"), name.alias("group_name"), F.col("p_brand").alias("tactic"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("technique"))
+
+
+EDGES = "e AS (SELECT DISTINCT 'G' || o_custkey AS group_id, 'Customer ' || o_custkey AS group_name, p_brand AS tactic, 'P' || l_partkey AS technique FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), g AS (SELECT group_id, tactic, any_value(group_name) AS name, list_sort(list(DISTINCT technique)) AS relevant FROM e GROUP BY group_id, tactic HAVING count(DISTINCT technique) BETWEEN 3 AND 8)"
+
+
+@query(f"WITH {EDGES} SELECT len(relevant)::BIGINT AS size, count(*) AS n FROM g GROUP BY size")
+def gold_band(spark, sf):
+    return gold.gold_set(_edges(spark, sf), limit=1 << 30).groupBy(F.size("relevant").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EDGES} SELECT group_id || ':' || tactic AS id, 'Which ' || replace(tactic, '-', ' ') || ' techniques does ' || name || ' use?' AS question, array_to_string(relevant, ' ') AS relevant
+FROM g ORDER BY md5('1337|' || group_id || ':' || tactic), id LIMIT 200""")
+def gold_set(spark, sf):
+    return gold.gold_set(_edges(spark, sf)).select("id", "question", F.array_join("relevant", " ").alias("relevant"))
+
+
+NAMED = "n AS (SELECT 'P' || p_partkey AS source_ref, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'technique' WHEN 1 THEN 'group' ELSE 'software' END AS kind FROM part UNION ALL SELECT 'CVE-2024-' || (10000 + o_orderkey), NULL, 'cve' FROM orders)"
+
+
+@query(f"""WITH {NAMED}, o AS (SELECT lower(name) AS key FROM n WHERE name IS NOT NULL GROUP BY lower(name) HAVING count(DISTINCT source_ref) = 1),
+k AS (SELECT * FROM n WHERE name IS NULL OR lower(name) IN (SELECT key FROM o) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5('1337|' || source_ref), source_ref, name) <= 150)
+SELECT source_ref || ':id' AS id, 'What is ' || source_ref || '?' AS question, kind, 'id' AS phrasing FROM k UNION ALL SELECT source_ref || ':name', 'What is ' || name || '?', kind, 'name' FROM k WHERE name IS NOT NULL""")
+def identifier_probes(spark, sf):
+    part, ref = _table(spark, sf, "part"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "technique").when(F.col("p_partkey") % 3 == 1, "group").otherwise("software")
+    titles = part.select(ref.alias("source_ref"), F.concat(ref, F.lit(" "), "p_name", F.lit(" ("), kind, F.lit(")")).alias("title"))
+    cves = _table(spark, sf, "orders").select(F.concat(F.lit("CVE-2024-"), (F.col("o_orderkey") + 10000).cast("string")).alias("source_ref")).withColumn("title", F.col("source_ref"))
+    return gold.identifier_probes(titles.unionByName(cves)).select("id", "question", "kind", "phrasing")
+
+
+SEATS = f"""{CORPUS}, n AS (SELECT source_type, count(*) AS n FROM corpus WHERE source_type <> 'internal_note' GROUP BY source_type),
+x AS (SELECT *, 100.0::DOUBLE * n / sum(n) OVER () AS exact FROM n), y AS (SELECT *, least(floor(exact)::BIGINT, n) AS fl FROM x),
+seats AS (SELECT source_type, n, fl + CASE WHEN fl < n AND row_number() OVER (PARTITION BY fl < n ORDER BY exact - floor(exact) DESC, n DESC, source_type) <= 100 - sum(fl) OVER () THEN 1 ELSE 0 END AS seats FROM y)"""
+
+
+@query(f"WITH {SEATS} SELECT source_type, n, seats::BIGINT AS seats FROM seats")
+def stratified_quota(spark, sf):
+    return gold.quotas(corpus(spark, sf).where("source_type <> 'internal_note'").groupBy("source_type").agg(F.count(F.lit(1)).alias("n")), 100)
+
+
+@query(f"WITH {SEATS} SELECT id AS chunk_id, source_type FROM corpus WHERE source_type = 'internal_note' UNION ALL SELECT id, source_type FROM (SELECT c.id, c.source_type, s.seats, row_number() OVER (PARTITION BY c.source_type ORDER BY md5('7|' || c.id), c.id) AS k FROM corpus c JOIN seats s USING (source_type)) WHERE k <= seats")
+def stratified_sample(spark, sf):
+    return gold.stratified_sample(corpus(spark, sf).select(F.col("id").alias("chunk_id"), "source_type"), 100, seed=7)
+
+
+# ---- chunks
+
+
+@query("""WITH p AS (SELECT doc_id, i AS ordinal, substr(text, i * 448 + 1, 512) AS piece FROM (SELECT doc_id, text, unnest(range(0, (greatest(length(text) - 1, 0) // 448) + 1)) AS i FROM documents)),
+s AS (SELECT doc_id, ordinal, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS text FROM p)
+SELECT 'doc:' || doc_id || '#' || ordinal || ':' || substr(sha1(text), 1, 12) AS chunk_id, ordinal, length(text) AS chars FROM s WHERE text <> ''""")
+def fixed_chunks(spark, sf):
+    return chunking.chunk(corpus(spark, sf).drop("doc_id"), "fixed").select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), F.length("text").cast("long").alias("chars"))
+
+
+@query()
+def recursive_chunks(spark, sf):
+    return chunking.chunk(corpus(spark, sf).drop("doc_id"), "recursive").select("chunk_id", "ordinal", "text")
+
+
+@query()
+def structural_chunks(spark, sf):
+    rows = corpus(spark, sf).drop("doc_id").withColumn("text", F.concat(F.lit("# "), "title", F.lit("\n\n## Body\n"), "text", F.lit("\n\n## Origin\n"), "source_type"))
+    return chunking.chunk(rows, "structural").select("chunk_id", "ordinal", "text")
+
+
+@query()
+def passages(spark, sf):
+    return chunking.passage_rows(corpus(spark, sf).select("doc_id", "text"), 600)
+
+
+# ---- pages
+
+PAGE_LINES = r"""pg AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS doc, page_id, html FROM pages),
+ln AS (SELECT doc, page_id, regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '\d+', '#', 'g') AS norm FROM (SELECT doc, page_id, unnest(string_split_regex(html, '\r\n|\n|\r')) AS l FROM pg)),
+least_pages AS (SELECT doc, greatest(2, count(*) // 2) AS least FROM pg GROUP BY doc)"""
+
+
+def _pages(spark, sf):
+    return _table(spark, sf, "pages").select(F.regexp_extract("url", "https?://([^/]+)", 1).alias("doc"), F.col("page_id").alias("page"), F.col("html").alias("text"))
+
+
+@query(f"WITH {PAGE_LINES} SELECT doc, norm, count(DISTINCT page_id) AS pages FROM ln JOIN least_pages USING (doc) WHERE norm <> '' GROUP BY doc, norm, least HAVING count(DISTINCT page_id) >= least")
+def page_furniture(spark, sf):
+    rows = _pages(spark, sf)
+    return pages.furniture(pages.lines(rows), rows)
+
+
+@query()
+def page_clean(spark, sf):
+    return pages.clean(_pages(spark, sf))
+
+
+# ---- selection by window and severity
+
+PICK = "r AS (SELECT 'CVE-' || user_id AS id, date_diff('day', ts, (SELECT max(ts) FROM events)) // 30 AS win, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS severity_rank, event_id AS pos FROM events), linked AS (SELECT DISTINCT id FROM r WHERE id LIKE '%7')"
+
+
+@query(f"""WITH {PICK}, n AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM linked) QUALIFY row_number() OVER (PARTITION BY id ORDER BY win, severity_rank, pos) = 1),
+t AS (SELECT id FROM n ORDER BY win, severity_rank, pos, id LIMIT 50) SELECT id, 0::INT AS part FROM linked UNION ALL SELECT id, 1 FROM t""")
+def nvd_style_selection(spark, sf):
+    e = _table(spark, sf, "events")
+    last = e.agg(F.max("ts")).first()[0]
+    severity = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    days = F.datediff(F.lit(last).cast("date"), F.col("ts").cast("date"))
+    rows = e.select(F.concat(F.lit("CVE-"), F.col("user_id").cast("string")).alias("id"), F.floor(days / 30).alias("window"), severity.alias("severity_rank"), F.col("event_id").alias("pos"))
+    return cve.select(rows.where("id like '%7'").select("id").distinct(), rows, 50).select("id", "part")
+
+
+# ---- text overlap and theft
+
+PAIRS = "pairs AS (SELECT d.doc_id AS key, d.lang AS source_type, (d.doc_id % 4)::INT AS tlp, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS c, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS r, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') = regexp_replace(b.text, '^\\s+|\\s+$', '', 'g') AS exact FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+GRAMS = f"""{PAIRS}, gram AS (SELECT key, n, side, array_to_string(list_slice(t, i, i + n - 1), ' ') AS g FROM (SELECT key, n, side, t, unnest(range(1, len(t) - n + 2)) AS i FROM
+ (SELECT key, 1 AS side, c AS t FROM pairs UNION ALL SELECT key, 0, r FROM pairs), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(t) >= n)),
+cnt AS (SELECT key, n, g, count(*) FILTER (side = 1) AS c, count(*) FILTER (side = 0) AS r FROM gram GROUP BY key, n, g),
+ov AS (SELECT key, n, sum(least(c, r)) AS b, sum(c) AS c, sum(r) AS r FROM cnt GROUP BY key, n)"""
+F1 = "CASE WHEN len(p.c) = 0 AND len(p.r) = 0 THEN 1.0 WHEN coalesce(o.b, 0) = 0 THEN 0.0 ELSE 2 * (o.b / o.c) * (o.b / o.r) / (o.b / o.c + o.b / o.r) END"
+
+
+def _pairs(spark, sf):
+    b = _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
+    d = _table(spark, sf, "documents")
+    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select(F.col("doc_id").alias("key"), F.col("lang").alias("source_type"), (F.col("doc_id") % 4).cast("int").alias("tlp"), F.col("text").alias("candidate"), "reference")
+
+
+@query(f"WITH {GRAMS} SELECT p.key, round({F1}, 6) AS f1 FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1")
+def token_f1(spark, sf):
+    return metrics.token_f1(_pairs(spark, sf)).withColumn("f1", F.round("f1", 6))
+
+
+@query(f"""WITH {GRAMS}, t AS (SELECT n, sum(b) AS b, sum(c) AS c, sum(r) AS r FROM ov GROUP BY n)
+SELECT round((SELECT CASE WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END FROM t WHERE n = 1) * exp(sum(ln(greatest(b / c, 1e-9))) / 4), 6) AS bleu FROM t""")
+def corpus_bleu(spark, sf):
+    return metrics.corpus_bleu(_pairs(spark, sf)).withColumn("bleu", F.round("bleu", 6))
+
+
+@query(f"""WITH {GRAMS}, s AS (SELECT p.source_type, p.tlp, p.exact, {F1} AS f1, p.key % 3 AS n_secret, CASE WHEN p.key % 2 = 0 THEN p.key % 3 ELSE 0 END AS n_recovered FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1)
+SELECT source_type, tlp, GROUPING(source_type, tlp)::BIGINT AS level, count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(f1), 6) AS f1, NULL::DOUBLE AS cosine, round(sum(n_recovered) / sum(n_secret), 6) AS secret_recovery,
+ sum((n_secret > 0 AND n_recovered = n_secret)::INT)::BIGINT AS fully_leaked FROM s GROUP BY GROUPING SETS ((), (source_type), (tlp))""")
+def group_scores(spark, sf):
+    pairs = _pairs(spark, sf)
+    rows = pairs.join(metrics.token_f1(pairs), "key").withColumns({
+        "exact": text.strip(F.col("candidate")) == text.strip(F.col("reference")), "cosine": F.lit(None).cast("double"), "n_secret": F.col("key") % 3, "n_recovered": F.when(F.col("key") % 2 == 0, F.col("key") % 3).otherwise(0),
+    }).withColumn("fully_leaked", (F.col("n_secret") > 0) & (F.col("n_secret") == F.col("n_recovered")))
+    out = metrics.group_scores(rows)
+    return out.select("source_type", "tlp", "level", "n", *(F.round(c, 6).alias(c) for c in ("exact", "f1", "cosine", "secret_recovery")), "fully_leaked")
+
+
+NEAR = f"""{VEC}, {CORPUS}, nn AS (SELECT s.chunk_id, s.doc_id, r.chunk_id AS ref_id, r.doc_id AS predicted_doc_id, list_cosine_similarity(s.e, r.e) AS score FROM vec s JOIN vec r ON s.chunk_id % 2 = 1 AND r.chunk_id % 2 = 0 AND r.chunk_id % 3 <> 0
+ QUALIFY row_number() OVER (PARTITION BY s.chunk_id ORDER BY score DESC, r.chunk_id) = 1)"""
+
+
+@query(f"WITH {NEAR} SELECT chunk_id, predicted_doc_id, doc_id = predicted_doc_id AS correct, doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 2 = 0 AND chunk_id % 3 <> 0) AS in_reference FROM nn")
+def reidentify_nn(spark, sf):
+    return _reidentified(spark, sf).select("chunk_id", "predicted_doc_id", "correct", "in_reference")
+
+
+def _reidentified(spark, sf):
+    v, c = vectors(spark, sf), corpus(spark, sf)
+    stolen = v.where("chunk_id % 2 = 1").select("chunk_id", "doc_id", "embedding").join(c.select("doc_id", "source_type", "text"), "doc_id")
+    reference = v.where("chunk_id % 2 = 0 and chunk_id % 3 <> 0").select(F.col("chunk_id").alias("ref_id"), "doc_id", "embedding").join(c.select("doc_id", "source_ref", "title"), "doc_id")
+    return theft.reidentify(stolen, reference)
+
+
+@query(f"""WITH {NEAR}, f AS (SELECT c.source_type, nn.doc_id = predicted_doc_id AS correct, nn.doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 2 = 0 AND chunk_id % 3 <> 0) AS known FROM nn JOIN corpus c ON c.doc_id = nn.doc_id)
+SELECT source_type, GROUPING(source_type)::BIGINT AS level, sum(known::INT)::BIGINT AS recognisable, sum((known AND correct)::INT)::BIGINT AS recognised, sum((NOT known)::INT)::BIGINT AS hidden FROM f GROUP BY ROLLUP (source_type)""")
+def reidentify_report(spark, sf):
+    return theft.report(_reidentified(spark, sf)).select("source_type", "level", "recognisable", "recognised", "hidden")
+
+
+# ---- collection changes
+
+
+def _collection(spark, sf):
+    v = vectors(spark, sf)
+    chunks = v.where("chunk_id % 5 <> 0").select("chunk_id", "doc_id", "tlp_rank", F.lit("attack_cti").alias("source_type"))
+    return store.Collection(chunks, v.where("chunk_id % 10 <> 3").select("chunk_id", F.lit("main").alias("vector_name"), "embedding"), {"main": 64, "second": 64})
+
+
+@query("SELECT count(*) AS seen, count(*) FILTER (vec_id % 5 <> 0) AS attached, count(*) FILTER (vec_id % 5 = 0) AS skipped FROM embeddings")
+def attach_counts(spark, sf):
+    return _collection(spark, sf).attach("second", vectors(spark, sf).select("chunk_id", "embedding"))[1]
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 10 = 3")
+def attach_missing(spark, sf):
+    held = _collection(spark, sf)
+    return held.missing("main", held.chunks)
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'nvd_cve' ELSE 'attack_cti' END AS source_type FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0")
+def upsert_replace(spark, sf):
+    new = vectors(spark, sf).where("chunk_id % 7 = 0")
+    done = _collection(spark, sf).upsert(new.select("chunk_id", "doc_id", "tlp_rank", F.lit("nvd_cve").alias("source_type")), new.select("chunk_id", F.lit("main").alias("vector_name"), "embedding"))
+    return done.chunks.select("chunk_id", "source_type")
+
+
+# ---- attacks and sweeps
+
+
+def _attacks(spark):
+    rows = [("a1", "injection", [("output_contains", "CLAIM", False), ("retrieved_topk", "x", False)]), ("a2", "exfiltration", [("sink_received", "q=7", True)]), ("a3", "poisoning", [("output_matches", "t10\\d\\d", True)])]
+    doc = ("t", "D3", "see {SINK}", "clear", 3)
+    return spark.createDataFrame([(i, f, "", "", "clear", doc, s) for i, f, s in rows], "id string, family string, description string, target_query string, clearance string, doc struct<title:string,source_ref:string,text:string,tlp:string,trust_tier:int>, success array<struct<type:string,value:string,case_sensitive:boolean>>")
+
+
+@query(f"WITH {CORPUS} SELECT attack_id, count(*) AS docs, count(*) FILTER (poison) AS poisoned FROM (SELECT a.attack_id, false AS poison FROM corpus, (VALUES ('a1'), ('a2'), ('a3')) a(attack_id) UNION ALL SELECT attack_id, true FROM (VALUES ('a1'), ('a2'), ('a3')) b(attack_id)) GROUP BY attack_id")
+def attack_overlay(spark, sf):
+    rows = redteam.overlay(corpus(spark, sf).withColumn("tlp", F.lit("clear")), redteam.poison_documents(_attacks(spark), "http://127.0.0.1:24601"))
+    return rows.groupBy("attack_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("source_type") == "synthetic_adversarial").alias("poisoned"))
+
+
+@query(f"WITH {PASSAGES}, r AS (SELECT query_id, bool_or(source_ref = 'D3') AS got FROM passages GROUP BY query_id) SELECT a.attack_id, query_id, CASE a.attack_id WHEN 'a1' THEN got WHEN 'a2' THEN query_id % 50 = 0 ELSE false END AS landed FROM r, (VALUES ('a1'), ('a2'), ('a3')) a(attack_id)")
+def attack_verdicts(spark, sf):
+    refs = _passages(spark, sf).groupBy("query_id").agg(F.collect_set("source_ref").alias("refs"))
+    link = F.when(F.col("query_id") % 50 == 0, "![x](http://127.0.0.1:24601/c?q=7)").otherwise("![x](http://example.org/c?q=7)")
+    ids = F.explode(F.array(F.lit("a1"), F.lit("a2"), F.lit("a3")))
+    said = redteam.fired(refs.select("query_id", "refs", F.concat(F.lit("Claim about T1055 "), link).alias("text"), ids.alias("id")), "http://127.0.0.1:24601")
+    attacks = _attacks(spark).withColumn("success", F.when(F.col("id") == "a1", F.transform("success", lambda s: F.struct(s["type"].alias("type"), F.when(s["value"] == "CLAIM", "CLAIM").otherwise(s["value"]).alias("value"), s["case_sensitive"].alias("case_sensitive")))).otherwise(F.col("success")))
+    runs = said.withColumn("attack_id", F.concat("id", F.lit("/"), F.col("query_id").cast("string")))
+    each = attacks.join(runs.select(F.col("id").alias("base"), "attack_id", "query_id"), F.col("id") == F.col("base")).withColumn("id", F.col("attack_id")).drop("attack_id", "base")
+    out = redteam.verdicts(each.drop("query_id"), runs.select("attack_id", "text", "refs", "requests"))
+    return out.select(F.split("attack_id", "/")[0].alias("attack_id"), F.split("attack_id", "/")[1].cast("long").alias("query_id"), "landed")
+
+
+RUNS = "runs AS (SELECT event_type AS label, (user_id % 3)::INT AS run, list(DISTINCT 'u' || (user_id % 20)) AS survivors FROM events WHERE value > (SELECT quantile_cont(value, 0.95) FROM events) GROUP BY ALL)"
+
+
+def _runs(spark, sf):
+    e = _table(spark, sf, "events")
+    high = e.agg(F.percentile("value", 0.95)).first()[0]
+    return e.where(F.col("value") > high).groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 3).cast("int").alias("run")).agg(F.collect_set(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"))).alias("survivors")).withColumn("total", F.lit(20))
+
+
+@query(f"""WITH {RUNS}, s AS (SELECT label, count(*) AS repeats, min(len(survivors)) AS landed_low, max(len(survivors)) AS landed_high FROM runs GROUP BY label),
+u AS (SELECT label, name, count(DISTINCT run) AS seen FROM (SELECT label, run, unnest(survivors) AS name FROM runs) GROUP BY label, name),
+m AS (SELECT label, string_agg(name, ' ' ORDER BY name) AS unstable FROM u JOIN s USING (label) WHERE seen < repeats GROUP BY label)
+SELECT label, repeats, landed_low, landed_high, coalesce(unstable, '') AS unstable FROM s LEFT JOIN m USING (label)""")
+def findings_ranges(spark, sf):
+    return sweep.ranges(_runs(spark, sf), "label").select("label", "repeats", "landed_low", "landed_high", F.array_join("unstable", " ").alias("unstable"))
+
+
+@query(f"WITH {RUNS} SELECT label, run, len(survivors)::BIGINT AS landed, 20::BIGINT AS total, array_to_string(list_sort(survivors), ' ') AS survivors FROM runs")
+def route_summary(spark, sf):
+    every = _runs(spark, sf).select("label", "run", "survivors", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("u"), i.cast("string")))).alias("attack_id"))
+    rows = every.withColumn("landed", F.array_contains("survivors", F.col("attack_id"))).withColumn("abstained", F.array().cast("array<string>"))
+    return redteam.route_summary(rows, "label", "run").select("label", "run", "landed", "total", F.array_join("survivors", " ").alias("survivors"))
+
+
+@query("SELECT s || '@' || m || '#' || r AS key FROM (VALUES ('m1'), ('m2')) a(m), (VALUES ('none'), ('all')) b(s), (VALUES (1), (2), (3)) c(r) WHERE s || '@' || m || '#' || r NOT IN ('none@m1#1', 'all@m2#3')")
+def sweep_pending(spark, sf):
+    done = spark.createDataFrame([("none", "m1", None), ("all", "m2", 3)], "label string, model string, repeat int")
+    return sweep.pending(sweep.grid(spark, ["m1", "m2"], ["none", "all"], 3), done).select("key")
+
+
+def _arms(spark, sf):
+    base, other = _per_query(spark, sf, 5), _per_query(spark, sf, 3)
+    return base.select(F.col("query_id").alias("question_id"), F.col("recall").alias("baseline")).join(other.select(F.col("query_id").alias("question_id"), F.col("recall").alias("treated")), "question_id")
+
+
+@query(f"""WITH {IR}, x3 AS (SELECT f3.query_id, w.ref IS NOT NULL AS hit FROM (SELECT query_id, 'D' || doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), 'D' || doc_id) AS rank FROM hits WHERE hits.rank <= 6 GROUP BY query_id, doc_id) f3 LEFT JOIN want w USING (query_id, ref) WHERE f3.rank <= 3),
+t AS (SELECT query_id, sum(hit::INT) / any_value(n) AS treated FROM x3 JOIN g USING (query_id) GROUP BY query_id)
+SELECT count(*) AS n, round(avg(treated - recall), 6) AS mean_delta, count(*) FILTER (treated < recall) AS lost, count(*) FILTER (treated > recall) AS gained FROM per JOIN t USING (query_id)""")
+def paired_delta(spark, sf):
+    return metrics.paired_delta(_arms(spark, sf)).select("n", F.round("mean_delta", 6).alias("mean_delta"), "lost", "gained")
+
+
+@query()
+def paired_bootstrap(spark, sf):
+    return metrics.paired_delta(_arms(spark, sf))
+
+
+@query("""WITH o AS (SELECT lang AS model, length(text) AS chars, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, doc_id FROM documents)
+SELECT model, least(i // (n // 3), 2) AS tercile, count(*) AS n, round(avg(chars), 6) AS mean_chars, median(chars) AS median_chars, round(avg((doc_id % 2 = 0)::INT), 6) AS hit_rate FROM o GROUP BY ALL""")
+def length_terciles(spark, sf):
+    rows = _table(spark, sf, "documents").select(F.col("lang").alias("model"), F.col("doc_id").alias("question_id"), F.length("text").alias("chars"), (F.col("doc_id") % 2 == 0).alias("hit"))
+    return metrics.length_terciles(rows).select("model", "tercile", "n", F.round("mean_chars", 6).alias("mean_chars"), "median_chars", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@query(f"WITH {CORPUS} SELECT id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(substr(title, length(source_ref) + 1), '\\([^)]*\\)', ' ', 'g')), '[a-z0-9]+'), lambda t: length(t) >= 4 AND regexp_matches(t, '[a-z]')), ' ') AS terms FROM corpus")
+def topic_terms(spark, sf):
+    return corpus(spark, sf).select("id", F.array_join(text.topic_terms(F.col("title"), F.col("source_ref")), " ").alias("terms"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(json_extract_string(props, '$.k')::DOUBLE), 3) AS total FROM events GROUP BY event_type")
+def json_fields(spark, sf):
+    got = F.from_json("props", "k double")["k"]
+    return _table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(got), 3).alias("total"))
+
+
+@query()
+def point_ids(spark, sf):
+    return corpus(spark, sf).select("id", text.point_id(F.col("id")).alias("point_id"))

@@ -25,4 +25,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.join("quarry", os.path.relpath(full, root)))
     context.addPyFile(path)
+    # long texts: a worker gets at most this many rows at a time, so its memory is bounded
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(context.applicationId)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A token is an identifier that stands alone, or a run of ASCII letters and digits.
 IDENTIFIER = r"cve-\d{4}-\d{4,}|cwe-\d+|t\d{4}(?:\.\d{3})?|(?:ta|[gsmc])\d{4}"
-TOKEN = rf"(?i)((?<![a-z0-9])(?:{IDENTIFIER})(?![a-z0-9])|[a-z0-9]+)"
+TOKEN = rf"((?<![a-z0-9])(?:{IDENTIFIER})(?![a-z0-9])|[a-z0-9]+)"
 # Words that a question's phrasing adds.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "has", "have", "how", "in", "is", "it", "its", "of", "on", "or",
@@ -31,9 +31,12 @@ def rstrip(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Tokens for lexical search: identifiers whole, the rest by runs of letters and digits, lower case, without stop words."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), F.lower)
-    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
+    """Tokens for lexical search: identifiers whole, the rest by runs of letters and digits, lower case, without stop words.
+
+    Only A-Z are lowered, and before matching: other letters part tokens, whatever their lower case.
+    """
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def plain_tokens(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -129,7 +130,7 @@ def paired_delta(pairs: DataFrame, *by: str, resamples: int = 10_000, confidence
     checked = pairs.withColumn("__d", F.when(F.col("baseline").isNull() | F.col("treated").isNull(), F.raise_error(F.lit("a question lacks its counterpart"))).otherwise(F.col("treated").cast("double") - F.col("baseline").cast("double")))
     kinds = ", ".join([*(f"{c} {checked.schema[c].dataType.simpleString()}" for c in by), "n long, mean_delta double, low double, high double, lost long, gained long"])
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values("question_id", kind="stable")["__d"].to_numpy()
         picks = np.random.default_rng(seed).integers(0, len(d), size=(resamples, len(d)))
         low, high = np.percentile(d[picks].mean(axis=1), [50 * (1 - confidence), 100 - 50 * (1 - confidence)])

@@ -106,8 +106,8 @@ def postings(chunks: DataFrame, *, k1: float = 1.2, b: float = 0.75, avg_len: fl
     """chunk_id, term, tf, weight: the saturated term frequency of each chunk's tokens.
 
     weight = tf (k1 + 1) / (tf + k1 (1 - b + b len / avg_len)). avg_len defaults to the
-    mean of all chunks, tokens of empty ones counting 0. A chunk's terms are counted within
-    its row, so nothing is shuffled.
+    mean of all chunks, tokens of empty ones counting 0. A chunk's terms are summed in its
+    own task before they are dealt, so one row a chunk and term moves.
     """
     said = F.concat_ws("\n", "title", "text") if with_title else F.col("text")
     rows = chunks.select("chunk_id", text.search_tokens(F.coalesce(said, F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))

@@ -405,13 +405,13 @@ def passages(spark, sf):
 
 # ---- pages
 
-PAGE_LINES = r"""pg AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS doc, page_id, html FROM pages),
+PAGE_LINES = r"""pg AS (SELECT page_id % 8 AS doc, page_id, replace(html, '>', '>' || chr(10)) AS html FROM pages),
 ln AS (SELECT doc, page_id, regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '\d+', '#', 'g') AS norm FROM (SELECT doc, page_id, unnest(string_split_regex(html, '\r\n|\n|\r')) AS l FROM pg)),
 least_pages AS (SELECT doc, greatest(2, count(*) // 2) AS least FROM pg GROUP BY doc)"""
 
 
 def _pages(spark, sf):
-    return _table(spark, sf, "pages").select(F.regexp_extract("url", "https?://([^/]+)", 1).alias("doc"), F.col("page_id").alias("page"), F.col("html").alias("text"))
+    return _table(spark, sf, "pages").select((F.col("page_id") % 8).alias("doc"), F.col("page_id").alias("page"), F.replace("html", F.lit(">"), F.lit(">\n")).alias("text"))
 
 
 @query(f"WITH {PAGE_LINES} SELECT doc, norm, count(DISTINCT page_id) AS pages FROM ln JOIN least_pages USING (doc) WHERE norm <> '' GROUP BY doc, norm, least HAVING count(DISTINCT page_id) >= least")

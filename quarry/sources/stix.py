@@ -83,8 +83,8 @@ def procedures(objs: DataFrame, *, revoked: bool = False, deprecated: bool = Fal
 
 def documents(objs: DataFrame, *, revoked: bool = False, deprecated: bool = False) -> DataFrame:
     """Documents of all kept objects: head, then sections for description, detection, tactics, platforms, aliases and procedure examples."""
-    kept = objs.where(F.col("type").isin(*KINDS) & _live(revoked, deprecated) & F.col("ref").isNotNull())
-    rows = kept.join(detections(objs, revoked=revoked, deprecated=deprecated), F.col("id") == F.col("target_ref"), "left").drop("target_ref", "source_ref")
+    kept = objs.where(F.col("type").isin(*KINDS) & _live(revoked, deprecated) & F.col("ref").isNotNull()).drop("source_ref", "target_ref")
+    rows = kept.join(detections(objs, revoked=revoked, deprecated=deprecated), F.col("id") == F.col("target_ref"), "left").drop("target_ref")
     rows = rows.join(procedures(objs, revoked=revoked, deprecated=deprecated), F.col("id") == F.col("target_ref"), "left").drop("target_ref")
     none = F.array().cast("array<string>")
     name = F.coalesce("name", "ref")

@@ -63,7 +63,7 @@ def apportion(parties: DataFrame, *, group: list[str], votes: str, seats: str, n
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5, cap: int = 2, block_words: int = 64, rows_per_shard: int = 20_000, seed: int = 0,
+    share: float = 1.5, cap: int = 2, block_words: int = 64, rows_per_shard: int = 2_000, seed: int = 0,
 ) -> DataFrame:
     """How many words of each document a mix of sources takes.
 

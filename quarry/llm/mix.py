@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm._store import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,6 +92,7 @@ def mix(
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("__key"),
     ).withColumn("__s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    rows = written(rows, "sizes")  # texts are read once; all that follows is narrow
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     targets = source_targets(sums, weights=weights, share=share, cap=cap)
     targets = targets.withColumn("__seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
@@ -98,6 +101,8 @@ def mix(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__s"), "source_size", "target", "__quota",
         F.greatest(F.ceil(F.col("__rows") / rows_per_shard), F.lit(1)).cast("long").alias("__shards"),
     )
+    # a row a source: as a file its size is known, so it is broadcast only if that is small, and hot sources stay where they are
+    quotas = written(quotas, "quotas")
     sourced = rows.join(quotas, "__s").withColumn("__h", F.pmod(F.shiftrightunsigned("__key", 7), F.col("__shards")))
     spread = sourced.groupBy("__s", "__h").agg(F.first("__quota").alias("__quota"), F.sum("size").alias("__words"))
     spread = spread.withColumn("__blocks", F.when(F.col("__words") > 0, F.greatest(F.round(F.col("__words") / block_words), F.lit(1))).otherwise(0).cast("long"))

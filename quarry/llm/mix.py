@@ -127,7 +127,8 @@ def mix(
     parts = whole.where("__rest > 0 and size > 0").select("__s", "__h", "__row", "__from", "__to", "__words", "__blocks", F.explode(F.sequence(first, last)).alias("__block"))
     begin, end = F.expr("(__block * __words) div __blocks"), F.expr("((__block + 1) * __words) div __blocks")
     overlap = F.greatest(F.least(end, "__to") - F.greatest(begin, "__from"), F.lit(0))
-    some = parts.join(chosen, ["__s", "__h", "__block"]).groupBy("__s", "__h", "__row").agg(F.sum(overlap).alias("__some"))
+    # blocks are many more than the shards that they are exploded from, by which the planner would judge their size
+    some = parts.join(chosen.hint("merge"), ["__s", "__h", "__block"]).groupBy("__s", "__h", "__row").agg(F.sum(overlap).alias("__some"))
     out = whole.join(some, ["__s", "__h", "__row"], "left")
     taken = F.col("__full") * F.col("size") + F.coalesce("__some", F.lit(0))
     return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -349,7 +349,7 @@ def _join_group(percent: int):
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    tokens_per_bucket: int = 2 << 20, flush: int = 1 << 20, sets_per_task: int = 4000,
+    tokens_per_bucket: int = 2 << 20, flush: int = 1 << 20, sets_per_task: int = 1000,
 ) -> DataFrame:
     """Components of documents linked by Jaccard similarity of their word shingles, exactly.
 

@@ -112,16 +112,17 @@ def robust_outliers(
     group; rows themselves never meet in a task.
     """
     base = rows.withColumns({f"z{i}": x.cast("double") for i, x in enumerate(vector)}).withColumns({"__fine": group, "__coarse": fallback})
-    sizes = base.groupBy("__fine").agg(F.count(F.lit(1)).alias("__n"))
+    # tables of a row a group are files, so their size is known: small ones are broadcast, and hot groups stay where they are
+    sizes = written(base.groupBy("__fine").agg(F.count(F.lit(1)).alias("__n")), "sizes")
     base = base.join(sizes, "__fine")
     # rows of small groups are measured in their fallback group, whose estimate takes all its rows
     both = base.withColumn("__group", F.explode(F.when(F.col("__n") >= least_rows, F.array(F.struct(F.col("__fine").alias("g"), F.lit(True).alias("own")), F.struct(F.col("__coarse").alias("g"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("__coarse").alias("g"), F.lit(True).alias("own"))))))
     both = both.withColumn("__own", F.col("__group.own")).withColumn("__group", F.col("__group.g")).drop("__fine", "__coarse", "__n")
     z = [f"z{i}" for i in range(_D)]
     centre = both.groupBy("__group").agg(*(F.percentile_approx(c, 0.5, accuracy).alias(f"c_{c}") for c in z))
-    near = both.join(centre, "__group")
+    near = both.join(written(centre, "centre"), "__group")
     spread = near.groupBy("__group").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{c}")), 0.5, accuracy).alias(f"s_{c}") for c in z))
-    start = near.join(spread, "__group")
+    start = near.join(written(spread, "spread"), "__group")
     d2 = sum(((F.col(c) - F.col(f"c_{c}")) / (1.4826 * F.col(f"s_{c}") + math.sqrt(floor))) ** 2 for c in z)
     now = start.withColumn("d2", d2).select(*both.columns, "d2")
     for _ in range(steps):

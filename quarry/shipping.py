@@ -25,7 +25,13 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.join("quarry", os.path.relpath(full, root)))
     context.addPyFile(path)
-    # long texts: a worker gets at most this many rows at a time, so its memory is bounded
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    # long texts and packed rows: a worker gets at most so many rows and bytes at a time, so its memory is bounded
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        try:
+            now = int(spark.conf.get(key).rstrip("bB"))
+        except Exception:  # not a setting of this Spark
+            continue
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
     _shipped.add(context.applicationId)

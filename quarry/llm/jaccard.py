@@ -130,17 +130,20 @@ def _shared_tokens(bits: int, set_bits: int):
         again = np.zeros(len(key), bool)
         again[order[1:]] = (key[order[1:]] == key[order[:-1]]).all(axis=1)
         keep = ~np.repeat(again, count)
-        owner = np.repeat(np.arange(len(count)), count)[keep]
+        owner = np.repeat(np.arange(len(count), dtype=np.int32), count)[keep]
         tokens = tokens[keep]
+        del keep
         order = np.argsort(tokens, kind="stable")
         s = tokens[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        freq = np.empty(len(s), np.int64)
-        freq[order] = np.repeat(np.diff(np.append(first, len(s))), np.diff(np.append(first, len(s))))
+        runs = np.diff(np.append(first, len(s)))
+        freq = np.empty(len(s), np.uint32)
+        freq[order] = np.repeat(runs.astype(np.uint32), runs)
+        del order, s, first, runs
         many = freq > 1
         if not many.any():
             return
-        owner, tokens, freq = owner[many], tokens[many] | W.U64(bucket << (64 - 16)), np.minimum(freq[many], 1 << 31)
+        owner, tokens, freq = owner[many], tokens[many] | W.U64(bucket << (64 - 16)), freq[many]
         home = (key[:, 0] >> W.U64(64 - set_bits)).astype(np.int64)[owner]
         order = np.argsort(home, kind="stable")
         owner, tokens, freq, home = owner[order], tokens[order], freq[order], home[order]

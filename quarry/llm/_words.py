@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _pow: dict[int, np.ndarray] = {}
 
 #: Words are runs of bytes other than blank and \t \n \v \f \r.
@@ -47,7 +47,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes of text; a longer text is a range of its own."""
     offsets = _offsets(column)
     start, n = 0, len(column)

@@ -232,9 +232,12 @@ class SignatureTree:
     beyond a set's own bits); where that is below the least overlap that their sizes
     need, or the sizes are too far apart, the pair of nodes is pruned. So is a pair
     whose sets are all linked already: only what joins components is reported.
+
+    sides: where given, sets of one side meet only those of the other, as two trees.
+    known: where given, a component of each set that is known before.
     """
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int], percent: int):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], percent: int, sides: list[bool] | None = None, known: list | None = None):
         self.percent = percent
         counts = np.array([len(x) for x in sets])
         flat = np.concatenate(sets) if sets else np.zeros(0, W.U64)
@@ -244,16 +247,26 @@ class SignatureTree:
         self.sets = [np.sort(local[edge[i] : edge[i + 1]]) for i in range(len(sets))]
         self.sizes = np.array(sizes, np.int64)
         self.parent = list(range(len(sets)))
+        if known is not None:
+            first: dict = {}
+            self.parent = [first.setdefault(c, i) for i, c in enumerate(known)]
         width = 64
         while width < 4 * max(counts.max(initial=1), 16) and width < 1 << 16:
             width *= 2
         place = (W.mix(vocabulary) & W.U64(width - 1)).astype(np.int64)
         smallest = np.array([int(x[0]) if len(x) else -1 for x in self.sets])
         order = np.lexsort((smallest, self.sizes))
+        if sides is None:
+            self.roots = [self._grown(order, place, width)] * 2
+        else:
+            side = np.array(sides, bool)[order]
+            self.roots = [self._grown(order[side], place, width), self._grown(order[~side], place, width)]
+
+    def _grown(self, order: np.ndarray, place: np.ndarray, width: int) -> _Node | None:
         level = [self._leaf(order[i : i + _LEAF], place, width) for i in range(0, len(order), _LEAF)]
         while len(level) > 1:
             level = [self._inner(level[i : i + _FAN]) for i in range(0, len(level), _FAN)]
-        self.root = level[0] if level else None
+        return level[0] if level else None
 
     def _leaf(self, rows: np.ndarray, place: np.ndarray, width: int) -> _Node:
         bits, spare = 0, 0
@@ -319,9 +332,9 @@ class SignatureTree:
 
     def links(self) -> Iterator[tuple[int, int]]:
         """Pairs of rows that link, enough of them to join all that links join."""
-        if self.root is None:
+        if None in self.roots:
             return
-        stack = [(self.root, self.root)]
+        stack = [tuple(self.roots)]
         while stack:
             a, b = stack.pop()
             if a is not b and self._apart(a, b):
@@ -343,7 +356,8 @@ def _join_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
         digests = table.column("digest").to_pylist()
         sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
-        tree = SignatureTree(sets, table.column("n").to_pylist(), percent)
+        sides, known = (table.column(c).to_pylist() if c in table.column_names else None for c in ("side", "cluster"))
+        tree = SignatureTree(sets, table.column("n").to_pylist(), percent, sides, known)
         pairs = list(tree.links())
         return pa.table({"a": pa.array([digests[i] for i, _ in pairs], pa.binary()), "b": pa.array([digests[j] for _, j in pairs], pa.binary())})
 
@@ -352,7 +366,7 @@ def _join_group(percent: int):
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    tokens_per_bucket: int = 2 << 20, flush: int = 1 << 20, sets_per_task: int = 1000,
+    tokens_per_bucket: int = 2 << 20, flush: int = 1 << 20, sets_per_task: int = 500, tokens_per_task: int = 1 << 20,
 ) -> DataFrame:
     """Components of documents linked by Jaccard similarity of their word shingles, exactly.
 
@@ -365,9 +379,14 @@ def near_duplicates(
     more sets go on, to their set. A set that keeps too few to reach any partner is
     done. The others share a token of their prefixes (rarest first) with each
     partner, so components over prefix tokens hold all links; in each, a signature tree
-    joined with itself finds links enough to join what links join. A component with
-    more than sets_per_task sets is split into parts by hash, and every pair of parts is
-    a task of its own. Nothing is broadcast or collected.
+    joined with itself finds links enough to join what links join.
+
+    A component with more than sets_per_task sets or tokens_per_task tokens is first dealt
+    into parts of that size by two hashes, each part joined with itself. Near copies of one
+    text are one cluster after that, in work linear in their number. Only sets outside
+    the component's largest cluster, in parts again, then meet the sets that they may
+    still link to, so all links between clusters are found. Nothing is broadcast
+    or collected.
 
     Tokens are 64-bit hashes (54 bits in counting), sets are told apart by 128 bits.
 
@@ -387,7 +406,7 @@ def near_duplicates(
     packed = table.select("__text").mapInArrow(_by_token(shingle, bits, flush), _PACK)
     shared = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(bits, bits), _PACK)
     candidates = written(shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), _CANDIDATE), "candidates")
-    links = written(_tree_links(candidates, percent, sets_per_task), "joined")
+    links = _tree_links(candidates, percent, sets_per_task, tokens_per_task)
     joined = components(links, "a", "b")
     nodes = described.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("__least"))
     rooted = nodes.join(joined, nodes["digest"] == joined["node"], "left").select("digest", "__least", F.coalesce("component", "digest").alias("__root"))
@@ -399,14 +418,54 @@ def near_duplicates(
     return out.select(id_col, "n_shingles", own.alias("component_id"))
 
 
-def _tree_links(candidates: DataFrame, percent: int, sets_per_task: int) -> DataFrame:
+_LINK = "a binary, b binary"
+
+
+def _parts(sets_per_task: int, tokens_per_task: int):
+    """Number of parts of members sets with so many tokens, of the columns members and tokens."""
+    most = F.greatest(F.ceil(F.col("members") / sets_per_task), F.ceil(F.col("tokens") / tokens_per_task))
+    return F.least(F.col("members"), most).cast("long")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+
+
+def _tree_links(candidates: DataFrame, percent: int, sets_per_task: int, tokens_per_task: int) -> DataFrame:
     token = candidates.select("digest", F.explode("prefix").alias("token"))
     head = token.groupBy("token").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "head")
     near = components(token.join(head, "token").select("digest", "head"), "digest", "head")
-    group = candidates.select("digest", "n", "tokens").join(near, F.col("digest") == F.col("node"), "left").withColumn("group", F.coalesce("component", "digest")).drop("node", "component")
-    sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    group = group.join(sizes, "group").withColumn("parts", F.ceil(F.col("members") / sets_per_task).cast("long"))
-    group = group.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j")))
-    dealt = group.withColumn("p", F.explode(pairs)).select("group", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "digest", "n", "tokens")
-    return dealt.groupBy("group", "i", "j").applyInArrow(_join_group(percent), "a binary, b binary")
+    sets, narrow = candidates.select("digest", "tokens"), candidates.select("digest", "n")
+    grouped = narrow.join(near, F.col("digest") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "digest").alias("group"))
+    # written: its size is then known, and rows of a large group stay where they are if it is small
+    sizes = written(_sized(grouped).where("members > 1").select("group", _parts(sets_per_task, tokens_per_task).alias("parts")), "sizes")
+    grouped = written(grouped.join(sizes, "group"), "groups")
+    small = sets.join(grouped.where("parts = 1"), "digest").groupBy("group").applyInArrow(_join_group(percent), _LINK)
+    small = written(small, "joined")
+    large = grouped.where("parts > 1")
+    if large.isEmpty():
+        return small
+    twice = large.withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", F.pmod(F.xxhash64("digest", "deal"), F.col("parts")))
+    within = written(sets.join(twice, "digest").groupBy("group", "deal", "part").applyInArrow(_join_group(percent), _LINK), "within")
+    return small.unionByName(within).unionByName(_across(sets, large, within, percent, sets_per_task, tokens_per_task))
+
+
+def _across(sets: DataFrame, large: DataFrame, within: DataFrame, percent: int, sets_per_task: int, tokens_per_task: int) -> DataFrame:
+    """Links of sets outside their group's largest cluster, with those in it and with each other."""
+    clusters = components(within, "a", "b")
+    own = large.join(clusters, F.col("digest") == F.col("node"), "left").select("group", "digest", "n", "parts", F.coalesce("component", "digest").alias("cluster"))
+    counts = own.groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("k"))
+    main = written(counts.groupBy("group").agg(F.max(F.struct("k", "cluster")).alias("m")).select("group", F.col("m.cluster").alias("main")), "main")
+    own = written(own.join(main, "group").withColumn("rest", F.col("cluster") != F.col("main")).drop("main"), "clusters")
+    rest = written(_sized(own.where("rest")).select("group", _parts(sets_per_task, tokens_per_task).alias("rests")), "rests")
+    # tasks are pairs of a part of the rest and a part of the main cluster (0, 1, ...) or a later part of the rest (-1, -2, ...)
+    zero, own = F.lit(0).cast("long"), own.join(rest, "group")
+    part = F.pmod(F.xxhash64("digest"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("parts")))
+    own = own.withColumn("part", part)
+    later = F.transform(F.sequence(F.col("part"), F.col("rests") - 1), lambda p: -1 - p)
+    left = own.where("rest").withColumn("j", F.explode(F.concat(F.sequence(zero, F.col("parts") - 1), later))).withColumn("i", F.col("part"))
+    upto = F.when(F.col("rest"), F.col("part")).otherwise(F.col("rests") - 1)
+    right = own.withColumn("i", F.explode(F.sequence(zero, upto))).withColumn("j", F.when(F.col("rest"), -1 - F.col("part")).otherwise(F.col("part")))
+    names = ["group", "i", "j", "digest", "n", "cluster"]
+    dealt = left.select(*names, F.lit(True).alias("side")).unionByName(right.select(*names, F.lit(False).alias("side")))
+    return written(sets.join(dealt, "digest").groupBy("group", "i", "j").applyInArrow(_join_group(percent), _LINK), "across")

@@ -62,8 +62,8 @@ def test_whole_table_against_brute_force(spark, scale):
     assert any(a != c for a, _, c in want)
 
 
-@pytest.mark.parametrize(("percent", "per_task", "flush"), [(80, 4000, 1 << 20), (50, 5, 40)])
-def test_random_near_copies(spark, percent, per_task, flush):
+@pytest.mark.parametrize(("percent", "per_task", "tokens", "flush"), [(80, 4000, 1 << 20, 1 << 20), (50, 5, 1 << 20, 40), (70, 2, 30, 40)])
+def test_random_near_copies(spark, percent, per_task, tokens, flush):
     rng = random.Random(percent)
     word = lambda: rng.choice("abcdefghij") + rng.choice("0123456789")
     docs = []
@@ -74,7 +74,7 @@ def test_random_near_copies(spark, percent, per_task, flush):
             docs.append((rng.randint(0, 10**6), " ".join(copy if rng.random() < 0.9 else copy + [word()])))
     docs += [(None, docs[0][1].upper()), (5, None), (6, ""), (7, " \n"), (docs[3][0], docs[3][1]), (8, "A0 \t b1"), (9, "a0\nB1"), (None, "lone null words")]
     df = spark.createDataFrame([(*d, "x", 2) for d in docs], "doc_id long, text string, digest string, component long").repartition(3)
-    assert got(near_duplicates(df, shingle=3, percent=percent, sets_per_task=per_task, flush=flush)) == brute(docs, 3, percent)
+    assert got(near_duplicates(df, shingle=3, percent=percent, sets_per_task=per_task, tokens_per_task=tokens, flush=flush)) == brute(docs, 3, percent)
 
 
 def test_tree_finds_what_links_join():
@@ -93,6 +93,32 @@ def test_tree_finds_what_links_join():
     assert len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True)))
 
 
+def test_chains_across_parts(spark):
+    """A group of one large cluster, a chain that only neighbours join, and a set that shares tokens but links to none."""
+    base = [f"w{i}" for i in range(40)]
+    copies = [(i, " ".join(base[:20] + [f"x{i}"] + base[21:])) for i in range(40)]
+    chain = [(100 + i, " ".join([f"w{j}" for j in range(2 * i, 2 * i + 40)])) for i in range(30)]
+    docs = copies + chain + [(500, " ".join(base[:22] + [f"y{i}" for i in range(18)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute(docs, 2, 85)
+    assert 1 < len({c for _, _, c in want}) < 10
+    assert got(near_duplicates(df, shingle=2, percent=85, sets_per_task=6)) == want
+
+
+def test_two_sided_tree():
+    rng = np.random.default_rng(3)
+    base = rng.choice(3000, 120, replace=False)
+    sets = [np.unique(np.where(rng.random(120) < 0.08, rng.integers(0, 3000, 120), base)).astype(np.uint64) for _ in range(90)]
+    side = [i % 3 == 0 for i in range(90)]
+    sizes = [len(s) for s in sets]
+    pairs = list(SignatureTree(sets, sizes, 80, side).links())
+    assert pairs and all(side[i] != side[j] for i, j in pairs)
+    every = [(i, j) for i in range(90) for j in range(90) if side[i] and not side[j] and 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (sizes[i] + sizes[j] - n)]
+    assert len(set(roots(90, pairs))) == len(set(roots(90, every)))
+    assert not list(SignatureTree(sets, sizes, 80, side, [0] * 90).links())
+    assert not list(SignatureTree(sets, sizes, 80, [True] * 90).links())
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200 + i, 200) for i in range(1, 40)]

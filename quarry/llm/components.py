@@ -13,9 +13,11 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Large star and small star rounds (Kiveris et al., 2014): each node hands its
     neighbours to the smallest of them, until the links are stars. A round is two
-    grouped minima over links, with partial sums, and is written to the shared folder;
-    nothing is collected. Nodes may be of any orderable type; null ends are ignored. A
-    node that has no link to another node gets no row.
+    grouped minima over links, with partial minima, and is written to the shared folder. A
+    node may hold a third of all links, so minima are written before links meet them: as
+    a file they are broadcast only if small, and else a hot node's links can be split
+    over tasks. Nothing is collected. Nodes may be of any orderable type; null ends are
+    ignored. A node that has no link to another node gets no row.
     """
     pair = F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
     now = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(pair.alias("p")).select(F.col("p.y").alias("u"), F.col("p.x").alias("v")).distinct()
@@ -24,7 +26,7 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         # large star: larger neighbours of a node link to the smallest of its neighbours and itself
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours link to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -410,8 +410,7 @@ def near_duplicates(
     joined = components(links, "a", "b")
     nodes = described.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("__least"))
     rooted = nodes.join(joined, nodes["digest"] == joined["node"], "left").select("digest", "__least", F.coalesce("component", "digest").alias("__root"))
-    label = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    # a row for each set that is not alone with one document: all others are their own component
+    label = written(rooted.groupBy("__root").agg(F.min("__least").alias("component_id")), "labels")
     known = rooted.join(label, "__root").select("digest", "component_id")
     out = described.join(known, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
@@ -433,11 +432,11 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 def _tree_links(candidates: DataFrame, percent: int, sets_per_task: int, tokens_per_task: int) -> DataFrame:
     token = candidates.select("digest", F.explode("prefix").alias("token"))
-    head = token.groupBy("token").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "head")
+    # aggregates that hot rows meet are written first: a join with a file can be split or broadcast by its size
+    head = written(token.groupBy("token").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "head"), "heads")
     near = components(token.join(head, "token").select("digest", "head"), "digest", "head")
     sets, narrow = candidates.select("digest", "tokens"), candidates.select("digest", "n")
     grouped = narrow.join(near, F.col("digest") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "digest").alias("group"))
-    # written: its size is then known, and rows of a large group stay where they are if it is small
     sizes = written(_sized(grouped).where("members > 1").select("group", _parts(sets_per_task, tokens_per_task).alias("parts")), "sizes")
     grouped = written(grouped.join(sizes, "group"), "groups")
     small = sets.join(grouped.where("parts = 1"), "digest").groupBy("group").applyInArrow(_join_group(percent), _LINK)

@@ -382,11 +382,12 @@ def near_duplicates(
     joined with itself finds links enough to join what links join.
 
     A component with more than sets_per_task sets or tokens_per_task tokens is first dealt
-    into parts of that size by two hashes, each part joined with itself. Near copies of one
-    text are one cluster after that, in work linear in their number. Only sets outside
-    the component's largest cluster, in parts again, then meet the sets that they may
-    still link to, so all links between clusters are found. Nothing is broadcast
-    or collected.
+    into parts of that size by two hashes, each part joined with itself: most near copies
+    of one text are one cluster after that, in work linear in their number. Only sets
+    outside the component's largest cluster, in parts again, then meet the sets that
+    they may still link to, so all links between clusters are found; that work grows with
+    their number times the component's. Nothing is collected, and only what Spark knows to
+    be small is broadcast.
 
     Tokens are 64-bit hashes (54 bits in counting), sets are told apart by 128 bits.
 

@@ -230,8 +230,9 @@ class SignatureTree:
     A bitmap has a bit for each hashed token. Of two nodes, no set can share more
     tokens than the bits that both have, plus the smaller of their collisions (tokens
     beyond a set's own bits); where that is below the least overlap that their sizes
-    need, or the sizes are too far apart, the pair of nodes is pruned. So is a pair
-    whose sets are all linked already: only what joins components is reported.
+    need, or the sizes are too far apart, the pair of nodes is pruned. links() also prunes
+    a pair whose sets are all linked already, and reports only what joins components;
+    census() prunes no such pair, and counts all links.
 
     sides: where given, sets of one side meet only those of the other, as two trees.
     known: where given, a component of each set that is known before.
@@ -307,22 +308,25 @@ class SignatureTree:
 
     def _dense(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(columns)), np.float32)
-        for i, r in enumerate(rows.tolist()):
-            at = np.searchsorted(columns, self.sets[r])
-            at = np.minimum(at, len(columns) - 1)
-            out[i, at[columns[at] == self.sets[r]]] = 1
+        sets = [self.sets[r] for r in rows.tolist()]
+        owner, flat = np.repeat(np.arange(len(rows)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        held = columns[at] == flat
+        out[owner[held], at[held]] = 1
         return out
 
-    def _leaves(self, a: _Node, b: _Node) -> Iterator[tuple[int, int]]:
+    def _linked(self, a: _Node, b: _Node) -> np.ndarray | None:
+        """Which sets of two leaves link; of one leaf, those of a smaller place with those of a larger."""
         columns = a.columns if a is b else np.intersect1d(a.columns, b.columns, assume_unique=True)
         if not len(columns):
-            return
+            return None
         left = self._dense(a.rows, columns)
         shared = (left @ (left if a is b else self._dense(b.rows, columns)).T).astype(np.int64)
         n, m = self.sizes[a.rows][:, None], self.sizes[b.rows][None, :]
         linked = 100 * shared >= self.percent * (n + m - shared)
-        if a is b:
-            linked = np.triu(linked, 1)
+        return np.triu(linked, 1) if a is b else linked
+
+    def _joining(self, a: _Node, b: _Node, linked: np.ndarray) -> Iterator[tuple[int, int]]:
         for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
             x, y = int(a.rows[i]), int(b.rows[j])
             p, q = self._find(x), self._find(y)
@@ -330,8 +334,12 @@ class SignatureTree:
                 self.parent[max(p, q)] = min(p, q)
                 yield x, y
 
-    def links(self) -> Iterator[tuple[int, int]]:
-        """Pairs of rows that link, enough of them to join all that links join."""
+    def _joined(self, a: _Node, b: _Node) -> bool:
+        one = self._one(a)
+        return one >= 0 and (a is b or one == self._one(b))
+
+    def _leaves(self, every: bool) -> Iterator[tuple[_Node, _Node]]:
+        """Pairs of leaves with sets that may link; unless every, without those that are joined already."""
         if None in self.roots:
             return
         stack = [tuple(self.roots)]
@@ -339,11 +347,10 @@ class SignatureTree:
             a, b = stack.pop()
             if a is not b and self._apart(a, b):
                 continue
-            one = self._one(a)
-            if one >= 0 and (a is b or one == self._one(b)):
+            if not every and self._joined(a, b):
                 continue
             if not a.children and not b.children:
-                yield from self._leaves(a, b)
+                yield a, b
             elif a is b:
                 # a node's own pairs first: what they join prunes the pairs across
                 stack += [(x, y) for i, x in enumerate(a.children) for y in a.children[:i]]
@@ -351,6 +358,24 @@ class SignatureTree:
             else:
                 stack += [(x, y) for x in (a.children or (a,)) for y in (b.children or (b,))]
 
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs of rows that link, enough of them to join all that links join."""
+        for a, b in self._leaves(False):
+            if (linked := self._linked(a, b)) is not None:
+                yield from self._joining(a, b, linked)
+
+    def census(self, weights: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links as links() has them, and for each row the weight of all rows that it links to."""
+        pairs, weight, total = [], np.array(weights, np.int64), np.zeros(len(self.sets), np.int64)
+        for a, b in self._leaves(True):
+            if (linked := self._linked(a, b)) is None:
+                continue
+            total[a.rows] += linked @ weight[b.rows]
+            total[b.rows] += weight[a.rows] @ linked
+            if not self._joined(a, b):
+                pairs += self._joining(a, b, linked)
+        return pairs, total
+
 
 def _join_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
@@ -364,9 +389,26 @@ def _join_group(percent: int):
     return run
 
 
+def _count_group(percent: int):
+    """A group, or two parts of it: links enough to join what links join (a, b), and each set's weight of all links (a, k)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        digests = table.column("digest").to_pylist()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+        sides = table.column("side").to_pylist() if table.column("i")[0].as_py() != table.column("j")[0].as_py() else None
+        pairs, total = SignatureTree(sets, table.column("n").to_pylist(), percent, sides).census(table.column("copies").to_pylist())
+        some = np.flatnonzero(total).tolist()
+        a = [digests[i] for i, _ in pairs] + [digests[i] for i in some]
+        b = [digests[j] for _, j in pairs] + [None] * len(some)
+        k = [None] * len(pairs) + total[some].tolist()
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "k": pa.array(k, pa.int64())})
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    tokens_per_bucket: int = 2 << 20, flush: int = 1 << 20, sets_per_task: int = 500, tokens_per_task: int = 1 << 20,
+    tokens_per_bucket: int = 2 << 20, flush: int = 1 << 20, sets_per_task: int = 500, tokens_per_task: int = 1 << 20, count_links: bool = False,
 ) -> DataFrame:
     """Components of documents linked by Jaccard similarity of their word shingles, exactly.
 
@@ -389,10 +431,16 @@ def near_duplicates(
     their number times the component's. Nothing is collected, and only what Spark knows to
     be small is broadcast.
 
+    count_links: also return n_links, the number of other rows that a row links to, rows of
+    an equal set among them. Every pair of sets that may link is then compared, whether
+    joined already or not: a large component's parts meet each other, a pair a task, in
+    work that grows with the square of its sets. Links are counted where they are found,
+    and only sums leave a task.
+
     Tokens are 64-bit hashes (54 bits in counting), sets are told apart by 128 bits.
 
     Returns id_col, n_shingles (set size), component_id (smallest id in the component,
-    its own if alone). Texts without words have no set and stand alone; null ids
+    its own if alone), and n_links where asked for. Texts without words have no set and stand alone; null ids
     take part in links, and a component of null ids only has a null id; repeated rows
     have a row each; an empty table gives an empty result; other columns are ignored.
     """
@@ -407,15 +455,25 @@ def near_duplicates(
     packed = table.select("__text").mapInArrow(_by_token(shingle, bits, flush), _PACK)
     shared = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(bits, bits), _PACK)
     candidates = written(shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), _CANDIDATE), "candidates")
-    links = _tree_links(candidates, percent, sets_per_task, tokens_per_task)
+    nodes = described.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("__least"), F.count(F.lit(1)).alias("__copies"))
+    if count_links:
+        nodes = written(nodes, "nodes")
+        found = _all_links(candidates, nodes.select("digest", F.col("__copies").alias("copies")), percent, sets_per_task, tokens_per_task)
+        links = found.where("b is not null")
+    else:
+        links = _tree_links(candidates, percent, sets_per_task, tokens_per_task)
     joined = components(links, "a", "b")
-    nodes = described.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("__least"))
     rooted = nodes.join(joined, nodes["digest"] == joined["node"], "left").select("digest", "__least", F.coalesce("component", "digest").alias("__root"))
     label = written(rooted.groupBy("__root").agg(F.min("__least").alias("component_id")), "labels")
     known = rooted.join(label, "__root").select("digest", "component_id")
-    out = described.join(known, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", own.alias("component_id"))
+    columns = [id_col, "n_shingles", own.alias("component_id")]
+    if count_links:
+        counts = found.where("k is not null").groupBy(F.col("a").alias("digest")).agg(F.sum("k").alias("k"))
+        other = nodes.join(counts, "digest", "left").select("digest", (F.col("__copies") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
+        known = known.join(other, "digest")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return described.join(known, "digest", "left").select(*columns)
 
 
 _LINK = "a binary, b binary"
@@ -431,15 +489,29 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
 
 
-def _tree_links(candidates: DataFrame, percent: int, sets_per_task: int, tokens_per_task: int) -> DataFrame:
+def _groups(candidates: DataFrame, sets_per_task: int, tokens_per_task: int) -> DataFrame:
+    """Sets of groups of two or more: digest, n, group, and the number of parts of the group."""
     token = candidates.select("digest", F.explode("prefix").alias("token"))
     # aggregates that hot rows meet are written first: a join with a file can be split or broadcast by its size
     head = written(token.groupBy("token").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "head"), "heads")
     near = components(token.join(head, "token").select("digest", "head"), "digest", "head")
-    sets, narrow = candidates.select("digest", "tokens"), candidates.select("digest", "n")
+    narrow = candidates.select("digest", "n")
     grouped = narrow.join(near, F.col("digest") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "digest").alias("group"))
     sizes = written(_sized(grouped).where("members > 1").select("group", _parts(sets_per_task, tokens_per_task).alias("parts")), "sizes")
-    grouped = written(grouped.join(sizes, "group"), "groups")
+    return written(grouped.join(sizes, "group"), "groups")
+
+
+def _all_links(candidates: DataFrame, copies: DataFrame, percent: int, sets_per_task: int, tokens_per_task: int) -> DataFrame:
+    """Links that join (a, b), and sums of all links of a set by task (a, k): each two parts of a group meet in one task."""
+    grouped = _groups(candidates, sets_per_task, tokens_per_task).join(copies, "digest")
+    part = grouped.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    met = part.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = met.select("group", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "digest", "n", "copies", (F.col("part") <= F.col("with")).alias("side"))
+    return written(candidates.select("digest", "tokens").join(dealt, "digest").groupBy("group", "i", "j").applyInArrow(_count_group(percent), _LINK + ", k long"), "counted")
+
+
+def _tree_links(candidates: DataFrame, percent: int, sets_per_task: int, tokens_per_task: int) -> DataFrame:
+    sets, grouped = candidates.select("digest", "tokens"), _groups(candidates, sets_per_task, tokens_per_task)
     small = sets.join(grouped.where("parts = 1"), "digest").groupBy("group").applyInArrow(_join_group(percent), _LINK)
     small = written(small, "joined")
     large = grouped.where("parts > 1")

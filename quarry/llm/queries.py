@@ -35,6 +35,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_jaccard_join, with each document's number of links, none left out."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=85, count_links=True)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -69,7 +74,7 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_warc, op2_language, op3_jaccard_join, op4_decontaminate, op5_quality, op6_mix, op7_quality_rules, op8_shard, op9_chat, op10_remove_repeats,
+    op1_warc, op2_language, op3_jaccard_join, op3_jaccard_links, op4_decontaminate, op5_quality, op6_mix, op7_quality_rules, op8_shard, op9_chat, op10_remove_repeats,
 )
 
 
@@ -105,6 +110,8 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach) AS compon
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+OP3_LINKS_SQL = OP3_SQL.replace("AS component_id", "AS component_id, (SELECT count(*) FROM l WHERE l.a = r.doc_id) AS n_links")
+
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -143,4 +150,4 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op4_decontaminate": OP4_SQL, "op10_remove_repeats": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op3_jaccard_links": OP3_LINKS_SQL, "op4_decontaminate": OP4_SQL, "op10_remove_repeats": OP10_SQL}

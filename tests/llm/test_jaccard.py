@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -132,3 +133,44 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_link_is_counted(spark):
+    """Near copies, nearly all of which link to each other, in one part and in many, exact copies and null ids among them."""
+    base = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(40)]
+    docs += [(50 + i, " ".join(base)) for i in range(5)] + [(None, " ".join(base)), (7, docs[7][1].upper()), (60, ""), (61, None), (62, "alone here"), (63, "q r"), (64, "Q r")]
+    sets = [shingles(t, 2) for _, t in docs]
+    n = [sum(100 * len(s & t) >= 85 * len(s | t) for t in sets if t) - 1 if s else 0 for s in sets]
+    want = sorted(((d, c) for (d, _), c in zip(docs, n, strict=True)), key=repr)
+    assert sum(n) > 10 * len(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for per_task in (500, 7):
+        rows = near_duplicates(df, shingle=2, percent=85, sets_per_task=per_task, count_links=True).collect()
+        assert sorted(((r.doc_id, r.n_links) for r in rows), key=repr) == want
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == brute(docs, 2, 85)
+
+
+def test_census_of_random_sets():
+    rng = np.random.default_rng(5)
+    base = [rng.choice(5000, 300, replace=False) for _ in range(3)]
+    sets = [np.unique(np.where(rng.random(300) < rng.choice([0.02, 0.06]), rng.integers(0, 5000, 300), base[i % 3])).astype(np.uint64) for i in range(150)]
+    sizes, weights = [len(s) for s in sets], rng.integers(1, 4, 150).tolist()
+    link = lambda a, b: 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (sizes[a] + sizes[b] - n)
+    for side in (None, [i % 4 == 0 for i in range(150)]):
+        meet = [(i, j) for i in range(150) for j in range(i) if (side is None or side[i] != side[j]) and link(i, j)]
+        want = [0] * 150
+        for i, j in meet:
+            want[i] += weights[j]
+            want[j] += weights[i]
+        pairs, total = SignatureTree(sets, sizes, 80, side).census(weights)
+        assert total.tolist() == want and len(meet) > 2 * len(pairs)
+        assert len(set(roots(150, pairs))) == len(set(roots(150, meet)))
+
+
+def test_links_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = queries.op3_jaccard_links(spark, sf).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(queries.oracle_sql()["op3_jaccard_links"]).fetchall())
+    assert any(r.n_links for r in rows)

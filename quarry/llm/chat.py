@@ -30,10 +30,13 @@ def format_windows(
     """Conversations as windows of whole turns: conv_col, window, formatted, loss (spans of formatted, in characters).
 
     Turns in order of turn_col (ties by role and text) count their words and four for
-    the template. By prefix sums of these tokens, a turn is a target of the window in
-    whose stretch of budget tokens it begins; a window passes its budget by its last
-    turn at most. A leading system turn stands at the head of every window. Up to
-    history turns before a window's first target are repeated in it. Each turn is
+    the template. A leading system turn stands at the head of every window, and its
+    tokens come off the budget. By prefix sums of the other turns' tokens, those that
+    begin in one stretch of what is left are a window's targets; if they are more than
+    that, the last of them is a window of its own. Up to history turns before a window's
+    first target are repeated in it, the nearest first, as far as they fit. So only a
+    window of one target that is too long beside the system turn passes the budget, and
+    it repeats no other turn. Each turn is
     marked as first or repeated; loss spans cover the texts of assistant turns where
     they stand first, so each is learned once.
 
@@ -48,14 +51,21 @@ def format_windows(
     order = conv.orderBy("__t", "__role", "__text")
     rows = rows.withColumn("__n", F.row_number().over(order))
     system = (F.col("__n") == 1) & (F.col("__role") == "system")
-    tokens = F.when(system, 0).otherwise(F.regexp_count("__text", F.lit(r"[^\x20\x09-\x0D]+")) + 4).cast("long")
+    tokens = (F.regexp_count("__text", F.lit(r"[^\x20\x09-\x0D]+")) + 4).cast("long")
     by_n = conv.orderBy("__n")
-    rows = rows.withColumn("__system", system).withColumn("__tokens", tokens)
+    rows = rows.withColumn("__system", system).withColumn("__all", tokens).withColumn("__tokens", F.when(system, 0).otherwise(F.col("__all")))
+    room = F.lit(budget) - F.max(F.when(F.col("__system"), F.col("__all")).otherwise(0)).over(conv)
     begun = F.sum("__tokens").over(by_n.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__tokens")
-    rows = rows.withColumn("__w", F.floor(begun / budget).cast("long"))
-    before = F.lag("__w", 1).over(by_n)
-    rows = rows.withColumn("__opens", F.col("__w") > before)
-    later = F.array(*(F.when(F.lead("__opens", j).over(by_n), F.lead("__w", j).over(by_n)) for j in range(1, history + 1))) if history else F.array().cast("array<bigint>")
+    rows = rows.withColumn("__begun", begun).withColumn("__room", room)
+    rows = rows.withColumn("__stretch", F.floor(F.col("__begun") / F.greatest("__room", F.lit(1))).cast("long"))
+    within = F.sum("__tokens").over(Window.partitionBy("__c", "__stretch"))
+    passes = F.col("__begun") + F.col("__tokens") > (F.col("__stretch") + 1) * F.greatest("__room", F.lit(1))
+    rows = rows.withColumn("__parted", passes & (within > F.col("__room")) & (within > F.col("__tokens")))
+    rows = rows.withColumn("__opens", F.coalesce((F.col("__stretch") > F.lag("__stretch", 1).over(by_n)) | F.col("__parted"), F.lit(False)))
+    rows = rows.withColumn("__w", F.sum(F.col("__opens").cast("long")).over(by_n.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("__free", F.col("__room") - F.sum("__tokens").over(Window.partitionBy("__c", "__w")))
+    fits = lambda j: F.lead("__opens", j).over(by_n) & (F.lead("__begun", j).over(by_n) - F.col("__begun") <= F.lead("__free", j).over(by_n))
+    later = F.array(*(F.when(fits(j), F.lead("__w", j).over(by_n)) for j in range(1, history + 1))) if history else F.array().cast("array<bigint>")
     rows = rows.withColumn("__later", later).withColumn("__last", F.max("__w").over(conv))
     own = F.array(F.struct(F.col("__w").alias("w"), F.lit(False).alias("again")))
     repeat = lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(True).alias("again")))

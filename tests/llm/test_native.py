@@ -196,6 +196,34 @@ def test_chat_windows(spark, history):
     assert any(r.window > 0 for r in turns)
 
 
+def over_budget(windows, budget):
+    """Number of windows, of those with repeated turns, and those over budget that have more than one turn besides the system turn."""
+    by = defaultdict(list)
+    for r in chat.read_turns(windows).collect():
+        by[r.conv_id, r.window].append(r)
+    over, repeating = [], 0
+    for key, turns in by.items():
+        body = [r for r in turns if not (r.place == 0 and r.role == "system")]
+        repeating += any(r.again for r in body)
+        if len(body) > 1 and sum(len(re.findall(SPACED, r.text)) + 4 for r in turns) > budget:
+            over.append(key)
+    return len(by), repeating, over
+
+
+def test_chat_budget(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
+    n, repeating, over = over_budget(chat.format_windows(turns), 512)
+    assert n and not over
+    rng = random.Random(8)
+    rows = [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "w " * rng.choice([1, 5, 20, 20, 70, c])) for c in range(30) for t in range(rng.randint(1, 30))]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=60, history=3).cache()
+    n, repeating, over = over_budget(windows, 60)
+    assert n > 60 and repeating > 20 and not over
+    assert read(chat.digests(windows)) == naive_chat(rows)
+    read_back = chat.read_turns(windows).collect()
+    assert {(r.conv_id, r.window) for r in read_back if r.role != "system" and not r.again} | {(c, 0) for c in range(30)} == {(r.conv_id, r.window) for r in read_back}
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_windows(empty)).count() == 0

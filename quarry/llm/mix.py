@@ -69,9 +69,10 @@ def mix(
 ) -> DataFrame:
     """How many words of each document a mix of sources takes.
 
-    size: words of the text (null: 0). Targets: see source_targets(). All targets
-    are cut into blocks of about block_words words; sources get blocks by Sainte-Laguë on
-    their targets, and each source's blocks go to its shards (rows by hash, about
+    size: words of the text (null: 0). Targets: see source_targets(). Sources get words by
+    Sainte-Laguë on their targets, and take them in blocks of about block_words words, or
+    of a 32nd of a target that is below 32 such blocks, one word at least, so a small source
+    gets its target too. Each source's blocks go to its shards (rows by hash, about
     rows_per_shard each) by Sainte-Laguë on the shards' sizes. A shard lays its documents
     end to end in hash order and cuts them into equal blocks; a quota above the number
     of blocks takes all of them once and goes on with the rest, up to cap times, and the
@@ -95,17 +96,20 @@ def mix(
     rows = written(rows, "sizes")  # texts are read once; all that follows is narrow
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     targets = source_targets(sums, weights=weights, share=share, cap=cap)
-    targets = targets.withColumn("__seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
-    quotas = apportion(targets, group=[], votes="target", seats="__seats", name="__quota", order=[F.col("source").isNull(), F.col("source")])
+    targets = targets.withColumn("__seats", F.round(F.sum("target").over(Window.partitionBy())).cast("long"))
+    quotas = apportion(targets, group=[], votes="target", seats="__seats", name="__won", order=[F.col("source").isNull(), F.col("source")])
+    quotas = quotas.withColumn("__block_words", F.greatest(F.least(F.floor(F.col("target") / 32), F.lit(block_words)), F.lit(1)))
+    blocks = F.greatest(F.round(F.col("source_size") / F.col("__block_words")), F.lit(1))
+    quotas = quotas.withColumn("__quota", F.when(F.col("source_size") > 0, F.round(F.col("__won") * blocks / F.col("source_size"))).otherwise(0).cast("long"))
     quotas = quotas.select(
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__s"), "source_size", "target", "__quota",
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__s"), "source_size", "target", "__quota", "__block_words",
         F.greatest(F.ceil(F.col("__rows") / rows_per_shard), F.lit(1)).cast("long").alias("__shards"),
     )
     # a row a source: as a file its size is known, so it is broadcast only if that is small, and hot sources stay where they are
     quotas = written(quotas, "quotas")
     sourced = rows.join(quotas, "__s").withColumn("__h", F.pmod(F.shiftrightunsigned("__key", 7), F.col("__shards")))
-    spread = sourced.groupBy("__s", "__h").agg(F.first("__quota").alias("__quota"), F.sum("size").alias("__words"))
-    spread = spread.withColumn("__blocks", F.when(F.col("__words") > 0, F.greatest(F.round(F.col("__words") / block_words), F.lit(1))).otherwise(0).cast("long"))
+    spread = sourced.groupBy("__s", "__h").agg(F.first("__quota").alias("__quota"), F.first("__block_words").alias("__block_words"), F.sum("size").alias("__words"))
+    spread = spread.withColumn("__blocks", F.when(F.col("__words") > 0, F.greatest(F.round(F.col("__words") / F.col("__block_words")), F.lit(1))).otherwise(0).cast("long"))
     spread = spread.withColumn("__cap", F.col("__blocks") * cap)
     spread = apportion(spread, group=["__s"], votes="__words", seats="__quota", name="__got", order=[F.col("__h")], limit="__cap")
     spread = spread.select(

@@ -80,6 +80,18 @@ def test_mix_edges(spark):
     assert [r.taken for r in mix.mix(df.where("text = ''")).collect()] == [0]
 
 
+def test_mix_small_sources(spark):
+    """Beside a large source, small ones get their targets, down to one word."""
+    data = [(i, "w " * 400, "large") for i in range(20)]
+    data += [(100 * n + i, "w " * part, f"s{n}") for n, parts in ((1, [1]), (3, [2, 1]), (10, [4, 6]), (15, [15]), (31, [20, 11]), (100, [60, 40]), (333, [300, 33])) for i, part in enumerate(parts)]
+    by = defaultdict(list)
+    for r in mix.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect():
+        by[r.source].append(r)
+    assert len(by) == 8
+    for x in by.values():
+        assert abs(sum(r.taken for r in x) - x[0].target) <= 1 + min(0.04 * x[0].target, 32)
+
+
 def brute_rules(text):
     text = text or ""
     w = re.findall(SPACED, text)

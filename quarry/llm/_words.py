@@ -6,14 +6,16 @@ splitting UTF-8 bytes equals splitting code points.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 18
+_LONG = 256
 _pow: dict[int, np.ndarray] = {}
 
 #: Words are runs of bytes other than blank and \t \n \v \f \r.
@@ -35,6 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def new_key() -> int:
+    """A key for the word hashes of one run: texts cannot be made to collide under a key that nobody knew before."""
+    return secrets.randbits(64)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _pow.get(base)
@@ -67,29 +74,33 @@ def _offsets(column: pa.Array) -> np.ndarray:
 class Words:
     """Words of a range of rows: hash, byte start and byte end of each, and the words' range of each row.
 
-    A null text has no words.
+    Hashes depend on key; wide also gives hash2, a second hash that shares no state with
+    the first. A null text has no words.
     """
 
-    def __init__(self, column: pa.Array, table: np.ndarray, fold: np.ndarray = SAME, spans: bool = False):
+    def __init__(self, column: pa.Array, table: np.ndarray, fold: np.ndarray = SAME, spans: bool = False, key: int = 0, wide: bool = False):
         offsets = _offsets(column)
         data = column.buffers()[2]
         raw = np.frombuffer(data, np.uint8) if data is not None and len(column) else np.zeros(0, np.uint8)
         self.lo = int(offsets[0]) if len(offsets) else 0
         raw = raw[self.lo : int(offsets[-1])] if len(offsets) else raw[:0]
-        self.raw, self.offsets = raw, offsets - self.lo
+        self.raw, self.offsets, self.fold = raw, offsets - self.lo, fold
         begins = np.zeros(len(raw) + 1, bool)
         begins[self.offsets] = True
-        hashes, starts, ends = [], [], []
+        seeds = [mix(U64([key]))[0], mix(U64([key ^ 0xA5A5A5A5A5A5A5A5]))[0]][: 1 + wide]
+        hashes, starts, ends = [[] for _ in seeds], [], []
         pos, n = 0, len(raw)
         while pos < n:
             end = self._cut(pos, min(n, pos + _BLOCK), table, fold, begins)
-            h, s, e = _hashed(fold[raw[pos:end]], table, begins[pos : end + 1])
-            hashes.append(h)
+            h, s, e = _hashed(fold[raw[pos:end]], table, begins[pos : end + 1], seeds)
+            for out, x in zip(hashes, h, strict=True):
+                out.append(x)
             starts.append(s + pos)
             ends.append(e + pos)
             pos = end
         none = np.zeros(0, np.int64)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+        self.hash, *rest = (np.concatenate(x) if x else np.zeros(0, U64) for x in hashes)
+        self.hash2 = rest[0] if wide else None
         start = np.concatenate(starts) if starts else none
         self.row_start = np.searchsorted(start, self.offsets[:-1], "left")
         self.row_end = np.append(self.row_start[1:], len(start)) if len(self.row_start) else self.row_start
@@ -119,6 +130,16 @@ class Words:
     def counts(self) -> np.ndarray:
         return self.row_end - self.row_start
 
+    def agree(self, at: np.ndarray, other: Words, there: np.ndarray) -> bool:
+        """Whether words at these places are, byte by byte, the other's words there; both need spans."""
+        at, there = np.unique(np.stack([at, there]), axis=1) if len(at) else (at, there)
+        size = self.end[at] - self.start[at]
+        if (size != other.end[there] - other.start[there]).any():
+            return False
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        mine, theirs = (x.fold[x.raw[np.repeat(x.start[y], size) + step]] for x, y in ((self, at), (other, there)))
+        return bool((mine == theirs).all())
+
     def texts(self, row: int) -> list[bytes]:
         """The words of one row, as they stand; needs spans."""
         data = self.raw[self.offsets[row] : self.offsets[row + 1]].tobytes()
@@ -127,37 +148,61 @@ class Words:
         return [data[s:e] for s, e in zip((self.start[a:b] - base).tolist(), (self.end[a:b] - base).tolist(), strict=True)]
 
 
-def _hashed(data: np.ndarray, table: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word; a word ends where a row begins."""
+def _hashed(data: np.ndarray, table: np.ndarray, begins: np.ndarray, seeds: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes by seed, start and end of each word; a word ends where a row begins.
+
+    A word is read eight bytes at a time, each taken in by a full mix of the hash so far;
+    words of up to eight bytes and one length never collide. A word of more than 256
+    bytes is hashed by BLAKE2b.
+    """
     inside = table[data]
     if not inside.any():
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none
+        return [np.zeros(0, U64) for _ in seeds], none, none
     before = np.concatenate(([False], inside[:-1]))
     after = np.concatenate((inside[1:], [False]))
     start = np.flatnonzero(inside & (~before | begins[:-1]))
     end = np.flatnonzero(inside & (~after | begins[1:])) + 1
-    power = powers(_BASE, len(data))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * power, out=total[1:])
-    inverse = powers(pow(_BASE, -1, 1 << 64), len(data))
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h ^ ((end - start).astype(U64) << U64(48))), start, end
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = [mix(size.astype(U64) ^ seed) for seed in seeds]
+    live, at = np.arange(len(start)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        lane = eight[start[live] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(U64))
+        for h, seed in zip(out, seeds, strict=True):
+            h[live] = mix((h[live] + seed) ^ lane)
+        at += 8
+        live = live[(size[live] > at) & (size[live] <= _LONG)]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        word = data[start[i] : end[i]].tobytes()
+        for h, seed in zip(out, seeds, strict=True):
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.tobytes()).digest(), "little")
+    return out, start, end
+
+
+def _joined(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    x = left * U64(seed | 1) + (right ^ (right >> U64(29))) * U64(0x9E3779B97F4A7C15)
+    return x ^ (x >> U64(32))
 
 
 def grams(h: np.ndarray, k: int, seed: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
-    """Hashes of all runs of k consecutive entries, by one rolling polynomial; rows are not told apart."""
+    """Hashes of all runs of k consecutive entries, from those of runs half as long; rows are not told apart."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    if k <= 8:
-        out = h[:n].copy()
-        for j in range(1, k):
-            out = out * U64(seed | 1) + h[j : j + n]
-        return mix(out ^ U64(k))
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * powers(seed | 1, len(h)), out=total[1:])
-    return mix(((total[k:] - total[:-k]) * powers(pow(seed | 1, -1, 1 << 64), n)) ^ U64(k))
+    size, run, out, done = 1, h, None, 0
+    while True:
+        if k & size:
+            # the run of the lowest bits comes last
+            part = run[k - done - size :][:n]
+            out = part if out is None else _joined(part, out, seed)
+            done += size
+        if size * 2 > k:
+            return mix(out ^ U64(k))
+        run = _joined(run[:-size], run[size:], seed + size)
+        size *= 2
 
 
 def slide(f, x: np.ndarray, n: int) -> np.ndarray:

@@ -46,12 +46,12 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _describe(id_name: str, k: int):
+def _describe(id_name: str, k: int, key: int):
     def run(batches):
         for batch in batches:
             text = batch.column(1)
             for a, b in W.chunks(text):
-                sets = list(_sets(W.Words(text.slice(a, b - a), W.SPACED, W.LOWER), k))
+                sets = list(_sets(W.Words(text.slice(a, b - a), W.SPACED, W.LOWER, key=key), k))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary())],
                     names=[id_name, "n_shingles", "digest"],
@@ -69,7 +69,7 @@ def _pack(buckets, digests, sizes, counts, tokens, freqs=None) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(columns)], names=[x.split()[0] for x in _PACK.split(", ")])
 
 
-def _by_token(k: int, bits: int, flush: int):
+def _by_token(k: int, bits: int, flush: int, key: int):
     """Each distinct set of a flush once, dealt by the top bits of its tokens."""
 
     def out(held: dict[bytes, np.ndarray]) -> pa.RecordBatch:
@@ -85,10 +85,9 @@ def _by_token(k: int, bits: int, flush: int):
             if edge[b] == edge[b + 1]:
                 continue
             rows, count = np.unique(owner[edge[b] : edge[b + 1]], return_counts=True)
-            # the bucket gives the top bits: six bytes a token are left
-            low = (tokens[edge[b] : edge[b + 1]] << W.U64(bits)) >> W.U64(16)
-            six = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            for c, x in zip(columns, (b, digests[rows].tobytes(), size[rows].astype("<u4").tobytes(), count.astype("<u4").tobytes(), six.tobytes()), strict=True):
+            # the bucket gives the top bits: of the rest seven bytes go along
+            rest = (tokens[edge[b] : edge[b + 1]] << W.U64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7]
+            for c, x in zip(columns, (b, digests[rows].tobytes(), size[rows].astype("<u4").tobytes(), count.astype("<u4").tobytes(), rest.tobytes()), strict=True):
                 c.append(x)
         return _pack(*columns)
 
@@ -97,7 +96,7 @@ def _by_token(k: int, bits: int, flush: int):
         for batch in batches:
             text = batch.column(0)
             for a, b in W.chunks(text):
-                for tokens in _sets(W.Words(text.slice(a, b - a), W.SPACED, W.LOWER), k):
+                for tokens in _sets(W.Words(text.slice(a, b - a), W.SPACED, W.LOWER, key=key), k):
                     if len(tokens) and (d := _digest(tokens)) not in held:
                         held[d] = tokens
                         size += len(tokens)
@@ -110,10 +109,11 @@ def _by_token(k: int, bits: int, flush: int):
     return run
 
 
-def _six(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
+def _tokens(blob: bytes, bucket: int, bits: int) -> np.ndarray:
+    """Tokens of a bucket from the seven bytes after its bits; of 64 bits, at most the last two are lost."""
+    raw = np.zeros((len(blob) // 7, 8), np.uint8)
+    raw[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+    return raw.view(">u8").ravel().astype(W.U64) >> W.U64(bits) | W.U64(bucket << (64 - bits))
 
 
 def _shared_tokens(bits: int, set_bits: int):
@@ -123,7 +123,7 @@ def _shared_tokens(bits: int, set_bits: int):
         digest = np.concatenate([np.frombuffer(x["digests"], "V16") for x in held])
         size = np.concatenate([np.frombuffer(x["sizes"], "<u4") for x in held])
         count = np.concatenate([np.frombuffer(x["counts"], "<u4") for x in held])
-        tokens = np.concatenate([_six(x["tokens"]) for x in held])
+        tokens = np.concatenate([_tokens(x["tokens"], bucket, bits) for x in held])
         # equal sets of several flushes count once
         key = np.ascontiguousarray(digest).view("<u8").reshape(-1, 2)
         order = np.lexsort((key[:, 1], key[:, 0]))
@@ -143,7 +143,7 @@ def _shared_tokens(bits: int, set_bits: int):
         many = freq > 1
         if not many.any():
             return
-        owner, tokens, freq = owner[many], tokens[many] | W.U64(bucket << (64 - 16)), freq[many]
+        owner, tokens, freq = owner[many], tokens[many], freq[many]
         home = (key[:, 0] >> W.U64(64 - set_bits)).astype(np.int64)[owner]
         order = np.argsort(home, kind="stable")
         owner, tokens, freq, home = owner[order], tokens[order], freq[order], home[order]
@@ -437,7 +437,8 @@ def near_duplicates(
     work that grows with the square of its sets. Links are counted where they are found,
     and only sums leave a task.
 
-    Tokens are 64-bit hashes (54 bits in counting), sets are told apart by 128 bits.
+    Tokens are 62 bits or more of hashes under a key of the run, so no text can be made to
+    share tokens with another; sets are told apart by 128 bits of BLAKE2b over theirs.
 
     Returns id_col, n_shingles (set size), component_id (smallest id in the component,
     its own if alone), and n_links where asked for. Texts without words have no set and stand alone; null ids
@@ -446,13 +447,13 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts, key = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), W.new_key()
     table = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
-    described = written(table.mapInArrow(_describe(id_col, shingle), kind), "sets")
+    described = written(table.mapInArrow(_describe(id_col, shingle, key), kind), "sets")
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(16, max(6, (total // tokens_per_bucket).bit_length()))
-    packed = table.select("__text").mapInArrow(_by_token(shingle, bits, flush), _PACK)
+    packed = table.select("__text").mapInArrow(_by_token(shingle, bits, flush, key), _PACK)
     shared = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(bits, bits), _PACK)
     candidates = written(shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), _CANDIDATE), "candidates")
     nodes = described.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("__least"), F.count(F.lit(1)).alias("__copies"))

@@ -45,7 +45,7 @@ def drop_contaminated(
             for batch in batches:
                 for a, b in W.chunks(batch.column(place)):
                     part = batch.slice(a, b - a)
-                    _, _, rows, _ = sent.value.hits(W.Words(part.column(place), W.ALNUM, W.LOWER))
+                    _, _, rows, _ = sent.value.hits(sent.value.split(part.column(place)))
                     keep = [True] * part.num_rows
                     for r in set(rows.tolist()):
                         keep[r] = False

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import _words as W
-from quarry.llm._store import written
+from quarry.llm._store import repeatable, written
 from quarry.shipping import ship
 
 _DEPTH = 2
 _SLICES = 64
-_HASH = np.dtype([("a", "<u8"), ("b", "<u4")])
+_HASH = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -25,14 +25,14 @@ def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((W.mix(anchor ^ W.U64(7 * d + 1)) >> W.U64(5)) & mask).astype(np.int64) for d in range(_DEPTH)]
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]):
+def _chunked(batches: Iterator[pa.RecordBatch], key: int, wide: bool = False):
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
         for a, b in W.chunks(text):
-            yield batch.slice(a, b - a), W.Words(text.slice(a, b - a), W.SPACED)
+            yield batch.slice(a, b - a), W.Words(text.slice(a, b - a), W.SPACED, key=key, wide=wide)
 
 
-def _sketch(bits: int, window: int, k: int, flush: int):
+def _sketch(bits: int, window: int, k: int, flush: int, key: int):
     """One partition's sketch as sparse slices: cells, with a low bit for those met more than once."""
     low = bits - (_SLICES.bit_length() - 1)
 
@@ -47,7 +47,7 @@ def _sketch(bits: int, window: int, k: int, flush: int):
 
     def run(batches):
         held, size = [], 0
-        for _, words in _chunked(batches):
+        for _, words in _chunked(batches, key):
             g, _, _, kept = W.winnow(words, k, window)
             held.append(g[kept])
             size += len(held[-1])
@@ -88,7 +88,7 @@ def _repeated(planes: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
     return yes
 
 
-def _witnesses(sent, bits: int, window: int, k: int, flush: int, bucket_bits: int):
+def _witnesses(sent, bits: int, window: int, k: int, flush: int, bucket_bits: int, key: int):
     """Of each flush of windows estimated repeated: one witness of each to its bucket, and an index row that tells the replies apart.
 
     Windows that repeat within the flush are settled here and sent without a place,
@@ -113,7 +113,7 @@ def _witnesses(sent, bits: int, window: int, k: int, flush: int, bucket_bits: in
         multi[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
         lead = np.zeros(len(a), bool)
         lead[order] = np.concatenate(([True], ~same))
-        bucket = (hashes["a"] >> W.U64(64 - bucket_bits)).astype("<u2")
+        bucket = (hashes["a"] >> W.U64(64 - bucket_bits)).astype("<u4")
         name = f"{part}:{number}"
         one, many = np.flatnonzero(~multi), np.flatnonzero(multi & lead)
         one, many = one[np.argsort(bucket[one], kind="stable")], many[np.argsort(bucket[many], kind="stable")]
@@ -129,7 +129,7 @@ def _witnesses(sent, bits: int, window: int, k: int, flush: int, bucket_bits: in
         from pyspark import TaskContext
 
         planes, part, number, held, size = sent.value, TaskContext.get().partitionId(), 0, [], 0
-        for batch, words in _chunked(batches):
+        for batch, words in _chunked(batches, key, wide=True):
             if not len(words.hash):
                 continue
             _, least, whole, _ = W.winnow(words, k, window)
@@ -139,11 +139,11 @@ def _witnesses(sent, bits: int, window: int, k: int, flush: int, bucket_bits: in
                 continue
             hashes = np.empty(len(at), _HASH)
             hashes["a"] = W.grams(words.hash, window)[at]
-            hashes["b"] = (W.grams(W.mix(words.hash), window, 0xD6E8FEB86659FD93)[at] >> W.U64(32)).astype(np.uint32)
+            hashes["b"] = W.grams(words.hash2, window, 0xD6E8FEB86659FD93)[at]
             row = np.searchsorted(words.row_end, at, "right")
             rows, counts = np.unique(row, return_counts=True)
             take = pa.array(rows)
-            held.append((hashes, batch.column(0).take(take).fill_null(-(1 << 63)), batch.column(1).take(take), at - words.row_start[row], counts))
+            held.append((hashes, batch.column(0).take(take), batch.column(1).take(take), at - words.row_start[row], counts))
             size += len(at)
             if size >= flush:
                 yield from out(part, number, held)
@@ -214,7 +214,7 @@ def _spans(window: int):
     """Rows come by flush, its index first: the spans of words to remove from each of its documents."""
 
     def settle(index: dict, bits: dict[int, bytes]) -> pa.RecordBatch:
-        bucket = np.frombuffer(index["one"], "<u2")
+        bucket = np.frombuffer(index["one"], "<u4")
         hit = np.unpackbits(np.frombuffer(index["many"], np.uint8), count=len(bucket)).astype(bool)
         one = np.flatnonzero(~hit)
         one = one[np.argsort(bucket[one], kind="stable")]
@@ -293,11 +293,12 @@ def remove_repeats(
     of one document; if its word sequence starts anywhere else, in that document or
     another, all its words go.
 
-    First pass: each partition counts in a count-min sketch. The sketch holds, for
-    each window, the smallest k-gram hash within it (as by winnowing, about one in 14
-    places); a window occurs at most as often as that k-gram is met, so the merged
-    sketches never underestimate. Second pass: only windows estimated at two or more
-    are grouped, exactly, by 96-bit hashes. The sketch has four cells for each
+    First pass: each partition counts in a count-min sketch. The sketch does not count
+    windows themselves but, for each window, the smallest k-gram hash within it (as by
+    winnowing, about one in 14 places), and a cell says none, one or more; a window occurs
+    at most as often as that k-gram is met, so the merged sketches never underestimate.
+    Second pass: only windows estimated at two or more are grouped by 128 bits of two
+    hashes that share no state, under a key of the run. The sketch has four cells for each
     expected k-gram and at most 2**max_cell_bits in each of its two rows (1 bit a cell,
     64 MB at the default); beyond that more windows reach the second pass, and none is
     lost. Each flush of windows settles its own repeats and sends every window to its
@@ -305,19 +306,22 @@ def remove_repeats(
 
     Returns id_col, n_words, n_removed, kept_sha256, kept_text (kept words joined by
     one blank). Null, empty and shorter texts lose nothing; repeated rows repeat one
-    another; other columns are ignored. id_col is an integer.
+    another; other columns are ignored. Ids may be of any type that has a string form.
 
-    The input is read three times and must give its rows in the same order each time,
-    as files do; if it does not, the job fails rather than return a wrong result.
+    The input is read three times, in the same order each time: what is not a selection
+    from files is written to the shared folder first. A row's spans find it by hashes of
+    its id and text; rows equal in both have equal spans.
     """
     spark = docs.sparkSession
     ship(spark)
-    table = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    docs, key = repeatable(docs.select(id_col, text_col), "input"), W.new_key()
+    known = F.xxhash64(F.col(id_col).cast("string"))
+    table = docs.select(known.alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
     bits = min(max_cell_bits, max(16, int(total * 0.05).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bucket_bits = min(16, max(8, (total >> 26).bit_length()))
-    sketch = table.select("text").mapInArrow(_sketch(bits, window, k, flush), "slice int, cells binary")
+    bucket_bits = min(20, max(8, (total >> 26).bit_length()))
+    sketch = table.select("text").mapInArrow(_sketch(bits, window, k, flush, key), "slice int, cells binary")
     merged = sketch.repartition(parts, "slice").mapInArrow(_merge(bits), "slice int, cells binary")
     planes = np.zeros((_DEPTH, 1 << (bits - 3)), np.uint8)
     size = (1 << (bits - 3)) // _SLICES
@@ -326,12 +330,12 @@ def remove_repeats(
         planes[d, s * size : (s + 1) * size] = np.frombuffer(blob, np.uint8)
     sent = spark.sparkContext.broadcast(planes)
     spans = (
-        table.mapInArrow(_witnesses(sent, bits, window, k, flush, bucket_bits), _SENT)
+        table.mapInArrow(_witnesses(sent, bits, window, k, flush, bucket_bits, key), _SENT)
         .repartition(parts, "target").sortWithinPartitions("bucket", "flush").mapInArrow(_replies, _SENT)
         .repartition(parts, "flush").sortWithinPartitions("flush", "bucket").mapInArrow(_spans(window), "id long, key long, spans binary")
     )
     spans = written(spans.groupBy("id", "key").agg(F.collect_set("spans").alias("spans")), "spans")
-    own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).alias("__id"), known.alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     joined = own.join(spans.hint("shuffle_hash"), ["id", "key"], "left").select("__id", "text", "spans")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))])
     return joined.mapInArrow(_kept(id_col), out)

@@ -2,6 +2,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
+from quarry.llm import decontaminate as decontaminate_module
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.queries import op4_decontaminate
 
@@ -60,6 +64,30 @@ def test_random_texts_and_several_blocks(spark):
     assert got(decontaminate(df, bench, block_bytes=60)) == want
 
 
+def test_different_words_never_meet(spark):
+    """Words of Thue and Morse, which polynomials modulo a power of two confuse, and a key under which two words have one hash."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    head = " ".join("abcdefghi")
+    docs = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, a), (4, b)]
+    items = [(1, f"{head} {a}"), (2, b)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontaminate(df, bench)) == sorted(brute(docs, items), key=repr)
+    block = decontaminate_module._Block(["1"], ["a b c d e f g h i j"], 10, 5)
+    words = block.split(pa.array(["a b c d e f g h i k"]))
+    words.hash = block.hash
+    with pytest.raises(RuntimeError):
+        block.hits(words)
+
+
+def test_unordered_input_and_several_blocks(spark):
+    rows = [(i, " ".join(str(x) for x in range(i, i + 14))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(rows[::3], "item_id long, text string")
+    assert got(decontaminate(df, bench, block_bytes=60)) == sorted(brute(rows, rows[::3]), key=repr)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -78,6 +78,18 @@ def test_random_near_copies(spark, percent, per_task, tokens, flush):
     assert got(near_duplicates(df, shingle=3, percent=percent, sets_per_task=per_task, tokens_per_task=tokens, flush=flush)) == brute(docs, 3, percent)
 
 
+def test_different_words_never_meet(spark):
+    """Words of Thue and Morse: a polynomial modulo a power of two hashes each like its complement."""
+    docs = []
+    for n in (3, 8, 11, 14):
+        a, b = "a", "b"
+        for _ in range(n):
+            a, b = a + b, b + a
+        docs += [(2 * n, a), (2 * n + 1, b), (100 + n, f"one two {a} three"), (200 + n, f"one two {b} three")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(near_duplicates(df, shingle=4, percent=50)) == brute(docs, 4, 50)
+
+
 def test_tree_finds_what_links_join():
     rng = np.random.default_rng(1)
     base = [rng.choice(5000, 300, replace=False) for _ in range(5)]

@@ -50,6 +50,23 @@ def test_small_windows_many_flushes_and_saturated_sketch(spark, flush):
     assert got(remove_repeats(df, window=8, k=3, flush=flush, max_cell_bits=9)) == want
 
 
+def thue_morse(steps, a="a", b="b"):
+    """Words that every polynomial modulo a power of two hashes like their complements."""
+    word = a
+    for _ in range(steps):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_different_words_never_meet(spark):
+    head = " ".join(f"w{i}" for i in range(40))
+    docs = [(f"{i}/é", f"{head[:60]} {thue_morse(n, *s)} {head[60:]}") for i, (n, s) in enumerate((n, s) for n in (3, 8, 11, 14) for s in ("ab", "ba"))]
+    docs += [("x", " ".join(thue_morse(6, "a", "b"))), ("y", " ".join(thue_morse(6, "b", "a")))]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    assert got(remove_repeats(df)) == brute(docs)
+    assert got(remove_repeats(df, window=8, k=3)) == brute(docs, 8)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

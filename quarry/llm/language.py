@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import _words as W
+from quarry.llm._store import written
 from quarry.llm.classify import held_out
 from quarry.shipping import ship
 
 _STEP = 64
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _lettered(text: str) -> list[str]:
+    """The words of a text that have a letter: those that features() and chains are about."""
+    return [w for w in _WORD.findall(text) if any(map(str.isalpha, w))]
 
 
 def _letters(word: str) -> str:
@@ -95,10 +102,10 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray, start: np.ndarray, lexicon: np.ndarray, bits: int):
         self.labels, self.weights, self.transitions, self.start, self.lexicon, self.bits = labels, weights, transitions, start, lexicon, bits
         self.place: dict[int, int] = {}
-        self.table = np.zeros((1024, len(labels)), np.float32)
+        self.table = np.zeros((1024, len(labels) + 1), np.float32)
 
-    def emissions(self, hashes: np.ndarray, words) -> np.ndarray:
-        """Emission scores of words, by hash; words(places) gives the texts of those met first."""
+    def emissions(self, hashes: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """Emission scores of words, by hash, and which of them have a letter; words(places) gives the texts of those met first."""
         values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.place) > 1 << 19:
             self.place = {}
@@ -112,13 +119,15 @@ class Model:
             while begin + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             self.table[begin : begin + len(new)] = self.scores(words(first[new]))
-        return self.table[at][inverse]
+        found = self.table[at][inverse]
+        return found[:, :-1], found[:, -1] > 0
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its scores, and the number of its features, 0 without a letter."""
         at, own = features(words, self.bits, self.lexicon)
         count = np.bincount(own, minlength=len(words))
-        total = np.stack([np.bincount(own, weights=self.weights[at, j], minlength=len(words)) for j in range(len(self.labels))], axis=1)
-        return total / np.sqrt(np.maximum(count, 1))[:, None]
+        total = np.stack([np.bincount(own, weights=self.weights[at, j], minlength=len(words)) for j in range(len(self.labels))], axis=1) if self.labels else np.zeros((len(words), 0))
+        return np.concatenate((total / np.sqrt(np.maximum(count, 1))[:, None], count[:, None]), axis=1)
 
 
 def forward_backward(emission: np.ndarray, mask: np.ndarray, transitions: np.ndarray, start: np.ndarray):
@@ -156,32 +165,79 @@ def forward_backward(emission: np.ndarray, mask: np.ndarray, transitions: np.nda
     return post, pairs, float((np.log(norm) + high[:, :, 0])[mask].sum())
 
 
-def _posteriors(emission: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Posteriors without pair expectations, unrolled for scoring: steps x sequences x labels, all steps full."""
-    steps = emission.shape[0]
+def posteriors(emission: np.ndarray, count: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Posteriors of labels at each word (words x labels) of texts laid end to end, each of them one chain of count words.
+
+    Exact forward-backward, in stretches of 64 words that are all worked on at once. The
+    product of a stretch's steps is a matrix, labels by labels; by these, forward and
+    backward messages pass from stretch to stretch of a text, so that each stretch begins
+    with what the words before it say and ends with what those after it say.
+    """
+    k = emission.shape[1]
+    parts = -(-count // _STEP)
+    first = np.cumsum(parts) - parts
+    total = int(parts.sum())
+    if not total:
+        return np.zeros_like(emission, dtype=np.float32)
+    nth = np.arange(len(emission)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.repeat(first * _STEP, count) + nth
+    filled = np.zeros((total * _STEP, k), np.float32)
+    filled[place] = np.exp(emission - emission.max(axis=1, keepdims=True))
+    e = np.ascontiguousarray(filled.reshape(total, _STEP, k).transpose(1, 0, 2))
+    size = np.full(total, _STEP)
+    some = count > 0
+    last = (first + parts - 1)[some]
+    size[last] = count[some] - (parts[some] - 1) * _STEP
+    opens = np.zeros(total, bool)
+    opens[first[some]] = True
     move = np.exp(transitions).astype(np.float32)
-    e = np.exp(emission - emission.max(axis=2, keepdims=True))
+    before = np.broadcast_to(np.exp(start).astype(np.float32), (total, k)).copy()
+    after = np.ones((total, k), np.float32)
+    deep = int(parts.max())
+    if deep > 1:
+        # stretches of texts with more than one; only their last is not full, and its matrix serves the backward message alone
+        long = np.repeat(parts > 1, parts)
+        rows = np.flatnonzero(long)
+        steps = np.tile(np.eye(k, dtype=np.float32), (len(rows), 1, 1))
+        for t in range(_STEP):
+            live = size[rows] > t
+            moved = steps @ move if t else np.where(opens[rows][:, None, None], steps, steps @ move)
+            moved = moved * e[t, rows][:, None, :]
+            moved /= moved.max(axis=(1, 2), keepdims=True) + np.float32(1e-30)
+            steps = np.where(live[:, None, None], moved, steps)
+        at = np.full(total, -1)
+        at[rows] = np.arange(len(rows))
+        order = np.argsort(-parts, kind="stable")
+        texts, depth = first[order], parts[order]
+        for j in range(1, deep):
+            now = texts[: np.searchsorted(-depth, -j, "left")] + j
+            b = np.einsum("ni,nij->nj", before[now - 1], steps[at[now - 1]])
+            before[now] = b / b.sum(axis=1, keepdims=True)
+        for j in range(deep - 1, 0, -1):
+            now = texts[: np.searchsorted(-depth, -j, "left")] + j
+            a = np.einsum("nij,nj->ni", steps[at[now]], after[now])
+            after[now - 1] = a / a.sum(axis=1, keepdims=True)
     post = np.empty_like(e)
-    a = e[0] * np.exp(start).astype(np.float32)
-    post[0] = a
-    for t in range(1, steps):
-        a = (a @ move) * e[t]
-        a /= a.sum(axis=1, keepdims=True)
+    a = before
+    for t in range(_STEP):
+        a = (np.where(opens[:, None], a, a @ move) if t == 0 else a @ move) * e[t]
+        a = a / np.maximum(a.sum(axis=1, keepdims=True), np.float32(1e-30))
         post[t] = a
-    b = np.ones_like(a)
-    for t in range(steps - 1, 0, -1):
-        post[t] *= b
-        b = (e[t] * b) @ move.T
-        b /= b.sum(axis=1, keepdims=True)
-    post[0] *= b
-    return post / post.sum(axis=2, keepdims=True)
+    b = after
+    for t in range(_STEP - 1, -1, -1):
+        live = (size > t)[:, None]
+        p = post[t] * b
+        post[t] = p / np.maximum(p.sum(axis=1, keepdims=True), np.float32(1e-30))
+        inner = (e[t] * b) @ move.T
+        b = np.where(live, inner / np.maximum(inner.sum(axis=1, keepdims=True), np.float32(1e-30)), b)
+    return post.transpose(1, 0, 2).reshape(-1, k)[place]
 
 
 def train(texts: list[str], langs: list[str], *, bits: int = 18, rounds: int = 30, rate: float = 0.5, l2: float = 1e-3, lexicon_size: int = 400, seed: int = 3) -> Model:
     """Maximise the conditional likelihood by AdaGrad on the exact gradient over all training words.
 
-    Every word of a text bears the text's label. Texts are cut into stretches of 64
-    words; every fourth stretch is half of one text and half of another, so that changes
+    Every word of a text bears the text's label. For training texts are cut into stretches of
+    64 words; every fourth stretch is half of one text and half of another, so that changes
     of language are seen and transitions are learned from both kinds.
     """
     labels = sorted(set(langs))
@@ -191,7 +247,7 @@ def train(texts: list[str], langs: list[str], *, bits: int = 18, rounds: int = 3
     stretches: list[tuple[np.ndarray, int]] = []
     counts: dict[str, np.ndarray] = {}
     for text, lang in zip(texts, langs, strict=True):
-        found = [w for w in text.split() if any(map(str.isalpha, w))]
+        found = _lettered(text)
         for w in found:
             counts.setdefault(_letters(w), np.zeros(k))[number[lang]] += 1
         ids = np.array([words.setdefault(w, len(words)) for w in found], np.int64)
@@ -244,25 +300,46 @@ def train(texts: list[str], langs: list[str], *, bits: int = 18, rounds: int = 3
     return Model(labels, full, trans, start, lexicon, bits)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 120, longest: int = 20_000, seed: int = 3) -> Model:
-    """Train on about per_language whole texts a language, of rows that are not held out.
+def _stretches(most: int):
+    """Rows lang, h, text: of a text with more than most stretches of 64 lettered words that many, evenly spread; else all."""
 
-    A language's texts are those with hashed ids below a bound that its number of rows
-    gives, so the sample is even and needs no sort; texts of over longest characters and
-    null texts, ids and languages are left out. Only the sample reaches the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = _lettered(batch.column(2)[i].as_py())
+                n = -(-len(words) // _STEP)
+                cut = [words[j * _STEP : (j + 1) * _STEP] for j in (range(n) if n <= most else (x * n // most for x in range(most)))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(2)), pa.array([" ".join(w for x in cut for w in x)])], names=["lang", "h", "text"])
+
+    return run
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 120, stretches: int = 16, most_texts: int = 20_000, seed: int = 3) -> Model:
+    """Train on per_language texts a language, of rows that are not held out.
+
+    A language's texts are those with the smallest hashed ids, found below a bound that
+    its number of rows gives, so the sample is even and needs no sort. Of a text with
+    more than stretches runs of 64 words, that many runs are taken, evenly spread, so texts
+    of any length train, and at most per_language * stretches * 64 words a language reach
+    the driver. All languages are learned: where per_language would give more than
+    most_texts in all, each has that many fewer, one at least. Null texts, ids and languages
+    are left out.
     """
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
-    rows = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & (F.length(text) <= longest))
+    rows = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(lang.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 30)).alias("h"))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    bound = share.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("p"))
-    chosen = rows.join(F.broadcast(bound.limit(1000)), "lang").where(F.col("h") < F.col("p") * float(1 << 30))
+    share = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(1, min(per_language, most_texts // max(share.count(), 1)))
+    # that many are expected below the bound, and so many more that fewer than each of them are hardly ever there
+    bound = share.select("lang", F.least(F.lit(1.0), F.lit(each + 6 * each**0.5 + 12) / F.col("n")).alias("p"))
+    chosen = rows.join(bound, "lang").where(F.col("h") < F.col("p") * float(1 << 30)).select("lang", "h", "text")
+    ship(docs.sparkSession)
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.select("lang", "h", "text").toLocalIterator():
+    for r in chosen.mapInArrow(_stretches(stretches), "lang string, h long, text string").toLocalIterator():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
     texts, langs = [], []
     for name in sorted(found):
-        for _, t in sorted(found[name])[: 2 * per_language]:
+        for _, t in sorted(found[name])[:each]:
             texts.append(t)
             langs.append(name)
     return train(texts, langs, seed=seed)
@@ -271,30 +348,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def label_batch(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean label posteriors of each row's words with a letter (rows x labels), their number, and posteriors by word.
 
-    Rows' words are laid end to end and cut into stretches of 64 words, each a chain of its own.
+    A row's words are one chain, whatever their number; words without a letter take no part.
     """
     words = W.Words(text, W.SPACED, spans=True)
     k = len(model.labels)
     n = words.counts()
     raw = words.raw.tobytes()
     say = lambda places: [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[places].tolist(), words.end[places].tolist(), strict=True)]
-    emission = model.emissions(words.hash, say).astype(np.float32)
-    live = np.any(emission != 0, axis=1)
-    row = np.repeat(np.arange(len(n)), n)
-    # words without a letter have no features; they take no part
-    emission, row = emission[live], row[live]
+    emission, live = model.emissions(words.hash, say)
+    row = np.repeat(np.arange(len(n)), n)[live]
     count = np.bincount(row, minlength=len(n))
-    # every row is padded to whole stretches by neutral words
-    stretch = -(-count // _STEP)
-    begin = np.cumsum(stretch * _STEP) - stretch * _STEP
-    place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    padded = np.zeros((int(stretch.sum()) * _STEP, k), np.float32)
-    padded[place] = emission
-    post = np.zeros_like(padded)
-    if len(padded):
-        chains = np.ascontiguousarray(padded.reshape(-1, _STEP, k).transpose(1, 0, 2))
-        post = _posteriors(chains, model.transitions, model.start).transpose(1, 0, 2).reshape(-1, k)
-    own = post[place]
+    own = posteriors(emission[live], count, model.transitions, model.start) if k else np.zeros((len(row), 0), np.float32)
     mean = np.stack([np.bincount(row, weights=own[:, j], minlength=len(n)) for j in range(k)], axis=1) if k else np.zeros((len(n), 0))
     return mean / np.maximum(count, 1)[:, None], count, own
 
@@ -318,16 +382,11 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             text = batch.column(1)
             for a, b in W.chunks(text, 1 << 20):
                 part = text.slice(a, b - a)
-                lettered = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                if own.labels:
-                    mean, _, _ = label_batch(own, part)
-                    best = mean.argmax(axis=1)
-                    score = mean[np.arange(len(best)), best]
-                    score = np.where(score > 0, score, 1 / len(own.labels))
-                else:
-                    best, score = np.zeros(len(part), np.int64), np.zeros(len(part))
-                best = np.where(lettered & bool(own.labels), best, len(own.labels))
-                score = np.where(lettered & bool(own.labels), np.clip(score, 0, 1), 0.0)
+                mean, count, _ = label_batch(own, part)
+                known = (count > 0) & bool(own.labels)
+                best = mean.argmax(axis=1) if own.labels else np.zeros(len(part), np.int64)
+                score = np.where(known, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0) if own.labels else np.zeros(len(part))
+                best = np.where(known, best, len(own.labels))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score)], names=["__id", "lang_pred", "score"])
 
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)

@@ -53,6 +53,63 @@ def test_language_held_out(spark):
     assert sum(judged) >= 0.98 * len(judged)
 
 
+def exact_posteriors(emission, transitions, start):
+    """One chain, step by step, in logarithms."""
+    n, k = emission.shape
+    add = lambda x: np.logaddexp.reduce(x, axis=0)
+    alpha, beta = np.zeros((n, k)), np.zeros((n, k))
+    alpha[0] = start + emission[0]
+    for t in range(1, n):
+        alpha[t] = add(alpha[t - 1][:, None] + transitions) + emission[t]
+    for t in range(n - 2, -1, -1):
+        beta[t] = add((transitions + emission[t + 1] + beta[t + 1]).T)
+    both = alpha + beta
+    return np.exp(both - add(both.T)[:, None])
+
+
+def test_posteriors_of_whole_chains():
+    rng = np.random.default_rng(5)
+    for k in (1, 3, 4):
+        transitions, start = rng.normal(0, 2, (k, k)), rng.normal(0, 1, k)
+        count = np.array([3, 0, 1, 63, 64, 65, 0, 130, 128, 1000, 2, 7000])
+        emission = rng.normal(0, 2, (count.sum(), k)).astype(np.float32)
+        got, end = language.posteriors(emission, count, transitions, start), np.cumsum(count)
+        for a, b in zip(end - count, end, strict=True):
+            if b > a:
+                assert np.abs(got[a:b] - exact_posteriors(emission[a:b].astype(float), transitions, start)).max() < 2e-4
+        # a chain whose neighbours decide: without messages across borders every word of it would be even
+        flat = np.zeros((200, k), np.float32)
+        flat[150, 0] = 9
+        sure = language.posteriors(flat, np.array([200]), np.eye(k) * 12, np.zeros(k))
+        assert sure[:, 0].min() > 0.95 or k == 1
+    assert language.posteriors(np.zeros((0, 2), np.float32), np.zeros(3, np.int64), np.zeros((2, 2)), np.zeros(2)).shape == (0, 2)
+
+
+def test_rows_do_not_depend_on_their_neighbours():
+    model = language.train(["der die das und ein"] * 30 + ["the and of a one"] * 30, ["de"] * 30 + ["en"] * 30, bits=14)
+    texts = [" ".join(["der 12 the und one"] * n) for n in (1, 12, 13, 26, 300)] + ["", "1 2", "ende"]
+    mean, count, own = language.label_batch(model, pa.array(texts))
+    assert count.tolist() == [4, 48, 52, 104, 1200, 0, 0, 1] and len(own) == sum(count)
+    for i, t in enumerate(texts):
+        alone, _, _ = language.label_batch(model, pa.array([t]))
+        assert np.allclose(alone[0], mean[i], atol=1e-5)
+        if n := count[i]:
+            words = [w for w in t.split() if not w.isdigit()]
+            exact = exact_posteriors(model.scores(words)[:, :-1], model.transitions, model.start).mean(axis=0)
+            assert np.abs(exact - mean[i]).max() < 2e-4 and n == len(words)
+
+
+def test_every_language_is_learned(spark):
+    """Also one of a single text far longer than what is taken of it; words are parted by the same blanks as in scoring."""
+    rows = [(i, f"words of {'abc'[i % 3] * 4} only {'xyz'[i % 3] * 3}", f"l{i % 3}") for i in range(400)] + [(1000 + i, "lento\u00a0lungo parole " * 30_000, "long") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, per_language=20, stretches=3)
+    assert model.labels == ["l0", "l1", "l2", "long"]
+    rows = language.predict(docs, model).join(docs, "doc_id").collect()
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in rows)
+    assert len(language.fit(docs, most_texts=4).labels) == 4
+
+
 def test_code_switched_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs, per_language=40)
@@ -76,7 +133,7 @@ def test_forward_backward_against_all_paths():
         for a, b in zip(path, path[1:], strict=False):
             want_pairs[a, b] += w
     assert np.allclose(post[:, 0], want / total) and np.allclose(pairs, want_pairs / total)
-    assert np.allclose(language._posteriors(e.astype(np.float32), move, start)[:, 0], want / total, atol=1e-5)
+    assert np.allclose(language.posteriors(e[:, 0].astype(np.float32), np.array([4]), move, start), want / total, atol=1e-5)
 
 
 def test_language_edges(spark):

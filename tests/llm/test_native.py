@@ -1,6 +1,7 @@
 """Operators of DataFrame functions alone: mixing, quality rules, sharding, chat formatting."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -141,16 +142,56 @@ def test_shard(spark, sf):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def naive_shard(spark, keys, tree, seed=0):
+    """Descend nested dicts one key and one node at a time; draws are made by Spark's hash of each key, level and label."""
+    labels = {(level, x) for level, nodes in enumerate(levels(tree)) for node in nodes for x in node}
+    hashes = keys.select("k", *(F.xxhash64("k", F.lit(seed), F.lit(level), F.lit(x).cast("long")).alias(f"{level}_{x}") for level, x in sorted(labels))).collect()
+    total = lambda node: sum(map(total, node.values())) if isinstance(node, dict) else node
+    out = {}
+    for h in hashes:
+        node, level = tree, 0
+        while isinstance(node, dict):
+            draws = {x: -math.log((((h[f"{level}_{x}"] % (1 << 64)) >> 12) + 0.5) / (1 << 52)) / total(child) for x, child in node.items()}
+            label = min(draws, key=draws.get)
+            node, level = node[label], level + 1
+        out[h["k"]] = label
+    return out
+
+
+def levels(tree):
+    nodes = [tree]
+    while nodes and isinstance(nodes[0], dict):
+        yield nodes
+        nodes = [x for node in nodes for x in node.values()]
+
+
+def test_shard_tree_against_naive_descent(spark):
+    keys = spark.range(1500).select(F.xxhash64("id").alias("k")).cache()
+    for tree in (shard.even_tree(24), shard.even_tree(1), {5: {7: {3: 2.0, 1: 0.5}}, 2: {9: {0: 4.0}, 8: {2: 1.0, 4: 3.0, 6: 0.1}}}, shard.grown_tree(shard.even_tree(13))):
+        for seed in (0, 3):
+            assert {r.k: r.s for r in shard.place(keys, F.col("k"), tree, "s", seed).collect()} == naive_shard(spark, keys, tree, seed)
+
+
 def test_shard_tree_is_even_and_confines_movement(spark):
     keys = spark.range(40000).select(F.xxhash64("id").alias("k"))
+    even = shard.even_tree(24)
     heavy = shard.even_tree(24)
     heavy[1][4][17] = 5.0
-    placed = shard.place(shard.place(shard.place(keys, F.col("k"), shard.even_tree(24), "a"), F.col("k"), shard.even_tree(31), "b"), F.col("k"), heavy, "c")
-    rows = placed.select("a", "b", "c").collect()
+    placed = shard.place(keys, F.col("k"), even, "a")
+    for name, tree in (("b", shard.grown_tree(even)), ("c", heavy), ("d", shard.grown_tree(shard.grown_tree(even)))):
+        placed = shard.place(placed, F.col("k"), tree, name)
+    rows = placed.select("a", "b", "c", "d").collect()
     count = Counter(r.a for r in rows)
     assert len(count) == 24 and max(count.values()) < 1.2 * min(count.values())
-    assert all(r.b == r.a or r.b >= 24 for r in rows)
-    assert all(r.c == r.a or r.c == 17 for r in rows)
+    # a shard more takes rows only into itself
+    assert shard.grown_tree(even) == shard.even_tree(25)
+    assert all(r.b in (r.a, 24) and r.d in (r.b, 25) for r in rows) and abs(sum(r.b == 24 for r in rows) / 40000 - 1 / 25) < 0.01
+    # with a weight rows move into the subtrees that grew, and nowhere else: region 1, in it rack 4, in it shard 17
+    region, rack = (lambda s: s // 12), (lambda s: s // 4)
+    for r in rows:
+        assert region(r.c) in (region(r.a), 1)
+        if region(r.a) == 1:
+            assert rack(r.c) in (rack(r.a), 4) and (rack(r.a) != 4 or r.c in (r.a, 17))
     assert abs(sum(r.c == 17 for r in rows) / 40000 - 5 / 28) < 0.02
 
 
@@ -164,6 +205,16 @@ def test_shard_edges(spark):
     assert shard.shard_rows(df.limit(0)).count() == 0
 
 
+def test_shard_rows_of_one_id(spark):
+    """A third of all rows under one id, and equal rows, are numbered in many tasks; every shard count grows only into the new shard."""
+    df = spark.createDataFrame([(7 if i % 3 == 0 else i, "same" if i % 2 else str(i)) for i in range(3000)], "doc_id long, text string").repartition(6)
+    for shards in (1, 5):
+        rows = shard.shard_rows(df, shards=shards, rows_per_bucket=50).collect()
+        assert len(rows) == 3000 and all(r.grown_shard in (r.shard, shards) for r in rows) and len({r.shard for r in rows if r.doc_id == 7}) == 1
+        for s in range(shards):
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def naive_chat(rows):
     by = defaultdict(list)
     for conv, turn, role, text in rows:

@@ -85,32 +85,41 @@ def format_windows(
     return built.select(F.col("__c").alias(conv_col), "window", F.array_join(F.transform("__items", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss"))
 
 
+def _turn(piece: Column) -> tuple[Column, Column, Column]:
+    """Again, role and text of a piece between control strings."""
+    rest = F.substring(piece, F.lit(len(FIRST) + 1), F.length(piece))
+    role = F.substring_index(rest, BODY, 1)
+    text = F.substring(rest, F.length(role) + len(BODY) + 1, F.length(rest))
+    return F.startswith(piece, F.lit(AGAIN)), unescape(role), unescape(text)
+
+
+def _pieces() -> Column:
+    return F.filter(F.split("formatted", r"<\|e\|>", -1), lambda x: x != "")
+
+
 def read_turns(windows: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
     """The turns of formatted windows, unescaped: conv_col, window, place, again, role, text."""
-    parts = windows.select(conv_col, "window", F.posexplode(F.split("formatted", r"<\|e\|>", -1)).alias("place", "__piece")).where("__piece <> ''")
-    rest = F.expr("substring(__piece, 6)")
-    parts = parts.select(conv_col, "window", "place", (F.substring("__piece", 3, 1) == "r").alias("again"), rest.alias("__rest"))
-    parts = parts.withColumn("__role", F.substring_index("__rest", BODY, 1))
-    text = F.expr(f"substring(__rest, length(__role) + {len(BODY) + 1})")
-    return parts.select(conv_col, "window", "place", "again", unescape(F.col("__role")).alias("role"), unescape(text).alias("text"))
+    again, role, text = _turn(F.col("__piece"))
+    parts = windows.select(conv_col, "window", F.posexplode(_pieces()).alias("place", "__piece"))
+    return parts.select(conv_col, "window", "place", again.alias("again"), role.alias("role"), text.alias("text"))
 
 
 def digests(windows: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
     """What the windows say, by conversation: turns, loss text and size, read back from the output alone.
 
-    The two digests are over a whole conversation, so its text meets in one row here;
-    format_windows() has no such row.
+    Each window is read where it stands and gives what it says first and what it teaches; one
+    aggregation brings these together. The two digests are over a whole conversation, so its
+    text meets in one row here; format_windows() has no such row.
     """
-    read = read_turns(windows, conv_col=conv_col).where("not again")
-    said = read.groupBy(conv_col).agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("window", "place", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("x")))).alias("__said"),
-    )
-    said = said.select(F.col(conv_col), "n_turns", F.sha2(F.array_join(F.transform("__said", lambda x: x["x"]), ""), 256).alias("turns_sha256"))
-    cut = unescape(F.expr("substring(formatted, cast(__s.start as int) + 1, cast(__s.end - __s.start as int))"))
-    learned = windows.select(conv_col, "window", "formatted", F.posexplode_outer("loss").alias("__i", "__s")).select(conv_col, "window", "__i", F.coalesce(cut, F.lit("")).alias("x"))
-    learned = learned.groupBy(conv_col).agg(F.sum(F.length("x")).cast("long").alias("loss_chars"), F.sort_array(F.collect_list(F.struct("window", "__i", "x"))).alias("__x"))
-    learned = learned.select(F.col(conv_col).alias("__c1"), "loss_chars", F.sha2(F.array_join(F.transform("__x", lambda x: x["x"]), ""), 256).alias("loss_sha256"))
-    sizes = windows.groupBy(F.col(conv_col).alias("__c2")).agg(F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
-    joined = said.join(learned, F.col(conv_col).eqNullSafe(F.col("__c1"))).join(sizes, F.col(conv_col).eqNullSafe(F.col("__c2")))
-    return joined.select(conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+    def said(piece: Column) -> Column:
+        _, role, text = _turn(piece)
+        return F.concat(role, F.lit("\n"), text, F.lit("\n"))
+
+    new = F.filter(_pieces(), lambda x: ~_turn(x)[0])
+    taught = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    each = windows.select(conv_col, "window", F.length("formatted").alias("__size"), new.alias("__new"), F.array_join(taught, "").alias("__taught"))
+    each = each.select(conv_col, "__size", F.size("__new").alias("__n"), F.struct("window", F.array_join(F.transform("__new", said), "").alias("said"), F.col("__taught").alias("taught")).alias("__w"))
+    whole = each.groupBy(conv_col).agg(F.sum("__n").cast("long").alias("n_turns"), F.sum("__size").cast("long").alias("formatted_chars"), F.sum(F.length("__w.taught")).cast("long").alias("loss_chars"), F.sort_array(F.collect_list("__w")).alias("__w"))
+    digest = lambda name: F.sha2(F.array_join(F.transform("__w", lambda w: w[name]), ""), 256)
+    return whole.select(conv_col, "n_turns", digest("said").alias("turns_sha256"), "loss_chars", digest("taught").alias("loss_sha256"), "formatted_chars")

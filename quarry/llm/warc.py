@@ -24,6 +24,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Spark holds no longer string, so no longer payload is ever written; a record adds its headers.
+_MOST = (1 << 31) + (1 << 20)
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
 
 
@@ -35,6 +37,26 @@ def payload_digest(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def _escaped(value: str) -> str:
+    """An id as a header's value: line ends, blanks and whatever is not ASCII are percent-encoded."""
+    return urllib.parse.quote(value, safe="/:")
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a qualified URI as Spark names it, and the path in it; s3a and s3n are S3, and file:/x is local."""
+    scheme, _, rest = uri.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{scheme}:{urllib.parse.quote(rest, safe='/:@')}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and authority that Spark itself would read it from."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """One WARC record: a response, or a revisit of another page's response, which keeps only the HTTP head."""
     name = lambda page: f"<{uuid.uuid5(_NAMESPACE, page).urn}>"
@@ -47,9 +69,9 @@ def record(page_id: str | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Block-Digest: sha1:{payload_digest(hashlib.sha1(block).digest())}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
-        lines.append(f"X-Page-Id: {page_id}")
+        lines.append(f"X-Page-Id: {_escaped(page_id)}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {_escaped(refers_to)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -124,7 +146,7 @@ def frame_end(data: memoryview, start: int) -> int:
     return at
 
 
-def read_archive(data: bytes, max_record: int = 1 << 30) -> Iterator[tuple[int, dict]]:
+def read_archive(data: bytes, max_record: int = _MOST) -> Iterator[tuple[int, dict]]:
     """Byte offset and parsed record of each frame of an archive."""
     view, at, dictionary = memoryview(data), 0, None
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
@@ -166,7 +188,7 @@ def _writer(out_dir: str, dictionary: bytes, archive_bytes: int, date: str, leve
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, folder = pafs.FileSystem.from_uri(out_dir)
+        store, folder = filesystem(out_dir)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=True, write_content_size=True)
         head = leading_frame(dictionary) if dictionary else b""
@@ -182,10 +204,11 @@ def _writer(out_dir: str, dictionary: bytes, archive_bytes: int, date: str, leve
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
         for batch in batches:
-            ids, urls, payloads, digests, refers = batch.columns
+            ids, urls, payloads, refers = batch.columns
             for i in range(batch.num_rows):
-                digest = payload_digest(bytes.fromhex(digests[i].as_py()))
-                data = pack.compress(record(ids[i].as_py(), urls[i].as_py(), payloads[i].as_buffer().to_pybytes(), digest, refers[i].as_py(), date))
+                payload = payloads[i].as_buffer().to_pybytes()
+                digest = payload_digest(hashlib.sha1(payload).digest())
+                data = pack.compress(record(ids[i].as_py(), urls[i].as_py(), payload, digest, refers[i].as_py(), date))
                 held.append(data)
                 size, count = size + len(data), count + 1
                 if size >= archive_bytes:
@@ -197,43 +220,72 @@ def _writer(out_dir: str, dictionary: bytes, archive_bytes: int, date: str, leve
     return run
 
 
+def _dictionary(rows: DataFrame, date: str, most: int, sample_bytes: int) -> bytes:
+    """A dictionary from whole pages with the smallest hashed ids, as far as they keep to both bounds, and from bare headers."""
+    record_of = lambda r, payload: record(str(r["id"]), r["url"], payload, payload_digest(hashlib.sha1(payload).digest()), None, date)
+    hashed = F.xxhash64(F.col("id").cast("string"))
+    order = (hashed, F.col("sha"))
+    met = rows.select("id", "sha", "size", "url", hashed.alias("h")).orderBy(*order).limit(most).collect()
+    taken, total = [], 0
+    for r in met:
+        if total + r["size"] <= sample_bytes:
+            total += r["size"]
+            taken.append(r["sha"])
+    samples = [record_of(r, b"") for r in met[:16]]
+    if taken:
+        samples += [record_of(r, bytes(r["payload"])) for r in rows.where((hashed <= met[-1]["h"]) & F.col("sha").isin(taken)).dropDuplicates(["sha"]).orderBy(*order).select("id", "url", "payload").collect()]
+    return train_dictionary(samples) if samples else b""
+
+
 def write_archives(
     pages: DataFrame, out_dir: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0,
-    archive_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z", dictionary_samples: int = 400, level: int = 3,
+    archive_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z", dictionary_samples: int = 400, sample_bytes: int = 16 << 20, level: int = 3,
 ) -> int:
     """Write a record for each page into archives of about archive_bytes in out_dir; returns the number of records.
 
     The payload is the html in UTF-8 (null: empty). Of pages with equal payloads of at
     least min_revisit_bytes, the one with the smallest id is a response and the others
-    revisit it; smaller payloads are all responses. Equal payloads are found by digest
+    revisit it; smaller payloads are all responses. Equal payloads are found by SHA-256
     and length on ids alone; pages themselves are dealt once, by id. A null id can
     neither refer nor be referred to, so its page is a response; rows that repeat both
-    id and payload of a response are responses too; other columns are ignored.
-
-    The dictionary is trained on at most dictionary_samples whole pages of up to 64 kB,
-    those with the smallest hashed ids; it affects sizes only. A task writes its pages in
-    order of id under names that depend on the partition alone, each file first under
-    another name, so a repeated task replaces files by equal ones.
+    id and payload of a response are responses too; ids may hold any characters; other
+    columns are ignored.
+
+    The dictionary is trained on at most dictionary_samples whole pages of sample_bytes in
+    all, those with the smallest hashed ids, and on headers; it affects sizes only. A task
+    writes its pages in order of id under names that depend on the partition alone, each
+    file first under another name, so a repeated task replaces files by equal ones. out_dir
+    is on the file system that Spark takes it to be on; archives that Spark does not find
+    there afterwards, as when executors do not share that folder, are an error.
     """
     spark = pages.sparkSession
     ship(spark)
+    out_dir = qualified(spark, out_dir)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
     known = rows.select("id", "sha", "size")
     first = known.groupBy("sha", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).select("sha", "size", "first")
     again = known.join(first, ["sha", "size"]).where("id <> first").select("id", "sha", F.col("first").cast("string").alias("refers")).distinct()
-    few = rows.where("size <= 65536").orderBy(F.xxhash64("id"), "sha").limit(dictionary_samples)
-    samples = [record(str(r["id"]), r["url"], bytes(r["payload"]), payload_digest(bytes.fromhex(r["sha"])), None, date) for r in few.select("id", "url", "payload", "sha").collect()]
-    dictionary = train_dictionary(samples) if samples else b""
+    dictionary = _dictionary(rows, date, dictionary_samples, sample_bytes)
     dealt = rows.join(again.hint("shuffle_hash"), ["id", "sha"], "left").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "id", "sha")
-    ordered = dealt.sortWithinPartitions("id", "sha", "url").select(F.col("id").cast("string"), "url", "payload", "sha", "refers")
-    store, folder = pafs.FileSystem.from_uri(out_dir)
+    ordered = dealt.sortWithinPartitions("id", "sha", "url").select(F.col("id").cast("string"), "url", "payload", "refers")
+    store, folder = filesystem(out_dir)
     store.create_dir(folder, recursive=True)
-    written = ordered.mapInArrow(_writer(out_dir, dictionary, archive_bytes, date, level), "path string, records long, bytes long")
-    return written.agg(F.sum("records")).first()[0] or 0
+    done = ordered.mapInArrow(_writer(out_dir, dictionary, archive_bytes, date, level), "path string, records long, bytes long")
+    sums = [F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")]
+    said = done.agg(*sums).first()
+    if said["files"]:
+        there = _files(spark, out_dir).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).first()
+        if (there["files"], there["bytes"]) != (said["files"], said["bytes"]):
+            raise ArchiveError(f"{said['files']} archives of {said['bytes']} bytes were written to {out_dir}, but {there['files']} of {there['bytes']} are there: do all executors share it?")
+    return said["records"] or 0
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
 
 
-def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", max_record: int = 1 << 30) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", max_record: int = _MOST) -> DataFrame:
     """The records of all *.warc.zst archives in path, each validated; an archive is read in one task.
 
     Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to (page id),
@@ -250,7 +302,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", max_r
                 rows, size = [], 0
                 for offset, r in read_archive(content.as_buffer().to_pybytes(), max_record):
                     h = r["headers"]
-                    rows.append((h.get("x-page-id"), h.get("warc-target-uri"), r["type"], r["payload_bytes"], r["digest"], h.get("x-refers-to-page-id"), r["payload"], path, offset))
+                    page, other = (None if x is None else urllib.parse.unquote(x) for x in (h.get("x-page-id"), h.get("x-refers-to-page-id")))
+                    rows.append((page, h.get("warc-target-uri"), r["type"], r["payload_bytes"], r["digest"], other, r["payload"], path, offset))
                     size += len(r["block"])
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -258,7 +311,7 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", max_r
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
+    files = _files(spark, path).select("path", "content")
     read = files.mapInArrow(run, kinds)
     return read.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
 
@@ -266,9 +319,7 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", max_r
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write pages as archives into the shared folder and read them back."""
     spark = pages.sparkSession
-    path = scratch_path(spark, "warc")
-    if "://" not in path:
-        path = f"file://{path}"
+    path = qualified(spark, scratch_path(spark, "warc"))
     id_type = pages.schema[options.get("id_col", "page_id")].dataType
     if not write_archives(pages, path, **options):
         return spark.createDataFrame([], T.StructType()).select(*(F.lit(None).cast(t).alias(c) for c, t in (("page_id", id_type), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", id_type))))

@@ -51,6 +51,23 @@ def test_edges(spark, least):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_ids_of_any_characters(spark):
+    pages = [("a\r\nWARC-Type: x", "u", "one"), (" b ", "u", "one"), ("%41", "u", "two"), ("A", "u", "two"), ("é:\t", "u", "three"), ("", "u", "three")]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string")
+    assert got(warc.round_trip(df)) == brute([(i, h) for i, _, h in pages])
+
+
+def test_stores(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and warc.filesystem(f"file:{tmp_path}")[1] == warc.filesystem(f"file://{tmp_path}")[1] == str(tmp_path)
+    df = spark.createDataFrame([(i, "u", "x" * 200_000 + str(i)) for i in range(4)], "page_id long, url string, html string")
+    assert warc.write_archives(df, f"{tmp_path}/a b", sample_bytes=1000) == 4
+    names = list((tmp_path / "a b").glob("*.zst"))
+    assert names and all(struct.unpack_from("<I", x.read_bytes())[0] == warc.DICTIONARY_MAGIC for x in names)
+    assert sorted(r.page_id for r in warc.read_archives(spark, f"{tmp_path}/a b").collect()) == [0, 1, 2, 3]
+    with pytest.raises(warc.ArchiveError, match="share"):  # archives of another run in the folder, or none of this one
+        warc.write_archives(df.limit(1).repartition(1), f"{tmp_path}/a b")
+
+
 def archive(records, dictionary=b"", compress=True):
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     pack = zstandard.ZstdCompressor(dict_data=shared)

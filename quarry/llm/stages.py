@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.llm import _words as W
@@ -14,8 +15,20 @@ from quarry.shipping import ship
 
 
 def row_id(df: DataFrame, id_col: str) -> Column:
-    """An orderable id for rows: null ids last, then the id, then a hash of all columns; equal only for equal rows."""
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*(F.col(c) for c in df.columns)).alias("h"))
+    """An orderable id for rows: null ids last, then the id, then a hash of all columns; equal only for equal rows. Maps are hashed as JSON, in the order of their entries."""
+    hashed = [F.to_json(c.name) if "map<" in c.dataType.simpleString() else F.col(c.name) for c in df.schema.fields]
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("h"))
+
+
+def _named(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def drop_low_quality(docs: DataFrame, model: classify.Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -62,26 +75,32 @@ def drop_contaminated(
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Of each component of near duplicates the row with the smallest id; texts without words have no duplicates.
 
-    Rows equal in all columns count as one row.
+    Rows equal in all columns count as one row, null ids come last, an empty table stays
+    empty, and columns may have any names.
     """
-    named = docs.withColumn("__row", row_id(docs, id_col))
-    groups = jaccard.near_duplicates(named.select("__row", text_col), id_col="__row", text_col=text_col, shingle=shingle, percent=percent)
-    return _joined(named, groups.where("__row = component_id").select("__row").distinct()).drop("__row", "__nth")
+    row, nth = _named(docs, "__row", "__nth")
+    named = docs.withColumn(row, row_id(docs, id_col))
+    groups = jaccard.near_duplicates(named.select(F.col(row).alias("__row"), F.col(text_col).alias("__said")), id_col="__row", text_col="__said", shingle=shingle, percent=percent)
+    return _joined(named, groups.where("__row = component_id").select(F.col("__row").alias(row)).distinct(), row, nth).drop(row, nth)
 
 
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
-    """Documents as often as the mix takes their words: whole copies, and one more by a seeded draw in the share of the rest."""
-    named = docs.withColumn("__row", row_id(docs, id_col))
-    taken = mix.mix(named.select("__row", text_col, source_col), id_col="__row", text_col=text_col, source_col=source_col, seed=seed, **options).where("taken > 0")
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "__row"), F.lit(1 << 30)) / float(1 << 30)
-    rest = (F.col("taken") % F.col("size")) / F.col("size")
-    copies = F.expr("taken div size") + F.when(draw < rest, 1).otherwise(0)
-    counted = written(taken.select("__row", copies.cast("int").alias("__copies")).groupBy("__row").agg(F.sum("__copies").cast("int").alias("__copies")).where("__copies > 0"), "copies")
-    return _joined(named, counted).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__nth", "__copies", "__copy")
+    """Documents as often as the mix takes them, whole: shards get integer quotas by Sainte-Laguë and fill them with documents in seeded order.
+
+    Texts without words take nothing and go; null sources are one source; rows equal in all
+    columns are taken as one row; an empty table stays empty; columns may have any names.
+    """
+    row, nth, copies = _named(docs, "__row", "__nth", "__copies")
+    named = docs.withColumn(row, row_id(docs, id_col))
+    few = named.select(F.col(row).alias("__row"), F.col(text_col).alias("__said"), F.col(source_col).alias("__from_source"))
+    # equal rows share an id, and a copy of theirs is as good as another's: each is mixed as often as it stands there
+    taken = mix.mix(few, id_col="__row", text_col="__said", source_col="__from_source", seed=seed, whole_documents=True, **options).where("taken > 0")
+    counted = taken.groupBy("__row").agg(F.sum(F.expr("taken div size")).cast("int").alias(copies)).withColumnRenamed("__row", row)
+    joined = _joined(named, written(counted, "copies"), row, nth)
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(row, nth, copies)
 
 
-def _joined(named: DataFrame, ids: DataFrame) -> DataFrame:
+def _joined(named: DataFrame, ids: DataFrame, row: str, nth: str) -> DataFrame:
     """Rows whose id is in ids, one of equal rows: the join sorts by id, so the window needs no sort of its own."""
-    joined = named.join(ids.hint("merge"), "__row")
-    return joined.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).where("__nth = 1")
-
+    joined = named.join(ids.hint("merge"), row)
+    return joined.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(F.col(nth) == 1)

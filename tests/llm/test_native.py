@@ -61,6 +61,88 @@ def check_mix(rows, blocks):
         assert abs(sum(r.taken for r in x) - want[s]) <= 2 * blocks + 0.01 * want[s]
 
 
+def sainte_lague(parties, seats, limit=None):
+    """Seats one at a time to the highest quotient of (order, votes) that has room."""
+    held = [0] * len(parties)
+    for _ in range(seats if sum(v for _, v in parties) else 0):
+        open_ = [i for i in range(len(parties)) if limit is None or held[i] < limit[i]]
+        if not open_:
+            break
+        held[min(open_, key=lambda i: (-parties[i][1] / (2 * held[i] + 1), parties[i][0]))] += 1
+    return held
+
+
+def naive_mix(spark, docs, *, rows_per_shard, block_words, shards_per_range, whole, seed=0):
+    """doc_id -> taken, by plain loops; only the hashes are Spark's."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", "source", "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text).alias("key")).withColumn("draw", F.xxhash64(F.lit(seed), F.lit("draw"), "key")).collect()
+    size = [len(re.findall(SPACED, r.text or "")) for r in rows]
+    by = defaultdict(list)
+    for i, r in enumerate(rows):
+        by[r.source].append(i)
+    target = naive_targets({s: sum(size[i] for i in x) for s, x in by.items()})
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    won = dict(zip(names, sainte_lague([(n, target[s]) for n, s in enumerate(names)], round(sum(target.values()))), strict=True))
+    half_up = lambda x: int(math.floor(x + 0.5))
+    taken, wanted = {}, []
+    for s in names:
+        total = sum(size[i] for i in by[s])
+        words = max(min(int(target[s] // 32), block_words), 1)
+        quota = half_up(won[s] * max(half_up(total / words), 1) / total) if total else 0
+        shards, held = max(-(-len(by[s]) // rows_per_shard), 1), defaultdict(list)
+        for i in by[s]:
+            held[((rows[i].key % (1 << 64)) >> 7) % shards].append(i)
+        weight = {h: sum(size[i] for i in x) for h, x in held.items()}
+        blocks = {h: max(half_up(w / words), 1) if w else 0 for h, w in weight.items()}
+        ranges = defaultdict(list)
+        for h in sorted(held):
+            ranges[h // shards_per_range].append(h)
+        order = sorted(ranges)
+        seats = sainte_lague([(g, sum(weight[h] for h in ranges[g])) for g in order], quota, [sum(2 * blocks[h] for h in ranges[g]) for g in order])
+        for g, n in zip(order, seats, strict=True):
+            for h, got in zip(ranges[g], sainte_lague([(h, weight[h]) for h in ranges[g]], n, [2 * blocks[h] for h in ranges[g]]), strict=True):
+                full, rest = divmod(got, blocks[h]) if blocks[h] else (0, 0)
+                at = 0
+                for i in sorted(held[h], key=lambda i: (rows[i].draw, rows[i].key) if whole else (rows[i].key, rows[i].doc_id, size[i])):
+                    taken[i] = full * size[i]
+                    if whole:
+                        taken[i] += size[i] * (rest > 0 and (at + size[i] / 2) * blocks[h] < rest * weight[h])
+                    elif rest:
+                        wanted.append((i, "" if s is None else "=" + s, h, rest, blocks[h], weight[h], at))
+                    at += size[i]
+    keys = sorted({(s, h, n) for _, s, h, _, n, _, _ in wanted})
+    drawn = defaultdict(list)
+    if keys:
+        table = spark.createDataFrame(keys, "s string, h long, n long").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        for r in table.select("s", "h", "b", F.xxhash64(F.lit(seed), "s", "h", "b").alias("x")).collect():
+            drawn[r.s, r.h].append((r.x, r.b))
+    for i, s, h, rest, n, total, at in wanted:
+        for _, b in sorted(drawn[s, h])[:rest]:
+            taken[i] += max(min((b + 1) * total // n, at + size[i]) - max(b * total // n, at), 0)
+    return Counter((rows[i].doc_id, n) for i, n in taken.items())
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_mix_against_plain_loops(spark, sf, whole):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(10**6, "a b c " * 9000, "tiny"), (10**6 + 1, "one", "z"), (10**6 + 2, None, None), (10**6 + 3, "w " * 77, None)], docs.schema)
+    docs = docs.unionByName(odd).cache()
+    for options in (dict(rows_per_shard=2000, block_words=64, shards_per_range=1000), dict(rows_per_shard=9, block_words=16, shards_per_range=3)):
+        got = Counter((r.doc_id, r.taken) for r in mix.mix(docs, whole_documents=whole, **options).collect())
+        assert got == naive_mix(spark, docs, whole=whole, **options)
+
+
+def test_apportion_with_limits(spark):
+    rng = random.Random(6)
+    for _ in range(4):
+        n = rng.randint(1, 9)
+        rows = [(i, rng.choice([0, 1, 5, 90]), 30, rng.choice([0, 2, 6, 40])) for i in range(n)]
+        got = {r.i: r.q for r in mix.apportion(spark.createDataFrame(rows, "i int, v long, seats long, most long"), group=[], votes="v", seats="seats", name="q", order=[F.col("i")], limit="most").collect()}
+        assert all(got[i] <= most for i, _, _, most in rows)
+        if sum(v for _, v, _, _ in rows):
+            assert sum(got.values()) == min(30, sum(most for *_, most in rows))
+
+
 def test_mix(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = mix.mix(docs).collect()

@@ -41,9 +41,9 @@ def test_stages_in_order(spark, sf):
             for r, n in kept.items():
                 got[r.source] += n * size[r.doc_id]
                 assert n <= 2
-            want = naive_targets(own)
-            total = sum(want.values())
-            assert abs(sum(got.values()) - total) < 0.15 * total
+            # a source of one shard misses its target by half a document and half a block at most
+            want, largest = naive_targets(own), {s: max(size[d] for d, r in rows.items() if r.source == s) for s in own}
+            assert all(abs(got[s] - want[s]) <= largest[s] / 2 + 64 for s in own)
         before = after
     last = pipeline.STAGES[-1][1](spark, before, sf).collect()
     assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in before.collect())
@@ -57,6 +57,21 @@ def test_run_is_repeatable(spark, sf):
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_clashing_and_map_columns(spark):
+    """Columns named as the stages' own, and ones that cannot be hashed as they stand, come through."""
+    names = ["__row", "__nth", "__copies", "__said", "__s", "__h", "__key", "size", "target", "taken", "digest", "component_id", "cluster", "shard"]
+    rows = [(i, f"{'ab'[i % 2]} one two three four five six {i // 4}", "en", "s", i, {"k": i}, [{"x": i}], *[str(i)] * len(names)) for i in range(8)]
+    schema = SCHEMA + ", m map<string,int>, a array<map<string,int>>, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    key = lambda r: r.doc_id
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    for f in (stages.keep_one_of_each, stages.take_mix, lambda d: stages.drop_contaminated(d, bench), lambda d: stages.drop_low_quality(d, classify.train(["a one"], [1]))):
+        out = f(docs)
+        assert out.schema == docs.schema
+        assert all(tuple(r) == rows[r.doc_id] for r in sorted(out.collect(), key=key))
+    assert pipeline.sharding(spark, docs, "").count() == 8
+
+
 def test_edges(spark, sf):
     a, b = "one two three four five six seven eight nine ten", "x y z " * 30
     data = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, a, "en", "s", 1), (None, b, "en", None, None), (None, None, None, None, 0), (4, "", None, "t", 0)]

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm._store import written
 
@@ -47,30 +48,52 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("n_repeat_words", repeated.cast("long")).drop("__words", "__lines", "__h", "__p", "__at")
 
 
-def _inverse(m: list[list[Column]], df: DataFrame, prefix: str) -> tuple[DataFrame, list[str]]:
-    """Columns of the inverse Cholesky factor of symmetric positive matrices, one a row of df."""
+def chi_square(x: float, k: int) -> float:
+    """Distribution function of the chi-square with k degrees of freedom, by the series of the lower incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    term = total = 2 / k
+    n = 0
+    while term > total * 1e-16:
+        n += 1
+        term *= x / 2 / (k / 2 + n)
+        total += term
+    return total * math.exp(-x / 2 + k / 2 * math.log(x / 2) - math.lgamma(k / 2))
+
+
+def chi_square_quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1e4
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, k) < p else (low, middle)
+    return high
+
+
+def _factor(df: DataFrame, cov) -> tuple[DataFrame, list[str]]:
+    """df with the inverse Cholesky factor (w00, ...) of the matrix cov(i, j), i >= j, of each row, and logdet of the matrix."""
     low: dict[tuple[int, int], str] = {}
     for i in range(_D):
         for j in range(i + 1):
-            total = m[i][j]
+            total = cov(i, j)
             for k in range(j):
                 total = total - F.col(low[i, k]) * F.col(low[j, k])
-            low[i, j] = f"{prefix}l{i}{j}"
+            low[i, j] = f"__l{i}{j}"
             df = df.withColumn(low[i, j], F.sqrt(F.greatest(total, F.lit(1e-12))) if i == j else total / F.col(low[j, j]))
-    names = []
-    inv: dict[tuple[int, int], str] = {}
     for i in range(_D):
         for j in range(i + 1):
             value = F.lit(1.0) if i == j else F.lit(0.0)
             for k in range(j, i):
-                value = value - F.col(low[i, k]) * F.col(inv[k, j])
-            inv[i, j] = f"{prefix}w{i}{j}"
-            df = df.withColumn(inv[i, j], value / F.col(low[i, i]))
-            names.append(inv[i, j])
-    return df.drop(*low.values()), names
+                value = value - F.col(low[i, k]) * F.col(f"w{k}{j}")
+            df = df.withColumn(f"w{i}{j}", value / F.col(low[i, i]))
+    df = df.withColumn("logdet", 2 * sum(F.ln(F.col(low[i, i])) for i in range(_D)))
+    return df.drop(*low.values()), [f"w{i}{j}" for i in range(_D) for j in range(i + 1)]
 
 
-def _distance(df: DataFrame) -> Column:
+_MEANS = [f"m{i}" for i in range(_D)]
+_COVS = [f"c{i}{j}" for i in range(_D) for j in range(i + 1)]
+
+
+def _distance() -> Column:
     """Squared Mahalanobis distance by the columns m0.. and w00.. of a row's group."""
     total = F.lit(0.0)
     for i in range(_D):
@@ -81,74 +104,121 @@ def _distance(df: DataFrame) -> Column:
     return total
 
 
-def _fit(rows: DataFrame, inner: Column, floor: float) -> DataFrame:
-    """Mean and inverse Cholesky factor of the covariance of each group's inner rows.
+def _fit(rows: DataFrame, inside: Column, floor: float) -> DataFrame:
+    """Mean, covariance and its factors of the rows inside, by group and start.
 
-    floor: a variance added to each axis, so that axes without spread stay regular.
+    Moments are rounded to nine digits after the point, so they do not depend on the order
+    in which partial sums meet. floor is added to each variance before it is factored.
     """
-    aggs = [F.count_if(inner).alias("n_inner")]
-    aggs += [F.avg(F.when(inner, F.col(f"z{i}"))).alias(f"m{i}") for i in range(_D)]
-    aggs += [F.covar_pop(F.when(inner, F.col(f"z{i}")), F.when(inner, F.col(f"z{j}"))).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)]
-    fitted = rows.groupBy("__group").agg(*aggs)
-    matrix = [[(F.col(f"c{i}{j}") if i >= j else F.col(f"c{j}{i}")) + (floor if i == j else 0.0) for j in range(_D)] for i in range(_D)]
-    fitted, names = _inverse(matrix, fitted, "")
-    return fitted.select("__group", *(f"m{i}" for i in range(_D)), *names)
+    z = [F.when(inside, F.col(f"z{i}")) for i in range(_D)]
+    aggs = [F.round(F.avg(z[i]), 9).alias(f"m{i}") for i in range(_D)]
+    aggs += [F.round(F.covar_pop(z[i], z[j]), 9).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)]
+    fitted = rows.groupBy("__group", "__start").agg(*aggs).where("m0 is not null")
+    fitted, factors = _factor(fitted, lambda i, j: F.col(f"c{i}{j}") + (floor if i == j else 0.0))
+    return fitted.select("__group", "__start", *_MEANS, *_COVS, *factors, "logdet")
+
+
+def _concentrate(rows: DataFrame, fits: DataFrame, inner: float, floor: float) -> DataFrame:
+    """One concentration step: fits to the inner share of each group's rows, those nearest by the fits before.
+
+    Which rows these are is read from exact counts of distances by steps of 1.6 %.
+    """
+    step = F.floor(F.ln(_distance() + 1e-6) * 64).cast("int")
+    near = rows.join(fits.select("__group", "__start", *_MEANS, *(c for c in fits.columns if c.startswith("w"))), ["__group", "__start"]).select("__group", "__start", *(f"z{i}" for i in range(_D)), step.alias("__step"))
+    counts = near.groupBy("__group", "__start", "__step").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("__group", "__start")
+    upto = F.sum("n").over(whole.orderBy("__step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(whole)).where(F.col("upto") >= inner * F.col("all")).groupBy("__group", "__start").agg(F.min("__step").alias("__edge"))
+    edge = written(edge, "edges")
+    return written(_fit(near.join(edge, ["__group", "__start"]), F.col("__step") <= F.col("__edge"), floor), "fit")
+
+
+def _quartiles(rows: DataFrame, floor: float) -> DataFrame:
+    """Start 0, of no covariances: medians of each group and axis, and quartile ranges, from exact counts by steps of 1/32."""
+    axes = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f"z{i}") * 32).alias("step")) for i in range(_D)))).alias("a")
+    counts = rows.select("__group", axes).groupBy("__group", F.col("a.i").alias("i"), F.col("a.step").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    axis = Window.partitionBy("__group", "i")
+    ranked = counts.withColumn("upto", F.sum("n").over(axis.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("n").over(axis))
+    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step"))) + 0.5) / 32
+    each = ranked.groupBy("__group", "i").agg(at(0.5).alias("m"), (1 / F.sqrt(((at(0.75) - at(0.25)) / 1.349) ** 2 + floor)).alias("w"))
+    of = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    whole = each.groupBy("__group").agg(*(of("m", i).alias(f"m{i}") for i in range(_D)), *((of("w", i) if i == j else F.max(F.lit(0.0))).alias(f"w{i}{j}") for i in range(_D) for j in range(i + 1)))
+    return whole.withColumn("__start", F.lit(0))
+
+
+def covariance_determinant(
+    rows: DataFrame, *, inner: float = 0.75, starts: int = 3, sample: int = 50, most_steps: int = 12, floor: float = 0.01, seed: int = 0,
+) -> DataFrame:
+    """Minimum covariance determinant of each group of rows(__group, __key, z0..): __group, m0.., c00.., logdet.
+
+    Starts are the rows about the coordinate-wise medians, by quartile ranges, and starts - 1
+    seeded samples of about sample rows, or half of a smaller group (rows by their hashed
+    __key). Each start concentrates twice; the one with the least
+    determinant goes on until no group's logarithm of it falls by 0.001, most_steps times at
+    most. All steps are grouped aggregates with partial sums, joined back as a row a group;
+    rows themselves never meet in a task. floor is a variance that each axis has in addition:
+    axes without spread stay regular.
+    """
+    sizes = written(rows.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")), "sizes")
+    every = rows.join(sizes, "__group").withColumn("__start", F.explode(F.array(*(F.lit(i) for i in range(starts)))))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "__start", "__key"), F.lit(1 << 30))
+    drawn = _fit(every.where("__start > 0"), draw * F.col("__n") < F.least(F.lit(float(sample)), F.col("__n") / 2) * float(1 << 30), floor)
+    fits = written(drawn.unionByName(_quartiles(rows, floor), allowMissingColumns=True), "fit")
+    for _ in range(2):
+        fits = _concentrate(every, fits, inner, floor)
+    best = fits.groupBy("__group").agg(F.min(F.struct("logdet", "__start")).alias("b")).select("__group", F.col("b.__start").alias("__start"))
+    now = written(fits.join(best, ["__group", "__start"]).withColumn("__start", F.lit(0)), "best")
+    one = rows.withColumn("__start", F.lit(0))
+    for _ in range(most_steps):
+        new = _concentrate(one, now, inner, floor)
+        fall = now.select("__group", F.col("logdet").alias("before")).join(new, "__group").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        now = new
+        if fall is None or fall < 1e-3:
+            break
+    return now.select("__group", *_MEANS, *_COVS, "logdet")
 
 
 def robust_outliers(
-    rows: DataFrame, vector: list[Column], group: Column, fallback: Column, *, inner: float = 0.75, steps: int = 3, cutoff: float = 130.0,
-    floor: float = 2.5e-3, least_rows: int = 200, accuracy: int = 1000,
+    rows: DataFrame, vector: list[Column], group: Column, fallback: Column, *, inner: float = 0.75, rate: float = 1e-4, floor: float = 0.01, prior: float = 100.0, seed: int = 0, **options,
 ) -> DataFrame:
-    """rows with d2, the squared robust Mahalanobis distance in the row's group, and outlier (d2 above cutoff).
-
-    Concentration steps of the minimum covariance determinant: the first inner set of
-    each group are the rows nearest its coordinate-wise medians in units of median
-    absolute deviations; each step fits mean and covariance to the inner set, and the
-    rows within the inner quantile of distances are the next. The last covariance is
-    scaled so that the median distance is that of a chi-square with as many degrees of
-    freedom. A group with fewer than least_rows rows is judged by its fallback group,
-    of all rows that share it. All steps are grouped aggregates with partial sums and
-    quantile sketches (accuracy: ranks to one in accuracy), joined back as one row a
-    group; rows themselves never meet in a task.
+    """rows with d2, the squared robust Mahalanobis distance, and outlier (beyond the chi-square quantile that a share of rate of normal rows passes).
+
+    Estimates are minimum covariance determinants, see covariance_determinant(), made
+    consistent for normal rows by the usual factor. A group's estimate is drawn towards that
+    of its fallback group by n / (n + prior) of n rows, mean and covariance alike, so no
+    number of rows switches between the two and a verdict changes only as smoothly as the
+    estimates do. floor: the least variance that a difference on an axis is measured by.
     """
-    base = rows.withColumns({f"z{i}": x.cast("double") for i, x in enumerate(vector)}).withColumns({"__fine": group, "__coarse": fallback})
-    # tables of a row a group are files, so their size is known: small ones are broadcast, and hot groups stay where they are
-    sizes = written(base.groupBy("__fine").agg(F.count(F.lit(1)).alias("__n")), "sizes")
-    base = base.join(sizes, "__fine")
-    # rows of small groups are measured in their fallback group, whose estimate takes all its rows
-    both = base.withColumn("__group", F.explode(F.when(F.col("__n") >= least_rows, F.array(F.struct(F.col("__fine").alias("g"), F.lit(True).alias("own")), F.struct(F.col("__coarse").alias("g"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("__coarse").alias("g"), F.lit(True).alias("own"))))))
-    both = both.withColumn("__own", F.col("__group.own")).withColumn("__group", F.col("__group.g")).drop("__fine", "__coarse", "__n")
     z = [f"z{i}" for i in range(_D)]
-    centre = both.groupBy("__group").agg(*(F.percentile_approx(c, 0.5, accuracy).alias(f"c_{c}") for c in z))
-    near = both.join(written(centre, "centre"), "__group")
-    spread = near.groupBy("__group").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{c}")), 0.5, accuracy).alias(f"s_{c}") for c in z))
-    start = near.join(written(spread, "spread"), "__group")
-    d2 = sum(((F.col(c) - F.col(f"c_{c}")) / (1.4826 * F.col(f"s_{c}") + math.sqrt(floor))) ** 2 for c in z)
-    now = start.withColumn("d2", d2).select(*both.columns, "d2")
-    for _ in range(steps):
-        edge = now.groupBy("__group").agg(F.percentile_approx("d2", inner, accuracy).alias("__edge"))
-        edge = written(edge, "edges")
-        fitted = written(_fit(now.join(edge, "__group"), F.col("d2") <= F.col("__edge"), floor), "fit")
-        now = both.join(fitted, "__group").withColumn("d2", _distance(both)).select(*both.columns, "d2")
-    # median of a chi-square with _D degrees of freedom (Wilson-Hilferty)
-    median = _D * (1 - 2 / (9 * _D)) ** 3
-    scale = written(now.groupBy("__group").agg((F.percentile_approx("d2", 0.5, accuracy) / median).alias("__scale")), "scale")
-    out = now.where("__own").join(scale, "__group").withColumn("d2", F.col("d2") / F.greatest("__scale", F.lit(1.0)))
-    return out.withColumn("outlier", F.col("d2") > cutoff).drop("__group", "__own", "__scale", *z)
+    # zero has one sign: equal rows get equal hashes
+    base = rows.withColumns({f"z{i}": x.cast("double") + 0.0 for i, x in enumerate(vector)}).withColumns({"__fine": group, "__coarse": fallback})
+    both = base.select(F.explode(F.array("__fine", "__coarse")).alias("__group"), *z, F.xxhash64(*z).alias("__key"))
+    fits = covariance_determinant(written(both, "vectors"), inner=inner, floor=floor, seed=seed, **options)
+    consistent = inner / chi_square(chi_square_quantile(inner, _D), _D + 2)
+    groups = base.groupBy("__fine").agg(F.min("__coarse").alias("__coarse"), F.count(F.lit(1)).alias("__n"))
+    pick = lambda side: fits.select(F.col("__group").alias(f"__{side}"), *(F.col(c).alias(f"__{side}_{c}") for c in (*_MEANS, *_COVS)))
+    pairs = groups.join(pick("fine"), "__fine").join(pick("coarse"), "__coarse").withColumn("__a", F.col("__n") / (F.col("__n") + prior))
+    between = lambda c: F.col("__a") * F.col(f"__fine_{c}") + (1 - F.col("__a")) * F.col(f"__coarse_{c}")
+    cov = lambda i, j: consistent * between(f"c{i}{j}") + (floor if i == j else 0.0)
+    drawn, factors = _factor(pairs.withColumns({f"m{i}": between(f"m{i}") for i in range(_D)}), cov)
+    drawn = written(drawn.select("__fine", *_MEANS, *factors), "estimates")
+    out = base.join(drawn, "__fine").withColumn("d2", _distance())
+    return out.withColumn("outlier", F.col("d2") > chi_square_quantile(1 - rate, _D)).drop("__fine", "__coarse", *z, *_MEANS, *factors)
 
 
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_words: int = 50, cutoff: float = 130.0,
+    min_words: int = 50, rate: float = 1e-4,
 ) -> DataFrame:
     """Base statistics of each text, base rules, and the robust-outlier verdict per language and source.
 
     Words are runs of anything but blank, tab, line feed, vertical tab, form feed and
     carriage return. base_failed: fewer than min_words words, or more than half of the
     words in windows of three words that occur twice or more. Rows that pass are
-    transformed (log of words, mean word length, and roots of the shares of symbols,
-    duplicate lines and repeated words) and judged by robust_outliers() in their
-    language and source; kept is false for outliers and for rows that failed.
+    transformed (log of words, mean word length, roots of symbols and of duplicate lines a
+    word, and the share of repeated words) and judged by robust_outliers() in their
+    language and source; kept is false for outliers and for rows that failed. rate: the share
+    of rows without fault that a normal distribution would have rejected.
 
     Null texts count as empty, so they fail; null languages and sources are groups of
     their own; repeated rows are judged alike, each in a row of its own; an empty table
@@ -162,11 +232,11 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = written(rows.withColumn("base_failed", failed), "statistics")
     share = lambda c: F.sqrt(F.col(c) / F.greatest(F.col("n_words"), F.lit(1)))
-    vector = [F.ln(F.col("n_words") + 1.0), F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words")]
+    vector = [F.ln(F.col("n_words") + 1.0), F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), share("n_symbols"), share("n_dup_lines"), F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))]
     key = lambda *cs: F.concat(*(F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in cs))
     lang, source = F.col("__lang"), F.col("__source")
     fine, coarse = F.concat(F.length(key(lang)).cast("string"), key(lang), key(source)), F.concat(F.lit("*"), key(lang))
-    judged = robust_outliers(rows.where(~F.col("base_failed")), vector, fine, coarse, cutoff=cutoff)
+    judged = robust_outliers(rows.where(~F.col("base_failed")), vector, fine, coarse, rate=rate)
     out = ["__id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = judged.select(*out, (~F.col("outlier")).alias("kept"), "d2")
     rest = rows.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,71 @@ def test_rules_on_whole_table(spark, sf):
     assert noisy and not any(r.kept for r in noisy)
 
 
+def naive_verdicts(spark, rows, inner=0.75, starts=3, sample=50, floor=0.01, prior=100, rate=1e-4):
+    """kept and d2 of rows(doc_id, lang, source, statistics) by plain NumPy; only the hashes that draw the starts are Spark's."""
+    rows = [r for r in rows if not r["base_failed"]]
+    z = np.array([[math.log(r["n_words"] + 1), r["word_chars"] / r["n_words"], math.sqrt(r["n_symbols"] / r["n_words"]), math.sqrt(r["n_dup_lines"] / r["n_words"]), r["n_repeat_words"] / r["n_words"]] for r in rows])
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(z.tolist())], "i int, z0 double, z1 double, z2 double, z3 double, z4 double").withColumn("k", F.xxhash64("z0", "z1", "z2", "z3", "z4"))
+    draws = {r.i: r.d for r in table.select("i", F.array(*(F.pmod(F.xxhash64(F.lit(0), F.lit(s), "k"), F.lit(1 << 30)) for s in range(starts))).alias("d")).collect()}
+    draws = np.array([draws[i] for i in range(len(rows))])
+    eye = np.eye(5) * floor
+    moments = lambda x: (x.mean(axis=0).round(9), np.cov(x.T, bias=True).round(9))
+    far = lambda x, m, c: ((np.linalg.solve(np.linalg.cholesky(c + eye), (x - m).T)) ** 2).sum(axis=0)
+
+    def nearest(x, d2):
+        step = np.floor(np.log(d2 + 1e-6) * 64)
+        return moments(x[step <= np.sort(step)[math.ceil(inner * len(x)) - 1]])
+
+    def concentrate(x, fit):
+        return nearest(x, far(x, *fit))
+
+    def central(x):
+        low, middle, high = ((np.sort(np.floor(x * 32), axis=0)[math.ceil(q * len(x)) - 1] + 0.5) / 32 for q in (0.25, 0.5, 0.75))
+        return nearest(x, ((x - middle) ** 2 / (((high - low) / 1.349) ** 2 + floor)).sum(axis=1))
+
+    logdet = lambda fit: np.linalg.slogdet(fit[1] + eye)[1]
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[r["lang"], r["source"]].append(i)
+        groups[r["lang"],].append(i)
+    best = {}
+    for g, at in groups.items():
+        inside = [draws[at][:, s] * len(at) < min(sample, len(at) / 2) * (1 << 30) for s in range(1, starts)]
+        fits = [central(z[at])] + [concentrate(z[at], moments(z[at][x])) for x in inside if x.any()]
+        fits = [concentrate(z[at], f) for f in fits]
+        best[g] = min(fits, key=logdet)
+    for _ in range(12):  # all groups go on until none falls
+        new = {g: concentrate(z[at], best[g]) for g, at in groups.items()}
+        fall = max(logdet(best[g]) - logdet(new[g]) for g in groups)
+        best = new
+        if fall < 1e-3:
+            break
+    q = lambda p, k: rules.chi_square_quantile(p, k)
+    consistent = inner / rules.chi_square(q(inner, 5), 7)
+    out = {}
+    for (lang, *source), at in groups.items():
+        if source:
+            (m, c), (n, d), a = best[lang, source[0]], best[lang,], len(at) / (len(at) + prior)
+            for i, x in zip(at, far(z[at], a * m + (1 - a) * n, consistent * (a * c + (1 - a) * d)), strict=True):
+                out[rows[i]["doc_id"]] = (x <= q(1 - rate, 5), x)
+    return out
+
+
+def test_verdicts_against_plain_determinants(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+    judged = rules.quality_rules(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    want = naive_verdicts(spark, judged)
+    assert {r.doc_id: r.kept for r in judged} == {r.doc_id: bool(want.get(r.doc_id, (False,))[0]) for r in judged}
+    assert all(abs(r.d2 - want[r.doc_id][1]) < 1e-5 * (1 + r.d2) for r in judged if r.d2 is not None)
+    again = rules.quality_rules(docs.repartition(5)).select("doc_id", "kept", "d2").collect()
+    assert sorted((r.doc_id, r.kept, r.d2) for r in judged if r.d2 is not None) == sorted(tuple(r) for r in again if r.d2 is not None)
+
+
+def test_chi_square():
+    assert abs(rules.chi_square_quantile(0.95, 2) + 2 * math.log(0.05)) < 1e-9
+    assert abs(rules.chi_square(3.0, 1) - math.erf(math.sqrt(1.5))) < 1e-12 and abs(rules.chi_square_quantile(0.999, 5) - 20.515) < 1e-3
+
+
 def test_rules_edges(spark):
     rng = random.Random(1)
     texts = [None, "", "\n\n", "a b", "x y z x y z x y", "a a a a", "É𝄞 #*<>| \x1c b\x0bc", "l 1\nl 1\n \nl 1", "w " * 5000, " ".join(rng.choice("abc") for _ in range(400))]

@@ -35,17 +35,20 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     """
     df = docs.withColumns(statistics(F.col(text_col)))
     df = df.withColumn("n_words", F.size("__words").cast("long")).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    zipped = F.slice(F.arrays_zip(F.col("__words").alias("a"), F.expr("slice(__words, 2, size(__words))").alias("b"), F.expr("slice(__words, 3, size(__words))").alias("c")), F.lit(1), F.greatest(F.size("__words") - 2, F.lit(0)))
-    df = df.withColumn("__h", F.transform(zipped, lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
+    at = lambda i: F.get("__words", i)
+    hashes = F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+    df = df.withColumn("__h", F.when(F.size("__words") > 2, hashes).otherwise(F.array().cast("array<bigint>")))
+    # places are told apart only where a cheaper count shows that something repeats
+    df = df.withColumn("__some", F.size(F.array_distinct("__h")) < F.size("__h"))
     pairs = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("__p", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), pairs).otherwise(F.slice(pairs, 1, 0)))
+    df = df.withColumn("__p", F.when(F.col("__some"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     before, after = F.expr("slice(__p, 1, size(__p) - 1)"), F.expr("slice(__p, 2, size(__p))")
     same = F.zip_with(before, after, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
     places = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
     df = df.withColumn("__at", F.when(F.size("__p") > 1, places).otherwise(F.array().cast("array<int>")))
     gaps = F.zip_with(F.expr("slice(__at, 1, size(__at) - 1)"), F.expr("slice(__at, 2, size(__at))"), lambda x, y: F.least(y - x, F.lit(3)))
     repeated = F.when(F.size("__at") > 1, F.aggregate(gaps, F.lit(3), lambda n, x: n + x)).when(F.size("__at") == 1, F.lit(3)).otherwise(0)
-    return df.withColumn("n_repeat_words", repeated.cast("long")).drop("__words", "__lines", "__h", "__p", "__at")
+    return df.withColumn("n_repeat_words", repeated.cast("long")).drop("__words", "__lines", "__h", "__some", "__p", "__at")
 
 
 def chi_square(x: float, k: int) -> float:

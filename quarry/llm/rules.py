@@ -128,7 +128,8 @@ def _concentrate(rows: DataFrame, fits: DataFrame, inner: float, floor: float) -
     """
     step = F.floor(F.ln(_distance() + 1e-6) * 64).cast("int")
     near = rows.join(fits.select("__group", "__start", *_MEANS, *(c for c in fits.columns if c.startswith("w"))), ["__group", "__start"]).select("__group", "__start", *(f"z{i}" for i in range(_D)), step.alias("__step"))
-    counts = near.groupBy("__group", "__start", "__step").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that windows meet a row a step: planned in one go, they would take in each task's partial counts of a hot group
+    counts = written(near.groupBy("__group", "__start", "__step").agg(F.count(F.lit(1)).alias("n")), "counts")
     whole = Window.partitionBy("__group", "__start")
     upto = F.sum("n").over(whole.orderBy("__step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(whole)).where(F.col("upto") >= inner * F.col("all")).groupBy("__group", "__start").agg(F.min("__step").alias("__edge"))
@@ -139,7 +140,7 @@ def _concentrate(rows: DataFrame, fits: DataFrame, inner: float, floor: float) -
 def _quartiles(rows: DataFrame, floor: float) -> DataFrame:
     """Start 0, of no covariances: medians of each group and axis, and quartile ranges, from exact counts by steps of 1/32."""
     axes = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f"z{i}") * 32).alias("step")) for i in range(_D)))).alias("a")
-    counts = rows.select("__group", axes).groupBy("__group", F.col("a.i").alias("i"), F.col("a.step").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(rows.select("__group", axes).groupBy("__group", F.col("a.i").alias("i"), F.col("a.step").alias("step")).agg(F.count(F.lit(1)).alias("n")), "counts")
     axis = Window.partitionBy("__group", "i")
     ranked = counts.withColumn("upto", F.sum("n").over(axis.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("n").over(axis))
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step"))) + 0.5) / 32

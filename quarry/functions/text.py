@@ -13,6 +13,7 @@ STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "has", "have", "how", "in", "is", "it", "its", "of", "on", "or",
     "that", "the", "this", "to", "was", "what", "which", "who", "with",
 )
+# Technique and vulnerability ids, citation markers, Markdown targets.
 TECHNIQUE = r"\bT\d{4}(?:\.\d{3})?\b"
 CVE = r"(?i)CVE-\d{4}-\d{4,7}"
 MARKER = r"\[(\d{1,2})\]"
@@ -58,7 +59,8 @@ def markdown_urls(text: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """The host that an address leads to, lower case: after the last @ of what stands before the path (a backslash begins one), without a port."""
+    return F.lower(F.regexp_extract(url, r"^[^:/?#\\]+://(?:[^/?#\\]*@)?(\[[^\]]*\]|[^/?#\\:@]*)", 1))
 
 
 def section(heading: str, body: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,7 @@ from quarry.shipping import ship
 
 # Where a text is parted, from coarse to fine.
 SEPARATORS = ("\n## ", "\n\n", "\n", ". ", " ")
+SECTION = re.compile(r"^(?=## )", re.MULTILINE)
 
 
 def fixed_pieces(said: Column, size: int, overlap: int) -> Column:
@@ -23,76 +26,55 @@ def fixed_pieces(said: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.substring(said, i + 1, F.lit(size)))
 
 
-def _packed(units: list[str], joiner: str, size: int, overlap: int) -> Iterator[str]:
-    """Runs of units of at most size characters, joiners included; a run begins with the tail of the one before that fits overlap."""
+def _runs(lengths: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of units, each with what its joiner adds: as many from a range's start as fit size, one new one at least.
+
+    Sums up to each unit are ascending, so where a range ends, and how far back from there
+    the next one begins (whole units, as many as fit overlap), are two searches in them.
+    """
+    sums = [0, *itertools.accumulate(lengths)]
     start = end = 0
-    taken = 0
-    while end < len(units):
-        cost = len(units[end]) + len(joiner)
-        if end > start and taken + cost > size:
-            yield joiner.join(units[start:end])
-            kept, tail = 0, end
-            while tail > start and kept + len(units[tail - 1]) <= overlap:
-                tail -= 1
-                kept += len(units[tail]) + len(joiner)
-            start, taken = tail, kept
-        taken += cost
-        end += 1
-    if end > start:
-        yield joiner.join(units[start:end])
+    while end < len(lengths):
+        end = max(end + 1, bisect.bisect_right(sums, sums[start] + size) - 1)
+        yield start, end
+        start = max(start, min(end, bisect.bisect_left(sums, sums[end] - overlap)))
+
+
+def _finer(piece: str, separator: str, size: int, overlap: int) -> list[str]:
+    """A piece that is too long in ranges of its units, if separator parts it at all."""
+    units = [u for u in piece.split(separator) if u.strip()]
+    if len(piece) <= size or len(units) < 2:
+        return [piece]
+    joined = (separator.join(units[a:b]) for a, b in _runs([len(u) + len(separator) for u in units], size, overlap + len(separator)))
+    return [x if len(x) <= size else x.strip() for x in joined]
 
 
 def recursive_pieces(said: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most size characters, parted at the coarsest separator that helps and only finer ones within a piece."""
-    done: list[str] = []
-    todo: list[tuple[str, int]] = [(said, 0)]
-    while todo:
-        piece, level = todo.pop()
-        if level >= 0:
-            piece = piece.strip()
-        if len(piece) <= size:
-            if piece:
-                done.append(piece)
-            continue
-        for i in range(level, len(SEPARATORS)):
-            units = [u for u in piece.split(SEPARATORS[i]) if u.strip()]
-            if len(units) > 1:
-                inner = [(p, i + 1) for p in _packed(units, SEPARATORS[i], size, overlap)]
-                # pieces that fit stay as they are, unstripped
-                todo += reversed([(p, -1) if len(p) <= size else (p, j) for p, j in inner])
-                break
-        else:
-            step = max(size - overlap, 1)
-            done += [piece[i : i + size] for i in range(0, len(piece), step)]
-    return done
+    """Pieces of at most size characters: in one pass for each separator, coarse ones first, whatever is still too long is parted; windows at last."""
+    pieces = [said.strip()]
+    for separator in SEPARATORS:
+        pieces = [x for piece in pieces for x in _finer(piece, separator, size, overlap)]
+    stride = max(size - overlap, 1)
+    windows = lambda x: [x] if len(x) <= size else [x[i : i + size] for i in range(0, len(x), stride)]
+    return [x for piece in pieces if piece for x in windows(piece)]
 
 
 def structural_pieces(said: str, size: int, overlap: int) -> list[str]:
-    """A piece for each `## ` section under the text's head; longer sections are parted further, each part under the head."""
-    cuts = [m.start() for m in re.finditer(r"^## ", said, re.MULTILINE)]
-    if not cuts:
+    """A piece for each `## ` section, under what stands before the first; a section that is too long there is parted, each part under the same."""
+    head, *sections = SECTION.split(said)
+    if not sections:
         return recursive_pieces(said, size, overlap)
-    head = said[: cuts[0]].strip()
-    under = (lambda x: f"{head}\n\n{x}") if head else (lambda x: x)
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(said)], strict=True):
-        part = said[a:b].strip()
-        out += [under(part)] if len(under(part)) <= size else [under(x) for x in recursive_pieces(part, size, overlap)]
-    return out
+    lead = head.strip() and head.strip() + "\n\n"
+    parted = lambda x: [x] if len(lead) + len(x) <= size else recursive_pieces(x, size, overlap)
+    return [lead + piece for section in sections for piece in parted(section.strip())]
 
 
 def passages(said: str, max_chars: int) -> list[str]:
     """Whole words packed greedily into passages of at most max_chars (a longer word stands alone)."""
     if max_chars <= 0:
         raise ValueError("max_chars must be positive")
-    out, line = [], ""
-    for word in said.split():
-        if line and len(line) + 1 + len(word) > max_chars:
-            out.append(line)
-            line = word
-        else:
-            line = f"{line} {word}" if line else word
-    return [*out, line] if line else out
+    words = said.split()
+    return [" ".join(words[a:b]) for a, b in _runs([len(w) + 1 for w in words], max_chars + 1, 0)]
 
 
 def _udf(split: Callable[..., list[str]], *options) -> Callable[[Column], Column]:

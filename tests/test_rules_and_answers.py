@@ -49,6 +49,18 @@ def test_egress(spark):
     assert r.stripped_urls == ["old", "http://e.org/p?q", "http://ok.com.evil.org"]
 
 
+def test_egress_is_one_rule(spark):
+    """A link about an image is parted as one Markdown pass parts it, whether or not hosts are allowed."""
+    said = ["[![alt](http://img)](http://evil)", "![a](https://x.org/p) and [b](http://u:p@ok.com:8/)", "http://evil\\\\@ok.com/", "https://OK.com.evil.org [c](https://sub.ok.com)", None, "[]() no"]
+    df = spark.createDataFrame([(x, []) for x in said], "text string, stripped_urls array<string>")
+    none, some = ([(r.text, r.stripped_urls) for r in rules.egress_filter(df, hosts).collect()] for hosts in ((), (".ok.com",)))
+    assert none[0] == some[0] == ("![alt](http://evil)", ["http://img"])
+    assert none[1] == ("[image: a] and b", ["https://x.org/p", "http://u:p@ok.com:8/"]) and some[1] == ("[image: a] and [b](http://u:p@ok.com:8/)", ["https://x.org/p"])
+    assert none[2][0] == some[2][0] == "[link removed]"
+    assert some[3] == ("[link removed] [c](https://sub.ok.com)", ["https://OK.com.evil.org"])
+    assert none[4] == some[4] == ("", []) and none[5] == some[5] == ("[]() no", [])
+
+
 def answered(spark, text, hits):
     asked = spark.createDataFrame([(1, "q"), (2, "nothing")], "query_id int, question string")
     return answers.answer(asked, spark.createDataFrame(hits, HIT), generate=lambda q, c: F.lit(text))

@@ -100,7 +100,8 @@ def test_pages(spark):
     assert got == {"d": "The credential was\nTHREAT\n\nsame same\nsame same\n\nlast HTTP ll line", "e": ""}
     with pytest.raises(Exception, match="too little text"):
         pages.clean(df, least_per_page=200).collect()
-    assert pages.undouble("aabb") == "aabb" and pages.undouble("AA BB CC!") == "A B C!" and pages.undouble("aabbcd") == "aabbcd"
+    doubled = spark.createDataFrame([(x,) for x in ("aabb", "AA BB CC!", "aabbcd", "aabbccc", "éé22 ßß--", "")], "line string")
+    assert [r[0] for r in doubled.select(pages.undoubled(F.col("line"))).collect()] == ["aabb", "A B C!", "aabbcd", "aabbccc", "é2 ß-", ""]
 
 
 def test_selection_and_samples(spark):

@@ -15,13 +15,14 @@ def by_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def gold_set(edges: DataFrame, *, least: int = 3, most: int = 8, limit: int = 200, seed: int = 1337) -> DataFrame:
-    """edges(group_id, group_name, tactic, technique) -> id, question, relevant, tags: pairs of group and tactic with least to most techniques, limit of them by seeded hash."""
+def gold_set(edges: DataFrame, *, least: int = 3, most: int = 8, limit: int | None = 200, seed: int = 1337) -> DataFrame:
+    """edges(group_id, group_name, tactic, technique) -> id, question, relevant, tags: pairs of group and tactic with least to most techniques, limit of them by seeded hash (None: all)."""
     pairs = edges.where(F.coalesce(F.col("tactic"), F.lit("unspecified")) != "unspecified").groupBy("group_id", "tactic").agg(F.first("group_name").alias("name"), F.array_sort(F.collect_set("technique")).alias("relevant"))
     kept = pairs.where(F.size("relevant").between(least, most)).withColumn("id", F.concat_ws(":", "group_id", "tactic"))
     asked = F.concat(F.lit("Which "), F.translate("tactic", "-", " "), F.lit(" techniques does "), "name", F.lit(" use?"))
     tags = F.create_map(F.lit("group"), F.col("group_id").cast("string"), F.lit("group_name"), F.col("name").cast("string"), F.lit("tactic"), F.col("tactic"))
-    return kept.orderBy(by_hash(F.col("id"), seed), "id").limit(limit).select("id", asked.alias("question"), "relevant", tags.alias("tags"))
+    kept = kept if limit is None else kept.orderBy(by_hash(F.col("id"), seed), "id").limit(limit)
+    return kept.select("id", asked.alias("question"), "relevant", tags.alias("tags"))
 
 
 def gold_refs(gold: DataFrame) -> DataFrame:

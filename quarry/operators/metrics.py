@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.functions import text
 from quarry.functions.vectors import cosine
+from quarry.operators.answers import ungrounded_ids
 from quarry.shipping import ship
 
 
@@ -49,22 +53,48 @@ def macro(per_query: DataFrame, *by: str) -> DataFrame:
     return per_query.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), mean("recall"), mean("precision"), mean("rr"), mean("ndcg"), F.coalesce(F.avg((F.col("rr") > 0).cast("double")), F.lit(0.0)).alias("hit_rate"))
 
 
-def _grams(tokens, n: int):
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def _clipped(orders: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, candidate tokens, reference tokens) as a row for each key and order, with clipped and whole n-gram counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            sizes = [batch.column(i).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)]
+            words = pa.concat_arrays([batch.column(i).flatten() for i in (1, 2)]).dictionary_encode()
+            word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.concatenate(sizes)
+            text = np.repeat(np.arange(2 * rows), size)  # texts by side, then row
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(word))  # words from here to the text's end
+            gram, at = word, np.arange(len(word))
+            out = []
+            for n in range(1, orders + 1):
+                if n > 1:
+                    at = at[left[at] >= n]
+                    _, new = np.unique(gram[at] * (len(words.dictionary) + 1) + word[at + n - 1], return_inverse=True)
+                    gram = gram.copy()
+                    gram[at] = new
+                wide = int(gram[at].max(initial=0)) + 1
+                place, inverse = np.unique(text[at] % rows * wide + gram[at], return_inverse=True)
+                side = [np.bincount(inverse[x], minlength=len(place)) for x in (text[at] < rows, text[at] >= rows)]
+                both = np.bincount(place // wide, weights=np.minimum(*side), minlength=rows).astype(np.int64)
+                out.append((both, *(np.maximum(s - n + 1, 0) for s in sizes)))
+            order = pa.array(np.repeat(np.arange(1, orders + 1), rows), pa.int32())
+            columns = [pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0)] * orders), order, *columns], names=["key", "n", "both", "n_candidate", "n_reference"])
+
+    return run
 
 
 def overlaps(pairs: DataFrame, orders: int = 4) -> DataFrame:
-    """pairs(key, candidate, reference) -> key, n, both, n_candidate, n_reference: clipped n-gram counts per order."""
-    tokens = pairs.select("key", text.plain_tokens(F.col("candidate")).alias("c"), text.plain_tokens(F.col("reference")).alias("r"))
-    sides = []
-    for n in range(1, orders + 1):
-        for side, sign in (("c", 1), ("r", 0)):
-            sides.append(tokens.select("key", F.lit(n).alias("n"), F.lit(sign).alias("side"), F.explode_outer(_grams(F.col(side), n)).alias("gram")))
-    rows = sides[0]
-    for s in sides[1:]:
-        rows = rows.unionByName(s)
-    counts = rows.groupBy("key", "n", "gram").agg(F.count(F.when((F.col("side") == 1) & F.col("gram").isNotNull(), 1)).alias("c"), F.count(F.when((F.col("side") == 0) & F.col("gram").isNotNull(), 1)).alias("r"))
-    return counts.groupBy("key", "n").agg(F.sum(F.least("c", "r")).alias("both"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference"))
+    """pairs(key, candidate, reference) -> key, n, both, n_candidate, n_reference: clipped n-gram counts per order.
+
+    A pair is counted where it stands, so texts never move; null texts have no tokens, and
+    rows of one key are pairs of their own.
+    """
+    ship(pairs.sparkSession)
+    tokens = pairs.select("key", *(F.coalesce(text.plain_tokens(F.col(c)), F.array().cast("array<string>")).alias(c) for c in ("candidate", "reference")))
+    kinds = T.StructType([T.StructField("key", pairs.schema["key"].dataType), T.StructField("n", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("both", "n_candidate", "n_reference"))])
+    return tokens.mapInArrow(_clipped(orders), kinds)
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:
@@ -132,8 +162,9 @@ def paired_delta(pairs: DataFrame, *by: str, resamples: int = 10_000, confidence
 
     def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values("question_id", kind="stable")["__d"].to_numpy()
-        picks = np.random.default_rng(seed).integers(0, len(d), size=(resamples, len(d)))
-        low, high = np.percentile(d[picks].mean(axis=1), [50 * (1 - confidence), 100 - 50 * (1 - confidence)])
+        rng, step = np.random.default_rng(seed), max(1, (1 << 22) // len(d))
+        means = np.concatenate([d[rng.integers(0, len(d), size=(min(step, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, step)])
+        low, high = np.percentile(means, [50 * (1 - confidence), 100 - 50 * (1 - confidence)])
         return pd.DataFrame([[*key, len(d), d.mean(), low, high, int((d < 0).sum()), int((d > 0).sum())]])
 
     return checked.select(*by, "question_id", "__d").groupBy(*by).applyInPandas(compare, kinds)
@@ -148,7 +179,7 @@ def finding_rule(deltas: DataFrame, *by: str) -> DataFrame:
 def answer_scores(answers: DataFrame, *by: str) -> DataFrame:
     """answers(refused, text, relevant, evidence, unsupported) by group: on_target, refusal and recall rates, shares of ungrounded ids and unsupported citations."""
     rows = answers.withColumn("named", F.filter("relevant", lambda r: F.contains(F.col("text"), r))).withColumn("ids", text.technique_ids(F.col("text")))
-    rows = rows.withColumn("loose", F.filter("ids", lambda i: ~F.exists("evidence", lambda e: (e == i) | F.startswith(e, F.concat(i, F.lit("."))))))
+    rows = rows.withColumn("loose", ungrounded_ids(F.col("text"), F.col("evidence")))
     hit = (~F.col("refused")) & (F.size("named") > 0)
     recall = F.when(F.col("refused") | (F.size("relevant") == 0), 0.0).otherwise(F.size("named") / F.size("relevant"))
     return rows.groupBy(*by).agg(

@@ -27,7 +27,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
     ids, rows = [], []
-    for r in queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True):
+    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator(prefetchPartitions=True):
         ids.append(r[0])
         rows.append(r[1])
         if len(ids) == size:
@@ -43,10 +43,10 @@ def dense_topk(
     """The k vectors nearest each query: query_id, rank, chunk_id, score. Ties go to the smaller chunk id.
 
     queries(query_id, embedding) is the query set: it is taken in blocks, each sent to
-    all executors. Rows that the principal may not read are filtered first. Each batch
-    of vectors (chunk_id, embedding) is multiplied with the block and keeps its own best
-    k, so that the final ranking reads k rows a query and batch, and vectors never move.
-    exclude_self: a query's own id is no hit. cosine: vectors need not have unit length.
+    all executors; queries without an embedding have no hits. Rows that the principal may not
+    read are filtered first. Each task multiplies its batches of vectors (chunk_id, embedding)
+    with the block and keeps the best k so far, so that the final ranking reads k rows a
+    query and task, and vectors never move. exclude_self: a query's own id is no hit. cosine: vectors need not have unit length.
     """
     ship(vectors.sparkSession)
     pool = visible(vectors, principal).where("embedding is not null").select("chunk_id", "embedding")
@@ -72,6 +72,8 @@ def _best(sent, k: int, exclude_self: bool, cosine: bool, kinds: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
+        who = {q: i for i, q in enumerate(ids)}
+        best, held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -80,17 +82,22 @@ def _best(sent, k: int, exclude_self: bool, cosine: bool, kinds: T.StructType):
             if cosine:
                 rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
             by_id = np.argsort(chunk, kind="stable")
-            score = matrix @ rows[by_id].T
+            chunk, score = chunk[by_id], matrix @ rows[by_id].T
             if exclude_self:
-                place = {c: i for i, c in enumerate(chunk[by_id].tolist())}
-                for i, q in enumerate(ids):
-                    if q in place:
-                        score[i, place[q]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            keep = np.isfinite(np.take_along_axis(score, best, axis=1))
-            who = np.repeat(np.arange(len(ids)), best.shape[1]).reshape(best.shape)[keep]
-            columns = [[ids[i] for i in who.tolist()], chunk[by_id][best[keep]].tolist(), np.take_along_axis(score, best, axis=1)[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=kinds.names)
+                for j, c in enumerate(chunk.tolist()):
+                    if c in who:
+                        score[who[c], j] = -np.inf
+            near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best = np.concatenate((best, np.take_along_axis(score, near, axis=1)), axis=1)
+            held = np.concatenate((held, chunk[near]), axis=1)
+            if best.shape[1] > k:
+                # ties go to the smaller id
+                place = np.unique(held, return_inverse=True)[1].reshape(held.shape)
+                order = np.lexsort((place, -best), axis=1)[:, :k]
+                best, held = np.take_along_axis(best, order, axis=1), np.take_along_axis(held, order, axis=1)
+        at, nth = np.nonzero(np.isfinite(best))
+        columns = [[ids[i] for i in at.tolist()], held[at, nth].tolist(), best[at, nth]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=kinds.names)
 
     return run
 
@@ -106,15 +113,30 @@ def postings(chunks: DataFrame, *, k1: float = 1.2, b: float = 0.75, avg_len: fl
     """chunk_id, term, tf, weight: the saturated term frequency of each chunk's tokens.
 
     weight = tf (k1 + 1) / (tf + k1 (1 - b + b len / avg_len)). avg_len defaults to the
-    mean of all chunks, tokens of empty ones counting 0. A chunk's terms are summed in its
-    own task before they are dealt, so one row a chunk and term moves.
+    mean of all chunks, tokens of empty ones counting 0. A chunk's terms are counted where
+    it stands, so nothing moves; a chunk id is one row.
     """
     said = F.concat_ws("\n", "title", "text") if with_title else F.col("text")
-    rows = chunks.select("chunk_id", text.search_tokens(F.coalesce(said, F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
-    mean = F.lit(float(avg_len)) if avg_len is not None else F.lit(float(rows.agg(F.avg("len")).first()[0] or 1.0))
-    terms = rows.select("chunk_id", "len", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    rows = chunks.select("chunk_id", text.search_tokens(F.coalesce(said, F.lit(""))).alias("tokens"))
+    mean = F.lit(float(avg_len)) if avg_len is not None else F.coalesce(F.nullif(rows.agg(F.avg(F.size("tokens"))).scalar(), F.lit(0.0)), F.lit(1.0))
+    ship(chunks.sparkSession)
+    kinds = T.StructType([T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    return terms.select("chunk_id", "term", "tf", weight.alias("weight"))
+    return rows.mapInArrow(_counted, kinds).select("chunk_id", "term", "tf", weight.alias("weight"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tokens) as a row for each id and distinct token: how often it occurs, and how many tokens the id has."""
+    for batch in batches:
+        tokens = batch.column(1)
+        size = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        wide = max(len(coded.dictionary), 1)
+        pair, count = np.unique(np.repeat(np.arange(len(size)), size) * wide + code, return_counts=True)
+        row = pair // wide
+        columns = [batch.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(pair % wide)), pa.array(count, pa.int64()), pa.array(size[row])]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "term", "tf", "len"])
 
 
 def idf(index: DataFrame, total: int) -> DataFrame:
@@ -156,7 +178,8 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index
 
 def segregated_topk(queries: DataFrame, vectors: DataFrame, k: int, restrict_above: int, principal: Principal | None) -> DataFrame:
     """Top k over an open and a restricted table; the restricted one is read only by those cleared beyond restrict_above."""
-    low, high = F.col("tlp_rank") <= restrict_above, F.col("tlp_rank") > restrict_above
+    low = F.coalesce(F.col("tlp_rank") <= restrict_above, F.lit(False))
+    high = ~low  # an unknown classification is restricted
     found = dense_topk(queries, vectors.where(low), k, principal=principal)
     if principal is None or principal.rank > restrict_above:
         found = found.unionByName(dense_topk(queries, vectors.where(high), k, principal=principal))

@@ -19,6 +19,22 @@ class Collection:
     vectors: DataFrame
     declared: dict[str, int] = field(default_factory=dict)
     postings: DataFrame | None = None
+    lexical: dict = field(default_factory=dict)
+
+    def _with(self, chunks: DataFrame, vectors: DataFrame, gone: DataFrame | None = None, new: DataFrame | None = None) -> Collection:
+        """This collection with other chunks and vectors; postings follow: those of gone ids leave, new chunks' come.
+
+        With a fixed avg_len only new chunks are counted; else the mean moves with every
+        change, and postings are made again.
+        """
+        index = self.postings
+        if index is not None and (gone is not None or new is not None):
+            if self.lexical.get("avg_len") is None:
+                index = search.postings(chunks, **self.lexical)
+            else:
+                index = index if gone is None else index.join(gone, "chunk_id", "left_anti")
+                index = index if new is None else index.unionByName(search.postings(new, **self.lexical))
+        return Collection(chunks, vectors, self.declared, index, self.lexical)
 
     def ensure(self, wanted: dict[str, int], *, sparse: bool = False) -> Collection:
         """All named vectors must be declared with their dimensions; hybrid search needs postings."""
@@ -33,7 +49,7 @@ class Collection:
         ids = chunks.select("chunk_id").distinct()
         kept = self.chunks.join(ids, "chunk_id", "left_anti").unionByName(chunks, allowMissingColumns=True)
         unit = vectors.withColumn("embedding", normalised(F.col("embedding")))
-        return Collection(kept, self.vectors.join(ids, "chunk_id", "left_anti").unionByName(unit), self.declared, self.postings)
+        return self._with(kept, self.vectors.join(ids, "chunk_id", "left_anti").unionByName(unit), ids, chunks)
 
     def attach(self, name: str, vectors: DataFrame) -> tuple[Collection, DataFrame]:
         """One more named vector for chunks that exist; also counts: seen, attached, skipped."""
@@ -44,11 +60,11 @@ class Collection:
         old = self.vectors.where(F.col("vector_name") != name).unionByName(self.vectors.where(F.col("vector_name") == name).join(new, "chunk_id", "left_anti"))
         marked = vectors.select("chunk_id").join(self.chunks.select("chunk_id", F.lit(1).alias("__has")), "chunk_id", "left")
         counts = marked.agg(F.count(F.lit(1)).alias("seen"), F.count("__has").alias("attached"), (F.count(F.lit(1)) - F.count("__has")).alias("skipped"))
-        return Collection(self.chunks, old.unionByName(new), self.declared, self.postings), counts
+        return self._with(self.chunks, old.unionByName(new)), counts
 
     def with_postings(self, **options) -> Collection:
         """A copy that can also be searched by words."""
-        return Collection(self.chunks, self.vectors, self.declared, search.postings(self.chunks, **options))
+        return Collection(self.chunks, self.vectors, self.declared, search.postings(self.chunks, **options), options)
 
     def scroll(self, source_type: str | None = None) -> DataFrame:
         return self.chunks if source_type is None else self.chunks.where(F.col("source_type") == source_type)
@@ -66,14 +82,16 @@ class Collection:
     def delete_by_source_type(self, source_type: str) -> tuple[Collection, int]:
         gone = self.scroll(source_type)
         ids = gone.select("chunk_id")
-        return Collection(self.chunks.where(~F.coalesce(F.col("source_type") == source_type, F.lit(False))), self.vectors.join(ids, "chunk_id", "left_anti"), self.declared, self.postings), gone.count()
+        kept = self.chunks.where(~F.coalesce(F.col("source_type") == source_type, F.lit(False)))
+        return self._with(kept, self.vectors.join(ids, "chunk_id", "left_anti"), ids), gone.count()
 
     def segregate(self, restrict_above: int) -> tuple[Collection, Collection]:
-        """Open and restricted parts by classification; vectors follow their chunks."""
+        """Open and restricted parts by classification, unknown ones restricted; vectors follow their chunks. Neither part is searched by words."""
         parts = []
-        for keep in (F.col("tlp_rank") <= restrict_above, F.col("tlp_rank") > restrict_above):
+        low = F.coalesce(F.col("tlp_rank") <= restrict_above, F.lit(False))
+        for keep in (low, ~low):
             rows = self.chunks.where(keep)
-            parts.append(Collection(rows, self.vectors.join(rows.select("chunk_id"), "chunk_id", "left_semi"), self.declared, None))
+            parts.append(Collection(rows, self.vectors.join(rows.select("chunk_id"), "chunk_id", "left_semi"), self.declared))
         return parts[0], parts[1]
 
     def write(self, path: str) -> None:
@@ -83,6 +101,7 @@ class Collection:
             self.postings.write.mode("overwrite").parquet(f"{path}/postings")
 
 
-def open_collection(spark: SparkSession, path: str, declared: dict[str, int], *, hybrid: bool = False) -> Collection:
+def open_collection(spark: SparkSession, path: str, declared: dict[str, int], *, hybrid: bool = False, **lexical) -> Collection:
+    """A written collection; lexical: the options that its postings were made with."""
     postings = spark.read.parquet(f"{path}/postings") if hybrid else None
-    return Collection(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), declared, postings)
+    return Collection(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), declared, postings, lexical)

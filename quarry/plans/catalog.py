@@ -52,7 +52,7 @@ VEC = "vec AS (SELECT vec_id AS chunk_id, vec_id // 4 AS doc_id, (vec_id % 4)::I
 
 def _hits_sql(k: int, where: str = "true") -> str:
     return f"""{VEC}, s AS (SELECT q.chunk_id AS query_id, v.chunk_id, v.doc_id, v.tlp_rank, q.label AS want, v.label, list_dot_product(q.e, v.e) AS score
- FROM vec q JOIN vec v ON v.chunk_id <> q.chunk_id WHERE q.chunk_id % 25 = 0 AND {where}),
+ FROM vec q JOIN vec v ON v.chunk_id <> q.chunk_id WHERE q.chunk_id % 20 = 0 AND {where}),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= {k})"""
 
 
@@ -73,7 +73,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", F.col("label").alias("want"))
+    return vectors(spark, sf).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", F.col("label").alias("want"))
 
 
 def _dense(spark: SparkSession, sf: str, k: int, principal=None) -> DataFrame:
@@ -284,13 +284,13 @@ def corroboration(spark, sf):
 
 
 @query(f"""WITH {ANSWERS}, g AS (SELECT query_id, list('D' || doc_id ORDER BY rank) AS refs FROM passages GROUP BY query_id)
-SELECT count(*) AS n, avg(CASE WHEN query_id % 50 = 0 THEN 1.0 ELSE 0.0 END) AS on_target, 0.0::DOUBLE AS refusal_rate, avg(CASE WHEN query_id % 50 = 0 THEN 0.5 ELSE 0.0 END) AS answer_recall,
- avg(CASE WHEN query_id % 75 = 0 THEN 0.5 ELSE 1.0 END) AS ungrounded_rate, 1.0::DOUBLE AS unsupported_rate FROM a""")
+SELECT count(*) AS n, avg(CASE WHEN query_id % 40 = 0 THEN 1.0 ELSE 0.0 END) AS on_target, 0.0::DOUBLE AS refusal_rate, avg(CASE WHEN query_id % 40 = 0 THEN 0.5 ELSE 0.0 END) AS answer_recall,
+ avg(CASE WHEN query_id % 60 = 0 THEN 0.5 ELSE 1.0 END) AS ungrounded_rate, 1.0::DOUBLE AS unsupported_rate FROM a""")
 def answer_scores(spark, sf):
     # of two relevant ids every second question's answer names one; the evidence of every third grounds the parent id T1071
     rows = _answers(spark, sf).withColumns({
-        "refused": F.lit(False), "relevant": F.when(F.col("query_id") % 50 == 0, F.array(F.lit("T1071"), F.lit("T9999"))).otherwise(F.array(F.lit("T9998"))),
-        "evidence": F.when(F.col("query_id") % 75 == 0, F.array(F.lit("T1071.001"))).otherwise(F.array().cast("array<string>")),
+        "refused": F.lit(False), "relevant": F.when(F.col("query_id") % 40 == 0, F.array(F.lit("T1071"), F.lit("T9999"))).otherwise(F.array(F.lit("T9998"))),
+        "evidence": F.when(F.col("query_id") % 60 == 0, F.array(F.lit("T1071.001"))).otherwise(F.array().cast("array<string>")),
     })
     return metrics.answer_scores(rows)
 
@@ -306,7 +306,7 @@ def _per_query(spark, sf, k=5):
 
 
 IR = f"""{_hits_sql(10)}, f AS (SELECT query_id, 'D' || doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), 'D' || doc_id) AS rank FROM hits GROUP BY query_id, doc_id),
-want AS (SELECT DISTINCT q.chunk_id AS query_id, 'D' || v.doc_id AS ref FROM vec q JOIN vec v ON v.label = q.label AND v.chunk_id <> q.chunk_id WHERE q.chunk_id % 25 = 0),
+want AS (SELECT DISTINCT q.chunk_id AS query_id, 'D' || v.doc_id AS ref FROM vec q JOIN vec v ON v.label = q.label AND v.chunk_id <> q.chunk_id WHERE q.chunk_id % 20 = 0),
 g AS (SELECT query_id, count(*) AS n FROM want GROUP BY query_id),
 x AS (SELECT f.query_id, f.rank, w.ref IS NOT NULL AS hit FROM f LEFT JOIN want w USING (query_id, ref) WHERE f.rank <= 5),
 per AS (SELECT query_id, sum(hit::INT) / any_value(n) AS recall, sum(hit::INT) / count(*) AS precision, coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0) AS rr,
@@ -339,7 +339,7 @@ EDGES = "e AS (SELECT DISTINCT 'G' || o_custkey AS group_id, 'Customer ' || o_cu
 
 @query(f"WITH {EDGES} SELECT len(relevant)::BIGINT AS size, count(*) AS n FROM g GROUP BY size")
 def gold_band(spark, sf):
-    return gold.gold_set(_edges(spark, sf), limit=1 << 30).groupBy(F.size("relevant").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    return gold.gold_set(_edges(spark, sf), limit=None).groupBy(F.size("relevant").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EDGES} SELECT group_id || ':' || tactic AS id, 'Which ' || replace(tactic, '-', ' ') || ' techniques does ' || name || ' use?' AS question, array_to_string(relevant, ' ') AS relevant
@@ -443,7 +443,7 @@ def nvd_style_selection(spark, sf):
 
 # ---- text overlap and theft
 
-PAIRS = "pairs AS (SELECT d.doc_id AS key, d.lang AS source_type, (d.doc_id % 4)::INT AS tlp, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS c, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS r, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') = regexp_replace(b.text, '^\\s+|\\s+$', '', 'g') AS exact FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+PAIRS = "pairs AS (SELECT d.doc_id AS key, d.lang AS source_type, (d.doc_id % 4)::INT AS tlp, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS c, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS r, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') = regexp_replace(b.text, '^\\s+|\\s+$', '', 'g') AS exact FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 GRAMS = f"""{PAIRS}, gram AS (SELECT key, n, side, array_to_string(list_slice(t, i, i + n - 1), ' ') AS g FROM (SELECT key, n, side, t, unnest(range(1, len(t) - n + 2)) AS i FROM
  (SELECT key, 1 AS side, c AS t FROM pairs UNION ALL SELECT key, 0, r FROM pairs), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(t) >= n)),
 cnt AS (SELECT key, n, g, count(*) FILTER (side = 1) AS c, count(*) FILTER (side = 0) AS r FROM gram GROUP BY key, n, g),
@@ -453,8 +453,8 @@ F1 = "CASE WHEN len(p.c) = 0 AND len(p.r) = 0 THEN 1.0 WHEN coalesce(o.b, 0) = 0
 
 def _pairs(spark, sf):
     b = _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
-    d = _table(spark, sf, "documents")
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select(F.col("doc_id").alias("key"), F.col("lang").alias("source_type"), (F.col("doc_id") % 4).cast("int").alias("tlp"), F.col("text").alias("candidate"), "reference")
+    d = _table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % b.agg(F.count(F.lit(1))).scalar())
+    return d.join(b, "item_id").select(F.col("doc_id").alias("key"), F.col("lang").alias("source_type"), (F.col("doc_id") % 4).cast("int").alias("tlp"), F.col("text").alias("candidate"), "reference")
 
 
 @query(f"WITH {GRAMS} SELECT p.key, round({F1}, 6) AS f1 FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1")
@@ -480,23 +480,24 @@ def group_scores(spark, sf):
     return out.select("source_type", "tlp", "level", "n", *(F.round(c, 6).alias(c) for c in ("exact", "f1", "cosine", "secret_recovery")), "fully_leaked")
 
 
-NEAR = f"""{VEC}, {CORPUS}, nn AS (SELECT s.chunk_id, s.doc_id, r.chunk_id AS ref_id, r.doc_id AS predicted_doc_id, list_cosine_similarity(s.e, r.e) AS score FROM vec s JOIN vec r ON s.chunk_id % 2 = 1 AND r.chunk_id % 2 = 0 AND r.chunk_id % 3 <> 0
+NEAR = f"""{VEC}, {CORPUS}, nn AS (SELECT s.chunk_id, s.doc_id, r.chunk_id AS ref_id, r.doc_id AS predicted_doc_id, list_cosine_similarity(s.e, r.e) AS score FROM vec s JOIN vec r ON s.chunk_id % 20 = 0 AND r.chunk_id % 20 <> 0 AND r.doc_id % 50 <> 0
  QUALIFY row_number() OVER (PARTITION BY s.chunk_id ORDER BY score DESC, r.chunk_id) = 1)"""
 
 
-@query(f"WITH {NEAR} SELECT chunk_id, predicted_doc_id, doc_id = predicted_doc_id AS correct, doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 2 = 0 AND chunk_id % 3 <> 0) AS in_reference FROM nn")
+@query(f"WITH {NEAR} SELECT chunk_id, predicted_doc_id, doc_id = predicted_doc_id AS correct, doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 20 <> 0 AND doc_id % 50 <> 0) AS in_reference FROM nn")
 def reidentify_nn(spark, sf):
     return _reidentified(spark, sf).select("chunk_id", "predicted_doc_id", "correct", "in_reference")
 
 
 def _reidentified(spark, sf):
     v, c = vectors(spark, sf), corpus(spark, sf)
-    stolen = v.where("chunk_id % 2 = 1").select("chunk_id", "doc_id", "embedding").join(c.select("doc_id", "source_type", "text"), "doc_id")
-    reference = v.where("chunk_id % 2 = 0 and chunk_id % 3 <> 0").select(F.col("chunk_id").alias("ref_id"), "doc_id", "embedding").join(c.select("doc_id", "source_ref", "title"), "doc_id")
+    # every twentieth vector is stolen and held against all others, but for those of documents that the thief has not
+    stolen = v.where("chunk_id % 20 = 0").select("chunk_id", "doc_id", "embedding").join(c.select("doc_id", "source_type", "text"), "doc_id")
+    reference = v.where("chunk_id % 20 <> 0 and doc_id % 50 <> 0").select(F.col("chunk_id").alias("ref_id"), "doc_id", "embedding").join(c.select("doc_id", "source_ref", "title"), "doc_id")
     return theft.reidentify(stolen, reference)
 
 
-@query(f"""WITH {NEAR}, f AS (SELECT c.source_type, nn.doc_id = predicted_doc_id AS correct, nn.doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 2 = 0 AND chunk_id % 3 <> 0) AS known FROM nn JOIN corpus c ON c.doc_id = nn.doc_id)
+@query(f"""WITH {NEAR}, f AS (SELECT c.source_type, nn.doc_id = predicted_doc_id AS correct, nn.doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 20 <> 0 AND doc_id % 50 <> 0) AS known FROM nn JOIN corpus c ON c.doc_id = nn.doc_id)
 SELECT source_type, GROUPING(source_type)::BIGINT AS level, sum(known::INT)::BIGINT AS recognisable, sum((known AND correct)::INT)::BIGINT AS recognised, sum((NOT known)::INT)::BIGINT AS hidden FROM f GROUP BY ROLLUP (source_type)""")
 def reidentify_report(spark, sf):
     return theft.report(_reidentified(spark, sf)).select("source_type", "level", "recognisable", "recognised", "hidden")
@@ -544,10 +545,10 @@ def attack_overlay(spark, sf):
     return rows.groupBy("attack_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("source_type") == "synthetic_adversarial").alias("poisoned"))
 
 
-@query(f"WITH {PASSAGES}, r AS (SELECT query_id, bool_or(source_ref = 'D3') AS got FROM passages GROUP BY query_id) SELECT a.attack_id, query_id, CASE a.attack_id WHEN 'a1' THEN got WHEN 'a2' THEN query_id % 50 = 0 ELSE false END AS landed FROM r, (VALUES ('a1'), ('a2'), ('a3')) a(attack_id)")
+@query(f"WITH {PASSAGES}, r AS (SELECT query_id, bool_or(source_ref = 'D3') AS got FROM passages GROUP BY query_id) SELECT a.attack_id, query_id, CASE a.attack_id WHEN 'a1' THEN got WHEN 'a2' THEN query_id % 40 = 0 ELSE false END AS landed FROM r, (VALUES ('a1'), ('a2'), ('a3')) a(attack_id)")
 def attack_verdicts(spark, sf):
     refs = _passages(spark, sf).groupBy("query_id").agg(F.collect_set("source_ref").alias("refs"))
-    link = F.when(F.col("query_id") % 50 == 0, "![x](http://127.0.0.1:24601/c?q=7)").otherwise("![x](http://example.org/c?q=7)")
+    link = F.when(F.col("query_id") % 40 == 0, "![x](http://127.0.0.1:24601/c?q=7)").otherwise("![x](http://example.org/c?q=7)")
     ids = F.explode(F.array(F.lit("a1"), F.lit("a2"), F.lit("a3")))
     said = redteam.fired(refs.select("query_id", "refs", F.concat(F.lit("Claim about T1055 "), link).alias("text"), ids.alias("id")), "http://127.0.0.1:24601")
     attacks = _attacks(spark).withColumn("success", F.when(F.col("id") == "a1", F.transform("success", lambda s: F.struct(s["type"].alias("type"), F.when(s["value"] == "CLAIM", "CLAIM").otherwise(s["value"]).alias("value"), s["case_sensitive"].alias("case_sensitive")))).otherwise(F.col("success")))
@@ -557,13 +558,14 @@ def attack_verdicts(spark, sf):
     return out.select(F.split("attack_id", "/")[0].alias("attack_id"), F.split("attack_id", "/")[1].cast("long").alias("query_id"), "landed")
 
 
-RUNS = "runs AS (SELECT event_type AS label, (user_id % 3)::INT AS run, list(DISTINCT 'u' || (user_id % 20)) AS survivors FROM events WHERE value > (SELECT quantile_cont(value, 0.95) FROM events) GROUP BY ALL)"
+RUNS = "tried AS (SELECT event_type AS label, (user_id % 3)::INT AS run, 'u' || (user_id % 20) AS name, avg(value) AS v FROM events GROUP BY ALL), runs AS (SELECT label, run, list(name) AS survivors FROM tried WHERE v > (SELECT avg(value) FROM events) GROUP BY ALL)"
 
 
 def _runs(spark, sf):
     e = _table(spark, sf, "events")
-    high = e.agg(F.percentile("value", 0.95)).first()[0]
-    return e.where(F.col("value") > high).groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 3).cast("int").alias("run")).agg(F.collect_set(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"))).alias("survivors")).withColumn("total", F.lit(20))
+    # an attack lands in a run if its events are of more than the mean value of all
+    tried = e.groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 3).cast("int").alias("run"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("name")).agg(F.avg("value").alias("v"))
+    return tried.where(F.col("v") > e.agg(F.avg("value")).scalar()).groupBy("label", "run").agg(F.collect_set("name").alias("survivors")).withColumn("total", F.lit(20))
 
 
 @query(f"""WITH {RUNS}, s AS (SELECT label, count(*) AS repeats, min(len(survivors)) AS landed_low, max(len(survivors)) AS landed_high FROM runs GROUP BY label),

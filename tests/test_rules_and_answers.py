@@ -101,6 +101,8 @@ def test_overlap_scores(spark):
     pairs = spark.createDataFrame([(1, "", ""), (2, "a", ""), (3, "a b b", "b b b c"), (4, "x y", "x y")], "key int, candidate string, reference string")
     assert {r.key: r.f1 for r in metrics.token_f1(pairs).collect()} == {1: 1.0, 2: 0.0, 3: pytest.approx(2 * (2 / 3) * 0.5 / (2 / 3 + 0.5)), 4: 1.0}
     assert metrics.corpus_bleu(pairs.where("key > 3")).first().bleu == 0.0
+    odd = spark.createDataFrame([(1, None, "a"), (2, None, None), (3, "a b a b a", "a b a c a b")], pairs.schema)
+    assert sorted(tuple(r) for r in metrics.overlaps(odd, 3).collect()) == [(1, 1, 0, 0, 1), (1, 2, 0, 0, 0), (1, 3, 0, 0, 0), (2, 1, 0, 0, 0), (2, 2, 0, 0, 0), (2, 3, 0, 0, 0), (3, 1, 5, 5, 6), (3, 2, 3, 4, 5), (3, 3, 1, 3, 4)]
     same = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "f g h i", "f g h i")], pairs.schema)
     assert metrics.corpus_bleu(same).first().bleu == pytest.approx(1.0)
 
@@ -144,6 +146,9 @@ def test_dense_ties_blocks_and_empty(spark):
     asked = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "query_id long, embedding array<float>")
     rows = search.dense_topk(asked, vectors, 2, block=2).collect()
     assert sorted((r.query_id, r.rank, r.chunk_id) for r in rows) == [(q, k + 1, c) for q in range(5) for k, c in enumerate((2, 4))]
+    many = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(5000)], vectors.schema).coalesce(1)  # more than a batch in one task
+    near = search.dense_topk(asked.limit(1), many, 4, exclude_self=True).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in near] == [(i, 1.0) for i in (1, 2, 3, 4)]
     assert search.dense_topk(asked.limit(0), vectors, 2).count() == 0 and search.dense_topk(asked, vectors.limit(0), 2).count() == 0
 
 
@@ -167,6 +172,30 @@ def test_collection(spark):
     assert (low.count(), high.count(), low.count("main"), high.count("main")) == (1, 1, 1, 1)
 
 
+def test_postings_follow_changes(spark):
+    chunks = spark.createDataFrame([(1, "a", 0, "alpha beta"), (2, "b", 3, "alpha alpha gamma"), (3, "b", None, "beta")], "chunk_id int, source_type string, tlp_rank int, text string")
+    none = spark.createDataFrame([], "chunk_id int, vector_name string, embedding array<double>")
+    new = spark.createDataFrame([(1, "a", 0, "delta delta"), (9, "a", 0, "gamma")], chunks.schema)
+    rows = lambda c: sorted((r.chunk_id, r.term, r.tf, round(r.weight, 9)) for r in c.postings.collect())
+    for options in ({}, {"avg_len": 2.0}):
+        c = store.Collection(chunks, none).with_postings(**options)
+        c2 = c.upsert(new, none)
+        assert rows(c2) == rows(store.Collection(c2.chunks, none).with_postings(**options)) and {r[1] for r in rows(c2)} == {"alpha", "gamma", "delta", "beta"}
+        c3, gone = c2.delete_by_source_type("b")
+        assert gone == 2 and rows(c3) == rows(store.Collection(c3.chunks, none).with_postings(**options)) and {r[0] for r in rows(c3)} == {1, 9}
+        asked = spark.createDataFrame([(1, "alpha beta delta")], "query_id int, question string")
+        assert [r.chunk_id for r in search.lexical_topk(asked, c3.postings, c3.count(), 5).collect()] == [1]
+    low, high = c.segregate(1)
+    assert (low.count(), high.count()) == (1, 2)  # an unknown classification is restricted
+
+
+def test_unknown_classification_is_searched_as_restricted(spark):
+    vectors = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, 0, [0.9, 0.1])], "chunk_id int, tlp_rank int, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (5, None)], "query_id int, embedding array<double>")
+    assert [r.chunk_id for r in search.segregated_topk(asked, vectors, 3, 1, None).orderBy("rank").collect()] == [1, 2]
+    assert [r.chunk_id for r in search.segregated_topk(asked, vectors, 3, 1, access.Principal("p", clearance="red")).collect()] == [2]
+
+
 def test_redteam(spark):
     attacks = spark.createDataFrame(
         [("a", "x", ("t", "D1", "go {SINK}/p", "clear", 3), [("output_contains", "SECRET", False), ("retrieved_topk", "", False), ("sink_received", "k=V", False), ("output_matches", "^the", False)]),

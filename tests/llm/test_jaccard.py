@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import queries
-from quarry.llm.components import components
+from quarry.llm.components import components, stars
 from quarry.llm.jaccard import SignatureTree, near_duplicates
 
 
@@ -132,6 +133,40 @@ def test_two_sided_tree():
     assert not list(SignatureTree(sets, sizes, 80, [True] * 90).links())
 
 
+def smallest(pairs):
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent if root(x) != x}
+
+
+def test_stars():
+    for seed in range(30):
+        r = random.Random(seed)
+        ids = [bytes([r.randrange(256), 0, i]) for i in range(r.randint(1, 40))]
+        pairs = [(r.choice(ids), r.choice(ids)) for _ in range(r.randint(1, 50))]
+        node, root = stars(*(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)))
+        assert len(set(node.to_pylist())) == len(node)
+        assert dict(zip(node.to_pylist(), root.to_pylist(), strict=True)) == smallest(pairs)
+
+
+@pytest.mark.parametrize("flush", [1, 7, 1 << 18])
+def test_components_of_many_tasks(spark, flush):
+    r = random.Random(flush)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
+    pairs = chain + [(f"x{r.randrange(80)}", f"x{r.randrange(80)}") for _ in range(60)] + [(f"h{i}", "h") for i in range(40)]
+    r.shuffle(pairs)
+    rows = spark.createDataFrame(pairs, "a string, b string").repartition(5)
+    assert {(r["node"], r["component"]) for r in components(rows, "a", "b", flush=flush).collect()} == set(smallest(pairs).items())
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200 + i, 200) for i in range(1, 40)]

@@ -94,6 +94,18 @@ def _factor(df: DataFrame, cov) -> tuple[DataFrame, list[str]]:
 
 _MEANS = [f"m{i}" for i in range(_D)]
 _COVS = [f"c{i}{j}" for i in range(_D) for j in range(i + 1)]
+_FACTORS = [f"w{i}{j}" for i in range(_D) for j in range(i + 1)]
+_PACKED = [*_MEANS, *_COVS, *_FACTORS]
+
+
+def _packed(fits: DataFrame) -> DataFrame:
+    """fits, a row for each group and start, with its estimates in one column: many small files of one column stay small enough to be broadcast."""
+    values = F.array(*(F.col(c) if c in fits.columns else F.lit(None).cast("double") for c in _PACKED))
+    return fits.select("__group", "__start", (F.col("logdet") if "logdet" in fits.columns else F.lit(None).cast("double")).alias("logdet"), values.alias("__fit"))
+
+
+def _unpacked(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col("__fit")[_PACKED.index(c)] for c in names}).drop("__fit")
 
 
 def _distance() -> Column:
@@ -122,19 +134,19 @@ def _fit(rows: DataFrame, inside: Column, floor: float) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, fits: DataFrame, inner: float, floor: float) -> DataFrame:
-    """One concentration step: fits to the inner share of each group's rows, those nearest by the fits before.
+    """One concentration step: packed fits to the inner share of each group's rows, those nearest by the packed fits before.
 
     Which rows these are is read from exact counts of distances by steps of 1.6 %.
     """
     step = F.floor(F.ln(_distance() + 1e-6) * 64).cast("int")
-    near = rows.join(fits.select("__group", "__start", *_MEANS, *(c for c in fits.columns if c.startswith("w"))), ["__group", "__start"]).select("__group", "__start", *(f"z{i}" for i in range(_D)), step.alias("__step"))
+    near = _unpacked(rows.join(fits.select("__group", "__start", "__fit"), ["__group", "__start"]), *_MEANS, *_FACTORS).select("__group", "__start", *(f"z{i}" for i in range(_D)), step.alias("__step"))
     # written, so that windows meet a row a step: planned in one go, they would take in each task's partial counts of a hot group
     counts = written(near.groupBy("__group", "__start", "__step").agg(F.count(F.lit(1)).alias("n")), "counts")
     whole = Window.partitionBy("__group", "__start")
     upto = F.sum("n").over(whole.orderBy("__step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(whole)).where(F.col("upto") >= inner * F.col("all")).groupBy("__group", "__start").agg(F.min("__step").alias("__edge"))
     edge = written(edge, "edges")
-    return written(_fit(near.join(edge, ["__group", "__start"]), F.col("__step") <= F.col("__edge"), floor), "fit")
+    return written(_packed(_fit(near.join(edge, ["__group", "__start"]), F.col("__step") <= F.col("__edge"), floor)), "fit")
 
 
 def _quartiles(rows: DataFrame, floor: float) -> DataFrame:
@@ -167,7 +179,7 @@ def covariance_determinant(
     every = rows.join(sizes, "__group").withColumn("__start", F.explode(F.array(*(F.lit(i) for i in range(starts)))))
     draw = F.pmod(F.xxhash64(F.lit(seed), "__start", "__key"), F.lit(1 << 30))
     drawn = _fit(every.where("__start > 0"), draw * F.col("__n") < F.least(F.lit(float(sample)), F.col("__n") / 2) * float(1 << 30), floor)
-    fits = written(drawn.unionByName(_quartiles(rows, floor), allowMissingColumns=True), "fit")
+    fits = written(_packed(drawn).unionByName(_packed(_quartiles(rows, floor))), "fit")
     for _ in range(2):
         fits = _concentrate(every, fits, inner, floor)
     best = fits.groupBy("__group").agg(F.min(F.struct("logdet", "__start")).alias("b")).select("__group", F.col("b.__start").alias("__start"))
@@ -179,7 +191,7 @@ def covariance_determinant(
         now = new
         if fall is None or fall < 1e-3:
             break
-    return now.select("__group", *_MEANS, *_COVS, "logdet")
+    return _unpacked(now, *_MEANS, *_COVS).select("__group", *_MEANS, *_COVS, "logdet")
 
 
 def robust_outliers(

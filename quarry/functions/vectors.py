@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: as it stands in a lambda function, an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -22,8 +29,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """At unit length; a vector without length stays as it is."""
-    size = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))
+    unit = lambda v, size: F.transform(v, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))
+    return _once(a, lambda v: _once(norm(v), lambda size: unit(v, size)))
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
@@ -31,5 +38,5 @@ def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
     places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
     signs = F.transform(tokens, lambda t: F.when(F.xxhash64(t, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0))
     both = F.arrays_zip(places.alias("p"), signs.alias("s"))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(both, lambda x: x["p"] == i), F.lit(0.0), lambda n, x: n + x["s"]))
-    return normalised(counted)
+    counted = lambda pairs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(pairs, lambda x: x["p"] == i), F.lit(0.0), lambda n, x: n + x["s"]))
+    return normalised(_once(both, counted))

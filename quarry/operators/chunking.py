@@ -108,6 +108,7 @@ def chunk(docs: DataFrame, strategy: str = "structural", size: int = 512, overla
     return rows.withColumn("chunk_id", F.concat("doc_id", F.lit("#"), F.col("ordinal").cast("string"), F.lit(":"), F.substring(F.sha1("text"), 1, 12)))
 
 
-def passage_rows(docs: DataFrame, max_chars: int = 600, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passage_rows(docs: DataFrame, max_chars: int = 600, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, passage and text: a row for each passage of a document."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(_udf(passages, max_chars)(F.coalesce(F.col(text_col), F.lit("")))).alias("passage", "text"))
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(_udf(passages, max_chars)(F.coalesce(F.col(text_col), F.lit("")))).alias("passage", "text"))

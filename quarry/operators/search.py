@@ -166,6 +166,7 @@ def fuse(rankings: list[DataFrame], k: int, *, rrf_k: int = RRF_K) -> DataFrame:
     rows = rankings[0].select("query_id", "chunk_id", "rank")
     for r in rankings[1:]:
         rows = rows.unionByName(r.select("query_id", "chunk_id", "rank"))
+    rows = rows.repartition("chunk_id")  # a union of parts shuffled by question passes for shuffled itself, and later joins zip unequal partitions
     return ranked(rows.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (rrf_k + F.col("rank"))).alias("score")), k)
 
 
@@ -183,7 +184,7 @@ def segregated_topk(queries: DataFrame, vectors: DataFrame, k: int, restrict_abo
     found = dense_topk(queries, vectors.where(low), k, principal=principal)
     if principal is None or principal.rank > restrict_above:
         found = found.unionByName(dense_topk(queries, vectors.where(high), k, principal=principal))
-    return ranked(found.drop("rank"), k)
+    return ranked(found.drop("rank").repartition("chunk_id"), k)
 
 
 def retrieve(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import normalised
 from quarry.operators import search
+from quarry.operators.access import Principal
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,16 @@ class Collection:
             parts.append(Collection(rows, self.vectors.join(rows.select("chunk_id"), "chunk_id", "left_semi"), self.declared))
         return parts[0], parts[1]
 
+    def search(self, queries: DataFrame, name: str, k: int, *, principal: Principal | None = None, mode: str = "dense", prefetch: int = search.PREFETCH) -> DataFrame:
+        """Top k of queries(query_id, embedding, question for hybrid search). A collection with postings is searched as a hybrid one, and no other is."""
+        if (mode == "hybrid") != (self.postings is not None):
+            raise ValueError(f"a collection {'with' if self.postings is not None else 'without'} postings cannot be searched in mode {mode!r}")
+        rights = self.chunks.select("chunk_id", "tlp_rank", "source_type")
+        vectors = self.vectors.where(F.col("vector_name") == name).select("chunk_id", "embedding").join(rights, "chunk_id")
+        if mode == "hybrid":
+            return search.hybrid_topk(queries, self.chunks, vectors, self.postings, k, principal=principal, prefetch=prefetch)
+        return search.dense_topk(queries, vectors, k, principal=principal)
+
     def write(self, path: str) -> None:
         self.chunks.write.mode("overwrite").partitionBy("source_type").parquet(f"{path}/chunks")
         self.vectors.write.mode("overwrite").partitionBy("vector_name").parquet(f"{path}/vectors")
@@ -101,6 +113,62 @@ class Collection:
             self.postings.write.mode("overwrite").parquet(f"{path}/postings")
 
 
+@dataclass(frozen=True)
+class Segregated:
+    """Two collections apart by classification, used as one; a chunk is in one of them only."""
+
+    low: Collection
+    high: Collection
+    restrict_above: int
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.scroll()
+
+    def scroll(self, source_type: str | None = None) -> DataFrame:
+        return self.low.scroll(source_type).unionByName(self.high.scroll(source_type), allowMissingColumns=True)
+
+    def vectors_of(self, name: str, ids: DataFrame) -> DataFrame:
+        return self.low.vectors_of(name, ids).unionByName(self.high.vectors_of(name, ids))
+
+    def missing(self, name: str, ids: DataFrame) -> DataFrame:
+        return ids.select("chunk_id").join(self.vectors_of(name, ids), "chunk_id", "left_anti")
+
+    def count(self, with_vector: str | None = None) -> int:
+        return self.low.count(with_vector) + self.high.count(with_vector)
+
+    def upsert(self, chunks: DataFrame, vectors: DataFrame) -> Segregated:
+        """Replace whole chunks by id; one whose classification changed leaves the part that it was in."""
+        both = Collection(self.scroll(), self.low.vectors.unionByName(self.high.vectors), self.low.declared)
+        return segregated(both.upsert(chunks, vectors), self.restrict_above)
+
+    def attach(self, name: str, vectors: DataFrame) -> tuple[Segregated, DataFrame]:
+        """All vectors are offered to both parts, which take those of chunks that they hold; the counts are of both."""
+        (low, a), (high, b) = self.low.attach(name, vectors), self.high.attach(name, vectors)
+        counts = a.unionByName(b).agg(F.max("seen").alias("seen"), F.sum("attached").alias("attached"), (F.max("seen") - F.sum("attached")).alias("skipped"))
+        return Segregated(low, high, self.restrict_above), counts
+
+    def delete_by_source_type(self, source_type: str) -> tuple[Segregated, int]:
+        (low, a), (high, b) = self.low.delete_by_source_type(source_type), self.high.delete_by_source_type(source_type)
+        return Segregated(low, high, self.restrict_above), a + b
+
+    def search(self, queries: DataFrame, name: str, k: int, *, principal: Principal | None = None, mode: str = "dense", prefetch: int = search.PREFETCH) -> DataFrame:
+        """Top k of both parts; the restricted one is not read for a principal who may read nothing in it."""
+        found = self.low.search(queries, name, k, principal=principal, mode=mode)
+        if principal is None or principal.rank > self.restrict_above:
+            found = found.unionByName(self.high.search(queries, name, k, principal=principal, mode=mode))
+        return search.ranked(found.drop("rank").repartition("chunk_id"), k)
+
+
+def segregated(held: Collection, restrict_above: int) -> Segregated:
+    return Segregated(*held.segregate(restrict_above), restrict_above)
+
+
+def backfill(held: Collection | Segregated, name: str, embed: Callable[[Column], Column]) -> tuple[Collection | Segregated, DataFrame]:
+    """Embed the texts of all chunks and attach the vectors; also counts: seen, attached, skipped."""
+    return held.attach(name, held.scroll().select("chunk_id", embed(F.coalesce("text", F.lit(""))).alias("embedding")))
+
+
 def open_collection(spark: SparkSession, path: str, declared: dict[str, int], *, hybrid: bool = False, **lexical) -> Collection:
     """A written collection; lexical: the options that its postings were made with."""
     postings = spark.read.parquet(f"{path}/postings") if hybrid else None

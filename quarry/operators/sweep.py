@@ -48,3 +48,15 @@ def attack_ranges(rows: DataFrame) -> DataFrame:
 def same_twice(first: DataFrame, second: DataFrame) -> bool:
     """Two runs of one arm must agree row by row."""
     return first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
+
+
+def utility_cells(rows: DataFrame, *, warm: bool) -> DataFrame:
+    """Recorded rows as cells: label, model, repeat (1 if not recorded), utility, recall and warm, where the rows do not say so themselves."""
+    said = lambda name: F.try_element_at("answers", F.lit(name))
+    return rows.select("label", "model", F.coalesce("repeat", F.lit(1)).alias("repeat"), said("answer_utility").alias("utility"), said("answer_recall").alias("recall"), F.coalesce("warm", F.lit(warm)).alias("warm"))
+
+
+def rewritten(baseline: DataFrame, treated: DataFrame, key: str = "query_id") -> DataFrame:
+    """n, rewritten: treated answers(key, text), and those whose text is not the baseline's; a null text equals null only."""
+    both = treated.select(key, F.col("text").alias("__new")).join(baseline.select(key, F.col("text").alias("__old")), key)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__new").eqNullSafe(F.col("__old"))).alias("rewritten"))

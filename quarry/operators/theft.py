@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.functions import text
 from quarry.functions.vectors import normalised
-from quarry.operators import search
+from quarry.operators import chunking, search
+
+
+def build_reference(docs: DataFrame, embed: Callable[[Column], Column], *, passage_chars: int | None = None) -> DataFrame:
+    """What an outsider can embed of public documents(id, source_ref, title, text): ref_id, doc_id, source_ref, title, embedding at unit length.
+
+    Whole documents, or with passage_chars their passages of that many characters, each of
+    them its document's; a document without words then has no row.
+    """
+    told = docs.select(F.col("id").alias("doc_id"), "source_ref", "title", F.coalesce("text", F.lit("")).alias("text"))
+    if passage_chars is None:
+        rows = told.withColumn("ref_id", F.col("doc_id").cast("string"))
+    else:
+        parts = chunking.passage_rows(told, passage_chars, keep=("source_ref", "title"))
+        rows = parts.withColumn("ref_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("passage").cast("string")))
+    return rows.select("ref_id", "doc_id", "source_ref", "title", normalised(embed(F.col("text"))).alias("embedding"))
+
+
+def dump(rows: DataFrame, path: str) -> None:
+    """Re-identified rows as JSON lines, without the chunks' texts."""
+    rows.drop("text").write.mode("overwrite").json(path)
 
 
 def nearest(stolen: DataFrame, reference: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,6 +233,12 @@ def injection_screen(spark, sf):
     return rules.admit(_screen_input(spark, sf)).groupBy("rejected_by").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {SCREENED} SELECT count(*) AS seen, count(*) FILTER (len(matched) > 0) AS rejected, count(*) FILTER (len(matched) = 0) AS admitted, CASE WHEN rejected > 0 THEN 'injection_screen=' || rejected ELSE '' END AS rejected_by FROM m")
+def ingest_stats(spark, sf):
+    by = F.array_join(F.transform(F.map_entries("rejected_by"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return rules.ingest_stats(rules.admit(_screen_input(spark, sf))).withColumn("rejected_by", by)
+
+
 @query(f"WITH {SCREENED} SELECT pattern, count(*) AS n FROM (SELECT unnest(matched) AS pattern FROM m) GROUP BY pattern")
 def screen_census(spark, sf):
     return rules.matched_patterns(_screen_input(spark, sf)).select(F.explode("matched").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
@@ -295,6 +302,22 @@ def answer_scores(spark, sf):
     return metrics.answer_scores(rows)
 
 
+@query(f"WITH {ANSWERS} SELECT count(*) AS n, count(*) FILTER (query_id % 60 = 0) AS rewritten FROM a")
+def answers_rewritten(spark, sf):
+    before = _answers(spark, sf)
+    return sweep.rewritten(before, before.withColumn("text", F.when(F.col("query_id") % 60 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))))
+
+
+@query("""WITH e AS (SELECT 'CVE-' || event_id AS id, ts, upper(event_type) AS severity FROM events), last AS (SELECT max(ts) AS t FROM events)
+SELECT id FROM e, last WHERE ts >= t - INTERVAL 90 DAY AND ts < t AND severity = 'CLICK' ORDER BY ts, length(id), id LIMIT 100""")
+def published_within(spark, sf):
+    e = _table(spark, sf, "events")
+    last = e.agg(F.max("ts")).first()[0]
+    # the place of an id among records of one moment is by its length first, as the numbers in ids are not padded
+    held = e.select(F.struct(F.length(F.col("event_id").cast("string")).alias("n"), F.concat(F.lit("CVE-"), F.col("event_id").cast("string")).alias("name")).alias("id"), F.col("ts").alias("published"), F.upper("event_type").alias("severity"))
+    return cve.published_within(held, last - timedelta(days=90), last, severity="click", limit=100).select(F.col("id.name").alias("id"))
+
+
 # ---- retrieval quality
 
 
@@ -530,6 +553,21 @@ def upsert_replace(spark, sf):
     return done.chunks.select("chunk_id", "source_type")
 
 
+@query("""WITH x AS (SELECT vec_id, (vec_id % 4)::INT AS tlp_rank FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0)
+SELECT CASE WHEN tlp_rank <= 1 AND vec_id % 7 <> 0 THEN 'low' ELSE 'high' END AS part, count(*) AS chunks, count(*) FILTER (vec_id % 10 <> 3 OR vec_id % 7 = 0) AS vectors FROM x GROUP BY part""")
+def segregated_counts(spark, sf):
+    # every seventh chunk comes again without a classification, so it is restricted wherever it was before
+    new = vectors(spark, sf).where("chunk_id % 7 = 0").withColumn("tlp_rank", F.lit(None).cast("int"))
+    both = store.segregated(_collection(spark, sf), 1).upsert(new.select("chunk_id", "doc_id", "tlp_rank", F.lit("nvd_cve").alias("source_type")), new.select("chunk_id", F.lit("main").alias("vector_name"), "embedding"))
+    parts = [c.chunks.join(c.vectors, "chunk_id", "left").agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("chunks"), F.count("vector_name").alias("vectors")) for n, c in (("low", both.low), ("high", both.high))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT count(*) AS seen, count(*) FILTER (vec_id % 5 <> 0) AS attached, count(*) FILTER (vec_id % 5 = 0) AS skipped FROM embeddings")
+def segregated_attach(spark, sf):
+    return store.segregated(_collection(spark, sf), 1).attach("second", vectors(spark, sf).select("chunk_id", "embedding"))[1]
+
+
 # ---- attacks and sweeps
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import classify, language, warc
+from quarry.llm import bpe, classify, language, warc
 from quarry.llm.chat import digests, format_windows
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.jaccard import near_duplicates
@@ -73,8 +74,14 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 _ALL = (
     op1_warc, op2_language, op3_jaccard_join, op3_jaccard_links, op4_decontaminate, op5_quality, op6_mix, op7_quality_rules, op8_shard, op9_chat, op10_remove_repeats,
+    op13_bpe,
 )
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, classify, language, warc
+from quarry.llm.align import align
 from quarry.llm.chat import digests, format_windows
 from quarry.llm.decontaminate import decontaminate
+from quarry.llm.divergence import divergence
 from quarry.llm.jaccard import near_duplicates
 from quarry.llm.mix import mix
 from quarry.llm.rules import quality_rules
@@ -74,6 +76,16 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return align(_table(spark, sf_dir, "documents"), vocabulary, f.read())
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -81,7 +93,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_warc, op2_language, op3_jaccard_join, op3_jaccard_links, op4_decontaminate, op5_quality, op6_mix, op7_quality_rules, op8_shard, op9_chat, op10_remove_repeats,
-    op13_bpe,
+    op11_divergence, op12_align, op13_bpe,
 )
 
 
@@ -155,6 +167,31 @@ k AS (
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM k GROUP BY lang),
+g AS (
+  SELECT g.lang, g.source, coalesce(any_value(v), 0) AS v, coalesce(any_value(all_n), 0) AS all_n, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS own_n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL
+),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (own_n + 5 * v) AS p, 1 + (1000000000::HUGEINT * (total + 5)) // (all_n + 5 * v) AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op3_jaccard_links": OP3_LINKS_SQL, "op4_decontaminate": OP4_SQL, "op10_remove_repeats": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op3_jaccard_links": OP3_LINKS_SQL, "op4_decontaminate": OP4_SQL, "op10_remove_repeats": OP10_SQL, "op11_divergence": OP11_SQL}

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.functions import text
+from quarry.operators import cells
 from quarry.operators.access import Principal, visible
+from quarry.operators.cells import _matrix
 from quarry.shipping import ship
 
 #: Of reciprocal rank fusion (Cormack, Clarke and Buettcher, 2009).
@@ -20,49 +22,34 @@ RRF_K = 60
 PREFETCH = 50
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator(prefetchPartitions=True):
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == size:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
-
-
 def dense_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, *, principal: Principal | None = None, exclude_self: bool = False, cosine: bool = False, block: int = 2048,
+    queries: DataFrame, vectors: DataFrame, k: int, *, principal: Principal | None = None, exclude_self: bool = False, cosine: bool = False, block: int = 2048, index: cells.CellIndex | None = None,
 ) -> DataFrame:
     """The k vectors nearest each query: query_id, rank, chunk_id, score. Ties go to the smaller chunk id.
 
-    queries(query_id, embedding) is the query set: it is taken in blocks, each sent to
-    all executors; queries without an embedding have no hits. Rows that the principal may not
-    read are filtered first. Each task multiplies its batches of vectors (chunk_id, embedding)
-    with the block and keeps the best k so far, so that the final ranking reads k rows a
-    query and task, and vectors never move. exclude_self: a query's own id is no hit. cosine: vectors need not have unit length.
+    queries(query_id, embedding); those without an embedding have no hits. Rows of vectors
+    (chunk_id, embedding) that the principal may not read are filtered first. Up to block
+    queries are sent to all executors: each task multiplies its batches of vectors with them
+    and keeps the best k so far, so that vectors never move. More queries meet the vectors
+    in cells (cells.topk), whatever their number; index is a stored index of the vectors,
+    else one is made. exclude_self: a query's own id is no hit. cosine: vectors need not
+    have unit length.
     """
     ship(vectors.sparkSession)
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    few = asked.limit(block + 1).collect()
+    if len(few) > block:
+        held = index or cells.build(visible(vectors, principal).select("chunk_id", "embedding"), unit=cosine)
+        return cells.topk(asked, held, k, principal=principal if index else None, exclude_self=exclude_self)
     pool = visible(vectors, principal).where("embedding is not null").select("chunk_id", "embedding")
     kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
-    parts = []
-    for ids, matrix in _blocks(queries, block):
-        if cosine:
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-        parts.append(pool.mapInArrow(_best(sent, k, exclude_self, cosine, kinds), kinds))
-    if not parts:
+    if not few:
         return vectors.sparkSession.createDataFrame([], kinds).withColumn("rank", F.lit(1)).select("query_id", "rank", "chunk_id", "score")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found, k)
+    matrix = np.array([r[1] for r in few], np.float64)
+    if cosine:
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    sent = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in few], matrix))
+    return ranked(pool.mapInArrow(_best(sent, k, exclude_self, cosine, kinds), kinds), k)
 
 
 def _best(sent, k: int, exclude_self: bool, cosine: bool, kinds: T.StructType):

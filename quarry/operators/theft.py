@@ -34,12 +34,13 @@ def dump(rows: DataFrame, path: str) -> None:
     rows.drop("text").write.mode("overwrite").json(path)
 
 
-def nearest(stolen: DataFrame, reference: DataFrame) -> DataFrame:
-    """chunk_id, ref_id, score: the reference vector nearest each stolen one; ties go to the smaller ref_id.
+def nearest(stolen: DataFrame, reference: DataFrame, *, block: int = 2048) -> DataFrame:
+    """chunk_id, ref_id, score: the reference vector nearest each stolen one by cosine; ties go to the smaller ref_id.
 
-    The reference is scanned once for each block of stolen vectors and never moves.
+    Up to block stolen vectors are sent to the reference, which then never moves; more of
+    them meet it in cells, so both tables may be of any size.
     """
-    hits = search.dense_topk(stolen.select(F.col("chunk_id").alias("query_id"), "embedding"), reference.select(F.col("ref_id").alias("chunk_id"), "embedding"), 1, cosine=True)
+    hits = search.dense_topk(stolen.select(F.col("chunk_id").alias("query_id"), "embedding"), reference.select(F.col("ref_id").alias("chunk_id"), "embedding"), 1, cosine=True, block=block)
     return hits.select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("ref_id"), "score")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import access, answers, chunking, gold, metrics, redteam, rules, search, store, sweep, theft
+from quarry.operators import access, answers, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft
+from quarry.scratch import folder
 from quarry.sources import cve, pages
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +127,21 @@ def dense_topk_acl(spark, sf):
     return _dense(spark, sf, 5, AMBER).withColumn("score", F.round("score", 4))
 
 
+@query(f"WITH {_hits_sql(5, 'v.tlp_rank <= 2')} SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM hits")
+def cell_topk(spark, sf):
+    # the same hits as dense_topk_acl from an index of cells, read back from where it was written
+    held = cells.build(vectors(spark, sf)).write(f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    return cells.topk(_asked(spark, sf), held, 5, principal=AMBER, exclude_self=True).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {VEC} SELECT q.chunk_id, r.chunk_id AS ref_id, round(list_cosine_similarity(q.e, r.e), 4) AS score FROM vec q JOIN vec r ON q.chunk_id % 20 = 0 AND r.chunk_id % 20 <> 0
+ QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(q.e, r.e) DESC, r.chunk_id) = 1""")
+def nearest_in_cells(spark, sf):
+    v = vectors(spark, sf)
+    found = theft.nearest(v.where("chunk_id % 20 = 0"), v.where("chunk_id % 20 <> 0").select(F.col("chunk_id").alias("ref_id"), "embedding"), block=0)
+    return found.withColumn("score", F.round("score", 4))
+
+
 @query(f"WITH {_hits_sql(10)} SELECT query_id, rank, chunk_id, doc_id FROM hits WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5")
 def dense_threshold(spark, sf):
     chunks = vectors(spark, sf).select("chunk_id", "doc_id", "tlp_rank")
@@ -471,6 +488,8 @@ GRAMS = f"""{PAIRS}, gram AS (SELECT key, n, side, array_to_string(list_slice(t,
  (SELECT key, 1 AS side, c AS t FROM pairs UNION ALL SELECT key, 0, r FROM pairs), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(t) >= n)),
 cnt AS (SELECT key, n, g, count(*) FILTER (side = 1) AS c, count(*) FILTER (side = 0) AS r FROM gram GROUP BY key, n, g),
 ov AS (SELECT key, n, sum(least(c, r)) AS b, sum(c) AS c, sum(r) AS r FROM cnt GROUP BY key, n)"""
+ONE = f"""{PAIRS}, cnt AS (SELECT key, g, count(*) FILTER (side = 1) AS c, count(*) FILTER (side = 0) AS r FROM (SELECT key, 1 AS side, unnest(c) AS g FROM pairs UNION ALL SELECT key, 0, unnest(r) FROM pairs) GROUP BY key, g),
+ov AS (SELECT key, 1 AS n, sum(least(c, r)) AS b, sum(c) AS c, sum(r) AS r FROM cnt GROUP BY key)"""
 F1 = "CASE WHEN len(p.c) = 0 AND len(p.r) = 0 THEN 1.0 WHEN coalesce(o.b, 0) = 0 THEN 0.0 ELSE 2 * (o.b / o.c) * (o.b / o.r) / (o.b / o.c + o.b / o.r) END"
 
 
@@ -480,7 +499,7 @@ def _pairs(spark, sf):
     return d.join(b, "item_id").select(F.col("doc_id").alias("key"), F.col("lang").alias("source_type"), (F.col("doc_id") % 4).cast("int").alias("tlp"), F.col("text").alias("candidate"), "reference")
 
 
-@query(f"WITH {GRAMS} SELECT p.key, round({F1}, 6) AS f1 FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1")
+@query(f"WITH {ONE} SELECT p.key, round({F1}, 6) AS f1 FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1")
 def token_f1(spark, sf):
     return metrics.token_f1(_pairs(spark, sf)).withColumn("f1", F.round("f1", 6))
 
@@ -491,7 +510,7 @@ def corpus_bleu(spark, sf):
     return metrics.corpus_bleu(_pairs(spark, sf)).withColumn("bleu", F.round("bleu", 6))
 
 
-@query(f"""WITH {GRAMS}, s AS (SELECT p.source_type, p.tlp, p.exact, {F1} AS f1, p.key % 3 AS n_secret, CASE WHEN p.key % 2 = 0 THEN p.key % 3 ELSE 0 END AS n_recovered FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1)
+@query(f"""WITH {ONE}, s AS (SELECT p.source_type, p.tlp, p.exact, {F1} AS f1, p.key % 3 AS n_secret, CASE WHEN p.key % 2 = 0 THEN p.key % 3 ELSE 0 END AS n_recovered FROM pairs p LEFT JOIN ov o ON o.key = p.key AND o.n = 1)
 SELECT source_type, tlp, GROUPING(source_type, tlp)::BIGINT AS level, count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(f1), 6) AS f1, NULL::DOUBLE AS cosine, round(sum(n_recovered) / sum(n_secret), 6) AS secret_recovery,
  sum((n_secret > 0 AND n_recovered = n_secret)::INT)::BIGINT AS fully_leaked FROM s GROUP BY GROUPING SETS ((), (source_type), (tlp))""")
 def group_scores(spark, sf):

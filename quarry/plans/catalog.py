@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import access, answers, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft
+from quarry.operators import access, answers, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft, words
 from quarry.scratch import folder
 from quarry.sources import cve, pages
 
@@ -179,8 +179,27 @@ def bm25_weights(spark, sf):
 
 @query(f"WITH {LEXICAL} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 5")
 def bm25_topk(spark, sf):
-    chunks = _chunks(spark, sf)
-    return search.lexical_topk(_questions(spark, sf), search.postings(chunks), chunks.count(), 5).select("query_id", "chunk_id", "rank")
+    return _words(spark, _chunks(spark, sf)).topk(_questions(spark, sf), 5).select("query_id", "chunk_id", "rank")
+
+
+def _words(spark, chunks) -> words.WordIndex:
+    return words.create(spark, f"{folder(spark)}/words-{uuid.uuid4().hex}", chunks)
+
+
+# the text of every tenth document changes places with that of the benchmark item of the same number, and every seventh document goes
+CHANGED = "SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 AND b.text IS NOT NULL THEN b.text || ' T1055.001 cve-2024-12345' ELSE d.text END AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id // 10 WHERE d.doc_id % 7 <> 0"
+IDENTIFIED = LEXICAL.replace("'[a-z0-9]+'", f"'{text.IDENTIFIER}|[a-z0-9]+'")
+
+
+@query("WITH documents AS (" + CHANGED + f"), {IDENTIFIED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 5".replace("FROM benchmark),", "FROM (SELECT item_id, text || ' t1055.001' AS text FROM benchmark)),"))
+def bm25_after_changes(spark, sf):
+    d, b = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
+    held = _words(spark, _chunks(spark, sf))
+    new = d.where("doc_id % 10 = 0").join(b.select((F.col("item_id") * 10).alias("doc_id"), F.col("text").alias("said")), "doc_id")
+    held = held.upsert(new.select(F.col("doc_id").alias("chunk_id"), F.concat("said", F.lit(" T1055.001 cve-2024-12345")).alias("text")))
+    held = held.delete(d.where("doc_id % 7 = 0").select(F.col("doc_id").alias("chunk_id")))
+    asked = b.select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" t1055.001")).alias("question"))
+    return held.topk(asked, 5).select("query_id", "chunk_id", "rank")
 
 
 @query(f"""WITH {LEXICAL}, {VEC}, l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex WHERE chunk_id % 4 <= 2 QUALIFY rank <= 50),
@@ -191,7 +210,7 @@ def hybrid_rrf_topk(spark, sf):
     chunks = corpus(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text", "tlp_rank", "source_type")
     asked = _questions(spark, sf).join(vectors(spark, sf).select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
     dense = search.dense_topk(asked.where("embedding is not null"), vectors(spark, sf), 50, principal=AMBER)
-    lexical = search.lexical_topk(asked, search.postings(chunks), chunks.count(), 50, readable=access.visible(chunks, AMBER))
+    lexical = _words(spark, chunks).topk(asked, 50, readable=access.visible(chunks, AMBER))
     return search.fuse([dense, lexical], 10).select("query_id", "chunk_id", "rank")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.ranks import smallest
+
 TITLE = r"^(\S+) (.+) \((technique|group|software)\)$"
 CVE_REF = r"^CVE-\d{4}-\d{4,}$"
 
@@ -60,8 +62,7 @@ def stratified_sample(chunks: DataFrame, total: int, *, seed: int, census: tuple
     """All chunks of the census corpora, none of the excluded, and of the others total by quota, the smallest seeded hashes of each; by chunk id."""
     rest = chunks.where(~F.col("source_type").isin(*census, *excluded))
     seats = quotas(rest.groupBy("source_type").agg(F.count(F.lit(1)).alias("n")), total).select("source_type", "seats")
-    order = Window.partitionBy("source_type").orderBy(by_hash(F.col("chunk_id"), seed), "chunk_id")
-    taken = rest.join(seats, "source_type").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.col("seats")).drop("__n", "seats")
+    taken = smallest(rest, seats.withColumnRenamed("seats", "take"), "source_type", by_hash(F.col("chunk_id"), seed), "chunk_id").select(*chunks.columns)
     return chunks.where(F.col("source_type").isin(*census)).unionByName(taken).orderBy("chunk_id")
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +15,8 @@ from pyspark.sql.window import Window
 from quarry.functions import text
 from quarry.functions.vectors import cosine
 from quarry.operators.answers import ungrounded_ids
+from quarry.operators.bootstrap import paired_delta as paired_delta
+from quarry.operators.ranks import with_rank
 from quarry.shipping import ship
 
 
@@ -147,29 +147,6 @@ def score_reconstructions(truth: DataFrame, rebuilt: DataFrame, vectors: DataFra
     return both.withColumn("cosine", near), unmatched
 
 
-def paired_delta(pairs: DataFrame, *by: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 20260912) -> DataFrame:
-    """pairs(question_id, baseline, treated) by group: n, mean_delta, low, high, lost, gained.
-
-    low and high are percentiles of bootstrapped means, in order of question id, so they
-    do not depend on partitions. Questions are a fixed evaluation set; a group is one
-    comparison of it. A question that one side lacks is an error.
-    """
-    if not 0 < confidence < 1:
-        raise ValueError(f"confidence must lie between 0 and 1, not {confidence}")
-    ship(pairs.sparkSession)
-    checked = pairs.withColumn("__d", F.when(F.col("baseline").isNull() | F.col("treated").isNull(), F.raise_error(F.lit("a question lacks its counterpart"))).otherwise(F.col("treated").cast("double") - F.col("baseline").cast("double")))
-    kinds = ", ".join([*(f"{c} {checked.schema[c].dataType.simpleString()}" for c in by), "n long, mean_delta double, low double, high double, lost long, gained long"])
-
-    def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("question_id", kind="stable")["__d"].to_numpy()
-        rng, step = np.random.default_rng(seed), max(1, (1 << 22) // len(d))
-        means = np.concatenate([d[rng.integers(0, len(d), size=(min(step, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, step)])
-        low, high = np.percentile(means, [50 * (1 - confidence), 100 - 50 * (1 - confidence)])
-        return pd.DataFrame([[*key, len(d), d.mean(), low, high, int((d < 0).sum()), int((d > 0).sum())]])
-
-    return checked.select(*by, "question_id", "__d").groupBy(*by).applyInPandas(compare, kinds)
-
-
 def finding_rule(deltas: DataFrame, *by: str) -> DataFrame:
     """higher or lower only where every baseline repeat's interval excludes zero on that side; else unresolved."""
     verdict = F.when(F.bool_and(F.col("low") > 0), "higher").when(F.bool_and(F.col("high") < 0), "lower").otherwise("unresolved")
@@ -190,8 +167,18 @@ def answer_scores(answers: DataFrame, *by: str) -> DataFrame:
 
 
 def length_terciles(rows: DataFrame) -> DataFrame:
-    """rows(model, question_id, chars, hit): thirds by length in order, the last with the remainder: tercile, n, mean, median, hit rate."""
-    order = Window.partitionBy("model").orderBy("chars", "question_id")
-    numbered = rows.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("model")))
-    third = F.least(F.when(F.floor(F.col("__n") / 3) > 0, F.floor(F.col("__i") / F.floor(F.col("__n") / 3))).otherwise(2), F.lit(2))
-    return numbered.withColumn("tercile", third.cast("long")).groupBy("model", "tercile").agg(F.count(F.lit(1)).alias("n"), F.avg("chars").alias("mean_chars"), F.median("chars").alias("median_chars"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+    """rows(model, question_id, chars, hit): thirds by length in order, the last with the remainder: tercile, n, mean, median, hit rate.
+
+    Ranks come from ranges, and a third's median from the rows of its middle ranks, so no
+    task holds a model.
+    """
+    numbered = with_rank(rows.select("model", "question_id", "chars", "hit"), "model", "chars", "question_id", rank="__i", size="__n")
+    third = F.floor(F.col("__n") / 3)
+    tercile = F.least(F.when(third > 0, F.floor((F.col("__i") - 1) / third)).otherwise(2), F.lit(2)).cast("long")
+    start = F.when(third > 0, F.col("tercile") * third).otherwise(0)
+    size = F.when((third > 0) & (F.col("tercile") < 2), third).otherwise(F.col("__n") - start)
+    # the middle ranks of a third; one if its size is odd
+    middle = F.col("__i").isin(F.floor((size + 1) / 2) + start, F.floor((size + 2) / 2) + start)
+    return numbered.withColumn("tercile", tercile).groupBy("model", "tercile").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("chars").alias("mean_chars"), F.avg(F.when(middle, F.col("chars"))).alias("median_chars"), F.avg(F.col("hit").cast("double")).alias("hit_rate"),
+    )

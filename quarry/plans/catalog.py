@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import access, answers, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft, words
+from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft, words
 from quarry.scratch import folder
 from quarry.sources import cve, pages
 
@@ -666,20 +666,42 @@ def sweep_pending(spark, sf):
 
 
 def _arms(spark, sf):
-    base, other = _per_query(spark, sf, 5), _per_query(spark, sf, 3)
-    return base.select(F.col("query_id").alias("question_id"), F.col("recall").alias("baseline")).join(other.select(F.col("query_id").alias("question_id"), F.col("recall").alias("treated")), "question_id")
+    base, other = (_per_query(spark, sf, k).select(F.col("query_id").alias("question_id"), F.col("recall").alias("value")) for k in (5, 3))
+    return bootstrap.pair_up(base, other)
 
 
-@query(f"""WITH {IR}, x3 AS (SELECT f3.query_id, w.ref IS NOT NULL AS hit FROM (SELECT query_id, 'D' || doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), 'D' || doc_id) AS rank FROM hits WHERE hits.rank <= 6 GROUP BY query_id, doc_id) f3 LEFT JOIN want w USING (query_id, ref) WHERE f3.rank <= 3),
-t AS (SELECT query_id, sum(hit::INT) / any_value(n) AS treated FROM x3 JOIN g USING (query_id) GROUP BY query_id)
-SELECT count(*) AS n, round(avg(treated - recall), 6) AS mean_delta, count(*) FILTER (treated < recall) AS lost, count(*) FILTER (treated > recall) AS gained FROM per JOIN t USING (query_id)""")
+DRAWN = f"""{IR}, x3 AS (SELECT f3.query_id, w.ref IS NOT NULL AS hit FROM (SELECT query_id, 'D' || doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), 'D' || doc_id) AS rank FROM hits WHERE hits.rank <= 6 GROUP BY query_id, doc_id) f3 LEFT JOIN want w USING (query_id, ref) WHERE f3.rank <= 3),
+t AS (SELECT query_id, sum(hit::INT) / any_value(n) AS treated FROM x3 JOIN g USING (query_id) GROUP BY query_id), arms AS (SELECT query_id AS q, treated - recall AS d FROM per JOIN t USING (query_id))"""
+
+
+def _resamples_sql(rows: str, key: str = "") -> str:
+    """Percentiles of resampled means of rows(q, d) by key, with the weights that the library draws."""
+    seed, prime = 20260912, bootstrap.PRIME
+    h = lambda said: f"('0x' || substr(md5('{seed}|' || {said}), 1, 8))::BIGINT % {prime}"
+    weight = " + ".join(f"(u >= {x!r})::INT" for x in bootstrap.thresholds())
+    return f"""rs AS (SELECT r, {h("'times|' || r")} AS f, {h("'plus|' || r")} AS s FROM (SELECT unnest(range(10000)) AS r)),
+ws AS (SELECT {key}r, sum(({weight}) * d) / nullif(sum({weight}), 0) AS m FROM (SELECT {key}r, d, ((h * f + s) % {prime})::DOUBLE / {prime} AS u FROM (SELECT *, {h("q")} AS h FROM {rows}), rs) GROUP BY ALL),
+bounds AS (SELECT {key}quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ws GROUP BY ALL)"""
+
+
+@query(f"""WITH {DRAWN}, {_resamples_sql("arms")} SELECT count(*) AS n, round(avg(d), 6) AS mean_delta, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, count(*) FILTER (d < 0) AS lost, count(*) FILTER (d > 0) AS gained FROM arms, bounds""")
 def paired_delta(spark, sf):
-    return metrics.paired_delta(_arms(spark, sf)).select("n", F.round("mean_delta", 6).alias("mean_delta"), "lost", "gained")
+    return bootstrap.paired_delta(_arms(spark, sf)).select("n", *(F.round(c, 6).alias(c) for c in ("mean_delta", "low", "high")), "lost", "gained")
 
 
-@query()
+# as groups, the documents of a language: their length in the corpus against that of the benchmark item of the same turn
+LENGTHS = "lengths AS (SELECT d.lang, d.doc_id AS q, (length(b.text) - length(d.text))::DOUBLE / 1000 AS d FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
+
+
+@query(f"""WITH {LENGTHS}, {_resamples_sql("lengths", "lang, ")}, t AS (SELECT lang, count(*) AS n, avg(d) AS mean, count(*) FILTER (d < 0) AS lost, count(*) FILTER (d > 0) AS gained FROM lengths GROUP BY lang)
+SELECT lang, n, round(mean, 6) AS mean_delta, round(low, 6) AS low, round(high, 6) AS high, lost, gained FROM t JOIN bounds USING (lang)""")
 def paired_bootstrap(spark, sf):
-    return metrics.paired_delta(_arms(spark, sf))
+    b = _table(spark, sf, "benchmark")
+    d = _table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % b.agg(F.count(F.lit(1))).scalar())
+    size = lambda rows, c: rows.select("lang", F.col("doc_id").alias("question_id"), (F.length(c) / 1000).alias("value"))
+    arms = bootstrap.pair_up(size(d, "text"), size(d.drop("text").join(b, "item_id"), "text"), "lang")
+    out = bootstrap.paired_delta(arms, "lang")
+    return out.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("mean_delta", "low", "high")), "lost", "gained")
 
 
 @query("""WITH o AS (SELECT lang AS model, length(text) AS chars, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, doc_id FROM documents)

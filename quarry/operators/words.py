@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarry import versions
 from quarry.functions import text
 from quarry.scratch import written
 from quarry.shipping import ship
@@ -20,7 +21,6 @@ from quarry.shipping import ship
 _BLOCK = 128
 _SHARD = 1 << 17
 _SLACK = 1e-6
-_SIZE = "segment string, position int, n long, total_len long, k1 double, b double, avg_len double, with_title boolean"
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,21 +69,37 @@ class WordIndex:
 
     forward(segment, chunk_id, terms, tfs, len) has a row a chunk, blocks the postings of a
     term and shard, 128 together by falling weight, with their largest tf and smallest
-    length; terms(segment, term, df, most_tf, least_len) and size are differences that each
+    length; terms(segment, term, df, most_tf, least_len) and lines are differences that each
     change adds; dead(segment, of, chunk_id) says which chunks of older segments a change
-    took away. A change writes its files first and its line of size last, so readers see
-    all of it or nothing, and versions opened before stay as they are.
+    took away. A change writes its files first and its manifest last, so readers see all of
+    it or nothing, and versions opened before stay as they are. Of two changes to one
+    version the second fails. kept: manifests are written here, not by an owner.
     """
 
     spark: SparkSession
     path: str
-    segments: tuple[str, ...]
+    lines: tuple[dict, ...]
     k1: float
     b: float
     avg_len: float | None
     with_title: bool
-    n: int
-    total_len: int
+    kept: bool = True
+
+    @property
+    def segments(self) -> tuple[str, ...]:
+        return tuple(x["segment"] for x in self.lines)
+
+    @property
+    def n(self) -> int:
+        return sum(x["n"] for x in self.lines)
+
+    @property
+    def total_len(self) -> int:
+        return sum(x["total_len"] for x in self.lines)
+
+    def manifest(self) -> dict:
+        """What opens this version again."""
+        return {"lines": list(self.lines), "k1": self.k1, "b": self.b, "avg_len": self.avg_len, "with_title": self.with_title}
 
     def _read(self, part: str, kinds: str) -> DataFrame:
         """A part's rows of this version's segments."""
@@ -163,9 +179,10 @@ class WordIndex:
         else:
             self.spark.createDataFrame([], T.StructType([T.StructField("of", T.StringType()), T.StructField("chunk_id", kind)])).write.parquet(at("dead"))
         added.write.parquet(at("terms"))
-        row = (name, len(self.segments), n - gone_n, total - gone_len, self.k1, self.b, self.avg_len, self.with_title)
-        self.spark.createDataFrame([row], _SIZE).coalesce(1).write.mode("append").parquet(f"{self.path}/size")
-        return open_index(self.spark, self.path, upto=(*self.segments, name))
+        done = replace(self, lines=(*self.lines, {"segment": name, "n": n - gone_n, "total_len": total - gone_len}))
+        if self.kept:
+            versions.commit(self.spark, self.path, len(self.lines), done.manifest())
+        return done
 
     def upsert(self, chunks: DataFrame) -> WordIndex:
         """Replace whole chunks by id; of rows of one id the last in reading order counts."""
@@ -180,7 +197,7 @@ class WordIndex:
 
     def compact(self, path: str) -> WordIndex:
         """The same chunks at another path as one segment without dead rows; no text is tokenised again."""
-        return WordIndex(self.spark, path, (), self.k1, self.b, self.avg_len, self.with_title, 0, 0)._change(None, self.alive().select("chunk_id", "terms", "tfs", "len"), made=True)
+        return replace(self, path=path, lines=(), kept=True)._change(None, self.alive().select("chunk_id", "terms", "tfs", "len"), made=True)
 
     # ---- search
 
@@ -227,17 +244,14 @@ class WordIndex:
         return each if readable is None else each.join(readable.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def create(spark: SparkSession, path: str, chunks: DataFrame, *, k1: float = 1.2, b: float = 0.75, avg_len: float | None = None, with_title: bool = False) -> WordIndex:
+def create(
+    spark: SparkSession, path: str, chunks: DataFrame, *, k1: float = 1.2, b: float = 0.75, avg_len: float | None = None, with_title: bool = False, kept: bool = True,
+) -> WordIndex:
     """An index of chunks(chunk_id, text, title) at a new path; each text is tokenised once. avg_len defaults to the mean of all chunks at the time of a search."""
-    return WordIndex(spark, path, (), float(k1), float(b), None if avg_len is None else float(avg_len), with_title, 0, 0).upsert(chunks)
-
-
-def open_index(spark: SparkSession, path: str, *, upto: tuple[str, ...] | None = None) -> WordIndex:
-    """The newest version at a path, or the one of the given segments."""
-    lines = spark.read.schema(_SIZE).parquet(f"{path}/size").orderBy("position", "segment").collect()  # a line a change
-    if upto is not None:
-        lines = [r for r in lines if r["segment"] in upto]
-    if len({r["position"] for r in lines}) != len(lines):
-        raise ValueError("two changes were made to one version at once")
-    last = lines[-1]
-    return WordIndex(spark, path, tuple(r["segment"] for r in lines), last["k1"], last["b"], last["avg_len"], last["with_title"], sum(r["n"] for r in lines), sum(r["total_len"] for r in lines))
+    return WordIndex(spark, path, (), float(k1), float(b), None if avg_len is None else float(avg_len), with_title, kept).upsert(chunks)
+
+
+def open_index(spark: SparkSession, path: str, number: int | None = None, *, manifest: dict | None = None) -> WordIndex:
+    """A version at a path, the newest by default; or the one that an owner's manifest names."""
+    m = manifest or versions.read(spark, path, number)
+    return WordIndex(spark, path, tuple(m["lines"]), m["k1"], m["b"], m["avg_len"], m["with_title"], manifest is None)

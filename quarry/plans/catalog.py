@@ -492,12 +492,25 @@ PICK = "r AS (SELECT 'CVE-' || user_id AS id, date_diff('day', ts, (SELECT max(t
 @query(f"""WITH {PICK}, n AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM linked) QUALIFY row_number() OVER (PARTITION BY id ORDER BY win, severity_rank, pos) = 1),
 t AS (SELECT id FROM n ORDER BY win, severity_rank, pos, id LIMIT 50) SELECT id, 0::INT AS part FROM linked UNION ALL SELECT id, 1 FROM t""")
 def nvd_style_selection(spark, sf):
+    return _selected(spark, sf, 50).select("id", "part")
+
+
+def _selected(spark, sf, cap, **options):
     e = _table(spark, sf, "events")
     last = e.agg(F.max("ts")).first()[0]
     severity = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
     days = F.datediff(F.lit(last).cast("date"), F.col("ts").cast("date"))
     rows = e.select(F.concat(F.lit("CVE-"), F.col("user_id").cast("string")).alias("id"), F.floor(days / 30).alias("window"), severity.alias("severity_rank"), F.col("event_id").alias("pos"))
-    return cve.select(rows.where("id like '%7'").select("id").distinct(), rows, 50).select("id", "part")
+    return cve.select(rows.where("id like '%7'").select("id").distinct(), rows, cap, **options)
+
+
+@query(f"""WITH RECURSIVE {PICK}, c AS (SELECT win, severity_rank, list(id ORDER BY pos, id)[1:40] AS ids, row_number() OVER (ORDER BY win, severity_rank) AS i FROM r GROUP BY win, severity_rank),
+s(i, seen) AS (SELECT 0, list(id) FROM linked UNION ALL SELECT c.i, list_concat(seen, list_filter(list_distinct(list_slice(c.ids, 1, 40 + (SELECT count(*) FROM linked) - len(seen))), lambda x: NOT list_contains(seen, x)))
+ FROM s JOIN c ON c.i = s.i + 1),
+last AS (SELECT seen FROM s ORDER BY i DESC LIMIT 1)
+SELECT x AS id, CASE WHEN x IN (SELECT id FROM linked) THEN 0 ELSE 1 END::INT AS part FROM (SELECT unnest(seen) AS x FROM last)""")
+def budget_selection(spark, sf):
+    return _selected(spark, sf, 40, cap_fetched=True).select("id", "part")
 
 
 # ---- text overlap and theft

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -170,3 +171,23 @@ def test_streaming_ingest(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     ingest.append(ingest.chunks_of(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+@pytest.mark.parametrize("cap", [1, 3, 8, 40])
+def test_budget_that_passes_on(spark, cap):
+    """Withdrawn and repeated rows use a call's budget up, and what they leave goes to the next call."""
+    rng = random.Random(cap)
+    calls = [[(f"CVE-{rng.randint(0, 25)}", rng.random() < 0.8) for _ in range(rng.choice([0, 1, 4, 12]))] for _ in range(9)]
+    rows = [(name, i // 3, i % 3, p, "Analyzed" if live else "Rejected", []) for i, c in enumerate(calls) for p, (name, live) in enumerate(c)]
+    recent = spark.createDataFrame(rows, "id string, window int, severity_rank int, pos int, vulnStatus string, descriptions array<struct<lang:string,value:string>>").repartition(4)
+    linked = spark.createDataFrame([("cve-3",), ("CVE-99",)], "id string")
+    got = cve.select(linked, recent, cap, cap_fetched=True)
+    seen, taken = {"CVE-3", "CVE-99"}, []
+    for c in calls:
+        left = cap - len(taken)
+        for name, live in c[:left]:
+            if live and name not in seen:
+                seen.add(name)
+                taken.append(name)
+    assert sorted(r.id for r in got.where("part = 1").collect()) == sorted(taken)
+    assert sorted(r.id for r in got.where("part = 0").collect()) == ["CVE-3", "CVE-99"]

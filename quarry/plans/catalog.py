@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft, words
 from quarry.scratch import folder
-from quarry.sources import cve, pages
+from quarry.sources import cve, files, formats, pages, stix
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -738,3 +738,100 @@ def json_fields(spark, sf):
 @query()
 def point_ids(spark, sf):
     return corpus(spark, sf).select("id", text.point_id(F.col("id")).alias("point_id"))
+
+
+# ---- files of public formats, written from the tables and read back as data sources
+
+
+def _bundles(spark, sf) -> DataFrame:
+    """Objects of STIX bundles: parts as techniques, every thirteenth revoked, suppliers as groups, what they supplied as uses."""
+    part, supplier = _table(spark, sf, "part"), _table(spark, sf, "supplier")
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    ref = lambda kind, c: F.array(F.struct(F.lit("mitre-attack").alias("source_name"), F.concat(F.lit(kind), (F.col(c) + 1000).cast("string")).alias("external_id")))
+    phase = F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), F.lower("p_brand").alias("phase_name")))
+    techniques = part.select(F.lit(0).alias("g"), key("ap", "p_partkey").alias("id"), F.lit("attack-pattern").alias("type"), F.col("p_name").alias("name"), F.concat(F.lit("About "), "p_name", F.lit(". See CVE-2024-"), (F.col("p_partkey") % 100 + 1000).cast("string")).alias("description"),
+                             (F.col("p_partkey") % 13 == 0).alias("revoked"), ref("T", "p_partkey").alias("external_references"), phase.alias("kill_chain_phases"), F.array("p_type").alias("x_mitre_platforms"))
+    groups = supplier.select(F.lit(1).alias("g"), key("is", "s_suppkey").alias("id"), F.lit("intrusion-set").alias("type"), F.col("s_name").alias("name"), ref("G", "s_suppkey").alias("external_references"))
+    used = _table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    said = F.when(F.col("n") > 1, F.concat(F.lit("used "), F.col("n").cast("string"), F.lit(" times")))
+    uses = used.select(F.lit(2).alias("g"), F.concat(F.lit("r"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("id"), F.lit("relationship").alias("type"), F.lit("uses").alias("relationship_type"), key("is", "l_suppkey").alias("source_ref"), key("ap", "l_partkey").alias("target_ref"), said.alias("description"))
+    rows = techniques.unionByName(groups, allowMissingColumns=True).unionByName(uses, allowMissingColumns=True)
+    # a bundle for every sixteenth of the techniques, with all that uses them; groups by themselves
+    number = F.when(F.col("g") == 1, F.lit(16)).otherwise(F.pmod(F.regexp_extract(F.coalesce("target_ref", "id"), "([0-9]+)$", 1).cast("long"), F.lit(16)))
+    fields = [c for c in rows.columns if c != "g"]
+    place = F.struct("g", F.length("id"), "id")
+    return rows.select(number.alias("bundle"), place.alias("place"), F.struct(*fields).alias("o"))
+
+
+def _saved(spark, contents: DataFrame, key: str) -> str:
+    """contents(key, value): each value as a file of its own in one folder."""
+    path = f"{folder(spark)}/files-{uuid.uuid4().hex}"
+    contents.repartitionByRange(1 << 8, key).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+STIX = """u AS (SELECT l_suppkey AS s, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT * FROM part WHERE p_partkey % 13 <> 0)"""
+
+
+def _stix(spark, sf) -> DataFrame:
+    formats.register(spark)
+    each = _bundles(spark, sf).groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("place", "o"))).alias("x"))
+    content = F.to_json(F.struct(F.lit("bundle").alias("type"), F.transform("x", lambda v: v["o"]).alias("objects")))
+    path = _saved(spark, each.select("bundle", content.alias("value")), "bundle")
+    return stix.with_reference(spark.read.format("stix").option("suffix", ".txt").load(path))
+
+
+@query(f"""WITH {STIX}, lines AS (SELECT p, string_agg('- ' || s_name || ' (G' || (s + 1000) || '): used ' || n || ' times', chr(10) ORDER BY length('r' || s || '-' || p), 'r' || s || '-' || p) AS lines FROM u JOIN supplier ON s_suppkey = s WHERE n > 1 GROUP BY p),
+d AS (SELECT 'T' || (p_partkey + 1000) AS source_ref, p_name || ' (technique)' AS named, '# T' || (p_partkey + 1000) || ' - ' || p_name || chr(10) || chr(10) || '## Description' || chr(10) || 'About ' || p_name || '. See CVE-2024-' || (p_partkey % 100 + 1000) || chr(10) || chr(10)
+ || '## Tactics' || chr(10) || lower(p_brand) || chr(10) || chr(10) || '## Platforms' || chr(10) || p_type || chr(10) || coalesce(chr(10) || '## Procedure Examples' || chr(10) || lines || chr(10), '') AS text FROM t LEFT JOIN lines ON p = p_partkey)
+SELECT source_ref, source_ref || ' ' || named AS title, text FROM d UNION ALL SELECT 'G' || (s_suppkey + 1000), 'G' || (s_suppkey + 1000) || ' ' || s_name || ' (group)', '# G' || (s_suppkey + 1000) || ' - ' || s_name || chr(10) FROM supplier""")
+def stix_documents(spark, sf):
+    return stix.documents(_stix(spark, sf)).select("source_ref", "title", "text")
+
+
+@query(f"""WITH {STIX} SELECT DISTINCT 'G' || (s + 1000) AS group_id, s_name AS group_name, lower(p_brand) AS tactic, 'T' || (p + 1000) AS technique FROM u JOIN t ON p = p_partkey JOIN supplier ON s_suppkey = s""")
+def stix_gold_edges(spark, sf):
+    return stix.gold_edges(_stix(spark, sf))
+
+
+@query("SELECT 'CVE-2024-' || (p_partkey % 100 + 1000) AS cve, string_agg('T' || (p_partkey + 1000), ' ' ORDER BY 'T' || (p_partkey + 1000)) AS attack_ids FROM part GROUP BY ALL")
+def stix_cve_links(spark, sf):
+    return stix.cve_links(_stix(spark, sf)).select("cve", F.array_join("attack_ids", " ").alias("attack_ids"))
+
+
+@query("""WITH e AS (SELECT *, upper(event_type) AS severity FROM events WHERE event_id % 9 <> 0)
+SELECT 'CVE-2024-' || (100000 + event_id) AS source_ref, 'CVE-2024-' || (100000 + event_id) || ' (' || severity || ')' AS title, '# CVE-2024-' || (100000 + event_id) || chr(10) || chr(10) || '## Description' || chr(10) || 'Seen by user ' || user_id || '.' || chr(10) || chr(10)
+ || '## Severity' || chr(10) || 'CVSS v3.1 base score ' || (user_id % 10)::VARCHAR || '.0 (' || severity || ')' || chr(10) || 'Vector: V' || event_id || chr(10) || chr(10) || '## Weaknesses' || chr(10) || 'CWE-' || (user_id % 50) || chr(10) || chr(10)
+ || '## Affected Products' || chr(10) || 'acme tool ' || event_type || chr(10) || chr(10) || '## References' || chr(10) || 'Patch (2 references)' || chr(10) AS text
+FROM e WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S') >= '2024-01-02T00:00:00' AND strftime(ts, '%Y-%m-%dT%H:%M:%S') < '2024-01-20T00:00:00'""")
+def nvd_documents(spark, sf):
+    """Events as records of result pages, every ninth withdrawn, read back for a span of dates only."""
+    formats.register(spark)
+    e = _table(spark, sf, "events")
+    text_of = lambda c: F.array(F.struct(F.lit("en").alias("lang"), c.alias("value")))
+    data = F.struct(F.lit("3.1").alias("version"), (F.col("user_id") % 10).cast("double").alias("baseScore"), F.col("event_type").alias("baseSeverity"), F.concat(F.lit("V"), F.col("event_id").cast("string")).alias("vectorString"))
+    product = F.concat(F.lit("cpe:2.3:a:acme:tool_"), "event_type", F.lit(":1:*"))
+    record = F.struct(
+        F.concat(F.lit("cve-2024-"), (F.col("event_id") + 100000).cast("string")).alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("published"), F.when(F.col("event_id") % 9 == 0, "Rejected").otherwise("Analyzed").alias("vulnStatus"),
+        text_of(F.concat(F.lit("Seen by user "), F.col("user_id").cast("string"), F.lit("."))).alias("descriptions"), F.struct(F.array(F.struct(F.lit("Primary").alias("type"), data.alias("cvssData"))).alias("cvssMetricV31")).alias("metrics"),
+        F.array(F.struct(text_of(F.concat(F.lit("CWE-"), (F.col("user_id") % 50).cast("string"))).alias("description"))).alias("weaknesses"),
+        F.array(F.struct(F.array(F.struct(F.array(F.struct(product.alias("criteria"))).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
+        F.array(F.struct(F.lit("u").alias("url"), F.array(F.lit("Patch")).alias("tags")), F.struct(F.lit("v").alias("url"), F.array().cast("array<string>").alias("tags"))).alias("references"),
+    )
+    # result pages hold up to 2,000 records
+    paged = e.select(F.expr("event_id div 2000").alias("page"), F.struct(record.alias("cve")).alias("v")).groupBy("page").agg(F.collect_list("v").alias("vulnerabilities"))
+    path = _saved(spark, paged.select("page", F.to_json(F.struct("vulnerabilities", F.size("vulnerabilities").alias("totalResults"))).alias("value")), "page")
+    held = spark.read.format("nvd").options(**{"suffix": ".txt", "from": "2024-01-02T00:00:00", "before": "2024-01-20T00:00:00"}).load(path)
+    return cve.documents(held.where(~cve.rejected())).select("source_ref", "title", "text")
+
+
+@query("""SELECT 'note:N' || s_suppkey AS id, '# N' || s_suppkey || ' - ' || s_name || chr(10) || chr(10) || 'Held by nation ' || s_nationkey || '.' AS text, CASE s_suppkey % 4 WHEN 0 THEN 'clear' WHEN 1 THEN 'green' ELSE 'amber' END AS tlp, (s_suppkey % 3)::INT AS trust_tier
+FROM supplier WHERE s_suppkey % 4 < 3""")
+def note_documents(spark, sf):
+    formats.register(spark)
+    s = _table(spark, sf, "supplier")
+    tlp = F.element_at(F.array(*(F.lit(t) for t in access.TLP)), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    note = F.struct(F.concat(F.lit("N"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), tlp.alias("tlp"), (F.col("s_suppkey") % 3).alias("trust_tier"), F.concat(F.lit("Held by nation "), F.col("s_nationkey").cast("string"), F.lit(".")).alias("text"))
+    each = s.groupBy(F.expr("s_suppkey div 100").alias("file")).agg(F.to_json(F.struct(F.collect_list(note).alias("notes"))).alias("value"))
+    held = spark.read.format("notes").options(suffix=".txt", only='{"tlp": ["clear", "green", "amber"]}').load(_saved(spark, each, "file"))
+    return files.note_documents(held).select("id", "text", "tlp", "trust_tier")

@@ -38,6 +38,44 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), terms, tfs, pa.array(size, pa.int32())], names=["chunk_id", "terms", "tfs", "len"])
 
 
+def _packed(size: int):
+    """Rows (term, shard, id, tf, len) in order as blocks of size rows of one term and shard; a block that a batch may cut waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        done, last = 0, None  # blocks that the held rows' term has sent already
+
+        def blocks(rows: pa.RecordBatch, final: bool):
+            nonlocal held, done, last
+            term, shard = rows.column(0).dictionary_encode(), rows.column(1).to_numpy()
+            code = term.indices.to_numpy()
+            new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])))
+            place = np.arange(len(code)) - np.repeat(new, np.diff(np.append(new, len(code))))
+            first = np.flatnonzero(place % size == 0)
+            number = place[first] // size
+            same = (rows.column(0)[0].as_py(), int(shard[0])) == last
+            number[: np.searchsorted(first, new[1] if len(new) > 1 else len(code))] += done if same else 0
+            stop = len(first) if final else len(first) - 1
+            last, done = (rows.column(0)[len(code) - 1].as_py(), int(shard[-1])), int(number[-1])
+            held = None if final else rows.slice(int(first[-1]))
+            if stop:
+                ends = np.append(first, len(code))[: stop + 1]
+                offsets = pa.array(ends, pa.int32())
+                tf, size_of = rows.column(3).to_numpy()[: ends[-1]], rows.column(4).to_numpy()[: ends[-1]]
+                at = pa.array(first[:stop])
+                lists = [pa.ListArray.from_arrays(offsets, rows.column(i).slice(0, int(ends[-1]))) for i in (2, 3, 4)]
+                columns = [rows.column(0).take(at), rows.column(1).take(at), pa.array(number[:stop], pa.int32()), pa.array(np.maximum.reduceat(tf, first[:stop])), pa.array(np.minimum.reduceat(size_of, first[:stop])), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "shard", "block", "most_tf", "least_len", "ids", "tfs", "lens"])
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from blocks(batch if held is None else pa.concat_batches([held, batch]), False)
+        if held is not None:
+            yield from blocks(held, True)
+
+    return run
+
+
 def _completed(k1: float, b: float, mean: float):
     """Exact scores: rows (query, id, the query's terms, their idf, the chunk's terms, tfs, len) as (query, id, score)."""
 
@@ -163,10 +201,10 @@ class WordIndex:
         shard = F.pmod(F.xxhash64(F.col("chunk_id").cast("string")), F.lit(max(1, -(-n // _SHARD)))).cast("int")
         posted = forward.select("chunk_id", "len", shard.alias("shard"), F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("chunk_id", "len", "shard", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
         impact = F.col("tf") / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("len") / mean))
-        order = Window.partitionBy("term", "shard").orderBy(F.desc("impact"), "chunk_id")
-        placed = posted.withColumn("impact", impact).withColumn("place", F.row_number().over(order) - 1).withColumn("block", F.expr(f"cast(place div {_BLOCK} as int)"))
-        packed = placed.groupBy("term", "shard", "block").agg(F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), F.collect_list(F.struct("chunk_id", "tf", "len")).alias("x"))
-        packed.select("term", "shard", "block", "most_tf", "least_len", F.col("x.chunk_id").alias("ids"), F.col("x.tf").alias("tfs"), F.col("x.len").alias("lens")).repartitionByRange("term").sortWithinPartitions("term", "shard", "block").write.parquet(at("blocks"))
+        # ordered where they are dealt to, and packed as they pass: no task holds a term
+        placed = posted.withColumn("impact", impact).repartition("term", "shard").sortWithinPartitions("term", "shard", F.desc("impact"), "chunk_id")
+        kinds = T.StructType([*T._parse_datatype_string("term string, shard int, block int, most_tf int, least_len int").fields, T.StructField("ids", T.ArrayType(kind)), *T._parse_datatype_string("tfs array<int>, lens array<int>").fields])
+        placed.select("term", "shard", "chunk_id", "tf", "len").mapInArrow(_packed(_BLOCK), kinds).write.parquet(at("blocks"))
         blocks = self.spark.read.parquet(at("blocks"))
         added = blocks.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_len").alias("least_len"))
         gone_n = gone_len = 0
@@ -207,7 +245,8 @@ class WordIndex:
         queries(query_id, question). Frequencies count all chunks, whoever asks; readable
         (chunk_id) are those that may be hits. Scores are rounded to nine digits, so equal texts tie.
 
-        First the highest blocks of each term give a score that k chunks reach at least.
+        First the best of each term's highest blocks, completed, give a score that k chunks
+        reach at least.
         Terms whose largest possible weights together stay below it bring no new chunk in,
         nor do blocks whose own largest weight with those of the other terms does. Only the
         chunks of the remaining blocks are completed from their forward rows.
@@ -221,20 +260,25 @@ class WordIndex:
         up = order.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         terms = written(asked.join(known.select("term", "idf", "most"), "term").withColumn("every", F.sum("most").over(order)).withColumn("upto", F.sum("most").over(up)), "question-terms")
         weighed = self.blocks.withColumn("block_most", self.weight(F.col("most_tf"), F.col("least_len"))).join(terms, "term")
-        first = self._hits(weighed.where("block = 0"), readable)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-        floor = first.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", (F.col("score") - _SLACK).alias("floor"))
+        asking = terms.groupBy("query_id").agg(F.collect_list("term").alias("q_terms"), F.collect_list("idf").alias("q_idf"))
+        first = self._hits(weighed.where("block = 0"), readable).groupBy("query_id", "segment", "chunk_id").agg(F.sum("part").alias("score"))
+        first = first.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 8 * k).select("query_id", "segment", "chunk_id")
+        floor = self._complete(first, asking, queries).withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", (F.col("score") - _SLACK).alias("floor"))
         floor = written(floor, "floors")
         needed = weighed.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
         needed = needed.where((F.col("upto") >= F.col("floor")) & (F.col("idf") * F.col("block_most") + F.col("every") - F.col("most") >= F.col("floor")))
         seen = self._hits(needed, readable).groupBy("query_id", "segment", "chunk_id").agg((F.sum(F.col("part") - F.col("most")) + F.first("every")).alias("reach"), F.first("floor").alias("floor"))
         wanted = seen.where(F.col("reach") >= F.col("floor")).select("query_id", "segment", "chunk_id")
-        words = terms.groupBy("query_id").agg(F.collect_list("term").alias("q_terms"), F.collect_list("idf").alias("q_idf"))
-        kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), self.forward.schema["chunk_id"], T.StructField("score", T.DoubleType())])
-        rows = wanted.join(self.forward, ["segment", "chunk_id"]).join(words, "query_id").select("query_id", "chunk_id", "q_terms", "q_idf", "terms", "tfs", "len")
-        scored = rows.mapInArrow(_completed(self.k1, self.b, self.mean), kinds)
+        scored = self._complete(wanted, asking, queries)
         return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
+    def _complete(self, wanted: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
+        """wanted(query_id, segment, chunk_id) with exact scores."""
+        kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), self.forward.schema["chunk_id"], T.StructField("score", T.DoubleType())])
+        rows = wanted.join(self.forward, ["segment", "chunk_id"]).join(asking, "query_id").select("query_id", "chunk_id", "q_terms", "q_idf", "terms", "tfs", "len")
+        return rows.mapInArrow(_completed(self.k1, self.b, self.mean), kinds)
+
     def _hits(self, blocks: DataFrame, readable: DataFrame | None) -> DataFrame:
         """A row for each question and posting of these blocks that lives and may be read, with its part of the score."""
         each = blocks.withColumn("x", F.explode(F.arrays_zip("ids", "tfs", "lens"))).withColumn("chunk_id", F.col("x.ids"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, search, store, sweep, theft, words
+from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, search, store, stored, sweep, theft, words
 from quarry.scratch import folder
 from quarry.sources import cve, files, formats, pages, stix
 
@@ -558,9 +558,14 @@ NEAR = f"""{VEC}, {CORPUS}, nn AS (SELECT s.chunk_id, s.doc_id, r.chunk_id AS re
  QUALIFY row_number() OVER (PARTITION BY s.chunk_id ORDER BY score DESC, r.chunk_id) = 1)"""
 
 
-@query(f"WITH {NEAR} SELECT chunk_id, predicted_doc_id, doc_id = predicted_doc_id AS correct, doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 20 <> 0 AND doc_id % 50 <> 0) AS in_reference FROM nn")
+HITS = f"""{NEAR}, told AS (SELECT nn.chunk_id, nn.doc_id, nn.predicted_doc_id, c.source_type, nn.doc_id = predicted_doc_id AS correct, nn.doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 20 <> 0 AND doc_id % 50 <> 0) AS in_reference,
+ list_has_any(list_filter(regexp_extract_all(lower(regexp_replace(substr(p.title, length(p.source_ref) + 1), '\\([^)]*\\)', ' ', 'g')), '[a-z0-9]+'), lambda t: length(t) >= 4 AND regexp_matches(t, '[a-z]')), regexp_extract_all(lower(c.text), '[a-z0-9]+')) AS topic_hit,
+ contains(lower(c.text), lower(p.source_ref)) AS ref_hit FROM nn JOIN corpus c ON c.doc_id = nn.doc_id JOIN corpus p ON p.doc_id = nn.predicted_doc_id)"""
+
+
+@query(f"WITH {HITS} SELECT chunk_id, predicted_doc_id, correct, in_reference, coalesce(topic_hit, false) AS topic_hit, ref_hit FROM told")
 def reidentify_nn(spark, sf):
-    return _reidentified(spark, sf).select("chunk_id", "predicted_doc_id", "correct", "in_reference")
+    return _reidentified(spark, sf).select("chunk_id", "predicted_doc_id", "correct", "in_reference", "topic_hit", "ref_hit")
 
 
 def _reidentified(spark, sf):
@@ -571,10 +576,10 @@ def _reidentified(spark, sf):
     return theft.reidentify(stolen, reference)
 
 
-@query(f"""WITH {NEAR}, f AS (SELECT c.source_type, nn.doc_id = predicted_doc_id AS correct, nn.doc_id IN (SELECT doc_id FROM vec WHERE chunk_id % 20 <> 0 AND doc_id % 50 <> 0) AS known FROM nn JOIN corpus c ON c.doc_id = nn.doc_id)
-SELECT source_type, GROUPING(source_type)::BIGINT AS level, sum(known::INT)::BIGINT AS recognisable, sum((known AND correct)::INT)::BIGINT AS recognised, sum((NOT known)::INT)::BIGINT AS hidden FROM f GROUP BY ROLLUP (source_type)""")
+@query(f"""WITH {HITS} SELECT source_type, GROUPING(source_type)::BIGINT AS level, sum(in_reference::INT)::BIGINT AS recognisable, sum((in_reference AND correct)::INT)::BIGINT AS recognised, sum((NOT in_reference)::INT)::BIGINT AS hidden,
+ sum((NOT in_reference AND coalesce(topic_hit, false))::INT)::BIGINT AS topic_hits, sum((NOT in_reference AND ref_hit)::INT)::BIGINT AS ref_hits FROM told GROUP BY ROLLUP (source_type)""")
 def reidentify_report(spark, sf):
-    return theft.report(_reidentified(spark, sf)).select("source_type", "level", "recognisable", "recognised", "hidden")
+    return theft.report(_reidentified(spark, sf))
 
 
 # ---- collection changes
@@ -735,11 +740,42 @@ def json_fields(spark, sf):
     return _table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(got), 3).alias("total"))
 
 
-@query()
+@query("""WITH h AS (SELECT 'doc:' || doc_id AS id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || doc_id)) AS h FROM documents)
+SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def point_ids(spark, sf):
     return corpus(spark, sf).select("id", text.point_id(F.col("id")).alias("point_id"))
 
 
+# ---- a collection that its own changes are written back to
+
+
+def _changed(spark, sf) -> stored.Stored:
+    """Four of five vectors, then every seventh anew without the second vector, some more named ones, every eleventh gone, all in one segment; each change reopened."""
+    v, path = vectors(spark, sf), f"{folder(spark)}/collection-{uuid.uuid4().hex}"
+    part = lambda where, kind: v.where(where).select("chunk_id", "tlp_rank", F.lit(kind).alias("source_type"))
+    main = lambda where: v.where(where).select("chunk_id", F.lit("main").alias("vector_name"), "embedding")
+    stored.create(spark, path, part("chunk_id % 5 <> 0", "attack_cti"), main("chunk_id % 5 <> 0"), {"main": 64, "second": 64})
+    stored.open_stored(spark, path).attach("second", v.where("chunk_id % 3 = 0").select("chunk_id", "embedding"))
+    twice = part("chunk_id % 7 = 0", "internal_note").unionByName(part("chunk_id % 7 = 0", "nvd_cve")).coalesce(1)
+    stored.open_stored(spark, path).upsert(twice, main("chunk_id % 7 = 0"))
+    stored.open_stored(spark, path).delete(v.where("chunk_id % 11 = 0").select("chunk_id"))
+    return stored.open_stored(spark, path).compact()
+
+
+@query("""SELECT vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'nvd_cve' ELSE 'attack_cti' END AS source_type, CASE WHEN vec_id % 7 <> 0 AND vec_id % 3 = 0 THEN 'main second' ELSE 'main' END AS vectors
+FROM embeddings WHERE (vec_id % 5 <> 0 OR vec_id % 7 = 0) AND vec_id % 11 <> 0""")
+def stored_collection(spark, sf):
+    held = _changed(spark, sf)
+    names = held.vectors.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("vector_name")), " ").alias("vectors"))
+    return held.chunks.join(names, "chunk_id", "left").select("chunk_id", "source_type", "vectors")
+
+
+@query(f"""WITH {VEC} SELECT q.chunk_id AS query_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(q.e, v.e) * sqrt(list_dot_product(q.e, q.e)) DESC, v.chunk_id) AS rank, v.chunk_id
+FROM vec q JOIN vec v ON q.chunk_id % 20 = 0 AND v.tlp_rank <= 2 AND (v.chunk_id % 5 <> 0 OR v.chunk_id % 7 = 0) AND v.chunk_id % 11 <> 0 QUALIFY rank <= 5""")
+def stored_topk(spark, sf):
+    return _changed(spark, sf).search(_asked(spark, sf), "main", 5, principal=AMBER).select("query_id", "rank", "chunk_id")
+
+
 # ---- files of public formats, written from the tables and read back as data sources
 
 

@@ -7,7 +7,9 @@ import itertools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,55 @@ def passages(said: str, max_chars: int) -> list[str]:
     return [" ".join(words[a:b]) for a, b in _runs([len(w) + 1 for w in words], max_chars + 1, 0)]
 
 
+# White space as str.split() knows it.
+WHITE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
+def pack(texts: pa.Array, max_chars: int) -> pa.ListArray:
+    """passages() of a whole batch of texts whose words are one blank apart, in array operations only.
+
+    Each word's next passage begins behind the last word that still fits, which is a search
+    in the words' ends. Which words begin passages follows by jump tables: jumps of one
+    passage, of two, of four and so on are joined until all have run out of their text.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    blank, full = np.flatnonzero(raw == 0x20), np.diff(offsets) > 0
+    start, end = np.sort(np.concatenate((offsets[:-1][full], blank + 1))), np.sort(np.concatenate((offsets[1:][full], blank)))
+    n = len(start)
+    chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+    row = np.searchsorted(offsets, start, "right") - 1
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    after = np.maximum(np.searchsorted(chars[end], chars[start] + max_chars, "right"), np.arange(n) + 1)
+    after = np.minimum(after, first[row + 1])
+    jump = np.append(np.where(after < first[row + 1], after, n), n)
+    begins = np.zeros(n + 1, bool)
+    begins[first[:-1][full]] = True
+    while (jump[:-1] < n).any():
+        begins[jump[begins]] = True
+        jump = jump[jump]
+    piece = np.flatnonzero(begins[:n])
+    stop = end[after[piece] - 1]
+    keep = np.ones(len(raw), bool)
+    keep[stop[stop < offsets[row[piece] + 1]]] = False  # the blanks between passages
+    bounds = np.append(0, np.cumsum(stop - start[piece])).astype(np.int32)
+    values = pa.StringArray.from_buffers(len(piece), pa.py_buffer(bounds), pa.py_buffer(raw[keep].tobytes()))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[piece], np.arange(len(texts) + 1)), pa.int32()), values)
+
+
+def packed(said: Column, max_chars: int) -> Column:
+    """passages() as a column: white space becomes blanks natively, batches are packed as arrays."""
+    if max_chars <= 0:
+        raise ValueError("max_chars must be positive")
+
+    @F.arrow_udf("array<string>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pack(texts.cast(pa.string()), max_chars)
+
+    return pieces(F.trim(F.regexp_replace(said, WHITE, " ")))
+
+
 def _udf(split: Callable[..., list[str]], *options) -> Callable[[Column], Column]:
     @F.pandas_udf("array<string>")
     def pieces(said: pd.Series) -> pd.Series:
@@ -111,4 +162,4 @@ def chunk(docs: DataFrame, strategy: str = "structural", size: int = 512, overla
 def passage_rows(docs: DataFrame, max_chars: int = 600, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to keep, passage and text: a row for each passage of a document."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(_udf(passages, max_chars)(F.coalesce(F.col(text_col), F.lit("")))).alias("passage", "text"))
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(packed(F.coalesce(F.col(text_col), F.lit("")), max_chars)).alias("passage", "text"))

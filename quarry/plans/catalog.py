@@ -457,7 +457,12 @@ def structural_chunks(spark, sf):
     return chunking.chunk(rows, "structural").select("chunk_id", "ordinal", "text")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT doc_id, trim(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e, i FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM n WHERE t <> '')),
+l AS (SELECT doc_id, list(e::BIGINT ORDER BY i) AS ends FROM w GROUP BY doc_id),
+r(doc_id, passage, s, e, i) AS (SELECT doc_id, -1, 0::BIGINT, -1::BIGINT, 0::BIGINT FROM l
+ UNION ALL SELECT doc_id, passage + 1, e + 1, ends[j], j FROM (SELECT r.doc_id, r.passage, r.e, ends, greatest(r.i + 1, len(list_filter(ends, lambda x: x - (r.e + 1) <= 600))) AS j FROM r JOIN l USING (doc_id) WHERE r.i < len(ends)))
+SELECT doc_id, passage, substr(t, s + 1, e - s) AS text FROM r JOIN n USING (doc_id) WHERE passage >= 0""")
 def passages(spark, sf):
     return chunking.passage_rows(corpus(spark, sf).select("doc_id", "text"), 600)
 

@@ -108,3 +108,24 @@ def test_fusion_is_stable(spark):
     want = ["a", "b", "c", "d"]
     for x, y in ((a, b), (b, a), (a[::-1], b[::-1])):
         assert [r.chunk_id for r in search.fuse([frame(x), frame(y)], 4).orderBy("rank").collect()] == want
+
+
+def test_batches_of_passages(spark):
+    """The array form equals the plain one, text by text."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["a", "bb", "ééé", "日本語テキスト", "x" * 30, "😀😀"]
+    texts = ["", "one", *(" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(200)), "", "z" * 100]
+    for size in (1, 7, 25, 600):
+        assert chunking.pack(pa.array(texts), size).to_pylist() == [chunking.passages(t, size) for t in texts]
+        assert chunking.pack(pa.array(texts).slice(5, 40), size).to_pylist() == [chunking.passages(t, size) for t in texts[5:45]]
+    assert chunking.pack(pa.array([], pa.string()), 5).to_pylist() == []
+    odd = [(1, " a\u3000b\x1cc\t\r\nd\x85 e\xa0"), (2, None), (3, "\u2003 "), (4, "long " * 20_000)]
+    df = spark.createDataFrame(odd, "doc_id int, text string")
+    got = sorted(map(tuple, chunking.passage_rows(df, 4).collect()))
+    assert got == sorted((d, i, p) for d, t in odd for i, p in enumerate(chunking.passages(t or "", 4)))
+    with pytest.raises(ValueError):
+        chunking.passage_rows(df, 0)

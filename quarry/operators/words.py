@@ -180,8 +180,8 @@ class WordIndex:
 
     # ---- changes
 
-    def _change(self, new: DataFrame | None, ids: DataFrame, *, made: bool = False) -> WordIndex:
-        """Add new chunks and take away ids' chunks of older segments, as one more segment; made: ids are forward rows to add."""
+    def _change(self, new: DataFrame | None, ids: DataFrame | None, *, made: bool = False) -> WordIndex:
+        """Add new chunks and take away ids' chunks of older segments, as one more segment; made: ids are forward rows to add. Without ids the new chunks' own go."""
         name = f"{len(self.segments):06d}-{uuid.uuid4().hex[:8]}"
         at = lambda part: f"{self.path}/{part}/segment={name}"
         kind = new.schema["chunk_id"].dataType if new is not None else ids.schema["chunk_id"].dataType
@@ -209,6 +209,7 @@ class WordIndex:
         added = blocks.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_len").alias("least_len"))
         gone_n = gone_len = 0
         if self.segments:
+            ids = forward if ids is None else ids
             gone = written(self.alive().join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi"), "gone")
             gone.select(F.col("segment").alias("of"), "chunk_id").write.parquet(at("dead"))
             gone_n, gone_len = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
@@ -224,10 +225,14 @@ class WordIndex:
 
     def upsert(self, chunks: DataFrame) -> WordIndex:
         """Replace whole chunks by id; of rows of one id the last in reading order counts."""
-        last = Window.partitionBy("chunk_id").orderBy(F.desc("__n"))
-        once = chunks.withColumn("__n", F.monotonically_increasing_id()).withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__n", "__r")
-        once = written(once.where("chunk_id is not null"), "upsert")
-        return self._change(once, once)
+        held = chunks.where("chunk_id is not null")
+        twice = written(held.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id"), "repeated")
+        if not twice.isEmpty():  # only their rows are shuffled
+            last = Window.partitionBy("chunk_id").orderBy(F.desc("__n"))
+            numbered = held.withColumn("__n", F.monotonically_increasing_id())
+            again = numbered.join(twice, "chunk_id", "left_semi").withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
+            held = numbered.join(twice, "chunk_id", "left_anti").unionByName(again).drop("__n")
+        return self._change(held, None)
 
     def delete(self, ids: DataFrame) -> WordIndex:
         """Take chunks away by id; unknown ids change nothing."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.functions.vectors import dot, normalised
+from quarry.operators import access, chunking, rules, search
+from quarry.operators.words import WordIndex
 
 SINK = "{SINK}"
 
@@ -25,6 +30,38 @@ def overlay(corpus: DataFrame, poison: DataFrame) -> DataFrame:
     return clean.unionByName(poison, allowMissingColumns=True)
 
 
+def poison_chunks(attacks: DataFrame, sink: str, *, screens: tuple[str, ...] = (), strategy: str = "structural", size: int = 512, overlap: int = 64) -> DataFrame:
+    """The chunks of those of the attacks' documents that the document rules let in: attack_id and the columns of a collection's chunks."""
+    judged = rules.admit(poison_documents(attacks, sink), screens)
+    kept = judged.where("rejected_by is null").drop("rejected_by").withColumn("tlp_rank", access.tlp_rank(F.col("tlp")))
+    return chunking.chunk(kept, strategy, size, overlap)
+
+
+def overlay_topk(
+    asked: DataFrame, chunks: DataFrame, poison: DataFrame, k: int, *, index: WordIndex | None = None, vectors: DataFrame | None = None, principal: access.Principal | None = None,
+    embed: Callable[[Column], Column] | None = None, prefetch: int = search.PREFETCH,
+) -> DataFrame:
+    """query_id, rank, chunk_id, score: the best of chunks and of the question's own poison, as a search of the corpus with that attack's document in it finds them.
+
+    asked(query_id, question), with embedding if there are vectors; poison: poison_chunks(),
+    of which a question sees those whose attack_id is its query_id. By words if an index is
+    given, by vectors if those are, else by both, fused. The corpus is searched once for all
+    questions: frequencies and mean length are corrected for each, and the few hits of its
+    own document are merged with those of the corpus.
+    """
+    own = poison.withColumn("query_id", F.col("attack_id")).withColumn("hidden", ~access.may_read(principal))
+    rankings, depth = [], k if index is None or vectors is None else max(k, prefetch)
+    if vectors is not None:
+        near = own.where(~F.col("hidden")).select("query_id", "chunk_id", normalised(embed(F.col("text"))).alias("own")).join(asked.select("query_id", "embedding"), "query_id")
+        found = search.dense_topk(asked, vectors, depth, principal=principal).drop("rank")
+        rankings.append(search.ranked(found.unionByName(near.select("query_id", "chunk_id", dot(F.col("own"), F.col("embedding")).alias("score"))).repartition("chunk_id"), depth))
+    if index is not None:
+        rankings.append(index.topk(asked, depth, readable=access.visible(chunks, principal), added=own))
+    if not rankings:
+        raise ValueError("an index, vectors or both are needed")
+    return rankings[0] if len(rankings) == 1 else search.fuse(rankings, k)
+
+
 def fired(answers: DataFrame, sink: str) -> DataFrame:
     """answers with requests: path and query of each link to the sink that a rendering client would fetch."""
     urls = F.filter(text.markdown_urls(F.col("text")), lambda u: F.startswith(u, F.lit(sink)))

@@ -21,6 +21,7 @@ from quarry.shipping import ship
 _BLOCK = 128
 _SHARD = 1 << 17
 _SLACK = 1e-6
+_FORWARD = "terms array<string>, tfs array<int>, len int"
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +77,8 @@ def _packed(size: int):
     return run
 
 
-def _completed(k1: float, b: float, mean: float):
-    """Exact scores: rows (query, id, the query's terms, their idf, the chunk's terms, tfs, len) as (query, id, score)."""
+def _completed(k1: float, b: float):
+    """Exact scores: rows (query, id, the query's terms, their idf, the chunk's terms, tfs, len, the query's mean length) as (query, id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,6 +95,7 @@ def _completed(k1: float, b: float, mean: float):
             tf = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64)[order[at[found]]]
             row = want[found] // wide
             size = batch.column(6).to_numpy(zero_copy_only=False).astype(np.float64)[row]
+            mean = batch.column(7).to_numpy(zero_copy_only=False)[row]
             weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
             score = np.bincount(row, batch.column(3).flatten().to_numpy(zero_copy_only=False)[found] * weight, n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(score, 9))], names=["query_id", "chunk_id", "score"])
@@ -167,16 +169,20 @@ class WordIndex:
     def dead(self) -> DataFrame:
         return self._read("dead", f"of string, chunk_id {self._kind()}, segment string").select(F.col("of").alias("segment"), "chunk_id")
 
-    @property
-    def mean(self) -> float:
-        return self.avg_len or (self.total_len / self.n if self.n and self.total_len else 1.0)
-
     def alive(self) -> DataFrame:
         """The forward rows of chunks that this version holds."""
         return self.forward.join(self.dead, ["segment", "chunk_id"], "left_anti")
 
     def weight(self, tf: Column, size: Column) -> Column:
-        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size / self.mean))
+        """The weight of a posting, in rows with the mean length of chunks that their question sees."""
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size / F.col("mean")))
+
+    def _counted(self, chunks: DataFrame, kind: T.DataType) -> DataFrame:
+        """chunks(chunk_id, text, title) as forward rows."""
+        ship(self.spark)
+        said = F.concat_ws("\n", "title", "text") if self.with_title else F.col("text")
+        rows = chunks.select("chunk_id", text.search_tokens(F.coalesce(said, F.lit(""))).alias("tokens"))
+        return rows.mapInArrow(_documents, T.StructType([T.StructField("chunk_id", kind), *T._parse_datatype_string(_FORWARD).fields]))
 
     # ---- changes
 
@@ -185,12 +191,9 @@ class WordIndex:
         name = f"{len(self.segments):06d}-{uuid.uuid4().hex[:8]}"
         at = lambda part: f"{self.path}/{part}/segment={name}"
         kind = new.schema["chunk_id"].dataType if new is not None else ids.schema["chunk_id"].dataType
-        empty = self.spark.createDataFrame([], T.StructType([T.StructField("chunk_id", kind), *T._parse_datatype_string("terms array<string>, tfs array<int>, len int").fields]))
+        empty = self.spark.createDataFrame([], T.StructType([T.StructField("chunk_id", kind), *T._parse_datatype_string(_FORWARD).fields]))
         if new is not None:
-            ship(self.spark)
-            said = F.concat_ws("\n", "title", "text") if self.with_title else F.col("text")
-            rows = new.select("chunk_id", text.search_tokens(F.coalesce(said, F.lit(""))).alias("tokens"))
-            rows = rows.mapInArrow(_documents, empty.schema)
+            rows = self._counted(new, kind)
         else:
             rows = ids if made else empty
         rows.write.parquet(at("forward"))
@@ -244,12 +247,18 @@ class WordIndex:
 
     # ---- search
 
-    def topk(self, queries: DataFrame, k: int, *, readable: DataFrame | None = None) -> DataFrame:
+    def topk(self, queries: DataFrame, k: int, *, readable: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
         """BM25 over distinct question terms: query_id, rank, chunk_id, score; exact, ties go to the smaller id.
 
         queries(query_id, question). Frequencies count all chunks, whoever asks; readable
         (chunk_id) are those that may be hits. Scores are rounded to nine digits, so equal texts tie.
 
+        added(query_id, chunk_id, text, title) are chunks that one question alone sees, as if
+        they were in the index for it: they count in its number of chunks, its frequencies and
+        its mean length, and may be hits, but for those whose column hidden, where there is
+        one, is true. Their ids must be new. However many questions bring chunks along, the
+        index is read as often as for one: only the few numbers of each question differ.
+
         First the best of each term's highest blocks, completed, give a score that k chunks
         reach at least.
         Terms whose largest possible weights together stay below it bring no new chunk in,
@@ -259,14 +268,25 @@ class WordIndex:
         ship(self.spark)
         order = Window.partitionBy("query_id")
         asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(text.search_tokens(F.coalesce("question", F.lit(""))))).alias("term"))
-        bound = F.col("idf") * self.weight(F.col("most_tf"), F.col("least_len"))
-        idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        known = self.terms.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", idf).withColumn("most", bound)
+        n, size = F.lit(self.n), F.lit(self.total_len)
+        asked = asked.withColumn("more_df", F.lit(0))
+        if added is not None:
+            own = self._own(added)
+            seen = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("more"), F.sum("len").alias("more_len"))
+            met = own.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("more_df"))
+            asked = asked.drop("more_df").join(met, ["query_id", "term"], "left").join(seen, "query_id", "left").na.fill(0, ["more_df", "more", "more_len"])
+            n, size = n + F.col("more"), size + F.col("more_len")
+        mean = F.lit(float(self.avg_len)) if self.avg_len else F.when((n > 0) & (size > 0), size / n).otherwise(1.0)
+        df = F.coalesce("df", F.lit(0)) + F.col("more_df")
+        known = self.terms.join(asked.select("term").distinct(), "term", "left_semi")
+        terms = asked.join(known, "term", "left").withColumn("mean", mean).withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5)))
+        terms = terms.withColumn("most", F.when(F.col("df") > 0, F.col("idf") * self.weight(F.col("most_tf"), F.col("least_len"))).otherwise(0.0))
         up = order.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        terms = written(asked.join(known.select("term", "idf", "most"), "term").withColumn("every", F.sum("most").over(order)).withColumn("upto", F.sum("most").over(up)), "question-terms")
-        weighed = self.blocks.withColumn("block_most", self.weight(F.col("most_tf"), F.col("least_len"))).join(terms, "term")
+        terms = terms.where(df > 0).select("query_id", "term", "idf", "mean", "most")
+        terms = written(terms.withColumn("every", F.sum("most").over(order)).withColumn("upto", F.sum("most").over(up)), "question-terms")
+        weighed = self.blocks.join(terms, "term").withColumn("block_most", self.weight(F.col("most_tf"), F.col("least_len")))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-        asking = terms.groupBy("query_id").agg(F.collect_list("term").alias("q_terms"), F.collect_list("idf").alias("q_idf"))
+        asking = terms.groupBy("query_id").agg(F.collect_list("term").alias("q_terms"), F.collect_list("idf").alias("q_idf"), F.first("mean").alias("mean"))
         first = self._hits(weighed.where("block = 0"), readable).groupBy("query_id", "segment", "chunk_id").agg(F.sum("part").alias("score"))
         first = first.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 8 * k).select("query_id", "segment", "chunk_id")
         floor = self._complete(first, asking, queries).withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", (F.col("score") - _SLACK).alias("floor"))
@@ -276,13 +296,26 @@ class WordIndex:
         seen = self._hits(needed, readable).groupBy("query_id", "segment", "chunk_id").agg((F.sum(F.col("part") - F.col("most")) + F.first("every")).alias("reach"), F.first("floor").alias("floor"))
         wanted = seen.where(F.col("reach") >= F.col("floor")).select("query_id", "segment", "chunk_id")
         scored = self._complete(wanted, asking, queries)
+        if added is not None:
+            near = own.where(~F.col("hidden")).join(asking, "query_id").where(F.arrays_overlap("terms", "q_terms"))
+            # dealt anew, as a union of parts shuffled by question passes for shuffled itself
+            scored = scored.unionByName(self._scored(near, scored.schema)).repartition("chunk_id")
         return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
     def _complete(self, wanted: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
         """wanted(query_id, segment, chunk_id) with exact scores."""
         kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), self.forward.schema["chunk_id"], T.StructField("score", T.DoubleType())])
-        rows = wanted.join(self.forward, ["segment", "chunk_id"]).join(asking, "query_id").select("query_id", "chunk_id", "q_terms", "q_idf", "terms", "tfs", "len")
-        return rows.mapInArrow(_completed(self.k1, self.b, self.mean), kinds)
+        return self._scored(wanted.join(self.forward, ["segment", "chunk_id"]).join(asking, "query_id"), kinds)
+
+    def _scored(self, rows: DataFrame, kinds: T.StructType) -> DataFrame:
+        return rows.select("query_id", "chunk_id", "q_terms", "q_idf", "terms", "tfs", "len", "mean").mapInArrow(_completed(self.k1, self.b), kinds)
+
+    def _own(self, added: DataFrame) -> DataFrame:
+        """Chunks of single questions as forward rows, with query_id and hidden."""
+        rows = added.where("query_id is not null and chunk_id is not null")
+        hidden = F.coalesce(F.col("hidden"), F.lit(False)) if "hidden" in added.columns else F.lit(False)
+        rows = rows.withColumn("chunk_id", F.struct("query_id", "chunk_id", hidden.alias("hidden")))
+        return written(self._counted(rows, rows.schema["chunk_id"].dataType).select("chunk_id.*", "terms", "tfs", "len"), "added")
 
     def _hits(self, blocks: DataFrame, readable: DataFrame | None) -> DataFrame:
         """A row for each question and posting of these blocks that lives and may be read, with its part of the score."""

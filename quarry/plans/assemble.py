@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.functions.vectors import hashed_embedding, normalised
-from quarry.operators import access, answers, chunking, rules, search, store
+from quarry.operators import access, answers, chunking, redteam, rules, search, store
+from quarry.operators.words import WordIndex
 from quarry.plans.config import Config
+from quarry.scratch import written
 
 # Public sources come before restricted ones, so that an ingest cut short leaves what is public.
 SOURCE_ORDER = ("attack_cti", "nvd_cve", "vendor_report", "internal_notes")
@@ -66,3 +68,39 @@ def ask(
     hits = search.retrieve(found, held.chunks, k=r.top_k, overfetch=r.overfetch, score_threshold=r.score_threshold, hybrid=r.mode == "hybrid", principal=principal, rules=on.hits)
     cited = hits.withColumn("citation", answers.citation(F.col("source_ref"), F.col("title")))
     return answers.answer(questions, cited, max_chars=config.max_context_chars, generate=generate, rules=on.answers)
+
+
+def run_attacks(
+    attacks: DataFrame, chunks: DataFrame, config: Config, sink: str, *, index: WordIndex | None = None, vectors: DataFrame | None = None,
+    embed: Callable[[Column], Column] = embedded, generate: Callable[[Column, Column], Column] = answers.extractive,
+) -> DataFrame:
+    """attack_id, landed, criteria, abstained, refs: each attack(id, target_query, clearance, doc, success) on the collection as if its document alone had been added.
+
+    Nothing is added, so nothing is left behind. A document that the rules on documents
+    reject is not there; its question is asked all the same. Attacks ask with their own
+    clearance, null meaning clear, and an unknown one is refused; the collection is searched
+    once for each clearance that occurs, four times at most. Settings say which rules are
+    on, index and vectors what is searched.
+    """
+    on, r = enabled_rules(config), config.retrieval
+    c = config.chunking
+    cases = attacks.withColumn("clearance", F.lower(F.coalesce("clearance", F.lit("clear"))))
+    if unknown := sorted(x[0] for x in cases.where(~F.col("clearance").isin(*access.TLP)).select("clearance").distinct().limit(5).collect()):
+        raise ValueError(f"unknown clearances {unknown}")
+    poison = written(redteam.poison_chunks(attacks, sink, screens=on.documents, strategy=c.strategy, size=c.size, overlap=c.overlap), "poison")
+    seen = chunks.unionByName(poison.drop("attack_id"), allowMissingColumns=True)
+    said = []
+    for tlp in (x for x in access.TLP if not cases.where(F.col("clearance") == x).isEmpty()):
+        who = access.Principal("attacked", clearance=tlp)
+        asked = cases.where(F.col("clearance") == tlp).select(F.col("id").alias("query_id"), F.col("target_query").alias("question"))
+        queries = asked if vectors is None else asked.withColumn("embedding", embed(F.coalesce("question", F.lit(""))))
+        found = functools.partial(redteam.overlay_topk, queries, chunks, poison, index=index, vectors=vectors, principal=who, embed=embed, prefetch=r.prefetch)
+        hits = search.retrieve(found, seen, k=r.top_k, overfetch=r.overfetch, score_threshold=r.score_threshold, hybrid=r.mode == "hybrid", principal=who, rules=on.hits)
+        cited = hits.withColumn("citation", answers.citation(F.col("source_ref"), F.col("title")))
+        said.append(answers.answer(asked, cited, max_chars=config.max_context_chars, generate=generate, rules=on.answers))
+    if not said:
+        return attacks.sparkSession.createDataFrame([], "attack_id string, landed boolean, criteria array<struct<type:string,value:string,passed:boolean>>, abstained array<string>, refs array<string>")
+    every = functools.reduce(DataFrame.unionByName, said)
+    runs = redteam.fired(every.select(F.col("query_id").alias("attack_id"), "text", "abstained", F.transform("retrieved", lambda h: h["source_ref"]).alias("refs")), sink)
+    runs = written(runs, "attacked")
+    return redteam.verdicts(cases, runs).join(runs.select("attack_id", "abstained", "refs"), "attack_id")

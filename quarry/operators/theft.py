@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,9 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text
 from quarry.functions.vectors import normalised
-from quarry.operators import chunking, search
+from quarry.operators import chunking, search, seals
+
+PARTS = ("vectors", "truth")
 
 
 def build_reference(docs: DataFrame, embed: Callable[[Column], Column], *, passage_chars: int | None = None) -> DataFrame:
@@ -72,10 +75,11 @@ def report(rows: DataFrame) -> DataFrame:
 
 
 def export_bundle(sample: DataFrame, vectors: DataFrame, path: str) -> DataFrame:
-    """Write vectors (to share) and truth (never) apart; returns the ids without a vector."""
+    """Write vectors (to share) and truth (never) apart, and a manifest; returns the ids without a vector."""
     unit = vectors.withColumn("embedding", normalised(F.col("embedding")))
     sample.select("chunk_id").join(unit, "chunk_id").select("chunk_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     sample.drop("embedding").write.mode("overwrite").parquet(f"{path}/truth")
+    write_manifest(sample.sparkSession, path)
     return sample.select("chunk_id").join(vectors, "chunk_id", "left_anti").orderBy("chunk_id")
 
 
@@ -85,6 +89,40 @@ def control_truth(sample: DataFrame, tokens: int) -> DataFrame:
     return sample.withColumn("text", head).withColumn("secret_terms", F.filter("secret_terms", lambda t: F.contains(F.lower("text"), F.lower(t))))
 
 
+def export_control(sample: DataFrame, path: str, tokens: int, embed: Callable[[Column], Column]) -> None:
+    """The bundle of what an inversion could give back at best: texts cut to their first tokens, and the vectors of these cut texts."""
+    truth = control_truth(sample.drop("embedding"), tokens)
+    truth.write.mode("overwrite").parquet(f"{path}/truth")
+    truth.select("chunk_id", normalised(embed(F.col("text"))).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
+    write_manifest(sample.sparkSession, path)
+
+
+def write_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """part, rows, root of a bundle's parts, as JSON beside their seals: what was written is read again for it."""
+    made = []
+    for part in PARTS:
+        rows = spark.read.parquet(f"{path}/{part}")
+        made.append((part, rows.count(), seals.seal(rows, "chunk_id", f"{path}/seals/{part}")))
+    manifest = spark.createDataFrame(made, "part string, rows long, root string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")  # two rows
+    return manifest
+
+
+def altered(spark: SparkSession, path: str) -> DataFrame:
+    """part, node, sealed, found, keys: what of a bundle is not as its manifest says; see seals.altered(). A bundle whose truth was held back is checked without it."""
+    out = None
+    for part, root in sorted((r.part, r.root) for r in spark.read.schema("part string, rows long, root string").json(f"{path}/manifest").collect()):  # two rows
+        try:
+            rows = spark.read.parquet(f"{path}/{part}")
+        except AnalysisException as e:
+            if part == "truth" and e.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
+        found = seals.altered(rows, "chunk_id", f"{path}/seals/{part}", proof=root).select(F.lit(part).alias("part"), "node", "sealed", "found", F.col("keys").cast("array<string>").alias("keys"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def load_reconstructions(spark: SparkSession, path: str) -> DataFrame:
     """chunk_id, reconstruction of a JSON-lines file: nulls were not produced, of repeated ids the last line counts."""
     rows = spark.read.schema("chunk_id string, reconstruction string").json(path).withColumn("__n", F.monotonically_increasing_id()).where("reconstruction is not null")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, search, store, stored, sweep, theft, words
+from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, seals, search, store, stored, sweep, theft, words
 from quarry.plans import assemble, config
 from quarry.scratch import folder, written
 from quarry.sources import cve, files, formats, pages, stix
@@ -713,6 +713,20 @@ def attack_runs(spark, sf):
     return out.select(F.col("attack_id").cast("long").alias("query_id"), "landed", found.alias("found"), F.array_join("refs", " ").alias("refs"))
 
 
+# the digest tree over the documents, as deep as their number asks for
+SAY = "CASE WHEN {0} IS NULL THEN '-' ELSE length({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+
+
+@query(f"""WITH RECURSIVE rows AS (SELECT sha256({SAY.format('doc_id')}) AS place, sha256('6:doc_id=' || {SAY.format('doc_id')} || '4:lang=' || {SAY.format('lang')} || '6:source=' || {SAY.format('source')} || '4:text=' || {SAY.format('text')}) AS digest FROM documents),
+deep AS (SELECT min(d)::INT AS depth FROM range(0, 12) t(d) WHERE pow(16, d + 1) >= (SELECT count(*) FROM documents)),
+leaf AS (SELECT any_value(depth) AS d, left(place, depth) AS node, sha256(string_agg(digest, '' ORDER BY place)) AS digest, count(*) AS n FROM rows, deep GROUP BY node),
+up AS (SELECT d, node, digest, n FROM leaf UNION ALL SELECT (d - 1)::INT, left(node, d - 1) AS node, sha256(string_agg(node || '=' || digest, ' ' ORDER BY node)), sum(n)::BIGINT FROM up WHERE d > 0 GROUP BY d, left(node, d - 1))
+SELECT node, digest, n FROM up""")
+def digest_tree(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return seals.tree(docs, "doc_id", seals.depth_for(docs.count()))
+
+
 RUNS = "tried AS (SELECT event_type AS label, (user_id % 3)::INT AS run, 'u' || (user_id % 20) AS name, avg(value) AS v FROM events GROUP BY ALL), runs AS (SELECT label, run, list(name) AS survivors FROM tried WHERE v > (SELECT avg(value) FROM events) GROUP BY ALL)"
 
 

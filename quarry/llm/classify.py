@@ -95,12 +95,12 @@ def fit(
 ) -> Model:
     """Train on at most sample labelled rows that are not held out: those with the smallest hashed ids.
 
-    Labels other than 0 and 1 and null labels and ids are ignored; of repeated ids any
-    row may serve. Without labelled rows the model scores everything 0.5. Only the sample
+    Labels other than 0 and 1, words among them, null labels and ids are ignored, as are
+    labels whose id is none of the documents' kind; of repeated ids any row may serve. Without labelled rows the model scores everything 0.5. Only the sample
     reaches the driver.
     """
-    label = F.col(label_col).cast("int")
-    known = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), label.alias("__y"))
+    known = labels.select(F.col(id_col).try_cast(docs.schema[id_col].dataType).alias("__id"), F.col(label_col).try_cast("int").alias("__y"))
+    known = known.where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out("__id"))
     ids = docs.select(F.col(id_col).alias("__id")).where("__id is not null")
     picked = known.join(ids, "__id", "left_semi").dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))

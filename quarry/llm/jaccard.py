@@ -443,13 +443,15 @@ def near_duplicates(
     Returns id_col, n_shingles (set size), component_id (smallest id in the component,
     its own if alone), and n_links where asked for. Texts without words have no set and stand alone; null ids
     take part in links, and a component of null ids only has a null id; repeated rows
-    have a row each; an empty table gives an empty result; other columns are ignored.
+    have a row each; an empty table gives an empty result; other columns are ignored. Where
+    id_col has the name of another column of the result, that one gets an underscore.
     """
     spark = docs.sparkSession
     ship(spark)
+    name, id_col = id_col, "__id"
     parts, key = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), W.new_key()
-    table = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
+    table = docs.select(F.col(name).alias(id_col), F.col(text_col).cast("string").alias("__text"))
+    kind = T.StructType([T.StructField(id_col, docs.schema[name].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
     described = written(table.mapInArrow(_describe(id_col, shingle, key), kind), "sets")
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(16, max(6, (total // tokens_per_bucket).bit_length()))
@@ -474,7 +476,8 @@ def near_duplicates(
         other = nodes.join(counts, "digest", "left").select("digest", (F.col("__copies") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
         known = known.join(other, "digest")
         columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return described.join(known, "digest", "left").select(*columns)
+    out = described.join(known, "digest", "left").select(*columns)
+    return out.toDF(name, *(c + "_" if c == name.lower() else c for c in out.columns[1:]))
 
 
 _LINK = "a binary, b binary"

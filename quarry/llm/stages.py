@@ -31,10 +31,24 @@ def _named(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _readable(docs: DataFrame, text_col: str) -> tuple[DataFrame, int, list[str]]:
+    """docs with the place of its text as strings, and what was added for that: nothing but where the text column is of another type."""
+    if isinstance(docs.schema[text_col].dataType, T.StringType):
+        return docs, docs.columns.index(text_col), []
+    more = _named(docs, "__said")
+    return docs.withColumn(more[0], F.col(text_col).cast("string")), len(docs.columns), more
+
+
 def drop_low_quality(docs: DataFrame, model: classify.Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows that the classifier scores at threshold or more; nothing moves. Null texts are scored as empty ones."""
+    """Rows that the classifier scores at threshold or more; nothing moves.
+
+    Null texts are scored as empty ones, long ones whole, texts of other types by what they
+    are as strings; equal rows share their fate, other columns may have any names and nulls,
+    and an empty table stays empty.
+    """
     ship(docs.sparkSession)
-    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    said, place, more = _readable(docs, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
@@ -42,16 +56,21 @@ def drop_low_quality(docs: DataFrame, model: classify.Model, *, text_col: str =
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(sent.value.score(part.column(place)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return said.mapInArrow(run, said.schema).drop(*more)
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
     k: int = 5, block_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """Rows without a window of any benchmark item; each block of the benchmark is one more filter, and nothing moves."""
+    """Rows without a window of any benchmark item; each block of the benchmark is one more filter, and nothing moves.
+
+    Null and empty texts stay, long ones are searched whole, texts of other types as strings;
+    equal rows share their fate, items without words find nothing, and without items or
+    documents the table stays as it is. Other columns may have any names and nulls.
+    """
     ship(docs.sparkSession)
-    place = docs.columns.index(text_col)
+    said, place, more = _readable(docs, text_col)
 
     def clean(sent):
         def run(batches):
@@ -66,10 +85,10 @@ def drop_contaminated(
 
         return run
 
-    out = docs
+    out = said
     for block in decontaminate._blocks(benchmark, item_col, item_text_col, window, k, block_bytes):
-        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
-    return out
+        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(block)), said.schema)
+    return out.drop(*more)
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

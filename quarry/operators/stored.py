@@ -166,14 +166,15 @@ def _last(rows: DataFrame, *key: str) -> DataFrame:
     return numbered.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__n", "__r")
 
 
-def create(spark: SparkSession, path: str, chunks: DataFrame, vectors: DataFrame, declared: dict[str, int], *, hybrid: bool = False, **lexical) -> Stored:
-    """A collection at a new path; hybrid adds a word index with the options lexical."""
+def create(spark: SparkSession, path: str, chunks: DataFrame, vectors: DataFrame, declared: dict[str, int], *, hybrid: bool = False, unit: bool = False, **lexical) -> Stored:
+    """A collection at a new path; hybrid adds a word index with the options lexical. unit: the vectors are normalised already and stay as they are."""
     once = written(_last(chunks, "chunk_id"), "create")
     kind = once.schema["chunk_id"].dataType.simpleString()
     kinds = {"chunks": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in once.schema.fields), "vectors": f"chunk_id {kind}, vector_name string, embedding array<double>", "gone": f"chunk_id {kind}", "gone_vectors": f"chunk_id {kind}, vector_name string"}
     index = words.create(spark, f"{path}/words", once, kept=False, **lexical).manifest() if hybrid else None
-    unit = _last(vectors, "chunk_id", "vector_name").select("chunk_id", "vector_name", normalised(F.col("embedding")).alias("embedding"))
-    return Stored(spark, path, -1, (), dict(declared), kinds, index)._commit({"chunks": once, "vectors": unit.join(once.select("chunk_id"), "chunk_id", "left_semi")})
+    shaped = F.col("embedding").cast("array<double>") if unit else normalised(F.col("embedding"))
+    units = _last(vectors, "chunk_id", "vector_name").select("chunk_id", "vector_name", shaped.alias("embedding"))
+    return Stored(spark, path, -1, (), dict(declared), kinds, index)._commit({"chunks": once, "vectors": units.join(once.select("chunk_id"), "chunk_id", "left_semi")})
 
 
 def open_stored(spark: SparkSession, path: str, number: int | None = None) -> Stored:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import access, answers, bootstrap, cells, chunking, gold, metrics, redteam, rules, seals, search, store, stored, sweep, theft, words
+from quarry.operators import access, answers, bootstrap, cells, chunking, gold, guards, metrics, payloads, redteam, rules, seals, search, store, stored, sweep, theft, words
 from quarry.plans import assemble, config
 from quarry.scratch import folder, written
 from quarry.sources import cve, files, formats, pages, stix
@@ -174,6 +174,16 @@ def bm25_terms(spark, sf):
     return search.postings(_chunks(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+@query(f"""WITH tok AS (SELECT doc_id, list_filter(list_concat(['report', 'cve-2024-' || (1000 + doc_id % 100), 'uses', 't1055.00' || (doc_id % 10), 'xt1055', 'cwe-' || (doc_id % 50), 'ta0001', 't10', 'g0001', '7'], regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: t NOT IN ({STOP})) AS t FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY term""")
+def bm25_identifiers(spark, sf):
+    """Terms of texts that name vulnerabilities, weaknesses, techniques and groups, some of them inside longer words."""
+    n = lambda x: x.cast("string")
+    head = F.concat(F.lit("Report CVE-2024-"), n(1000 + F.col("doc_id") % 100), F.lit(" uses T1055.00"), n(F.col("doc_id") % 10), F.lit(", xT1055 and CWE-"), n(F.col("doc_id") % 50), F.lit("; TA0001, T10, G0001.7 "))
+    rows = _table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    return search.postings(rows).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
 @query(f"WITH {POSTINGS} SELECT chunk_id, count(*) AS terms, round(sum(weight), 6) AS weight FROM weighed GROUP BY chunk_id")
 def bm25_weights(spark, sf):
     return search.postings(_chunks(spark, sf)).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
@@ -294,6 +304,20 @@ def egress_filter(spark, sf):
     return rules.egress_filter(rows).select("page_id", "text", F.array_join("stripped_urls", " ").alias("stripped"))
 
 
+HOSTED = "lower(regexp_extract(url, '^[^:/?#]+://(?:[^/?#]*@)?([^/?#:@]*)', 1))"
+
+
+@query(f"""WITH a AS (SELECT page_id, url, {LINKED} AS said, {HOSTED} = 'example.net' OR {HOSTED} LIKE '%.example.net' AS ok FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(said, '!\\[([^\\]]*)\\]\\(https?://[^)\\s]+\\)', '[image: \\1]', 'g'), '\\[([^\\]]*)\\]\\(https?://[^)\\s]+\\)', '\\1', 'g'), 'https?://[^\\s<>)\\]]+', '[link removed]', 'g') AS cut FROM a)
+SELECT page_id, CASE WHEN ok THEN said ELSE cut END || ' Mirrors: [link removed] and https://EXAMPLE.net:8443/q' AS text, CASE WHEN ok THEN '' ELSE array_to_string([url, url, url], ' ') || ' ' END || 'https://example.net.evil.test/p' AS stripped FROM b""")
+def egress_hosts(spark, sf):
+    """Links to one host and its subdomains stay; a host that only begins with its name does not."""
+    url, page = F.col("url"), F.col("page_id").cast("string")
+    said = F.concat(F.lit("See ![pic "), page, F.lit("]("), url, F.lit(") and [label]("), url, F.lit(") or "), url, F.lit(" now. Mirrors: https://example.net.evil.test/p and https://EXAMPLE.net:8443/q"))
+    rows = _table(spark, sf, "pages").select("page_id", said.alias("text"), F.array().cast("array<string>").alias("stripped_urls"))
+    return rules.egress_filter(rows, ("example.net",)).select("page_id", "text", F.array_join("stripped_urls", " ").alias("stripped"))
+
+
 # ---- answers
 
 REPLY = "'Claim [1] and T1055.001, then [' || (query_id % 9) || '], [12] and [2]; T1071 too.'"
@@ -561,6 +585,44 @@ def group_scores(spark, sf):
     return out.select("source_type", "tlp", "level", "n", *(F.round(c, 6).alias(c) for c in ("exact", "f1", "cosine", "secret_recovery")), "fully_leaked")
 
 
+REBUILT = """lower_text AS (SELECT doc_id, lang, text, CASE WHEN doc_id % 5 = 0 THEN '  ' || text || chr(10) WHEN doc_id % 5 <> 1 THEN replace(text, 'th', 't') END AS again FROM documents),
+tok AS (SELECT doc_id AS key, lang AS source_type, (doc_id % 4)::INT AS tlp, regexp_extract_all(lower(again), '[a-z0-9]+') AS c, regexp_extract_all(lower(text), '[a-z0-9]+') AS r, lower(again) AS low, regexp_replace(text, '^\\s+|\\s+$', '', 'g') = regexp_replace(again, '^\\s+|\\s+$', '', 'g') AS exact FROM lower_text WHERE again IS NOT NULL),
+cnt AS (SELECT key, g, count(*) FILTER (side = 1) AS c, count(*) FILTER (side = 0) AS r FROM (SELECT key, 1 AS side, unnest(c) AS g FROM tok UNION ALL SELECT key, 0, unnest(r) FROM tok) GROUP BY key, g),
+ov AS (SELECT key, sum(least(c, r)) AS b, sum(c) AS c, sum(r) AS r FROM cnt GROUP BY key),
+sec AS (SELECT key, count(*) AS n_secret, count(*) FILTER (contains(low, term)) AS n_recovered FROM (SELECT DISTINCT key, low, unnest(list_filter(r, lambda t: len(t) >= 9)) AS term FROM tok) GROUP BY key),
+rebuilt AS (SELECT p.key AS chunk_id, p.source_type, p.tlp, p.exact, CASE WHEN len(p.c) = 0 AND len(p.r) = 0 THEN 1.0 WHEN coalesce(o.b, 0) = 0 THEN 0.0 ELSE 2 * (o.b / o.c) * (o.b / o.r) / (o.b / o.c + o.b / o.r) END AS f1,
+ list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine, coalesce(s.n_secret, 0)::INT AS n_secret, coalesce(s.n_recovered, 0)::INT AS n_recovered
+ FROM tok p LEFT JOIN ov o ON o.key = p.key LEFT JOIN sec s ON s.key = p.key LEFT JOIN embeddings a ON a.vec_id = p.key LEFT JOIN embeddings b ON b.vec_id = p.key + 1)"""
+
+
+def _reconstructed(spark, sf):
+    """Every document as an answer key, its long words secret, against a copy with letters lost; a fifth was not rebuilt, and some that were are not in the key."""
+    d = _table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    long = F.array_distinct(F.filter(text.plain_tokens(F.col("text")), lambda t: F.length(t) >= 9))
+    truth = d.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("source_type"), (F.col("doc_id") % 4).cast("int").alias("tlp"), "text", long.alias("secret_terms"))
+    again = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("  "), "text", F.lit("\n"))).when(F.col("doc_id") % 5 != 1, F.replace("text", F.lit("th"), F.lit("t")))
+    rebuilt = d.select(F.col("doc_id").alias("chunk_id"), again.alias("reconstruction"))
+    strangers = rebuilt.where("chunk_id % 50 = 2").withColumn("chunk_id", -F.col("chunk_id"))
+    v = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    pairs = v.select(F.col("vec_id").alias("chunk_id"), F.col("e").alias("original")).join(v.select((F.col("vec_id") - 1).alias("chunk_id"), F.col("e").alias("round_trip")), "chunk_id", "left")
+    return metrics.score_reconstructions(truth, rebuilt.unionByName(strangers), pairs)
+
+
+@query(f"""WITH {REBUILT} SELECT chunk_id, true AS in_key, exact, round(f1, 6) AS f1, round(cosine, 6) AS cosine, n_secret, n_recovered, n_secret > 0 AND n_secret = n_recovered AS fully_leaked FROM rebuilt
+UNION ALL SELECT -doc_id, false, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 50 = 2""")
+def reconstruction_scores(spark, sf):
+    scored, strangers = _reconstructed(spark, sf)
+    rows = scored.select("chunk_id", F.lit(True).alias("in_key"), "exact", F.round("f1", 6).alias("f1"), F.round("cosine", 6).alias("cosine"), "n_secret", "n_recovered", "fully_leaked")
+    return rows.unionByName(strangers.withColumn("in_key", F.lit(False)), allowMissingColumns=True)
+
+
+@query(f"""WITH {REBUILT} SELECT source_type, tlp, GROUPING(source_type, tlp)::BIGINT AS level, count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(f1), 6) AS f1, round(avg(cosine), 6) AS cosine,
+ round(CASE WHEN sum(n_secret) > 0 THEN sum(n_recovered) / sum(n_secret) ELSE 0 END, 6) AS secret_recovery, sum((n_secret > 0 AND n_secret = n_recovered)::INT)::BIGINT AS fully_leaked FROM rebuilt GROUP BY GROUPING SETS ((), (source_type), (tlp))""")
+def reconstruction_groups(spark, sf):
+    out = metrics.group_scores(_reconstructed(spark, sf)[0])
+    return out.select("source_type", "tlp", "level", "n", *(F.round(c, 6).alias(c) for c in ("exact", "f1", "cosine", "secret_recovery")), "fully_leaked")
+
+
 NEAR = f"""{VEC}, {CORPUS}, nn AS (SELECT s.chunk_id, s.doc_id, r.chunk_id AS ref_id, r.doc_id AS predicted_doc_id, list_cosine_similarity(s.e, r.e) AS score FROM vec s JOIN vec r ON s.chunk_id % 20 = 0 AND r.chunk_id % 20 <> 0 AND r.doc_id % 50 <> 0
  QUALIFY row_number() OVER (PARTITION BY s.chunk_id ORDER BY score DESC, r.chunk_id) = 1)"""
 
@@ -851,6 +913,37 @@ def stored_topk(spark, sf):
     return _changed(spark, sf).search(_asked(spark, sf), "main", 5, principal=AMBER).select("query_id", "rank", "chunk_id")
 
 
+@query("""WITH held AS (SELECT vec_id, 'second' AS vector_name FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 3 = 0 UNION ALL SELECT vec_id, 'third' FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 4 = 0)
+SELECT vector_name, count(*) FILTER (vec_id % 7 = 0) AS lost, count(*) FILTER (vec_id % 7 <> 0) AS left FROM held GROUP BY vector_name""")
+def vectors_at_risk(spark, sf):
+    """What re-ingesting every seventh chunk would take from the other vectors of a collection, told before, with what an upsert leaves of them."""
+    v = vectors(spark, sf)
+    main = lambda where: v.where(where).select("chunk_id", F.lit("main").alias("vector_name"), "embedding")
+    rows = lambda where: v.where(where).select("chunk_id", "doc_id", "tlp_rank", F.lit("attack_cti").alias("source_type"))
+    held = store.Collection(rows("chunk_id % 5 <> 0"), main("chunk_id % 5 <> 0"), {"main": 64, "second": 64, "third": 64})
+    held, _ = held.attach("second", v.where("chunk_id % 3 = 0").select("chunk_id", "embedding"))
+    held, _ = held.attach("third", v.where("chunk_id % 4 = 0").select("chunk_id", "embedding"))
+    again = "chunk_id % 7 = 0"
+    told = guards.at_risk(held, rows(again), "main")
+    found = guards.dropped(held.vectors, held.upsert(rows(again), main(again)).vectors)
+    return told.join(found, "vector_name", "full").select("vector_name", F.when(F.col("n") == F.col("lost"), F.col("n")).alias("lost"), "left")
+
+
+@query(f"""WITH {CORPUS} SELECT id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source_ref END AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 9 END::INT AS ordinal, md5(coalesce(text, '')) AS text_md5, title, CASE WHEN doc_id % 5 = 0 THEN 'attack_cti' ELSE source_type END AS source_type,
+ source_ref, CASE WHEN doc_id % 2 = 0 THEN 'https://example.org/' || doc_id END AS url, CASE WHEN doc_id % 7 = 0 THEN 'clear' ELSE ['clear', 'green', 'amber', 'red'][tlp_rank + 1] END AS tlp, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE trust_tier END AS trust_tier, CASE WHEN doc_id % 8 <> 0 THEN '"' || title || '"' END AS said FROM corpus""")
+def payload_chunks(spark, sf):
+    """Chunks from payloads that lack some of their fields."""
+    but = lambda n, c: F.when(F.col("key") % n != 0, c)
+    tlp = F.element_at(F.array(*(F.lit(x) for x in access.TLP)), F.col("tlp_rank") + 1)
+    rows = corpus(spark, sf).withColumnRenamed("doc_id", "key").withColumnRenamed("id", "chunk_id")
+    rows = rows.withColumns({
+        "doc_id": but(3, F.col("source_ref")), "ordinal": but(4, F.col("key") % 9), "source_type": but(5, F.col("source_type")), "tlp": but(7, tlp), "trust_tier": but(6, F.col("trust_tier")),
+        "url": F.when(F.col("key") % 2 == 0, F.concat(F.lit("https://example.org/"), F.col("key").cast("string"))), "metadata": but(8, F.create_map(F.lit("said"), F.concat(F.lit('"'), "title", F.lit('"')))),
+    })
+    out = payloads.from_payload(payloads.to_payload(rows, nulls=False))
+    return out.select("chunk_id", "doc_id", "ordinal", F.md5("text").alias("text_md5"), "title", "source_type", "source_ref", "url", "tlp", "trust_tier", F.try_element_at("metadata", F.lit("said")).alias("said"))
+
+
 # ---- files of public formats, written from the tables and read back as data sources
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,24 +121,28 @@ def _distance() -> Column:
     return total
 
 
-def _fit(rows: DataFrame, inside: Column, floor: float) -> DataFrame:
-    """Mean, covariance and its factors of the rows inside, by group and start.
+def _fit(rows: DataFrame, weight: Column, floor: float) -> DataFrame:
+    """Weighted mean, covariance and its factors of rows, by group and start.
 
     Moments are rounded to nine digits after the point, so they do not depend on the order
     in which partial sums meet. floor is added to each variance before it is factored.
     """
-    z = [F.when(inside, F.col(f"z{i}")) for i in range(_D)]
-    aggs = [F.round(F.avg(z[i]), 9).alias(f"m{i}") for i in range(_D)]
-    aggs += [F.round(F.covar_pop(z[i], z[j]), 9).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)]
-    fitted = rows.groupBy("__group", "__start").agg(*aggs).where("m0 is not null")
-    fitted, factors = _factor(fitted, lambda i, j: F.col(f"c{i}{j}") + (floor if i == j else 0.0))
+    w = rows.withColumn("__w", weight.cast("double"))
+    each = lambda *zs: F.sum(functools.reduce(operator.mul, map(F.col, zs), F.col("__w")))
+    sums = w.groupBy("__group", "__start").agg(F.sum("__w").alias("w"), *(each(f"z{i}").alias(f"s{i}") for i in range(_D)), *(each(f"z{i}", f"z{j}").alias(f"s{i}{j}") for i in range(_D) for j in range(i + 1))).where("w > 0")
+    mean = lambda i: F.col(f"s{i}") / F.col("w")
+    means = [F.round(mean(i), 9).alias(f"m{i}") for i in range(_D)]
+    covs = [F.round(F.col(f"s{i}{j}") / F.col("w") - mean(i) * mean(j), 9).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)]
+    fitted, factors = _factor(sums.select("__group", "__start", *means, *covs), lambda i, j: F.col(f"c{i}{j}") + (floor if i == j else 0.0))
     return fitted.select("__group", "__start", *_MEANS, *_COVS, *factors, "logdet")
 
 
 def _concentrate(rows: DataFrame, fits: DataFrame, inner: float, floor: float) -> DataFrame:
     """One concentration step: packed fits to the inner share of each group's rows, those nearest by the packed fits before.
 
-    Which rows these are is read from exact counts of distances by steps of 1.6 %.
+    Which rows these are is read from exact counts of distances by steps of 1.6 %. Rows of the
+    step that the share ends in count in part, so that every fit is one of the same share
+    and determinants can be compared; equal rows count alike.
     """
     step = F.floor(F.ln(_distance() + 1e-6) * 64).cast("int")
     near = _unpacked(rows.join(fits.select("__group", "__start", "__fit"), ["__group", "__start"]), *_MEANS, *_FACTORS).select("__group", "__start", *(f"z{i}" for i in range(_D)), step.alias("__step"))
@@ -144,9 +150,10 @@ def _concentrate(rows: DataFrame, fits: DataFrame, inner: float, floor: float) -
     counts = written(near.groupBy("__group", "__start", "__step").agg(F.count(F.lit(1)).alias("n")), "counts")
     whole = Window.partitionBy("__group", "__start")
     upto = F.sum("n").over(whole.orderBy("__step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(whole)).where(F.col("upto") >= inner * F.col("all")).groupBy("__group", "__start").agg(F.min("__step").alias("__edge"))
-    edge = written(edge, "edges")
-    return written(_packed(_fit(near.join(edge, ["__group", "__start"]), F.col("__step") <= F.col("__edge"), floor)), "fit")
+    ends = counts.withColumn("upto", upto).withColumn("inside", inner * F.sum("n").over(whole)).where("upto >= inside and upto - n < inside")
+    edge = written(ends.select("__group", "__start", F.col("__step").alias("__edge"), ((F.col("inside") - F.col("upto") + F.col("n")) / F.col("n")).alias("__part")), "edges")
+    weight = F.when(F.col("__step") < F.col("__edge"), 1.0).when(F.col("__step") == F.col("__edge"), F.col("__part")).otherwise(0.0)
+    return written(_packed(_fit(near.join(edge, ["__group", "__start"]), weight, floor)), "fit")
 
 
 def _quartiles(rows: DataFrame, floor: float) -> DataFrame:
@@ -162,36 +169,42 @@ def _quartiles(rows: DataFrame, floor: float) -> DataFrame:
     return whole.withColumn("__start", F.lit(0))
 
 
-def covariance_determinant(
-    rows: DataFrame, *, inner: float = 0.75, starts: int = 3, sample: int = 50, most_steps: int = 12, floor: float = 0.01, seed: int = 0,
-) -> DataFrame:
+def covariance_determinant(rows: DataFrame, *, inner: float = 0.75, starts: int = 10, draw: int = 50, nest: int = 500, floor: float = 0.01, seed: int = 0) -> DataFrame:
     """Minimum covariance determinant of each group of rows(__group, __key, z0..): __group, m0.., c00.., logdet.
 
-    Starts are the rows about the coordinate-wise medians, by quartile ranges, and starts - 1
-    seeded samples of about sample rows, or half of a smaller group (rows by their hashed
-    __key). Each start concentrates twice; the one with the least
-    determinant goes on until no group's logarithm of it falls by 0.001, most_steps times at
-    most. All steps are grouped aggregates with partial sums, joined back as a row a group;
-    rows themselves never meet in a task. floor is a variance that each axis has in addition:
-    axes without spread stay regular.
+    Starts are tried on a seeded sample of about nest rows of each group, which is all of a
+    smaller one: the medians of the whole group with its quartile ranges, and starts - 1 fits to about
+    draw rows of the sample, or half of a smaller one (rows by their hashed __key). Each concentrates twice; the one with
+    the least determinant goes on over all rows of its group until a step lowers the
+    determinant's logarithm by less than 0.001, each group by itself, and the least that
+    was seen there is the result. A step that raises it is never taken; falls end, as floor bounds the
+    determinant from below. All steps are grouped aggregates with partial sums, joined back
+    as a row a group; rows themselves never meet in a task. floor is a variance that each
+    axis has in addition: axes without spread stay regular.
     """
     sizes = written(rows.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")), "sizes")
-    every = rows.join(sizes, "__group").withColumn("__start", F.explode(F.array(*(F.lit(i) for i in range(starts)))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "__start", "__key"), F.lit(1 << 30))
-    drawn = _fit(every.where("__start > 0"), draw * F.col("__n") < F.least(F.lit(float(sample)), F.col("__n") / 2) * float(1 << 30), floor)
-    fits = written(_packed(drawn).unionByName(_packed(_quartiles(rows, floor))), "fit")
+    centre = written(_packed(_quartiles(rows, floor)), "fit")
+    below = lambda what, limit: F.pmod(F.xxhash64(F.lit(seed), what, "__key"), F.lit(1 << 30)) < limit * float(1 << 30)
+    nested = written(rows.join(sizes, "__group").where(below(F.lit("nest"), F.lit(float(nest)) / F.col("__n"))), "nested")
+    every = nested.withColumn("__start", F.explode(F.array(*(F.lit(i) for i in range(starts)))))
+    held = F.least(F.col("__n"), F.lit(float(nest)))
+    drawn = _fit(every.where("__start > 0"), F.when(below(F.col("__start"), F.least(F.lit(float(draw)), held / 2) / held), 1).otherwise(0), floor)
+    fits = written(_packed(drawn).unionByName(centre), "fit")
     for _ in range(2):
         fits = _concentrate(every, fits, inner, floor)
-    best = fits.groupBy("__group").agg(F.min(F.struct("logdet", "__start")).alias("b")).select("__group", F.col("b.__start").alias("__start"))
-    now = written(fits.join(best, ["__group", "__start"]).withColumn("__start", F.lit(0)), "best")
+    # a sample by hashes can miss a small or uniform group: its medians go on then
+    tried = fits.withColumn("__late", F.lit(0)).unionByName(centre.withColumn("__late", F.lit(1)))
+    least = tried.groupBy("__group").agg(F.min_by("__fit", F.struct("__late", "logdet", "__start")).alias("__fit"))
     one = rows.withColumn("__start", F.lit(0))
-    for _ in range(most_steps):
+    now = _concentrate(one, written(least.withColumn("__start", F.lit(0)), "best"), inner, floor)
+    seen = now
+    while not now.isEmpty():
         new = _concentrate(one, now, inner, floor)
-        fall = now.select("__group", F.col("logdet").alias("before")).join(new, "__group").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        now = new
-        if fall is None or fall < 1e-3:
-            break
-    return _unpacked(now, *_MEANS, *_COVS).select("__group", *_MEANS, *_COVS, "logdet")
+        seen = seen.unionByName(new)
+        before = now.select("__group", F.col("logdet").alias("__before"))
+        now = written(new.join(before, "__group").where("__before - logdet >= 0.001").drop("__before"), "falling")
+    best = seen.groupBy("__group").agg(F.min_by(F.struct("logdet", "__fit"), F.struct("logdet", "__fit")).alias("b"))
+    return _unpacked(best.select("__group", "b.logdet", "b.__fit"), *_MEANS, *_COVS).select("__group", *_MEANS, *_COVS, "logdet")
 
 
 def robust_outliers(

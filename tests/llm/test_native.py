@@ -200,45 +200,69 @@ def test_rules_on_whole_table(spark, sf):
     assert noisy and not any(r.kept for r in noisy)
 
 
-def naive_verdicts(spark, rows, inner=0.75, starts=3, sample=50, floor=0.01, prior=100, rate=1e-4):
-    """kept and d2 of rows(doc_id, lang, source, statistics) by plain NumPy; only the hashes that draw the starts are Spark's."""
-    rows = [r for r in rows if not r["base_failed"]]
-    z = np.array([[math.log(r["n_words"] + 1), r["word_chars"] / r["n_words"], math.sqrt(r["n_symbols"] / r["n_words"]), math.sqrt(r["n_dup_lines"] / r["n_words"]), r["n_repeat_words"] / r["n_words"]] for r in rows])
-    table = spark.createDataFrame([(i, *x) for i, x in enumerate(z.tolist())], "i int, z0 double, z1 double, z2 double, z3 double, z4 double").withColumn("k", F.xxhash64("z0", "z1", "z2", "z3", "z4"))
-    draws = {r.i: r.d for r in table.select("i", F.array(*(F.pmod(F.xxhash64(F.lit(0), F.lit(s), "k"), F.lit(1 << 30)) for s in range(starts))).alias("d")).collect()}
-    draws = np.array([draws[i] for i in range(len(rows))])
-    eye = np.eye(5) * floor
-    moments = lambda x: (x.mean(axis=0).round(9), np.cov(x.T, bias=True).round(9))
-    far = lambda x, m, c: ((np.linalg.solve(np.linalg.cholesky(c + eye), (x - m).T)) ** 2).sum(axis=0)
-
-    def nearest(x, d2):
-        step = np.floor(np.log(d2 + 1e-6) * 64)
-        return moments(x[step <= np.sort(step)[math.ceil(inner * len(x)) - 1]])
-
-    def concentrate(x, fit):
-        return nearest(x, far(x, *fit))
-
-    def central(x):
-        low, middle, high = ((np.sort(np.floor(x * 32), axis=0)[math.ceil(q * len(x)) - 1] + 0.5) / 32 for q in (0.25, 0.5, 0.75))
-        return nearest(x, ((x - middle) ** 2 / (((high - low) / 1.349) ** 2 + floor)).sum(axis=1))
+FLOOR = 0.01 * np.eye(5)
+
+
+def logdet(fit):
+    return np.linalg.slogdet(fit[1] + FLOOR)[1]
+
+
+def far(x, m, c):
+    return ((np.linalg.solve(np.linalg.cholesky(c + FLOOR), (x - m).T)) ** 2).sum(axis=0)
+
+
+def weighed(x, w):
+    m = (w[:, None] * x).sum(axis=0) / w.sum()
+    return m.round(9), ((w[:, None] * x).T @ x / w.sum() - np.outer(m, m)).round(9)
 
-    logdet = lambda fit: np.linalg.slogdet(fit[1] + eye)[1]
+
+def nearest(x, d2, inner=0.75):
+    """The inner share of rows, those of the last step of distances in part."""
+    step = np.floor(np.log(d2 + 1e-6) * 64)
+    edge = np.sort(step)[math.ceil(inner * len(x)) - 1]
+    part = (inner * len(x) - (step < edge).sum()) / (step == edge).sum()
+    return weighed(x, np.where(step < edge, 1.0, np.where(step == edge, part, 0.0)))
+
+
+def plain_determinants(spark, groups, starts=10, draw=50, nest=500, floor=0.01):
+    """(mean, covariance) of each of groups, {name: rows}, and all fits to whole groups that were seen; only the hashes that draw rows are Spark's."""
+    flat = [(g, i, *x) for g, rows in groups.items() for i, x in enumerate(rows.tolist())]
+    table = spark.createDataFrame(flat, "g string, i int, z0 double, z1 double, z2 double, z3 double, z4 double").withColumn("k", F.xxhash64("z0", "z1", "z2", "z3", "z4"))
+    hashed = table.select("g", "i", F.array(*(F.pmod(F.xxhash64(F.lit(0), F.lit(x), "k"), F.lit(1 << 30)) for x in ("nest", *range(1, starts)))).alias("d")).collect()
+    draws = {(r.g, r.i): [x / (1 << 30) for x in r.d] for r in hashed}
+    best, seen = {}, {}
+    for g, x in groups.items():
+        low, middle, high = ((np.sort(np.floor(x * 32), axis=0)[math.ceil(q * len(x)) - 1] + 0.5) / 32 for q in (0.25, 0.5, 0.75))
+        centre = lambda y: nearest(y, ((y - middle) ** 2 / (((high - low) / 1.349) ** 2 + floor)).sum(axis=1))  # noqa: B023, E731
+        d = np.array([draws[g, i] for i in range(len(x))])
+        y, e, held = x[d[:, 0] < nest / len(x)], d[d[:, 0] < nest / len(x)], min(len(x), nest)
+        if len(y):
+            inside = [e[:, n] < min(draw, held / 2) / held for n in range(1, starts)]
+            fits = [centre(y)] + [nearest(y, far(y, *weighed(y, w.astype(float)))) for w in inside if w.any()]
+            fits = [nearest(y, far(y, *f)) for f in fits]
+            seen[g] = [nearest(x, far(x, *min(fits, key=logdet)))]
+        else:
+            seen[g] = [centre(x)]
+        while True:
+            seen[g].append(nearest(x, far(x, *seen[g][-1])))
+            if logdet(seen[g][-2]) - logdet(seen[g][-1]) < 1e-3:
+                break
+        best[g] = min(seen[g], key=logdet)
+    return best, seen
+
+
+def naive_verdicts(spark, rows, inner=0.75, prior=100, rate=1e-4):
+    """kept and d2 of rows(doc_id, lang, source, statistics) by plain NumPy."""
+    rows = [r for r in rows if not r["base_failed"]]
+    # logarithms as Spark rounds their last bit, which the hashes that draw rows depend on
+    logs = {r.n: r.l for r in spark.createDataFrame([(n,) for n in {r["n_words"] for r in rows}], "n long").select("n", F.ln(F.col("n") + 1.0).alias("l")).collect()}
+    z = np.array([[logs[r["n_words"]], r["word_chars"] / r["n_words"], math.sqrt(r["n_symbols"] / r["n_words"]), math.sqrt(r["n_dup_lines"] / r["n_words"]), r["n_repeat_words"] / r["n_words"]] for r in rows])
     groups = defaultdict(list)
     for i, r in enumerate(rows):
         groups[r["lang"], r["source"]].append(i)
         groups[r["lang"],].append(i)
-    best = {}
-    for g, at in groups.items():
-        inside = [draws[at][:, s] * len(at) < min(sample, len(at) / 2) * (1 << 30) for s in range(1, starts)]
-        fits = [central(z[at])] + [concentrate(z[at], moments(z[at][x])) for x in inside if x.any()]
-        fits = [concentrate(z[at], f) for f in fits]
-        best[g] = min(fits, key=logdet)
-    for _ in range(12):  # all groups go on until none falls
-        new = {g: concentrate(z[at], best[g]) for g, at in groups.items()}
-        fall = max(logdet(best[g]) - logdet(new[g]) for g in groups)
-        best = new
-        if fall < 1e-3:
-            break
+    named = {str(g): g for g in groups}
+    best = {named[g]: fit for g, fit in plain_determinants(spark, {str(g): z[at] for g, at in groups.items()})[0].items()}
     q = lambda p, k: rules.chi_square_quantile(p, k)
     consistent = inner / rules.chi_square(q(inner, 5), 7)
     out = {}
@@ -260,6 +284,30 @@ def test_verdicts_against_plain_determinants(spark):
     assert sorted((r.doc_id, r.kept, r.d2) for r in judged if r.d2 is not None) == sorted(tuple(r) for r in again if r.d2 is not None)
 
 
+def test_the_least_determinant_is_kept(spark):
+    """Whatever a step does, the result is the least seen; and starts from other rows, exact in which rows they take, find none much below it."""
+    rng = np.random.default_rng(3)
+    mixed = lambda n, bad: np.vstack([rng.normal(size=(n - bad, 5)) * [1, 0.3, 0.1, 0.02, 0], rng.normal(size=(bad, 5)) * 0.4 + [4, 0, 2, 1, 1]])
+    groups = {"one": mixed(1, 0), "few": mixed(4, 1), "small": mixed(60, 12), "middle": mixed(400, 90), "large": mixed(3000, 600), "equal": np.tile(rng.normal(size=(1, 5)), (900, 1)), "half": np.vstack([np.tile([[1.0, 2, 0, 0, 0]], (300, 1)), mixed(300, 40)])}
+    table = spark.createDataFrame([(g, *x) for g, rows in groups.items() for x in rows.tolist()], "__group string, z0 double, z1 double, z2 double, z3 double, z4 double")
+    got = {r["__group"]: r for r in rules.covariance_determinant(table.withColumn("__key", F.xxhash64(*(f"z{i}" for i in range(5))))).collect()}
+    best, seen = plain_determinants(spark, groups)
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g].logdet <= min(map(logdet, seen[g])) + 1e-6
+        assert np.allclose([got[g][f"m{i}"] for i in range(5)], best[g][0], atol=1e-6)
+        found, h = [], max(math.ceil(0.75 * len(x)), 1)
+        for _ in range(30):
+            at = rng.choice(len(x), max(min(30, len(x) // 2), 1), replace=False)
+            for _ in range(20):
+                fit = weighed(x[at], np.ones(len(at)))
+                at = np.argsort(far(x, *fit), kind="stable")[:h]
+            found.append(logdet(weighed(x[at], np.ones(len(at)))))
+        assert got[g].logdet <= min(found) + 0.05, g
+    large = [r for r in [got["large"]]][0]
+    assert abs(large.m0) < 0.1 and large.c00 < 1.2  # a fifth of rows elsewhere moves nothing
+
+
 def test_chi_square():
     assert abs(rules.chi_square_quantile(0.95, 2) + 2 * math.log(0.05)) < 1e-9
     assert abs(rules.chi_square(3.0, 1) - math.erf(math.sqrt(1.5))) < 1e-12 and abs(rules.chi_square_quantile(0.999, 5) - 20.515) < 1e-3

@@ -7,12 +7,20 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions.vectors import normalised
 from quarry.operators import search
 from quarry.operators.access import Principal
 
 
+def last_of(rows: DataFrame, *key: str) -> DataFrame:
+    """The last of the rows of each key, in reading order; rows whose first key column is null are left out."""
+    order = Window.partitionBy(*key).orderBy(F.desc("__n"))
+    numbered = rows.where(F.col(key[0]).isNotNull()).withColumn("__n", F.monotonically_increasing_id())
+    return numbered.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__n", "__r")
+
+
 @dataclass(frozen=True)
 class Collection:
     """chunks(chunk_id, doc_id, source_type, tlp_rank, ...); vectors(chunk_id, vector_name, embedding); postings or None."""
@@ -47,10 +55,11 @@ class Collection:
         return self
 
     def upsert(self, chunks: DataFrame, vectors: DataFrame) -> Collection:
-        """Replace whole chunks by id; an id's other named vectors go."""
-        ids = chunks.select("chunk_id").distinct()
+        """Replace whole chunks by id; an id's other named vectors go. Of rows of one id the last in reading order counts, as a store that takes them one by one would have it; rows without an id are left out."""
+        chunks = last_of(chunks, "chunk_id")
+        ids = chunks.select("chunk_id")
         kept = self.chunks.join(ids, "chunk_id", "left_anti").unionByName(chunks, allowMissingColumns=True)
-        unit = vectors.withColumn("embedding", normalised(F.col("embedding")))
+        unit = last_of(vectors, "chunk_id", "vector_name").withColumn("embedding", normalised(F.col("embedding")))
         return self._with(kept, self.vectors.join(ids, "chunk_id", "left_anti").unionByName(unit), ids, chunks)
 
     def attach(self, name: str, vectors: DataFrame) -> tuple[Collection, DataFrame]:

@@ -8,13 +8,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quarry import versions
 from quarry.functions.vectors import normalised
 from quarry.operators import search, words
 from quarry.operators.access import Principal, visible
-from quarry.operators.store import Collection
+from quarry.operators.store import Collection, last_of
 from quarry.scratch import written
 
 _PARTS = ("chunks", "vectors", "gone", "gone_vectors")
@@ -109,8 +108,8 @@ class Stored:
 
     def upsert(self, chunks: DataFrame, vectors: DataFrame) -> Stored:
         """Replace whole chunks by id, with vectors(chunk_id, vector_name, embedding); an id's other vectors go. Of rows of one id the last in reading order counts; rows without an id are left out."""
-        once = _last(chunks, "chunk_id")
-        unit = _last(vectors, "chunk_id", "vector_name").select("chunk_id", "vector_name", normalised(F.col("embedding")).alias("embedding"))
+        once = last_of(chunks, "chunk_id")
+        unit = last_of(vectors, "chunk_id", "vector_name").select("chunk_id", "vector_name", normalised(F.col("embedding")).alias("embedding"))
         once = written(once, "upsert")
         index = None if self.words is None else self.word_index().upsert(once).manifest()
         return self._commit({"chunks": once, "vectors": unit.join(once.select("chunk_id"), "chunk_id", "left_semi"), "gone": once.select("chunk_id")}, words=index)
@@ -120,7 +119,7 @@ class Stored:
         if name not in self.declared:
             raise KeyError(f"vector {name!r} is not declared")
         ids = self.chunks.select("chunk_id")
-        once = _last(vectors, "chunk_id")
+        once = last_of(vectors, "chunk_id")
         new = written(once.join(ids, "chunk_id", "left_semi").select("chunk_id", F.lit(name).alias("vector_name"), normalised(F.col("embedding")).alias("embedding")), "attach")
         marked = vectors.select("chunk_id").join(ids.withColumn("__has", F.lit(1)), "chunk_id", "left")
         counts = marked.agg(F.count(F.lit(1)).alias("seen"), F.count("__has").alias("attached"), (F.count(F.lit(1)) - F.count("__has")).alias("skipped"))
@@ -160,20 +159,14 @@ class Stored:
         return versions.drop(self.spark, self.path)
 
 
-def _last(rows: DataFrame, *key: str) -> DataFrame:
-    order = Window.partitionBy(*key).orderBy(F.desc("__n"))
-    numbered = rows.where(F.col(key[0]).isNotNull()).withColumn("__n", F.monotonically_increasing_id())
-    return numbered.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__n", "__r")
-
-
 def create(spark: SparkSession, path: str, chunks: DataFrame, vectors: DataFrame, declared: dict[str, int], *, hybrid: bool = False, unit: bool = False, **lexical) -> Stored:
     """A collection at a new path; hybrid adds a word index with the options lexical. unit: the vectors are normalised already and stay as they are."""
-    once = written(_last(chunks, "chunk_id"), "create")
+    once = written(last_of(chunks, "chunk_id"), "create")
     kind = once.schema["chunk_id"].dataType.simpleString()
     kinds = {"chunks": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in once.schema.fields), "vectors": f"chunk_id {kind}, vector_name string, embedding array<double>", "gone": f"chunk_id {kind}", "gone_vectors": f"chunk_id {kind}, vector_name string"}
     index = words.create(spark, f"{path}/words", once, kept=False, **lexical).manifest() if hybrid else None
     shaped = F.col("embedding").cast("array<double>") if unit else normalised(F.col("embedding"))
-    units = _last(vectors, "chunk_id", "vector_name").select("chunk_id", "vector_name", shaped.alias("embedding"))
+    units = last_of(vectors, "chunk_id", "vector_name").select("chunk_id", "vector_name", shaped.alias("embedding"))
     return Stored(spark, path, -1, (), dict(declared), kinds, index)._commit({"chunks": once, "vectors": units.join(once.select("chunk_id"), "chunk_id", "left_semi")})
 
 

@@ -49,6 +49,17 @@ def test_guards_of_ingest(spark):
     assert guards.dropped(two.vectors, two.vectors).count() == 0
 
 
+def test_an_upsert_counts_an_id_once(spark):
+    chunks, vectors = collection(spark)
+    held = store.Collection(chunks, vectors, {"main": 2}).with_postings(avg_len=2.0)
+    new = spark.createDataFrame([(1, "attack_cti", 0, "old"), (1, "attack_cti", 0, "new"), (None, "attack_cti", 0, "lost"), (9, "attack_cti", 0, "nine")], "chunk_id long, source_type string, tlp_rank int, text string").coalesce(1)
+    given = spark.createDataFrame([(1, "main", [9.0, 0.0]), (1, "main", [0.0, 5.0])], "chunk_id long, vector_name string, embedding array<double>").coalesce(1)
+    after = held.upsert(new, given)
+    assert sorted((r.chunk_id, r.text) for r in after.chunks.collect()) == [(0, "alpha beta0"), (1, "new"), (2, "alpha beta2"), (3, "alpha beta3"), (9, "nine")]
+    assert [list(r.embedding) for r in after.vectors.where("chunk_id = 1").collect()] == [[0.0, 1.0]]
+    assert {r.term for r in after.postings.where("chunk_id = 1").collect()} == {"new"}
+
+
 def test_a_hybrid_copy_leaves_its_source_alone(spark, tmp_path):
     source = stored.create(spark, str(tmp_path / "dense"), *collection(spark), {"main": 2})
     with pytest.raises(ValueError, match="source itself"):

@@ -116,7 +116,9 @@ def corpus_bleu(pairs: DataFrame, orders: int = 4, floor: float = 1e-9) -> DataF
 
 def secrets(rows: DataFrame) -> DataFrame:
     """rows(text, secret_terms, reconstruction) with n_secret, n_recovered, fully_leaked (all of one or more)."""
-    found = F.filter("secret_terms", lambda t: F.contains(F.lower("reconstruction"), F.lower(t)))
+    # lowered in an array of one, so once a text and not once a term
+    low = F.array(F.lower("reconstruction"))
+    found = F.flatten(F.transform(low, lambda x: F.filter("secret_terms", lambda t: F.contains(x, F.lower(t)))))
     return rows.withColumn("n_secret", F.size("secret_terms")).withColumn("n_recovered", F.size(found)).withColumn("fully_leaked", (F.col("n_secret") > 0) & (F.col("n_recovered") == F.col("n_secret")))
 
 

@@ -56,6 +56,12 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[str]:
     return sorted(prefix + x.path for x in found if x.type == fs.FileType.File and x.base_name.endswith(suffixes) and x.base_name[0] not in "._")
 
 
+def _batch(rows: list[dict], kind: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch; most objects have few of the fields, so columns that none has are not looked up."""
+    held = frozenset().union(*rows)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) if f.name in held else pa.nulls(len(rows), f.type) for f in kind], schema=kind)
+
+
 @dataclass
 class File(D.InputPartition):
     path: str
@@ -99,10 +105,10 @@ class _Reader(D.DataSourceReader):
             if self.wanted(row):
                 held.append(row)
                 if len(held) == _ROWS:
-                    yield pa.RecordBatch.from_pylist(held, schema=kind)
+                    yield _batch(held, kind)
                     held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema=kind)
+            yield _batch(held, kind)
 
     def rows(self, content: bytes, path: str) -> Iterator[dict]:
         raise NotImplementedError

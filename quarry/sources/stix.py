@@ -48,7 +48,7 @@ def by_id(objs: DataFrame) -> DataFrame:
 
 
 def _ordered(df: DataFrame, key: str, order: str, value: str, out: str, joiner: str) -> DataFrame:
-    got = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x"))
+    got = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("x"))
     return got.select(key, F.array_join(F.transform("x", lambda v: v[value]), joiner).alias(out))
 
 

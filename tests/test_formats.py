@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.plans import catalog
 from quarry.sources import cve, files, formats, stix
 
 REF = lambda i: [{"source_name": "mitre-attack", "external_id": i, "url": f"https://x/{i}"}]
@@ -64,3 +65,20 @@ def test_notes(spark, tmp_path):
         (tmp_path / "bad.yaml").write_text(f"notes:\n- {bad}\n")
         with pytest.raises(Exception, match="note 'B'"):
             spark.read.format("notes").load(str(tmp_path)).collect()
+
+
+def test_bundles_grow_in_number_and_not_in_size(spark, sf, monkeypatch):
+    def made(most):
+        monkeypatch.setattr(catalog, "_OBJECTS", most)
+        rows = catalog._bundles(spark, sf)
+        return rows.count(), sorted(r[0] for r in rows.groupBy("bundle").count().select("count").collect())
+
+    (n, few), (again, many) = made(1 << 14), made(40)
+    assert n == again == sum(few) == sum(many)
+    assert len(few) == 17 and max(many) <= 40 < max(few)
+
+
+def test_objects_with_few_fields_keep_the_others_null(spark, tmp_path):
+    (tmp_path / "a.json").write_text(bundle({"id": "x"}, {"name": "n", "aliases": ["a"], "unknown": 1}))
+    rows = sorted(spark.read.format("stix").load(str(tmp_path)).collect(), key=lambda r: r.pos)
+    assert [(r.pos, r.id, r.name, r.aliases, r.type) for r in rows] == [(0, "x", None, None, None), (1, None, "n", ["a"], None)]

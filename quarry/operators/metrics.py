@@ -33,7 +33,29 @@ def ir_metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     a query_id in gold with a null ref has no relevant reference and scores 0.
     """
     size = gold.groupBy("query_id").agg(F.countDistinct("ref").alias("n_gold"))
-    marked = hits.where(F.col("rank") <= k).join(gold.where("ref is not null").distinct().withColumn("hit", F.lit(1)), ["query_id", "ref"], "left")
+    return _scores(hits.where(F.col("rank") <= k).join(gold.where("ref is not null").distinct().withColumn("hit", F.lit(1)), ["query_id", "ref"], "left"), size, k)
+
+
+def ir_metrics_by_topic(hits: DataFrame, asked: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """ir_metrics of asked(query_id, topic), to each of which the refs of its topic's other items(topic, item, ref) are relevant.
+
+    An item whose id is the query's does not count for it. A query is asked once, about one
+    topic; one whose topic has no other item gets no row. Topics are counted once and hits
+    looked up in them, so nothing grows with queries times items.
+    """
+    held = items.where("topic is not null and ref is not null").select("topic", "item", "ref").distinct()
+    refs = held.groupBy("topic", "ref").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.select("query_id", "topic").where("topic is not null").distinct()
+    # refs that only the query's own item has
+    mine = asked.join(held.withColumnRenamed("item", "query_id"), ["query_id", "topic"]).join(refs.where("n = 1"), ["topic", "ref"]).select("query_id", "ref", F.lit(1).alias("own"))
+    size = asked.join(refs.groupBy("topic").agg(F.count(F.lit(1)).alias("all")), "topic").join(mine.groupBy("query_id").agg(F.count(F.lit(1)).alias("less")), "query_id", "left")
+    size = size.select("query_id", (F.col("all") - F.coalesce("less", F.lit(0))).alias("n_gold")).where("n_gold > 0")
+    marked = hits.where(F.col("rank") <= k).join(asked, "query_id").join(refs.select("topic", "ref", F.lit(1).alias("known")), ["topic", "ref"], "left").join(mine, ["query_id", "ref"], "left")
+    return _scores(marked.withColumn("hit", F.when(F.col("own").isNull(), F.col("known"))), size, k)
+
+
+def _scores(marked: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """Metrics of marked(query_id, ref, rank, hit) for each query of size(query_id, n_gold)."""
     per = marked.groupBy("query_id").agg(
         F.countDistinct(F.when(F.col("hit") == 1, F.col("ref"))).alias("hits"), F.count(F.lit(1)).alias("shown"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
         F.coalesce(F.sum(F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),

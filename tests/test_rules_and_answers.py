@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,17 @@ def test_redteam(spark):
     assert got == {"a": True, "b": False}
     done = spark.createDataFrame([("s", "a", True, []), ("s", "b", False, ["c"])], "set string, attack_id string, landed boolean, abstained array<string>")
     assert tuple(redteam.route_summary(done, "set").first()) == ("s", 1, 2, ["a"], 1)
+
+
+def test_metrics_by_topic_are_those_of_pairs(spark):
+    """Topics counted once give what every query with every item of its topic gives, without a query's own item."""
+    rng = random.Random(5)
+    rows = [(i, f"D{i // 3}", None if i % 17 == 0 else "only" if i == 5 else f"t{rng.randint(0, 4)}") for i in range(120)]
+    items = spark.createDataFrame(rows, "item long, ref string, topic string")
+    asked = items.where("item % 5 = 0").select(F.col("item").alias("query_id"), "topic")
+    hits = spark.createDataFrame([(q, f"D{d}", r) for q in range(0, 120, 5) for r, d in enumerate([q // 3, *rng.sample([x for x in range(40) if x != q // 3], 6)], 1)], "query_id long, ref string, rank long")
+    gold = asked.join(items, "topic").where("item <> query_id").select("query_id", "ref").distinct()
+    for k in (1, 4):
+        want = sorted(map(tuple, metrics.ir_metrics(hits, gold, k).collect()))
+        got = metrics.ir_metrics_by_topic(hits, asked, items, k)
+        assert sorted(map(tuple, got.collect())) == want and 5 not in {r[0] for r in want} and any(r[1] > 0 for r in want)

@@ -293,8 +293,9 @@ class WordIndex:
         floor = written(floor, "floors")
         needed = weighed.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
         needed = needed.where((F.col("upto") >= F.col("floor")) & (F.col("idf") * F.col("block_most") + F.col("every") - F.col("most") >= F.col("floor")))
-        seen = self._hits(needed, readable).groupBy("query_id", "segment", "chunk_id").agg((F.sum(F.col("part") - F.col("most")) + F.first("every")).alias("reach"), F.first("floor").alias("floor"))
-        wanted = seen.where(F.col("reach") >= F.col("floor")).select("query_id", "segment", "chunk_id")
+        # two numbers a posting are shuffled, and rights are looked up only for chunks that can reach the floor
+        seen = self._hits(needed, None).groupBy("query_id", "segment", "chunk_id").agg((F.sum(F.col("part") - F.col("most")) + F.max(F.col("every") - F.col("floor"))).alias("over"))
+        wanted = _readable(seen.where("over >= 0").select("query_id", "segment", "chunk_id"), readable)
         scored = self._complete(wanted, asking, queries)
         if added is not None:
             near = own.where(~F.col("hidden")).join(asking, "query_id").where(F.arrays_overlap("terms", "q_terms"))
@@ -323,7 +324,13 @@ class WordIndex:
         each = each.withColumn("part", F.col("idf") * self.weight(F.col("x.tfs"), F.col("x.lens"))).drop("x", "ids", "tfs", "lens")
         if len(self.segments) > 1:
             each = each.join(self.dead, ["segment", "chunk_id"], "left_anti")
-        return each if readable is None else each.join(readable.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        else:  # one name for all, so it is no part of keys
+            each = each.withColumn("segment", F.lit(self.segments[0] if self.segments else None).cast("string"))
+        return _readable(each, readable)
+
+
+def _readable(rows: DataFrame, readable: DataFrame | None) -> DataFrame:
+    return rows if readable is None else rows.join(readable.select("chunk_id"), "chunk_id", "left_semi")
 
 
 def create(

@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm import _words as W
 from quarry.llm._store import written
@@ -169,31 +170,37 @@ def _linked(sent, keep_groups: bool):
                 offsets = W._offsets(column)
                 raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
                 own, digests, written_groups, links = _range(vocabulary, pieces, table, raw, offsets - offsets[0], ids, at, keep_groups)
-                held.append((links[0] + sum(len(x) for x in numbers), links[1]))
+                row, pair, times = _cells(*links)
+                held.append((row + sum(len(x) for x in numbers), pair, times))
                 numbers.append(own)
                 shas += digests
                 groups += written_groups
             n = batch.num_rows
             stats = np.concatenate(numbers) if numbers else np.zeros((0, 4), np.int64)
-            row, key = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
-            # a sparse matrix of rows by the batch's pairs, one entry for each row and pair
-            pairs, code, count = np.unique(key, return_inverse=True, return_counts=True)
-            cell, times = np.unique(row * max(len(pairs), 1) + code, return_counts=True)
-            ptr = np.searchsorted(cell, np.arange(n + 1) * max(len(pairs), 1))
-            fields = [batch.column(0), *(pa.array(stats[:, k]) for k in range(4)), pa.array(shas, pa.string())]
-            names = ["id", *_NAMES, "groups_sha256"]
-            if keep_groups:
-                fields, names = [*fields, pa.array(groups, pa.string())], [*names, "groups"]
-            rows = pa.StructArray.from_arrays(fields, names=names)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | number]), one(rows), one(pa.array(pairs)), one(pa.array(count)), one(pa.array(ptr.astype(np.int32))), one(pa.array((cell % max(len(pairs), 1)).astype(np.int32))), one(pa.array(times.astype(np.int32)))],
-                names=["chunk", "docs", "pairs", "counts", "ptr", "idx", "times"],
-            )
+            row, pair, times = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in range(3))
+            pairs, place = np.unique(pair, return_inverse=True)
+            count = np.zeros(len(pairs), np.int64)
+            np.add.at(count, place, times)
+            width = np.min_scalar_type(max(len(pairs), int(times.max(initial=0)))).itemsize
+            place, times, ptr = place.astype(f"<u{width}"), times.astype(f"<u{width}"), np.searchsorted(row, np.arange(n + 1)).tolist()
+            fields = {
+                "id": batch.column(0), **{c: pa.array(stats[:, k]) for k, c in enumerate(_NAMES)}, "groups_sha256": pa.array(shas, pa.string()), **({"groups": pa.array(groups, pa.string())} if keep_groups else {}),
+                "width": pa.array(np.full(n, width, np.int32)), "cells": pa.array([place[i:j].tobytes() + times[i:j].tobytes() for i, j in pairwise(ptr)], pa.binary()),
+            }
+            chunk, names, none = part << 32 | number, ["chunk", *fields, "pair", "n"], lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *fields.values(), none(n), none(n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), chunk)), *(pa.nulls(len(pairs), x.type) for x in fields.values()), pa.array(pairs), pa.array(count)], names=names)
 
     return run
 
 
+def _cells(row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, pair and number of the links of each row and pair, in this order."""
+    pairs, code = np.unique(pair, return_inverse=True)
+    cell, times = np.unique(row * len(pairs) + code, return_counts=True)
+    return cell // max(len(pairs), 1), pairs[cell % max(len(pairs), 1)], times
+
+
 def _range(v: Vocabulary, pieces: Pieces, table: _Written, raw, rows, a_ids, a_at, keep_groups):
     """Numbers, digests and links (row, pair) of a range of rows; texts without tokens have none."""
     n = len(rows) - 1
@@ -233,22 +240,18 @@ def _range(v: Vocabulary, pieces: Pieces, table: _Written, raw, rows, a_ids, a_a
     return stats, digests, groups, (link_row, ai[link_a].astype(np.int64) * pieces.size + bi[link_b])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each chunk with the sums over their links."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            docs, pairs, ptr, idx, times, known = (batch.column(k)[i].values for k in range(6))
-            docs = docs if docs is not None else pa.array([], batch.column(0).type.value_type)
-            array = lambda x, kind=np.int64: np.zeros(0, kind) if x is None else x.to_numpy(zero_copy_only=False).astype(kind)
-            pairs, ptr, idx, times = array(pairs), array(ptr), array(idx), array(times)
-            total, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-            if known is not None and len(known):
-                at = np.searchsorted(pairs, array(known.field(0)))
-                total[at], best[at] = array(known.field(1)), array(known.field(2))
-            sums = [np.append(0, np.cumsum(times * x[idx]))[ptr] for x in (best, total)]
-            fields = docs.flatten()
-            names = [f.name for f in docs.type]
-            yield pa.RecordBatch.from_arrays([*fields, *(pa.array(np.diff(x)) for x in sums)], names=[*names, "n_best", "count_sum"])
+def _summed(docs: pa.Table, pairs: pa.Table, kind: pa.DataType) -> pa.Table:
+    """The rows of a chunk with the sums over their links; pairs: all of the chunk, each once; kind: of the ids, whose times come in the session's zone."""
+    pairs = pairs.sort_by("pair")
+    total, best = (pairs[c].to_numpy().astype(np.int64) for c in ("total", "best"))
+    sums = np.zeros((2, docs.num_rows), np.int64)
+    for i, (width, cells) in enumerate(zip(docs["width"].to_pylist(), docs["cells"].to_pylist(), strict=True)):
+        place, times = np.frombuffer(cells, f"<u{width}").reshape(2, -1)
+        sums[:, i] = (times * best[place]).sum(), (times * total[place]).sum()
+    docs = docs.drop_columns(["chunk", "width", "cells"])
+    if docs["id"].type != kind:
+        docs = docs.set_column(0, "id", docs["id"].cast(kind))
+    return docs.append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
 
 
 def align(
@@ -268,11 +271,13 @@ def align(
     tokens' strings are plain text. Repeated rows count each; an empty table gives none;
     other columns are ignored, whatever their names; ids may be of any type and null.
 
-    Every text is encoded once. An Arrow batch (8 MB of text, or one longer text) becomes a
-    row that holds its documents' numbers and a sparse matrix of documents by the batch's
-    distinct pairs. Only those pairs are shuffled, summed first, so a pair that is in every
-    document costs a row a batch; their counts come back to the batch in one row. The best
-    count of each B id is a table of at most the model's number of pieces.
+    Every text is encoded once, in Arrow batches (8 MB of text, or one longer text). What a
+    batch gives is stored in small rows: one a document, with its numbers and, as bytes, its
+    distinct pairs by their places among the batch's and how often it has each; and one for
+    each of the batch's pairs. So readers, sorts and shuffles hold as little as with texts.
+    Pairs' rows are summed over the corpus, so a pair that is in every document costs a row
+    a batch, and their counts come back to the batch by a cogroup. The best count of each B
+    id is a table of at most the model's number of pieces.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -280,17 +285,17 @@ def align(
     text = F.col(text_col).cast("string")
     table = docs.select(F.col(id_col).alias("id"), F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise("").alias("text"))
     kind = docs.schema[id_col].dataType
-    row = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in _NAMES), T.StructField("groups_sha256", T.StringType()), *([T.StructField("groups", T.StringType())] if keep_groups else [])])
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    chunk = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(row)), *(T.StructField(c, longs) for c in ("pairs", "counts")), *(T.StructField(c, ints) for c in ("ptr", "idx", "times"))])
-    chunks = written(table.mapInArrow(_linked(sent, keep_groups), chunk), "links")
+    fields = [T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in _NAMES), T.StructField("groups_sha256", T.StringType()), *([T.StructField("groups", T.StringType())] if keep_groups else [])]
+    long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    stored = T.StructType([*long("chunk"), *fields, T.StructField("width", T.IntegerType()), T.StructField("cells", T.BinaryType()), *long("pair", "n")])
+    both = written(table.mapInArrow(_linked(sent, keep_groups), stored), "links")
+    rows, each = both.where("pair IS NULL").drop("pair", "n"), both.where("pair IS NOT NULL").select("chunk", "pair", "n")
     pieces = Pieces(model).size
-    each = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select("chunk", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     totals = written(each.groupBy("pair").agg(F.sum("n").alias("total")), "pairs")
     b = F.pmod(F.col("pair"), F.lit(pieces))
     highest = F.broadcast(totals.groupBy(b.alias("b")).agg(F.max("total").alias("highest")))  # one row a piece of the model at most
     judged = totals.join(highest, b == F.col("b")).select("pair", "total", (F.col("total") == F.col("highest")).cast("long").alias("best"))
-    back = each.select("chunk", "pair").join(judged, "pair").groupBy("chunk").agg(F.collect_list(F.struct("pair", "total", "best")).alias("known"))
-    joined = chunks.drop("counts").join(back, "chunk", "left").select("docs", "pairs", "ptr", "idx", "times", "known")
-    out = T.StructType([*row.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
-    return joined.mapInArrow(_summed, out).withColumnRenamed("id", id_col)
+    back = each.select(F.col("chunk").alias("of"), "pair").join(judged, "pair")
+    ids = to_arrow_type(kind)
+    out = T.StructType([*fields, *long("n_best", "count_sum")])
+    return rows.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(lambda docs, pairs: _summed(docs, pairs, ids), out).withColumnRenamed("id", id_col)

@@ -87,6 +87,31 @@ def test_strange_texts(spark, vocabulary):
     assert align.align(df.limit(0), vocabulary, model).count() == 0
 
 
+def test_stored_rows_are_small(spark, sf, vocabulary, monkeypatch):
+    """However many texts a batch has, no stored row holds more than one of them, or one pair: a reader takes 4,096 rows at once."""
+    held = []
+    plain = align.written
+    monkeypatch.setattr("quarry.llm.align.written", lambda df, tag: held.append(plain(df, tag)) or held[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").coalesce(1)
+    assert align.align(docs, vocabulary, open(MODEL, "rb").read()).count() == docs.count()
+    longest = docs.selectExpr("max(octet_length(text)) n").first().n
+    for table in held:
+        assert table.selectExpr("max(length(to_json(struct(*)))) n").first().n < 500 + 4 * longest
+
+
+def test_ids_of_times(spark, vocabulary):
+    """Times in a session's zone, and a batch without any token."""
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.sql("SELECT timestamp_seconds(id) AS t, CASE id WHEN 1 THEN 'the cat' WHEN 2 THEN '' END AS text FROM range(5)").coalesce(1)
+        for docs, n in ((df, 5), (df.where("coalesce(text, '') = ''"), 4)):
+            out = align.align(docs, vocabulary, open(MODEL, "rb").read(), id_col="t").collect()
+            assert sorted(r.t for r in out) == sorted(r.t for r in docs.collect()) and len(out) == n
+            assert sum(r.n_a > 0 for r in out) == n - 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_whole_texts_and_stretches_agree(vocabulary):
     import numpy as np
 
